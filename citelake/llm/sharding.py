@@ -15,8 +15,12 @@ from pyspark.sql import functions as F
 
 from .common import Stages, blocks_for, words
 
-#: A group is heavy from this part of a shard's fair share in any measure, so there are at most 3 * 32 heavy pieces a shard.
-HEAVY = 1 / 32
+#: An item is heavy from this part of a shard's fair share in any measure, so there are at most 3 * 64 heavy items a shard.
+HEAVY = 1 / 64
+#: A group over this part of a shard's fair share is split.
+SPLIT = 1 / 2
+#: Weights of bytes, tokens and rows in the dot product: the law is on bytes.
+WEIGHTS = np.array([4.0, 1.0, 1.0])
 #: Items that one task packs.
 BLOCK_ITEMS = 20_000
 MEASURES = ["b", "t", "r"]
@@ -25,11 +29,12 @@ MEASURES = ["b", "t", "r"]
 def place(items: np.ndarray, capacity: np.ndarray) -> np.ndarray:
     """Shard of each item, by the highest dot product with the residual capacity; both in parts of the total.
 
-    items: n x 3, placed from the largest sum to the smallest, ties in the given order; capacity: shards x 3.
+    items: n x 3, placed from the largest weighted sum to the smallest, ties in the given order; capacity: shards x 3.
     """
     left, out = capacity.astype(float).copy(), np.zeros(len(items), np.int32)
-    for i in np.argsort(-items.sum(axis=1), kind="stable"):
-        k = int(np.argmax(left @ items[i]))
+    pull = items * WEIGHTS
+    for i in np.argsort(-pull.sum(axis=1), kind="stable"):
+        k = int(np.argmax(left @ pull[i]))
         out[i] = k
         left[k] -= items[i]
     return out
@@ -38,8 +43,8 @@ def place(items: np.ndarray, capacity: np.ndarray) -> np.ndarray:
 def shard(docs: DataFrame, shards: int = 40, slot_parts: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of `docs` (doc_id, text).
 
-    Law `bytes`: sizes near equal. Rows of a group stay together, but a group over 1/32 of a shard's fair share of bytes, tokens
-    or rows is split by a hash of the ids into pieces of about that size. Null text: no bytes, and a group with the empty text. Rows with
+    Law `bytes`: sizes near equal. Rows of a group stay together, but a group over half a shard's fair share of bytes, tokens
+    or rows is split by a hash of the ids into pieces of about that size or less. Null text: no bytes, and a group with the empty text. Rows with
     the same id and text cannot be told apart and stay together. Slots run from 0 in each shard without gaps. Empty table: no rows.
     """
     spark, stages = docs.sparkSession, Stages(docs.sparkSession, "sharding")
@@ -49,12 +54,12 @@ def shard(docs: DataFrame, shards: int = 40, slot_parts: int | None = None) -> D
     total = groups.agg(*(F.sum(c).alias(c) for c in MEASURES), F.count("*").alias("n")).first()
     totals = [max(1, total[c] or 0) for c in MEASURES]
     share = F.greatest(*(F.col(c) / (n / shards) for c, n in zip(MEASURES, totals, strict=True)))
-    # Bounded: the shares of all groups sum to at most 3 * shards, each of these has more than HEAVY.
-    heavy = groups.withColumn("parts", F.ceil(share / HEAVY)).filter((share > HEAVY) & (F.col("r") > 1)).select("group", "parts")
-    pieces = rows.join(F.broadcast(heavy), "group", "left").withColumn("piece", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("parts"))).cast("int")).drop("parts")
+    # Bounded: the shares of all groups sum to at most 3 * shards, and each of these has more than SPLIT.
+    large = groups.withColumn("parts", F.ceil(share / SPLIT)).filter((share > SPLIT) & (F.col("r") > 1)).select("group", "parts")
+    pieces = rows.join(F.broadcast(large), "group", "left").withColumn("piece", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("parts"))).cast("int")).drop("parts")
     items = stages.put(pieces.groupBy("group", "piece").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("r")))
 
-    big = [(bytes(x["group"]), x["piece"], *(x[c] for c in MEASURES)) for x in items.filter(share > HEAVY / 2).orderBy("group", "piece").collect()]
+    big = [(bytes(x["group"]), x["piece"], *(x[c] for c in MEASURES)) for x in items.filter(share > HEAVY).orderBy("group", "piece").collect()]
     vectors = np.array([x[2:] for x in big], float).reshape(-1, 3) / totals
     at = place(vectors, np.full((shards, 3), 1 / shards))
     left = np.full((shards, 3), 1 / shards)
@@ -69,7 +74,7 @@ def shard(docs: DataFrame, shards: int = 40, slot_parts: int | None = None) -> D
         own = np.roll(left * (v.sum(axis=0) / rest), -turn, axis=0)
         return pa.table({"group": table.column("group"), "piece": table.column("piece"), "shard": pa.array((place(v, own) + turn) % shards, pa.int32())})
 
-    light = items.filter(~(share > HEAVY / 2)).withColumn("block", F.pmod(F.xxhash64("group"), F.lit(n_blocks))).groupBy("block").applyInArrow(pack, "group binary, piece int, shard int")
+    light = items.filter(~(share > HEAVY)).withColumn("block", F.pmod(F.xxhash64("group"), F.lit(n_blocks))).groupBy("block").applyInArrow(pack, "group binary, piece int, shard int")
     placed = [(bytearray(g), p, int(k)) for (g, p, *_), k in zip(big, at, strict=True)]
     hot = F.broadcast(spark.createDataFrame(placed, "group binary, piece int, shard int"))
     known = pieces.join(hot, ["group", "piece"], "left")
