@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import sharding, token_counts
+from . import quality_rules, sharding, token_counts, warc
 
-QUERIES = {f.__name__: f for f in (token_counts.op3_token_counts, sharding.op4_sharding)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (token_counts.op3_token_counts, sharding.op4_sharding, warc.op5_warc, quality_rules.op7_quality_rules)}
+ORACLES: dict[str, str] = {"op5_warc": warc.SQL, "op7_quality_rules": quality_rules.SQL}
