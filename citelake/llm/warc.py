@@ -108,20 +108,24 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0) -> None:
     total = rows.agg(F.sum(F.length("payload")).alias("n")).first()["n"]
     # Only payloads that occur twice are worth a join, and their digests come pre-aggregated.
     firsts = rows.filter(F.length("payload") >= min_bytes).groupBy(F.sha1("payload").alias("sha")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    # The join keeps payloads out: it deals out ids and digests alone.
+    # The join keeps payloads out: it deals out ids and digests alone. Payloads are dealt out once, to their archives.
     keys = rows.select("page_id", F.sha1("payload").alias("sha"), F.length("payload").alias("size")).filter(F.col("size") >= min_bytes).distinct()
     refers = keys.join(firsts, "sha").filter(F.col("page_id") > F.col("first")).select(F.col("page_id").alias("id_"), F.col("sha").alias("sha_"), "first")
-    rows = rows.withColumn("sha_", F.sha1("payload")).withColumn("size_", F.length("payload"))
     n = blocks_for(total, ARCHIVE_BYTES)
-    rows = rows.join(refers.withColumnRenamed("sha_", "sha2_"), (F.col("page_id") == F.col("id_")) & (F.col("sha_") == F.col("sha2_")), "left")
-    rows = rows.select("page_id", "url", "payload", "first", F.pmod(F.xxhash64("page_id", "url", "sha_"), F.lit(n)).alias("archive"))
+    at = lambda page, sha: F.pmod(F.xxhash64(page, sha), F.lit(n)).alias("archive")
+    rows = rows.select("page_id", "url", "payload", F.sha1("payload").alias("sha")).select("*", at("page_id", "sha"))
+    refers = refers.select("*", at("id_", "sha_"))
 
-    def archive(table: pa.Table) -> pa.Table:
+    def archive(table: pa.Table, refers: pa.Table) -> pa.Table:
         import pyarrow.fs as fs
 
+        if not len(table):
+            return pa.table({c: pa.array([], pa.int64()) for c in ("archive", "records", "bytes")})
+        known = {(i, s): f for i, s, f in zip(*(refers.column(c).to_pylist() for c in ("id_", "sha_", "first")), strict=True)}
+
         order = table.select(["page_id", "url"]).append_column("n", pa.array(range(len(table)))).sort_by([("page_id", "ascending"), ("url", "ascending")]).column("n")
         table = table.take(order)
-        data = write_archive([record(*x, at) for at, x in enumerate(zip(*(table.column(c).to_pylist() for c in ("page_id", "url", "payload", "first")), strict=True))])
+        data = write_archive([record(i, url, x, known.get((i, sha)), at) for at, (i, url, x, sha) in enumerate(zip(*(table.column(c).to_pylist() for c in ("page_id", "url", "payload", "sha")), strict=True))])
         k = table.column("archive")[0].as_py()
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
@@ -130,7 +134,7 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0) -> None:
         store.move(part, f"{root}/{k:06d}.warc.zst")
         return pa.table({"archive": pa.array([k], pa.int64()), "records": pa.array([len(table)], pa.int64()), "bytes": pa.array([len(data)], pa.int64())})
 
-    Stages(pages.sparkSession, "warc-manifest").put(rows.groupBy("archive").applyInArrow(archive, "archive long, records long, bytes long"))
+    Stages(pages.sparkSession, "warc-manifest").put(rows.groupBy("archive").cogroup(refers.groupBy("archive")).applyInArrow(archive, "archive long, records long, bytes long"))
 
 
 def read_warc(spark, folder: str) -> DataFrame:
