@@ -102,8 +102,8 @@ def cascade(order: list[Rule]) -> Column:
     return out.otherwise(F.lit(None).cast("string"))
 
 
-def first_failed(docs: DataFrame) -> DataFrame:
-    """`docs` with failed_rule: the first rule of the cascade that the text fails, or null.
+def passing(docs: DataFrame) -> DataFrame:
+    """Rows of `docs` that fail no rule.
 
     Repeated windows, the dearest measure, are computed by a rule of their own, only for texts that pass all before it.
     """
@@ -114,8 +114,9 @@ def first_failed(docs: DataFrame) -> DataFrame:
     d = d.withColumn("words_", F.when(F.col("failed_rule").isNull(), F.col("words_")).otherwise(F.array().cast("array<string>")))
     w = F.col("words_")
     d = repeat_words(d.withColumn("windows_", F.when(F.size(w) >= WINDOW, F.transform(F.sequence(F.lit(1), F.size(w) - WINDOW + 1), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))).otherwise(F.array().cast("array<long>"))))
-    d = d.withColumn("failed_rule", F.coalesce("failed_rule", cascade(order[k:])))
-    return d.drop("text_", "words_", "windows_", "n_repeat_words")
+    # The row number keeps the filter above the measures: below them each would be computed anew wherever it is named.
+    d = d.withColumn("failed_rule", F.coalesce("failed_rule", cascade(order[k:]))).withColumn("row_", F.monotonically_increasing_id())
+    return d.filter(F.col("failed_rule").isNull() & (F.col("row_") >= 0)).select(docs.columns)
 
 
 def quality(docs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from citelake.llm.common import Stages, text_key
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail a quality rule go."""
-    return quality_rules.first_failed(docs).filter(F.col("failed_rule").isNull()).drop("failed_rule")
+    return quality_rules.passing(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
