@@ -257,8 +257,13 @@ def spans(docs: DataFrame, min_len: int = 200, keep_first: bool = False) -> Data
         is_first = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.key_") == F.col("key_")) & (F.col("first.at") == F.col("at"))
         hits = hits.withColumn("lo", F.when(is_first, F.col("lo")).otherwise(whole[0])).withColumn("hi", F.when(is_first, F.col("hi")).otherwise(whole[1]))
     hits = hits.select("doc_id", "key_", "at", F.explode(F.arrays_zip("lo", "hi")).alias("r"))
-    hits = hits.select("doc_id", "key_", (F.col("at") - F.col("r.hi")).alias("a"), (F.col("at") - F.col("r.lo")).alias("b")).distinct()
-    return hits.groupBy("doc_id", "key_").agg(F.collect_list("a").alias("starts"), F.collect_list("b").alias("ends"))
+    hits = hits.select("doc_id", "key_", (F.col("at") - F.col("r.hi")).alias("a"), (F.col("at") - F.col("r.lo")).alias("b"))
+    # No more ranges than bytes in a text. Written, so that the shuffle files and tables before it can go before the texts move.
+    out = stages.put(hits.groupBy("doc_id", "key_").agg(F.collect_list("a").alias("starts"), F.collect_list("b").alias("ends")))
+    for df in (occ, known, sorted_):
+        stages.drop(df)
+    stages.free()
+    return out
 
 
 def merged(starts: list[int] | None, ends: list[int] | None, size: int, min_len: int) -> list[tuple[int, int]]:
