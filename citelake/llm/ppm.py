@@ -32,7 +32,7 @@ END, START, SYMBOLS = 256, 257, 257
 BITS = 9
 MASK = (1 << BITS) - 1
 #: Bytes of text in a block and in a part that is coded at once.
-BLOCK_BYTES, PART_BYTES = 16 << 20, 2 << 20
+BLOCK_BYTES, PART_BYTES = 8 << 20, 1 << 20
 END_WORD = 0
 
 
@@ -88,20 +88,21 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(keys, sizes): the gram of each symbol of each text, its end included, and how many each text has. The last symbol has the lowest bits."""
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
     ends = np.cumsum(sizes + ORDER)
-    s = np.full(ends[-1] if len(ends) else 0, START, np.int64)
+    s = np.full(ends[-1] if len(ends) else 0, START, np.int16)
     inner = np.ones(len(s), bool)
     for k in range(ORDER):
         inner[ends - sizes - ORDER + k] = False
-    body = np.zeros(int(sizes.sum()), np.int64)
+    body = np.zeros(int(sizes.sum()), np.int16)
     last = np.cumsum(sizes) - 1
     is_end = np.zeros(len(body), bool)
     is_end[last] = True
     body[is_end] = END
     body[~is_end] = np.frombuffer(b"".join(texts), np.uint8)
     s[inner] = body
-    key = s[: len(s) - ORDER].copy()
+    key = s[: len(s) - ORDER].astype(np.int64)
     for j in range(1, ORDER + 1):
-        key = (key << BITS) | s[j : len(s) - ORDER + j]
+        key <<= BITS
+        key |= s[j : len(s) - ORDER + j]
     return key[inner[ORDER:]], sizes
 
 
@@ -120,8 +121,12 @@ def merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
     """Sorted different keys and their summed counts."""
     if not keys:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    key, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return key, np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.empty(0, bool)
+    at = np.nonzero(first)[0]
+    return key[at], np.add.reduceat(count[order], at) if len(at) else np.empty(0, np.int64)
 
 
 def squeeze(a: np.ndarray) -> bytes:
@@ -229,9 +234,11 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
                 own = [t for t, f in zip(texts[a:b], train[a:b], strict=True) if f == flag]
                 if not own:
                     continue
-                codes, found = pd.factorize(grams(own)[0])
+                found, often = np.unique(grams(own)[0], return_counts=True)
                 keys.append(found)
-                counts.append(np.bincount(codes, minlength=len(found)) if flag else np.zeros(len(found), np.int64))
+                counts.append(often if flag else np.zeros(len(found), np.int64))
+                if len(keys) == 4:  # merged now and then, so that a block holds its different grams and little more
+                    keys, counts = ([x] for x in merge(keys, counts))
                 ends += flag * len(own)
                 for t in own:
                     known.update(words_of(t)) if flag else other.update(words_of(t))
