@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,8 +44,10 @@ class Stages:
 
     def free(self) -> None:
         """Let Spark delete the shuffle files of plans that no Python name refers to any more."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # Python's references end first, then the JVM's
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.3)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

@@ -281,6 +281,7 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
         return pa.table([pa.array(blocks, pa.int32()), pa.array([kind] * m), pa.array([bucket] * m, pa.int32()), pa.array([b""] * m, pa.binary()), pa.array(replies, pa.binary()), pa.array([kinds] + [0] * (m - 1), pa.int64()), pa.array([total] + [0] * (m - 1), pa.int64())], ["block", "kind", "bucket", "keys", "counts", "kinds", "total"])
 
     told = stages.put(asked.filter("kind <> 'triples'").groupBy("kind", "bucket").applyInArrow(answer, form))
+    stages.drop(asked)
     stages.free()
     stat = told.agg(F.sum("kinds").alias("v"), F.sum("total").alias("n")).first()
     v, total = stat["v"] or 0, stat["n"] or 0
