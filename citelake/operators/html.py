@@ -14,6 +14,7 @@ from ..functions.text import host
 
 # Tags of blocks, and tags without content of their own.
 BLOCKS = {**{f"h{i}": ("heading", i) for i in range(1, 7)}, "p": ("paragraph", 0), "li": ("list_item", 0), "table": ("table", 0)}
+CLOSES_P = set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -29,7 +30,7 @@ class Blocks(HTMLParser):
 
     def __init__(self, container: str | None):
         super().__init__(convert_charrefs=True)
-        self.container, self.inside, self.depth = container, container is None, 0
+        self.container, self.inside, self.open = container, container is None, []
         self.skip, self.tag, self.nested, self.text = 0, "", 0, []
         self.out: list[tuple[str, int, str]] = []
         self.h1: list[str] = []
@@ -46,18 +47,17 @@ class Blocks(HTMLParser):
             self.in_title = True
         if self.container is not None:
             if self.inside and tag not in VOID:
-                self.depth += 1
-            elif dict(attrs).get("id") == self.container or tag == self.container:
-                self.inside, self.depth = True, 1
+                self.open.append(tag)
+            elif not self.inside and (dict(attrs).get("id") == self.container or tag == self.container):
+                self.inside, self.open = True, [tag]
+                return
         if not self.inside:
             return
+        if self.tag == "p" and tag in CLOSES_P:  # its end tag may be left out
+            self.close()
         if self.tag:
-            if tag == "p" == self.tag:  # a paragraph ends where the next begins
-                self.close()
-                self.tag, self.nested, self.text = tag, 1, []
-            elif tag == self.tag:
-                self.nested += 1
-            elif self.tag == "table" and self.text:
+            self.nested += tag == self.tag
+            if self.tag == "table" and self.text:
                 self.text.append(" ")
         elif tag in BLOCKS:
             self.tag, self.nested, self.text = tag, 1, []
@@ -73,9 +73,10 @@ class Blocks(HTMLParser):
             self.nested -= 1
             if not self.nested:
                 self.close()
-        if self.container is not None and self.inside and tag not in VOID:
-            self.depth -= 1
-            if self.depth <= 0:
+        if self.container is not None and tag in self.open:
+            while self.open.pop() != tag:  # elements within it end with it
+                pass
+            if not self.open:
                 self.close()
                 self.inside = False
 

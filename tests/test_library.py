@@ -1,0 +1,167 @@
+import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from citelake.functions import text as T
+from citelake.operators import calibrate, chunk, cite, decide, html, pdfgeom, quality, retrieve
+from citelake.sources import tables
+from citelake.streaming import state
+
+
+def one(spark, value, f, kind="string"):
+    return spark.createDataFrame([(value,)], f"x {kind}").select(f(F.col("x"))).first()[0]
+
+
+@pytest.mark.parametrize(("value", "want"), [("2021-7-1", datetime.date(2021, 7, 1)), ("2021/07/01", None), ("07-01-2021", None), ("去年", None), ("2021-13-01", None), (None, None)])
+def test_days(spark, value, want):
+    assert one(spark, value, T.parse_day) == want
+
+
+def test_white_space_is_unicode(spark):
+    assert one(spark, "　a\xa0 b\n", T.collapse) == "a b"
+    assert one(spark, "\xa0　", T.clean) is None
+
+
+def test_garbage(spark):
+    assert one(spark, "a�\x00", T.garbage_ratio) == 0.75
+    assert one(spark, "", T.garbage_ratio) == 1.0
+
+
+def test_citation_numbers_keep_first_appearance(spark):
+    assert one(spark, "［3］ [2] [3] [1,2] [99999999999999999999]", T.cited_numbers) == [3, 2]
+
+
+def test_hosts(spark):
+    assert one(spark, "https://WWW.Example.com:8080/a", T.host) == "example.com"
+    assert one(spark, "not a url", T.host) is None
+
+
+def test_decisions(spark):
+    cols = "doc_id long, content_hash string, status string, title string, source_url string"
+    reg = spark.createDataFrame([(1, "a", "indexed", "t", "u"), (2, "b", "pending", "t", "v"), (3, "c", "indexed", None, "w")], cols)
+    new = spark.createDataFrame([(1, "a", "t", "u"), (2, "a", "t2", "u"), (3, "b", "t", "v"), (4, "z", "t", "w"), (5, "y", "t", None), (6, "c", None, "w"), (7, "x", "t", "v")], "line_number long, content_hash string, title string, source_url string")
+    got = {r.line_number: r.action for r in decide.decide(new, reg).collect()}
+    assert got == {1: "SKIP", 2: "UPDATE_META", 3: "REINDEX", 4: "SUPERSEDE_AND_NEW", 5: "NEW", 6: "SKIP", 7: "NEW"}
+
+
+def blocks(spark, toks, headings=()):
+    return spark.createDataFrame([(1, i, "heading" if i in headings else "paragraph", 0, "x" * (i + 1), n) for i, n in enumerate(toks)], "doc_id long, ord long, type string, level int, text string, tok long")
+
+
+@pytest.mark.parametrize(("toks", "headings", "want"), [([10, 10, 10], (), [0, 0, 0]), ([30, 30, 1], (2,), [0, 0, 1]), ([31, 5, 5], (1,), [0, 1, 1]), ([29, 5], (1,), [0, 0]), ([100, 1], (), [0, 1])])
+def test_parents(spark, toks, headings, want):
+    rows = chunk.split_parents(blocks(spark, toks, headings), 30, 60).orderBy("ord").collect()
+    assert [r.parent for r in rows] == want
+
+
+def test_parent_bounds(spark):
+    with pytest.raises(ValueError):
+        chunk.split_parents(blocks(spark, [1]), 3, 2)
+
+
+def test_chunks_are_slices(spark):
+    c = chunk.chunks(blocks(spark, [10, 25, 7, 40, 3, 12, 50], (3,)), 30, 60, 10)
+    assert chunk.violations(c).count() == 0
+    bad = c.withColumn("text", F.when(F.col("level") == "child", "?").otherwise(F.col("text")))
+    assert chunk.violations(bad).count() > 0
+    parents = {r.chunk_id: r.text for r in c.filter("level = 'parent'").collect()}
+    for p, t in parents.items():
+        parts = c.filter((F.col("level") == "child") & (F.col("parent_id") == p)).orderBy("start").collect()
+        assert "\n".join(r.text for r in parts) == t
+
+
+def test_quality_lists_every_failure(spark):
+    b = spark.createDataFrame([(1, "paragraph", "short"), (1, "paragraph", "short"), (1, "heading", "h")], "doc_id long, type string, text string")
+    r = quality.assess(b).first()
+    assert r.failures == ["chars", "fragments", "duplicates"] and r.total_chars == 13 and not r.passed
+
+
+def test_fold_keeps_all_children_and_breaks_ties(spark):
+    h = spark.createDataFrame([(0, 2, 1, 9, 0.5), (0, 1, 1, 9, 0.5), (0, 3, 1, 9, 0.9), (0, 4, 2, 9, 0.9)], "qid long, chunk_id long, parent_id long, doc_id long, score double")
+    rows = retrieve.top_parents(h).orderBy("rk").collect()
+    assert [r.parent_id for r in rows] == [1, 2] and [c.chunk_id for c in rows[0].children] == [3, 1, 2]
+
+
+def test_dense_topk_filters_before_the_limit(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0], "DE"), (2, [0.9, 0.1], "FR"), (3, [0.0, 0.0], "FR")], "chunk_id long, dense array<double>, country string")
+    q = spark.createDataFrame([(7, [1.0, 0.0], "FR"), (8, [1.0, 0.0], None)], "qid long, dense array<double>, country string")
+    assert [(r.qid, r.chunk_id) for r in retrieve.dense_topk(q, v, 1).orderBy("qid").collect()] == [(7, 2), (8, 1)]
+    assert retrieve.dense_topk(q, v, 0).count() == 0
+    assert retrieve.dense_topk(q.limit(0), v).count() == 0
+
+
+def test_gate(spark):
+    assert one(spark, None, lambda c: retrieve.gate(c, 0.5), "double") is False
+    assert one(spark, 0.5, lambda c: retrieve.gate(c, 0.5), "double") is True
+    with pytest.raises(ValueError):
+        retrieve.gate(F.lit(1.0), None)
+    with pytest.raises(ValueError):
+        retrieve.checked_filter({"country": "DE' or 1"})
+    with pytest.raises(ValueError):
+        retrieve.checked_filter({"country": "DE\n"})
+
+
+def test_answers(spark):
+    a = spark.createDataFrame([(1, "x [2] [0] [7]", 5), (2, "none", 5), (3, "[1]", 0)], "qid long, text string, n_materials long")
+    r = {x.qid: x for x in cite.degrade(cite.check(a)).collect()}
+    assert r[1].valid == [2] and r[1].invalid == [0, 7] and not r[1].degraded and r[1].notes == ["invalid citations: 0, 7"]
+    assert r[2].degraded and r[2].final_text == cite.NO_EVIDENCE and r[3].degraded
+
+
+def test_refused_questions_never_reach_the_model(spark):
+    q = spark.createDataFrame([(1, "p", 0.9, 1), (2, "p", 0.1, 1), (3, "p", None, 1)], "qid long, prompt string, dense_top_score double, n_materials long")
+    got = {r.qid: r.outcome for r in cite.answer(q, 0.5, lambda p: F.concat(p, F.lit(" [1]"))).collect()}
+    assert got == {1: "normal", 2: "refused", 3: "refused"}
+
+
+def test_sweep_against_brute_force(spark):
+    data = [("answer" if i % 3 else "refuse", None if i % 11 == 0 else (i * 37 % 50) / 50) for i in range(120)]
+    got = [(r.threshold, r.blocked, r.missed) for r in calibrate.sweep(spark.createDataFrame(data, "expected_behavior string, score double"), 30).collect()]
+    flat = [(k, -1.0 if s is None else s) for k, s in data]
+    want = [(t, sum(k == "refuse" and s < t for k, s in flat), sum(k == "answer" and s < t for k, s in flat)) for t in {s for _, s in flat}]
+    assert got == sorted((x for x in want if x[2] <= 30), key=lambda x: (-x[1], -x[0]))
+
+
+def test_html():
+    title, found = html.parse("<title>T</title><h1> A  b </h1><article><p>one<script>no</script> two<p>three<ul><li>x<p>y</p></li></ul><table><tr><td>1</td><td>2</td></tr></table></article><p>out</p>", "article")
+    assert title == "A b" and [(b[0], b[2]) for b in found] == [("paragraph", "one two"), ("paragraph", "three"), ("list_item", "xy"), ("table", "1 2")]
+
+
+@pytest.mark.parametrize(("data", "want"), [(b"%PDF-1.7 <", "pdf"), (b"\xef\xbb\xbf \n<!DOCTYPE html>", "html"), (b"plain", None), (b"\xff\xfe<a>", "html")])
+def test_sniff(spark, data, want):
+    assert one(spark, bytearray(data), html.sniff, "binary") == want
+
+
+def test_routing(spark):
+    a = spark.createDataFrame([(1, 1, "simple", False), (1, 2, "simple", True), (2, 1, "hard", False), (2, 2, "hard", True), (3, 1, "hard", True)], "doc_id long, tier int, difficulty string, passed boolean")
+    assert {r.doc_id: r.tier for r in html.route(a).collect()} == {1: None, 2: 2, 3: 1}
+
+
+def test_pdf_geometry(spark):
+    lines = spark.createDataFrame([(1, 0, 1, 18.0, 10.0, "Head"), (1, 1, 1, 12.0, 30.0, "a"), (1, 2, 1, 12.0, 43.0, "b"), (1, 3, 1, 12.0, 80.0, "c"), (1, 4, 2, 12.0, 20.0, "d")], "doc_id long, seq long, page long, size double, top double, text string")
+    assert [(r.type, r.text) for r in pdfgeom.build_blocks(lines).orderBy("ord").collect()] == [("heading", "Head"), ("paragraph", "a b"), ("paragraph", "c"), ("paragraph", "d")]
+    words = spark.createDataFrame([(1, 1, 10.0, 5.0, "b"), (1, 1, 10.9, 1.0, "a"), (1, 1, 11.5, 0.0, "c")], "doc_id long, page long, top double, x0 double, text string")
+    assert [r.text for r in pdfgeom.words_to_lines(words).orderBy("line").collect()] == ["a b", "c"]
+
+
+def test_cache_hits_do_not_renew(spark):
+    r = spark.createDataFrame([("k", i, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)) for i, s in enumerate([0, 300, 599, 600, 1100, 3000])], "key string, id long, ts timestamp_ntz")
+    assert [x.hit for x in state.cache_hits(r, "key", "ts", "id").orderBy("id").collect()] == [False, True, True, False, True, False]
+
+
+def test_sources(spark, tmp_path):
+    p = tmp_path / "m.csv"
+    p.write_text("﻿title,file_name,country,platform,effective_date,extra\nT,a.html,EU,x,2021-7-1,1\n,,,,,\nT,a.html,EU,x,,\nT,b/c,EU,x,,\nT,d,XX,x,,\nT,e,EU,x,2021/07/01,\n", encoding="utf-8")
+    rows = {r.line_number: r.error for r in tables.manifest(tables.csv(spark, str(p), tables.MANIFEST_REQUIRED)).collect()}
+    assert rows[2] is None and "line 2 is repeated in line 4" in rows[4] and "path" in rows[5] and "DE, ES" in rows[6] and "bad date" in rows[7] and 3 not in rows
+    with pytest.raises(ValueError, match="missing columns"):
+        tables.csv(spark, str(p), ("nothing",))
+    f = spark.createDataFrame([("p", "intro\n## F-1\n**q**: one\ntwo\n```\n**a**: three\n## F-2\n**q**: four")], "path string, value string")
+    assert {(r.id, r.field): r.value for r in tables.faq(f).collect()} == {("F-1", "q"): "one\ntwo", ("F-1", "a"): "three", ("F-2", "q"): "four"}
+
+
+def test_entry_points():
+    import __spark_entry__ as e
+
+    assert set(e.oracle_sql()) <= set(e.queries())
