@@ -29,12 +29,13 @@ MEASURES = ["b", "t", "r"]
 def place(items: np.ndarray, capacity: np.ndarray) -> np.ndarray:
     """Shard of each item, by the highest dot product with the residual capacity; both in parts of the total.
 
-    items: n x 3, placed from the largest weighted sum to the smallest, ties in the given order; capacity: shards x 3.
+    items: n x 3, placed from the most bytes to the fewest, ties in the given order; capacity: shards x 3. Shards that have
+    an item's bytes less room than the emptiest one wait, so that bytes stay as even as the law asks.
     """
     left, out = capacity.astype(float).copy(), np.zeros(len(items), np.int32)
     pull = items * WEIGHTS
-    for i in np.argsort(-pull.sum(axis=1), kind="stable"):
-        k = int(np.argmax(left @ pull[i]))
+    for i in np.lexsort((-pull.sum(axis=1), -items[:, 0])):
+        k = int(np.argmax(np.where(left[:, 0] >= left[:, 0].max() - items[i, 0], left @ pull[i], -np.inf)))
         out[i] = k
         left[k] -= items[i]
     return out
