@@ -74,7 +74,7 @@ def rules() -> list[Rule]:
         Rule("repeated_words", lambda: 100 * F.col("n_repeat_words") > 30 * n, "n_repeat_words"),
         Rule("symbols", lambda: 10 * F.regexp_count(t, F.lit(SYMBOLS)) > 3 * n),
         Rule("word_length", lambda: (F.length(F.array_join("words_", "")) < 2 * n) | (F.length(F.array_join("words_", "")) > 15 * n)),
-        Rule("repeated_lines", lambda: 10 * (F.size(lines) - F.size(F.array_distinct(lines))) > 3 * F.size(lines)),
+        Rule("repeated_lines", lambda: (F.size(lines) - F.size(F.array_distinct(lines)) >= 3) & (10 * (F.size(lines) - F.size(F.array_distinct(lines))) > 3 * F.size(lines))),
         Rule("shouting", lambda: 10 * letters("\\p{Lu}") > 6 * letters("\\p{L}")),
     ]
 
@@ -159,5 +159,5 @@ m AS (SELECT d.doc_id, t, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_t
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT (base_failed OR 10 * n_symbols > 3 * n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
-        OR 10 * n_dup_lines > 3 * n_lines OR 10 * upper > 6 * letters) AS kept FROM b
+        OR (n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines) OR 10 * upper > 6 * letters) AS kept FROM b
 """
