@@ -18,7 +18,6 @@ from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -289,8 +288,12 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         texts = [t.encode() for t in left.column("text").to_pylist()]
         reply = {(k, b): c for k, b, c in zip(*(right.column(c).to_pylist() for c in ("kind", "bucket", "counts")), strict=True)}
-        keys = [pd.unique(grams(texts[a:b])[0]) for a, b in parts(texts)]
-        key = np.unique(np.concatenate(keys)) if keys else np.empty(0, np.int64)
+        coded = []  # of each part: its different grams, the number among these of each symbol's gram, and sizes of texts
+        for a, b in parts(texts):
+            k, sizes = grams(texts[a:b])
+            own, at = np.unique(k, return_inverse=True)
+            coded.append((own, at.astype(np.int32), sizes))
+        key = np.unique(np.concatenate([x[0] for x in coded])) if coded else np.empty(0, np.int64)
 
         def values(k: np.ndarray, kind: str, at: np.ndarray, form: type) -> np.ndarray:
             out = np.zeros(len(k), form)
@@ -314,9 +317,8 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
         end_n = int(counts[0])
         end = math.log10((end_n + 0.1) / (total + 0.1 * (v + 1)))
         scores = []
-        for a, b in parts(texts):
-            k, sizes = grams(texts[a:b])
-            scores.append(np.add.reduceat(cost[np.searchsorted(key, k)].astype(np.float64), np.cumsum(sizes) - sizes))
+        for own_grams, at, sizes in coded:
+            scores.append(np.add.reduceat(cost[np.searchsorted(key, own_grams)].astype(np.float64)[at], np.cumsum(sizes) - sizes))
         found = [words_of(t) for t in texts]
         m = len(texts)
         return pa.table(
