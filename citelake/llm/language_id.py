@@ -116,8 +116,8 @@ def sample(docs: DataFrame) -> dict[str, str]:
     out: dict[str, str] = {}
     parts = docs.sparkSession.createDataFrame([(x["lang"], max(1, x["count"] // want)) for x in counts], "lang string, every long")
     order = F.xxhash64("doc_id", text_key(F.col("text")))
-    # About `want` documents a language, so what comes to the driver is bounded.
-    picked = known.join(F.broadcast(parts), "lang").filter(F.pmod(order, F.col("every")) == 0).select("lang", order.alias("o"), F.substring("text", 1, DOC_CHARS).alias("text"))
+    # About `want` documents a language, rows equal in id and text once, so what comes to the driver is bounded.
+    picked = known.join(F.broadcast(parts), "lang").filter(F.pmod(order, F.col("every")) == 0).select("lang", order.alias("o"), F.substring("text", 1, DOC_CHARS).alias("text")).dropDuplicates(["lang", "o"])
     for x in sorted(picked.collect(), key=lambda x: (x["lang"], x["o"], x["text"])):
         have = out.get(x["lang"], "")
         if len(have) < MODEL_CHARS:

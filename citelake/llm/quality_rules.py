@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Stages, text_key, words
+from .common import SPACE, Stages, words
 
 WINDOW = 8
 SYMBOLS = "[#*$%&|<>]"
@@ -82,7 +82,7 @@ def rules() -> list[Rule]:
 def estimate(docs: DataFrame) -> list[tuple[Rule, float, float]]:
     """(rule, seconds a row, share of rows rejected), best rejection per cost first; ties and empty samples keep the stated order."""
     rows = docs.count()
-    sample = docs.select("doc_id", "text").filter(F.pmod(F.xxhash64("doc_id", text_key(F.col("text"))), F.lit(max(1, rows // SAMPLE_ROWS))) == 0)
+    sample = docs.select("doc_id", "text").filter(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(max(1, rows // SAMPLE_ROWS))) == 0)
     sample = Stages(docs.sparkSession, "quality-sample").put(with_words(sample))
     found = []
     for rule in rules():
