@@ -1,6 +1,6 @@
 """Benchmark decontamination by SimHash windows, in DataFrame functions only.
 
-A document's windows have the size in words of a benchmark item. Window and item have 64-bit SimHash fingerprints of their weighted five-word shingles
+A document's windows have the size in words of a benchmark item; a document with fewer words than the item has one window, its whole text. Window and item have 64-bit SimHash fingerprints of their weighted five-word shingles
 (weight: occurrences). Fingerprints within RADIUS differ in at most RADIUS bits, so among RADIUS + 1 blocks of bits one is equal in both:
 candidates are window-item pairs with an equal block, kept within the radius, then verified by weighted Jaccard similarity on their shingles.
 
@@ -52,7 +52,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFra
 
     Words are between ASCII white space, A-Z in lower case; items with fewer than five words are one shingle and match such a run of words.
     A match has a weighted Jaccard similarity of `percent` or more. Of equal windows the first is given. Null or empty texts and items match nothing. Equal items
-    match each; repeated rows give one. Other columns are ignored.
+    match each; repeated rows give one. A document shorter than the item is compared as a whole, with start 0. Other columns are ignored.
     """
     stages = Stages(docs.sparkSession, "decontamination")
     items = benchmark.select("item_id", words(ascii_lower(F.col("text"))).alias("w")).filter(F.size("w") > 0)
@@ -76,8 +76,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFra
     left = docs.select(F.col("doc_id").alias("id_"), text_key(F.col("text")).alias("k_"), "text").dropDuplicates(["id_", "k_"])
     own = begins.join(items, "item_id").join(left, F.col("id_").eqNullSafe(F.col("doc_id")) & (F.col("k_") == F.col("key_")))
     own = own.withColumn("w", words(ascii_lower(F.col("text"))))
-    own = own.select("doc_id", "key_", "item_id", "n", "item", "print", "w", F.explode("starts").alias("start"))
-    own = own.filter((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.size("w")))
+    own = own.select("doc_id", "key_", "item_id", "n", "item", "print", "w", F.explode(F.when(F.size("w") < F.col("n"), F.array(F.lit(0))).otherwise(F.col("starts"))).alias("start"))
+    own = own.filter((F.col("start") >= 0) & (F.col("start") <= F.greatest(F.size("w") - F.col("n"), F.lit(0))))
     own = own.select("doc_id", "key_", "item_id", "item", "print", "start", shingle_hashes(F.slice(w, F.greatest(F.col("start"), F.lit(0)) + 1, F.col("n"))).alias("window"))
     # Written, or the plan would compute the fingerprint anew wherever it is named.
     own = stages.put(own.withColumn("window_print", fingerprint(F.col("window"))))

@@ -270,6 +270,14 @@ def test_decontamination(spark, edge):
     assert decontamination.matches(edge, bench.limit(0)).count() == 0 and decontamination.matches(edge.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_texts_shorter_than_the_item(spark):
+    w = [f"w{i}" for i in range(40)]
+    bench = spark.createDataFrame([(1, " ".join(w)), (2, "a b c")], "item_id long, text string")
+    rows = [(1, " ".join(w[:38])), (2, " ".join(w[:-1])), (3, " ".join(w[2:])), (4, " ".join(w[:15])), (5, " ".join(w[:4])), (6, "a b")]
+    got = {(x.doc_id, x.item_id): (x.start, x.similarity) for x in decontamination.matches(docs(spark, rows), bench).collect()}
+    assert got == {(1, 1): (0, 34 / 36), (2, 1): (0, 35 / 36), (3, 1): (0, 34 / 36)}
+
+
 def test_bit_blocks_cover_the_fingerprint(spark):
     row = spark.createDataFrame([(-1,)], "x long").select(*decontamination.bit_blocks(F.col("x"))).first()
     assert len(row) == decontamination.RADIUS + 1 and sum(bin(v).count("1") for v in row) == 64
