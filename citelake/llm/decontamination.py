@@ -4,9 +4,9 @@ A document's windows have the size in words of a benchmark item; a document with
 (weight: occurrences). Fingerprints within RADIUS differ in at most RADIUS bits, so among RADIUS + 1 blocks of bits one is equal in both:
 candidates are window-item pairs with an equal block, kept within the radius, then verified by weighted Jaccard similarity on their shingles.
 
-Which windows: a window similar to an item shares a shingle with it, so only windows about a shared shingle are fingerprinted. One that begins where the
-shared shingle puts the item's beginning, or up to a quarter of the item to either side, is taken; by that much can words put in or left out move a
-window that is still 0.8 similar. Texts with no shingle of any item have no windows. Shared shingles are joined by hash: the benchmark side is
+Which windows: of an item with m shingles and a window with v, c in common, the similarity is c / (m + v - c), so a similar window has at least
+percent (m + v) / (100 + percent) places whose shingle is one of the item's. Every window with so many places is fingerprinted, wherever in the text
+and in whatever order its parts stand; no other window can be similar. Texts with no shingle of any item have no windows. Shared shingles are joined by hash: the benchmark side is
 broadcast if Spark's own size check allows it, else both are shuffled.
 """
 
@@ -58,17 +58,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFra
     items = benchmark.select("item_id", words(ascii_lower(F.col("text"))).alias("w")).filter(F.size("w") > 0)
     items = stages.put(items.select("item_id", F.size("w").alias("n"), shingle_hashes(F.col("w")).alias("item")).withColumn("print", fingerprint(F.col("item"))))
     short = sorted(x["n"] for x in items.filter(F.col("n") < SHINGLE).select("n").distinct().collect())  # at most 4 values
-    seeds = items.select("item_id", "n", F.posexplode("item").alias("o", "h"))
+    seeds = items.select("item_id", "n", F.size("item").alias("m"), F.explode(F.array_distinct("item")).alias("h"))
     d = docs.select("doc_id", text_key(F.col("text")).alias("key_"), words(ascii_lower(F.col("text"))).alias("w")).filter(F.size("w") > 0)
     hashes = [F.struct(F.lit(SHINGLE).alias("size"), shingle_hashes(F.col("w")).alias("h"))]
     hashes += [F.struct(F.lit(k).alias("size"), F.when(F.size("w") >= k, shingle_hashes(F.col("w"), k)).otherwise(F.array().cast("array<long>")).alias("h")) for k in short]
-    at = d.select("doc_id", "key_", F.explode(F.array(*hashes)).alias("x")) if short else d.select("doc_id", "key_", hashes[0].alias("x"))
-    at = at.select("doc_id", "key_", F.col("x.size").alias("size"), F.posexplode("x.h").alias("p", "h"))
+    at = d.select("doc_id", "key_", F.size("w").alias("words"), F.explode(F.array(*hashes)).alias("x")) if short else d.select("doc_id", "key_", F.size("w").alias("words"), hashes[0].alias("x"))
+    at = at.select("doc_id", "key_", "words", F.col("x.size").alias("size"), F.posexplode("x.h").alias("p", "h"))
     hits = at.join(seeds, "h").filter(F.col("size") == F.least(F.col("n"), F.lit(SHINGLE)))
-    begins = hits.select("doc_id", "key_", "item_id", "n", (F.col("p") - F.col("o")).alias("s")).distinct()
-    slack = F.ceil(F.col("n") / 4).cast("int")
-    begins = begins.select("doc_id", "key_", "item_id", F.explode(F.sequence(F.col("s") - slack, F.col("s") + slack)).alias("s")).distinct()
-    begins = stages.put(begins.groupBy("doc_id", "key_", "item_id").agg(F.collect_list("s").alias("starts")))  # at most one for each word of the text
+    # Places of each item's shingles in order; a window holds `need` of them if it begins no later than the first of so many in a row and ends no sooner than the last.
+    begins = hits.groupBy("doc_id", "key_", "item_id", "n", "size", "m", "words").agg(F.sort_array(F.collect_set("p")).alias("at"))  # at most one for each word of the text
+    inside = F.least(F.col("n"), F.col("words")) - F.col("size") + 1  # shingles of a window
+    begins = begins.withColumn("need", F.greatest(F.ceil(percent * (F.col("m") + inside) / (100 + percent)), F.lit(1)).cast("int")).filter(F.size("at") >= F.col("need"))
+    last = F.greatest(F.col("words") - F.col("n"), F.lit(0))  # a text shorter than the item begins at 0 only
+    runs = F.transform(F.slice("at", F.lit(1), F.size("at") - F.col("need") + 1), lambda x, i: F.struct(F.greatest(F.get("at", i + F.col("need") - 1) - inside + 1, F.lit(0)).alias("a"), F.least(x, last).alias("b")))
+    starts = F.array_distinct(F.flatten(F.transform(F.filter(runs, lambda x: x["a"] <= x["b"]), lambda x: F.sequence(x["a"], x["b"]))))
+    begins = stages.put(begins.select("doc_id", "key_", "item_id", starts.alias("starts")).filter(F.size("starts") > 0))
     stages.free()
 
     # Words are read again for the texts with windows only.
@@ -76,9 +80,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFra
     left = docs.select(F.col("doc_id").alias("id_"), text_key(F.col("text")).alias("k_"), "text").dropDuplicates(["id_", "k_"])
     own = begins.join(items, "item_id").join(left, F.col("id_").eqNullSafe(F.col("doc_id")) & (F.col("k_") == F.col("key_")))
     own = own.withColumn("w", words(ascii_lower(F.col("text"))))
-    own = own.select("doc_id", "key_", "item_id", "n", "item", "print", "w", F.explode(F.when(F.size("w") < F.col("n"), F.array(F.lit(0))).otherwise(F.col("starts"))).alias("start"))
-    own = own.filter((F.col("start") >= 0) & (F.col("start") <= F.greatest(F.size("w") - F.col("n"), F.lit(0))))
-    own = own.select("doc_id", "key_", "item_id", "item", "print", "start", shingle_hashes(F.slice(w, F.greatest(F.col("start"), F.lit(0)) + 1, F.col("n"))).alias("window"))
+    own = own.select("doc_id", "key_", "item_id", "n", "item", "print", "w", F.explode("starts").alias("start"))
+    own = own.select("doc_id", "key_", "item_id", "item", "print", "start", shingle_hashes(F.slice(w, F.col("start") + 1, F.col("n"))).alias("window"))
     # Written, or the plan would compute the fingerprint anew wherever it is named.
     own = stages.put(own.withColumn("window_print", fingerprint(F.col("window"))))
     stages.free()

@@ -278,6 +278,39 @@ def test_decontamination_of_texts_shorter_than_the_item(spark):
     assert got == {(1, 1): (0, 34 / 36), (2, 1): (0, 35 / 36), (3, 1): (0, 34 / 36)}
 
 
+def test_decontamination_against_brute_force(spark):
+    r = random.Random(8)
+    shingles = lambda w, k: Counter(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1)))
+    # Items with repeated words too; copies with parts in another order, words changed, put in and left out, within other words; texts of items' words at random.
+    items = {i: r.choices([f"w{i}x{k}" for k in range(9 if i % 4 == 0 else 500)], k=n) for i, n in enumerate([60, 60, 50, 40, 30, 20, 12, 6, 5, 4, 3])}
+    noise = lambda n: r.choices("abcdefgh", k=n)
+    texts = []
+    for i, w in items.items():
+        h = len(w) // 2
+        texts += [w[h:] + w[:h], noise(7) + w[h:] + w[:h] + noise(90), w[-5:] + w[:-5], w + noise(3) + w[h:] + w[:h], w[: -(len(w) // 8) - 1], w[1:], noise(2) + w[2:], r.sample(w, len(w)), noise(50)]
+        for _ in range(4):
+            c = list(w)
+            for _ in range(r.randint(1, 3)):
+                k = r.randrange(len(c))
+                c[k : k + r.randint(0, 2)] = noise(r.randint(0, 2))
+            texts.append(noise(r.randint(0, 20)) + c + noise(r.randint(0, 20)))
+    texts += [items[0][30:] + items[1][:30] + items[0][:30] + items[1][30:], items[7] * 30]
+    want = {}
+    for d, t in enumerate(texts):
+        for i, w in items.items():
+            k, best = min(5, len(w)), (0, 0)
+            x = shingles(w, k)
+            for s in range(max(1, len(t) - len(w) + 1)):
+                y = shingles(t[s : s + len(w)], k)
+                both = (x & y).total()
+                best = max(best, (both / (x.total() + y.total() - both), -s))
+            if best[0] >= 0.8:
+                want[d, i] = (-best[1], best[0])
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.start, x.similarity) for x in decontamination.matches(docs(spark, [(d, " ".join(t)) for d, t in enumerate(texts)]), bench).collect()}
+    assert got == want and {(0, 0), (1, 0), (13, 1)} <= set(got) and len(want) > 40
+
+
 def test_bit_blocks_cover_the_fingerprint(spark):
     row = spark.createDataFrame([(-1,)], "x long").select(*decontamination.bit_blocks(F.col("x"))).first()
     assert len(row) == decontamination.RADIUS + 1 and sum(bin(v).count("1") for v in row) == 64
