@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from citelake.functions import text as T
 from citelake.operators import calibrate, chunk, cite, decide, html, pdfgeom, quality, retrieve
+from citelake.plans import answers
 from citelake.sources import tables
 from citelake.streaming import state
 
@@ -161,6 +162,16 @@ def test_sources(spark, tmp_path):
     assert {(r.id, r.field): r.value for r in tables.faq(f).collect()} == {("F-1", "q"): "one\ntwo", ("F-1", "a"): "three", ("F-2", "q"): "four"}
 
 
+def test_answers_view_keeps_whole_texts(spark, tmp_path):
+    from citelake import fixtures
+
+    text = "x" * 100 + " [3] end"
+    spark.createDataFrame([(1, 1, "assistant", text), (1, 2, "user", text)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert [r.text for r in fixtures.view(spark, str(tmp_path), "answers").collect()] == [text + " [1]"]
+    assert [r.number for r in answers.citation_numbers(spark, str(tmp_path)).collect()] == [3, 1]
+    assert "substring" not in fixtures.SPARK["answers"] + fixtures.DUCK["answers"]
+
+
 def test_entry_points():
     import __spark_entry__ as e
 
