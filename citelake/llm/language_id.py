@@ -22,8 +22,8 @@ from .common import id_hash, text_key
 
 #: Characters of labelled text for each language, and of a document that are taken for it: the bound of what is learned.
 MODEL_CHARS, DOC_CHARS = 40_000, 1_000
-#: Languages are learned in order of their number of documents, to this number.
-MAX_LANGUAGES = 64
+#: Every language is learned. Beyond 64 of them they share this number of characters alike.
+TOTAL_CHARS = 64 * MODEL_CHARS
 #: Characters of a piece; pieces parsed in step.
 PIECE, STEP_ROWS = 512, 16_384
 NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
@@ -109,19 +109,21 @@ class Table:
 
 
 def sample(docs: DataFrame) -> dict[str, str]:
-    """Labelled text for each language, of at most MODEL_CHARS: a spread of documents, in the order of a hash of their ids."""
+    """Labelled text for every language, of at most MODEL_CHARS, less if there are very many: a spread of documents, in the order of a hash of their ids."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    want = 2 * MODEL_CHARS // DOC_CHARS
-    out: dict[str, str] = {}
-    parts = docs.sparkSession.createDataFrame([(x["lang"], max(1, x["count"] // want)) for x in counts], "lang string, every long")
     order = F.xxhash64("doc_id", text_key(F.col("text")))
-    # About `want` documents a language, rows equal in id and text once, so what comes to the driver is bounded.
-    picked = known.join(F.broadcast(parts), "lang").filter(F.pmod(order, F.col("every")) == 0).select("lang", order.alias("o"), F.substring("text", 1, DOC_CHARS).alias("text")).dropDuplicates(["lang", "o"])
+    counts = known.groupBy("lang").agg(F.count("*").alias("count"), F.min(order).alias("least")).collect()
+    chars = max(1, min(MODEL_CHARS, TOTAL_CHARS // max(1, len(counts))))
+    each = min(DOC_CHARS, 2 * chars)
+    want = max(1, 2 * chars // each)
+    out: dict[str, str] = {}
+    parts = docs.sparkSession.createDataFrame([(x["lang"], max(1, x["count"] // want), x["least"]) for x in counts], "lang string, every long, least long")
+    # About `want` documents a language, the one of the least hash always; rows equal in id and text once, so what comes to the driver is bounded.
+    picked = known.join(F.broadcast(parts), "lang").filter((F.pmod(order, F.col("every")) == 0) | (order == F.col("least"))).select("lang", order.alias("o"), F.substring("text", 1, each).alias("text")).dropDuplicates(["lang", "o"])
     for x in sorted(picked.collect(), key=lambda x: (x["lang"], x["o"], x["text"])):
         have = out.get(x["lang"], "")
-        if len(have) < MODEL_CHARS:
-            out[x["lang"]] = (have + " " + normalise(x["text"]))[:MODEL_CHARS]
+        if len(have) < chars:
+            out[x["lang"]] = (have + " " + normalise(x["text"]))[:chars]
     return out
 
 

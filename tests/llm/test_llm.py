@@ -234,6 +234,16 @@ def test_languages(spark, edge):
     assert language_id.identify(edge.limit(0), d).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    own = lambda k: chr(0x4E00 + 2 * k) + chr(0x4E01 + 2 * k)
+    rows = [(10 * k + i, own(k) * 8, f"l{k:02d}") for k in range(70) for i in range(2 if k < 64 else 1)]
+    # Copies of one row, which a rule by the row's hash takes all or none of.
+    rows += [(1000, own(80) * 8, "copies")] * 999
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: x.lang_pred for x in language_id.identify(d.distinct(), d).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+
+
 # ---- 7 quality rules
 
 
