@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..fixtures import duck, table, view
 from ..functions import text as T
 from ..operators import chunk, decide, index, quality
+from ..sources import tables
 
 QUERIES, ORACLES = {}, {}
 BOUNDS = (100, 200, 30)
@@ -249,3 +250,15 @@ def missing_references(spark, sf_dir):
 
     v = vectors(spark, sf_dir).select("chunk_id")
     return retrieve.missing_references(v.select((F.col("chunk_id") + 490).alias("chunk_id")), v)
+
+
+MANIFEST = """, r AS (SELECT line_number, replace(raw_path, '/raw/', '') AS file_name, title, publisher AS platform, upper(country) AS country, min(line_number) OVER (PARTITION BY replace(raw_path, '/raw/', '')) AS first FROM incoming),
+e AS (SELECT line_number, CASE WHEN file_name IS NULL THEN 'file_name is missing' WHEN title IS NULL THEN 'title is missing' WHEN platform IS NULL THEN 'platform is missing'
+    WHEN regexp_matches(file_name, '[/\\\\]') THEN 'file_name holds a path' WHEN first < line_number THEN 'file_name of line ' || first || ' is repeated in line ' || line_number
+    WHEN country NOT IN ('DE', 'ES', 'EU', 'FR', 'IT', 'UK') THEN 'country ' || country || ' is not one of DE, ES, EU, FR, IT, UK' END AS error FROM r)"""
+
+
+@query(duck(["incoming"], MANIFEST + " SELECT line_number, error FROM e WHERE error IS NOT NULL"))
+def manifest_violations(spark, sf_dir):
+    rows = view(spark, sf_dir, "incoming").select("line_number", F.replace(F.col("raw_path"), F.lit("/raw/"), F.lit("")).alias("file_name"), "title", F.col("publisher").alias("platform"), F.upper("country").alias("country"), F.col("effective_date").cast("string").alias("effective_date"))
+    return tables.manifest(rows).filter("error is not null").select("line_number", "error")

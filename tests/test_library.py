@@ -172,6 +172,15 @@ def test_answers_view_keeps_whole_texts(spark, tmp_path):
     assert "substring" not in fixtures.SPARK["answers"] + fixtures.DUCK["answers"]
 
 
+def test_manifest_violations_are_registered(spark, tmp_path):
+    import __spark_entry__
+
+    rows = [(1, "a", "de", "s"), (13, "b", "de", "s"), (2, "c", "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.line_number: r.error for r in __spark_entry__.queries()["manifest_violations"](spark, str(tmp_path)).collect()}
+    assert got == {13: "platform is missing", 2: "country EN is not one of DE, ES, EU, FR, IT, UK"} and "manifest_violations" in __spark_entry__.oracle_sql()
+
+
 def test_entry_points():
     import __spark_entry__ as e
 
