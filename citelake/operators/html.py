@@ -122,6 +122,17 @@ def blocks(pages: DataFrame, container: str | None = "article") -> DataFrame:
     return pages.select("page_id", "html").mapInArrow(run, "page_id long, title string, ord long, type string, level int, text string")
 
 
+def titles(pages: DataFrame) -> DataFrame:
+    """(page_id, title) for every row of `pages` (page_id, html); null: no title, or null html."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [parse(html or "")[0] for html in batch.column("html").to_pylist()]
+            yield pa.record_batch([batch.column("page_id"), pa.array(found, pa.string())], ["page_id", "title"])
+
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(run, "page_id long, title string")
+
+
 def selectors(pages: DataFrame, sites: DataFrame) -> DataFrame:
     """Adds host and the selector that `sites` (host, selector), a small fixed table, has for it; null: unknown."""
     return pages.withColumn("host", host(F.col("url"))).join(F.broadcast(sites), "host", "left")

@@ -112,7 +112,7 @@ TITLE = r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(
 
 @query(TITLE)
 def html_title(spark, sf_dir):
-    return html.blocks(table(spark, sf_dir, "pages")).select("page_id", "title").distinct()
+    return html.titles(table(spark, sf_dir, "pages"))
 
 
 @query()

@@ -181,6 +181,12 @@ def test_manifest_violations_are_registered(spark, tmp_path):
     assert got == {13: "platform is missing", 2: "country EN is not one of DE, ES, EU, FR, IT, UK"} and "manifest_violations" in __spark_entry__.oracle_sql()
 
 
+def test_every_page_has_a_title_row(spark, tmp_path):
+    rows = [(1, "u", "<h1>A &amp;  b</h1><p>no article</p>"), (2, "u", None), (3, "u", "<article><p>x</p><p>y</p></article>"), (4, "u", "<h1>T</h1><article><p>x</p></article>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert sorted(map(tuple, answers.html_title(spark, str(tmp_path)).collect())) == [(1, "A & b"), (2, None), (3, None), (4, "T")]
+
+
 def test_entry_points():
     import __spark_entry__ as e
 
