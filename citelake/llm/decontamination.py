@@ -1,8 +1,9 @@
 """Benchmark decontamination by SimHash windows, in DataFrame functions only.
 
 A document's windows have the size in words of a benchmark item; a document with fewer words than the item has one window, its whole text. Window and item have 64-bit SimHash fingerprints of their weighted five-word shingles
-(weight: occurrences). Fingerprints within RADIUS differ in at most RADIUS bits, so among RADIUS + 1 blocks of bits one is equal in both:
-candidates are window-item pairs with an equal block, kept within the radius, then verified by weighted Jaccard similarity on their shingles.
+(weight: occurrences). Candidates come from a join on shared shingles, which takes the place of a multi-index over blocks of bits (see the README); they are kept within
+RADIUS, then verified by weighted Jaccard similarity on their shingles. The test of RADIUS + 1 blocks, one of which is equal within the radius,
+removes no pair that the radius keeps.
 
 Which windows: of an item with m shingles and a window with v, c in common, the similarity is c / (m + v - c), so a similar window has at least
 percent (m + v) / (100 + percent) places whose shingle is one of the item's. Every window with so many places is fingerprinted, wherever in the text
