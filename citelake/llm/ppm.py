@@ -7,13 +7,15 @@ longer one, so their counts are of different contexts. Below the empty context a
 
 `Trie` codes a text one symbol at a time, adaptively or pretrained. The distributed form gives the pretrained scores: the cost of a symbol
 depends only on the ORDER symbols before it, so it is computed once for each different gram of ORDER + 1 symbols. Texts are dealt into blocks
-of bounded size; a block sends its grams, packed by the two symbols before the last, to the tasks that hold this part of the trie, and gets their costs back in the same order.
+of bounded size, long ones in pieces; a block sends its grams, packed by the three symbols before the last, to the tasks that hold this part of the trie, and gets their costs back in the same order.
+Orders from 3 on are whole in each part; those below follow from the different grams of three symbols, of which there are at most 258 * 258 * 257.
 Words for the base score go the same way.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterable
 
@@ -21,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +33,12 @@ ORDER = 6
 END, START, SYMBOLS = 256, 257, 257
 BITS = 9
 MASK = (1 << BITS) - 1
-#: Bytes of text in a block and in a part that is coded at once.
-BLOCK_BYTES, PART_BYTES = 8 << 20, 1 << 20
+#: Bytes of text in a block, of text whose grams meet in a bucket, and of text that is coded at once; longer texts are cut into pieces.
+BLOCK_BYTES, BUCKET_BYTES, PART_BYTES = 6 << 20, 6 << 20, 1 << 20
 END_WORD = 0
+#: Grams whose costs are computed at once.
+STEP = 1 << 17
+GAP = re.compile(rb"[ \t-\r]")
 
 
 class Trie:
@@ -83,20 +89,37 @@ class Trie:
         return out
 
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, sizes): the gram of each symbol of each text, its end included, and how many each text has. The last symbol has the lowest bits."""
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+Piece = tuple[bytes, bytes, bool]
+
+
+def pieces(data: bytes, size: int) -> Iterable[Piece]:
+    """(bytes, the ORDER bytes before them or none at the start, whether the text ends here): cuts before white space, so words stay whole, and after `size` bytes or more."""
+    a = 0
+    while True:
+        gap = GAP.search(data, a + size)
+        b = gap.start() if gap else len(data)
+        yield data[a:b], data[a - ORDER : a] if a else b"", not gap
+        if not gap:
+            return
+        a = b
+
+
+def grams(texts: list[Piece]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, sizes): the gram of each symbol of each piece, the text's end included, and how many each piece has. The last symbol has the lowest bits."""
+    sizes = np.array([len(t) + last for t, _, last in texts], np.int64)
     ends = np.cumsum(sizes + ORDER)
     s = np.full(ends[-1] if len(ends) else 0, START, np.int16)
     inner = np.ones(len(s), bool)
     for k in range(ORDER):
         inner[ends - sizes - ORDER + k] = False
+    for end, n, (_, before, _) in zip(ends.tolist(), sizes.tolist(), texts, strict=True):
+        if before:
+            s[end - n - ORDER : end - n] = list(before)
     body = np.zeros(int(sizes.sum()), np.int16)
-    last = np.cumsum(sizes) - 1
     is_end = np.zeros(len(body), bool)
-    is_end[last] = True
+    is_end[(np.cumsum(sizes) - 1)[[last for _, _, last in texts]]] = True
     body[is_end] = END
-    body[~is_end] = np.frombuffer(b"".join(texts), np.uint8)
+    body[~is_end] = np.frombuffer(b"".join(t for t, _, _ in texts), np.uint8)
     s[inner] = body
     key = s[: len(s) - ORDER].astype(np.int64)
     for j in range(1, ORDER + 1):
@@ -105,9 +128,9 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key[inner[ORDER:]], sizes
 
 
-def parts(texts: list[bytes]) -> Iterable[tuple[int, int]]:
+def parts(texts: list[Piece]) -> Iterable[tuple[int, int]]:
     start, size = 0, 0
-    for i, t in enumerate(texts):
+    for i, (t, _, _) in enumerate(texts):
         size += len(t)
         if size >= PART_BYTES:
             yield start, i + 1
@@ -155,19 +178,21 @@ def word_key(word: bytes) -> int:
 
 
 def gram_bucket(key: np.ndarray, n: int) -> np.ndarray:
-    """By the two symbols before the last: all that the trie needs for orders from 2 on is in one bucket."""
-    pair = (key >> BITS) & ((1 << 2 * BITS) - 1)
-    return ((pair * 0x9E3779B1) >> 7) % n
+    """By the three symbols before the last: all that the trie needs for orders from 3 on is in one bucket."""
+    out = key >> BITS
+    out &= (1 << 3 * BITS) - 1
+    out *= 0x9E3779B1
+    out >>= 13
+    out %= n
+    return out.astype(np.int32)
 
 
 def word_bucket(key: np.ndarray, n: int) -> np.ndarray:
     return (key >> 20) % n
 
 
-def costs(key: np.ndarray, n: np.ndarray, low: dict[int, int]) -> np.ndarray:
-    """log10 probability of each gram's last symbol. key: sorted different grams; n: how often training holds them; low: (last context symbol, symbol) with the number of different contexts of order 2 that it follows, over all."""
-    context = [key >> BITS & ((1 << BITS * j) - 1) for j in range(ORDER + 1)]
-    symbol = key & MASK
+def costs(key: np.ndarray, n: np.ndarray, low: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """log10 probability of each gram's last symbol. key: sorted different grams; n: how often training holds them; low: sorted (last two context symbols, symbol) with the number of different contexts of order 3 that each follows, over all."""
 
     def shorter(g: np.ndarray, j: int) -> np.ndarray:
         """Grams of order j at the end of longer ones."""
@@ -177,53 +202,77 @@ def costs(key: np.ndarray, n: np.ndarray, low: dict[int, int]) -> np.ndarray:
         i = np.minimum(np.searchsorted(keys, at), max(len(keys) - 1, 0))
         return np.where(keys[i] == at, values[i], 0) if len(keys) else np.zeros(len(at), np.int64)
 
-    # (grams, counts) of each order, sorted; those of orders 1 and 0 hold other buckets too.
+    # (grams, counts) of each order, sorted; those of orders 2 to 0 hold other buckets too.
     tables = {ORDER: (key[n > 0], n[n > 0])}
-    for j in range(ORDER - 1, 1, -1):
+    for j in range(ORDER - 1, 2, -1):
+        tables[j] = np.unique(shorter(tables[j + 1][0], j), return_counts=True)
+    tables[2] = low[0].astype(np.int64), low[1].astype(np.int64)
+    for j in (1, 0):
         tables[j] = np.unique(shorter(tables[j + 1][0], j), return_counts=True)
-    pairs = np.array(sorted(low), np.int64)
-    tables[1] = pairs, np.array([low[x] for x in pairs.tolist()], np.int64)
-    tables[0] = np.unique(shorter(pairs, 0), return_counts=True)
-    out, open_ = np.zeros(len(key)), np.ones(len(key), bool)
-    used = np.zeros(len(key), np.int64)  # symbols of the contexts above, all excluded
-    for j in range(ORDER, -1, -1):
-        g, gn = tables[j]
+    # Of each order the contexts with their counts and symbols, and what the symbols of the longer contexts count in this one.
+    contexts, covered = {}, {}
+    for j, (g, gn) in tables.items():
         c, at = np.unique(g >> BITS, return_inverse=True)
-        total, kinds = np.bincount(at, gn, len(c)).astype(np.int64), np.bincount(at, minlength=len(c))
-        t, u = find(c, total, context[j]), find(c, kinds, context[j])
-        if j < ORDER:
-            # What the symbols of the longer context count in this one.
-            h = tables[j + 1][0]
-            hc, hat = np.unique(h >> BITS, return_inverse=True)
-            t = t - find(hc, np.bincount(hat, find(g, gn, shorter(h, j)), len(hc)).astype(np.int64), context[j + 1])
-            u = u - used
-        mine = find(g, gn, (context[j] << BITS) | symbol)
-        left = open_ & (u > 0)
-        hit = left & (mine > 0)
-        out[hit] += np.log10((2 * mine[hit] - 1) / (2 * t[hit]))
-        miss = left & ~hit
-        out[miss] += np.log10(u[miss] / (2 * t[miss]))
-        open_ &= ~hit
-        used = used + np.where(u > 0, u, 0)
-    out[open_] -= np.log10(SYMBOLS - used[open_])
+        contexts[j] = c, np.bincount(at, gn, len(c)).astype(np.int64), np.bincount(at, minlength=len(c))
+        if j:
+            covered[j - 1] = c, np.bincount(at, find(*tables[j - 1], shorter(g, j - 1)), len(c)).astype(np.int64)
+    out = np.zeros(len(key))
+    for start in range(0, len(key), STEP):
+        k = key[start : start + STEP]
+        cost, open_, used = out[start : start + STEP], np.ones(len(k), bool), np.zeros(len(k), np.int64)  # used: symbols of the contexts above, all excluded
+        for j in range(ORDER, -1, -1):
+            own = k >> BITS & ((1 << BITS * j) - 1)
+            c, total, kinds = contexts[j]
+            t, u = find(c, total, own), find(c, kinds, own)
+            if j < ORDER:
+                t -= find(*covered[j], k >> BITS & ((1 << BITS * (j + 1)) - 1))
+                u -= used
+            mine = find(*tables[j], shorter(k, j))
+            left = open_ & (u > 0)
+            hit = left & (mine > 0)
+            cost[hit] += np.log10((2 * mine[hit] - 1) / (2 * t[hit]))
+            miss = left & ~hit
+            cost[miss] += np.log10(u[miss] / (2 * t[miss]))
+            open_ &= ~hit
+            used += np.maximum(u, 0)
+        cost[open_] -= np.log10(SYMBOLS - used[open_])
     return out
 
 
-def score(docs: DataFrame, training: Column) -> DataFrame:
+def score(docs: DataFrame, training: Column, piece_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of `docs` (doc_id, text), learned from rows where `training`, a condition on doc_id, is true.
 
     Null and empty texts: the end alone. Base: unigrams of words between ASCII white space, A-Z in lower case, with an end token, smoothed by 0.1.
     score: the pretrained model's log10 probability of the text's bytes and its end. Without training rows all symbols are equally
-    likely. Repeated rows are each learned from and scored; other columns are ignored. Empty table: no rows.
+    likely. Repeated rows are each learned from and scored; texts over piece_bytes are coded in pieces, each with the symbols before it. Other columns are ignored. Empty table: no rows.
     """
     spark, stages = docs.sparkSession, Stages(docs.sparkSession, "ppm")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
-    n = blocks_for(rows.agg(F.sum(n_bytes(F.col("text"))).alias("n")).first()["n"], BLOCK_BYTES)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", text_key(F.col("text"))), F.lit(n)).cast("int"))
+    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data"), F.coalesce(training, F.lit(False)).alias("train"), n_bytes(F.col("text")).alias("size"), text_key(F.col("text")).alias("key_"))
+    sizes = whole.agg(F.sum("size").alias("n"), F.max("size").alias("longest")).first()
+    n_blocks, n = blocks_for(sizes["n"], BLOCK_BYTES), blocks_for(sizes["n"], BUCKET_BYTES)
+    cut = (sizes["longest"] or 0) > piece_bytes  # else the table need not be read for long texts
+    deal = lambda *more: F.pmod(F.xxhash64("doc_id", "key_", *more), F.lit(n_blocks)).cast("int").alias("block")
+    rows = whole.filter(F.col("size") <= piece_bytes).select(F.lit(None).cast("long").alias("row"), "doc_id", "data", F.lit(b"").alias("before"), F.lit(True).alias("last"), "train", deal())
+
+    def split(batches):
+        row = TaskContext.get().partitionId() << 33
+        types = {"row": pa.int64(), "doc_id": pa.int64(), "data": pa.binary(), "before": pa.binary(), "last": pa.bool_(), "train": pa.bool_(), "key_": pa.int64(), "k": pa.int64()}
+        for batch in batches:
+            for doc_id, data, train, key in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "data", "train", "key_")), strict=True):
+                row += 1
+                for k, (piece, before, last) in enumerate(pieces(data, piece_bytes)):
+                    yield pa.record_batch([pa.array([v], t) for v, t in zip((row, doc_id, piece, before, last, train, key, k), types.values(), strict=True)], list(types))
+
+    if cut:
+        long = whole.filter(F.col("size") > piece_bytes).select("doc_id", "data", "train", "key_").mapInArrow(split, "row long, doc_id long, data binary, before binary, last boolean, train boolean, key_ long, k long")
+        rows = rows.unionByName(long.select("row", "doc_id", "data", "before", "last", "train", deal("k")))
+
+    def texts_of(table: pa.Table) -> list[Piece]:
+        return list(zip(*(table.column(c).to_pylist() for c in ("data", "before", "last")), strict=True))
 
     def count(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        texts, train = [t.encode() for t in table.column("text").to_pylist()], table.column("train").to_pylist()
+        texts, train = texts_of(table), table.column("train").to_pylist()
         keys, counts = [], []
         known: Counter[bytes] = Counter()
         other: set[bytes] = set()
@@ -238,12 +287,12 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
                 counts.append(often if flag else np.zeros(len(found), np.int64))
                 if len(keys) == 4:  # merged now and then, so that a block holds its different grams and little more
                     keys, counts = ([x] for x in merge(keys, counts))
-                ends += flag * len(own)
-                for t in own:
+                ends += flag * sum(last for _, _, last in own)
+                for t, _, _ in own:
                     known.update(words_of(t)) if flag else other.update(words_of(t))
         out = []
         g, gn = merge(keys, counts)
-        out.append((block, "triples", 0, pack_keys(np.unique(g[gn > 0] & ((1 << 3 * BITS) - 1))), b"", 0, 0))
+        del keys, counts
         other.difference_update(known)
         w = np.fromiter(map(word_key, [*known, *other]), np.int64, len(known) + len(other))
         w, wn = merge([w, np.array([END_WORD])], [np.fromiter([*known.values(), *[0] * len(other)], np.int64, len(w)), np.array([ends])])
@@ -254,46 +303,47 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
                     out.append((block, kind, int(at[part[0]]), pack_keys(k[part]), squeeze(c[part]), 0, 0))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["block", "kind", "bucket", "keys", "counts", "kinds", "total"])
 
-    form = "block int, kind string, bucket int, keys binary, counts binary, kinds long, total long"
-    asked = stages.put(rows.groupBy("block").applyInArrow(count, form))
-    stages.free()
+    message = "block int, kind string, bucket int, keys binary, counts binary, kinds long, total long"
 
-    # Pairs: at most 258 * 257, whatever the corpus, so they may come to the driver. Each counts the different triples that end in it.
-    def unpack(batches):
+    # Bounded whatever the corpus, so they may come to the driver. Each counts the different grams of four symbols that end in it.
+    def short_grams(batches):
         for batch in batches:
-            for k in batch.column("keys").to_pylist():
-                yield pa.record_batch([pa.array(unpack_keys(k))], ["triple"])
-
-    triples = asked.filter("kind = 'triples'").select("keys").mapInArrow(unpack, "triple long").distinct()
-    pairs = triples.groupBy(F.col("triple").bitwiseAND((1 << 2 * BITS) - 1).alias("pair")).agg(F.count("*").alias("n"))
-    low = spark.sparkContext.broadcast({x["pair"]: x["n"] for x in pairs.collect()})
+            texts = texts_of(batch)
+            for a, b in parts(texts):
+                yield pa.record_batch([pa.array(np.unique(grams(texts[a:b])[0] & ((1 << 4 * BITS) - 1)))], ["quad"])
+
+    quads = rows.filter("train").select("data", "before", "last").mapInArrow(short_grams, "quad long").distinct()
+    triples = quads.groupBy(F.col("quad").bitwiseAND((1 << 3 * BITS) - 1).cast("int").alias("triple")).agg(F.count("*").cast("short").alias("n")).toArrow().sort_by("triple")
+    low = spark.sparkContext.broadcast((triples.column("triple").to_numpy(), triples.column("n").to_numpy()))
+    del quads, triples
+    stages.free()
 
     def answer(table: pa.Table) -> pa.Table:
         kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
         blocks = table.column("block").to_pylist()
-        keys = [unpack_keys(b) for b in table.column("keys").to_pylist()]
-        key, count = merge(keys, [expand(b, np.int64) for b in table.column("counts").to_pylist()])
+        packed = table.column("keys").to_pylist()
+        key, count = merge(list(map(unpack_keys, packed)), [expand(b, np.int64) for b in table.column("counts").to_pylist()])
         value = costs(key, count, low.value).astype(np.float32) if kind == "grams" else count
-        replies = [squeeze(value[np.searchsorted(key, k)]) for k in keys]
+        replies = [squeeze(value[np.searchsorted(key, unpack_keys(k))]) for k in packed]
         kinds, total = (int((count > 0).sum()), int(count.sum())) if kind == "words" else (0, 0)
         m = len(blocks)
         return pa.table([pa.array(blocks, pa.int32()), pa.array([kind] * m), pa.array([bucket] * m, pa.int32()), pa.array([b""] * m, pa.binary()), pa.array(replies, pa.binary()), pa.array([kinds] + [0] * (m - 1), pa.int64()), pa.array([total] + [0] * (m - 1), pa.int64())], ["block", "kind", "bucket", "keys", "counts", "kinds", "total"])
 
-    told = stages.put(asked.filter("kind <> 'triples'").groupBy("kind", "bucket").applyInArrow(answer, form))
-    stages.drop(asked)
+    told = stages.put(rows.groupBy("block").applyInArrow(count, message).groupBy("kind", "bucket").applyInArrow(answer, message))
     stages.free()
     stat = told.agg(F.sum("kinds").alias("v"), F.sum("total").alias("n")).first()
     v, total = stat["v"] or 0, stat["n"] or 0
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts = [t.encode() for t in left.column("text").to_pylist()]
+        texts = texts_of(left)
         reply = {(k, b): c for k, b, c in zip(*(right.column(c).to_pylist() for c in ("kind", "bucket", "counts")), strict=True)}
-        coded = []  # of each part: its different grams, the number among these of each symbol's gram, and sizes of texts
+        coded = []  # of each part: its different grams, later those of all parts; the number among these of each symbol's gram; sizes of texts
         for a, b in parts(texts):
             k, sizes = grams(texts[a:b])
             own, at = np.unique(k, return_inverse=True)
             coded.append((own, at.astype(np.int32), sizes))
         key = np.unique(np.concatenate([x[0] for x in coded])) if coded else np.empty(0, np.int64)
+        coded = [(np.searchsorted(key, own).astype(np.int32)[at], sizes) for own, at, sizes in coded]
 
         def values(k: np.ndarray, kind: str, at: np.ndarray, form: type) -> np.ndarray:
             out = np.zeros(len(k), form)
@@ -305,7 +355,7 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
 
         cost = values(key, "grams", gram_bucket(key, n), np.float32)
         vocabulary: set[bytes] = set()
-        for t in texts:
+        for t, _, _ in texts:
             vocabulary.update(words_of(t))
         names = list(vocabulary)
         w = np.fromiter(map(word_key, names), np.int64, len(names))
@@ -317,20 +367,27 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
         end_n = int(counts[0])
         end = math.log10((end_n + 0.1) / (total + 0.1 * (v + 1)))
         scores = []
-        for own_grams, at, sizes in coded:
-            scores.append(np.add.reduceat(cost[np.searchsorted(key, own_grams)].astype(np.float64)[at], np.cumsum(sizes) - sizes))
-        found = [words_of(t) for t in texts]
+        for at, sizes in coded:
+            scores.append(np.add.reduceat(cost[at].astype(np.float64), np.cumsum(sizes) - sizes))
+        found = [words_of(t) for t, _, _ in texts]
+        lasts = [last for _, _, last in texts]
         m = len(texts)
         return pa.table(
             [
-                left.column("doc_id"), pa.array([len(x) + 1 for x in found], pa.int64()), pa.array([sum(map(known.__contains__, x)) + (end_n > 0) for x in found], pa.int64()), pa.array([total] * m, pa.int64()),
-                pa.array([math.fsum(map(base.__getitem__, x)) + end for x in found], pa.float64()), pa.array(np.concatenate(scores), pa.float64()),
+                left.column("row"), left.column("doc_id"), pa.array([len(x) + last for x, last in zip(found, lasts, strict=True)], pa.int64()),
+                pa.array([sum(map(known.__contains__, x)) + (last and end_n > 0) for x, last in zip(found, lasts, strict=True)], pa.int64()), pa.array([total] * m, pa.int64()),
+                pa.array([math.fsum(map(base.__getitem__, x)) + end * last for x, last in zip(found, lasts, strict=True)], pa.float64()), pa.array(np.concatenate(scores), pa.float64()),
             ],
-            ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            ["row", "doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    joined = rows.select("block", "doc_id", "text").groupBy("block").cogroup(told.select("block", "kind", "bucket", "counts").groupBy("block"))
-    return joined.applyInArrow(apply, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    joined = rows.select("block", "row", "doc_id", "data", "before", "last").groupBy("block").cogroup(told.select("block", "kind", "bucket", "counts").groupBy("block"))
+    out = joined.applyInArrow(apply, "row long, doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    if cut:
+        out = stages.put(out)
+        summed = out.filter("row is not null").groupBy("row", "doc_id").agg(*(F.sum(c).alias(c) if c != "train_tokens" else F.max(c).alias(c) for c in ("n_tokens", "n_known", "train_tokens", "base_score", "score")))
+        out = out.filter("row is null").unionByName(summed)
+    return out.drop("row")
 
 
 def op2_ppm(spark, sf_dir: str) -> DataFrame:

@@ -107,6 +107,33 @@ def test_ppm_against_trie(spark):
     assert Counter((x.doc_id, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 4), round(x.score, 4)) for x in got) == want
 
 
+def test_ppm_of_long_texts_in_pieces(spark):
+    r = random.Random(12)
+    text = lambda n: " ".join(rng_text(r, r.randint(1, 9), "abcé") for _ in range(n))
+    rows = [(1, text(300)), (2, text(200)), (2, text(5)), (3, "x" * 500), (None, text(100)), (4, text(150)), (4, None)]
+    rows += [rows[1]]
+    got = ppm.score(docs(spark, rows), F.coalesce(F.col("doc_id") != 1, F.lit(True)), piece_bytes=64).collect()
+    trie, c = ppm.Trie(), Counter()
+    for i, t in rows:
+        if i != 1:
+            trie.train((t or "").encode())
+            c.update((t or "").encode().lower().split() + [None])
+    n, v = sum(c.values()), len(c)
+    want = Counter()
+    for i, t in rows:
+        w = (t or "").encode().lower().split() + [None]
+        want[(i, len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), 3), round(trie.score((t or "").encode()), 3))] += 1
+    assert Counter((x.doc_id, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 3), round(x.score, 3)) for x in got) == want
+
+
+def test_pieces_hold_whole_words():
+    data = ("word longer " * 20 + "z" * 90).encode()
+    found = list(ppm.pieces(data, 30))
+    assert b"".join(p for p, _, _ in found) == data and [x for _, _, x in found] == [False] * (len(found) - 1) + [True]
+    assert sum((p.split() for p, _, _ in found), []) == data.split() and found[0][1] == b"" and found[1][1] == found[0][0][-6:]
+    assert list(ppm.pieces(b"", 30)) == [(b"", b"", True)]
+
+
 def test_ppm_is_a_distribution():
     t = ppm.Trie(2)
     t.train(b"abcabd")
