@@ -64,6 +64,17 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
+def run_hashes(d: DataFrame, h: str, out: str, size: int) -> DataFrame:
+    """Adds `out`: a hash of each `size` neighbours of the array of hashes `h`, from hashes of half as many; none if there are fewer."""
+    cur, have = h, 1
+    while have < size:
+        step = min(have, size - have)
+        m = F.greatest(F.size(cur) - step, F.lit(0))
+        d = d.withColumn(out, F.zip_with(F.slice(cur, 1, m), F.slice(cur, step + 1, m), lambda x, y: F.xxhash64(x, y)))
+        cur, have = out, have + step
+    return d.withColumn(out, F.when(F.size(h) >= size, F.col(out)).otherwise(F.array().cast("array<long>")))
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

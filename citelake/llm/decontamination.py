@@ -1,12 +1,11 @@
 """Benchmark decontamination by SimHash windows, in DataFrame functions only.
 
-A document's windows have the size in words of a benchmark item; a document with fewer words than the item has one window, its whole text. Window and item have 64-bit SimHash fingerprints of their weighted five-word shingles
-(weight: occurrences). Candidates come from a join on shared shingles, which takes the place of a multi-index over blocks of bits (see the README); they are kept within
-RADIUS, then verified by weighted Jaccard similarity on their shingles. The test of RADIUS + 1 blocks, one of which is equal within the radius,
-removes no pair that the radius keeps.
+A document's windows have the size in words of a benchmark item; a document with fewer words than the item has one window, its whole text. Windows and items have 64-bit SimHash fingerprints of their weighted five-word shingles
+(weight: occurrences). A multi-index over RADIUS + 1 blocks of bits finds the pairs: within the radius at least one block is equal, so windows and items
+of one size are joined on (block, its bits), which misses no pair within RADIUS. What is left is verified by weighted Jaccard similarity on the shingles.
 
-Which windows: of an item with m shingles and a window with v, c in common, the similarity is c / (m + v - c), so a similar window has at least
-percent (m + v) / (100 + percent) places whose shingle is one of the item's. Every window with so many places is fingerprinted, wherever in the text
+Which windows are fingerprinted: of an item with m shingles and a window with v, c in common, the similarity is c / (m + v - c), so a similar window has at least
+percent (m + v) / (100 + percent) places whose shingle is one of the item's. Every window with so many places for any item is fingerprinted, wherever in the text
 and in whatever order its parts stand; no other window can be similar. Texts with no shingle of any item have no windows. Shared shingles are joined by hash: the benchmark side is
 broadcast if Spark's own size check allows it, else both are shuffled.
 """
@@ -16,17 +15,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stages, ascii_lower, text_key, words
+from .common import Stages, ascii_lower, run_hashes, text_key, words
 
 SHINGLE = 5
 #: 64-bit fingerprints at similarity 0.8 differ in about 10 bits; more than 24 for hardly one in a million.
 RADIUS = 24
 
 
-def shingle_hashes(w: Column, size: int = SHINGLE) -> Column:
-    """Hashes of the shingles of an array of words, in order: the whole sequence if it is shorter, none if empty."""
+def short_hashes(w: Column, size: int) -> Column:
+    """Hashes of the runs of `size` words, in order; none if there are fewer."""
     n = F.size(w)
-    return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.xxhash64(F.slice(w, i, size)))).when(n > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<long>"))
+    return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.xxhash64(F.slice(w, i, size)))).otherwise(F.array().cast("array<long>"))
+
+
+def with_shingles(d: DataFrame) -> DataFrame:
+    """Adds shingles to rows with an array of words w: hashes of the five-word shingles, in order; of the whole sequence if it is shorter; none if it is empty."""
+    d = run_hashes(d.withColumn("hash_", F.transform("w", lambda x: F.xxhash64(x))), "hash_", "runs_", SHINGLE)
+    n = F.size("w")
+    return d.withColumn("shingles", F.when((n > 0) & (n < SHINGLE), F.array(F.xxhash64("w"))).otherwise(F.col("runs_"))).drop("hash_", "runs_")
 
 
 def fingerprint(h: Column) -> Column:
@@ -56,13 +62,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFra
     match each; repeated rows give one. A document shorter than the item is compared as a whole, with start 0. Other columns are ignored.
     """
     stages = Stages(docs.sparkSession, "decontamination")
-    items = benchmark.select("item_id", words(ascii_lower(F.col("text"))).alias("w")).filter(F.size("w") > 0)
-    items = stages.put(items.select("item_id", F.size("w").alias("n"), shingle_hashes(F.col("w")).alias("item")).withColumn("print", fingerprint(F.col("item"))))
+    items = with_shingles(benchmark.select("item_id", words(ascii_lower(F.col("text"))).alias("w")).filter(F.size("w") > 0))
+    items = stages.put(items.select("item_id", F.size("w").alias("n"), F.col("shingles").alias("item")).withColumn("print", fingerprint(F.col("item"))))
     short = sorted(x["n"] for x in items.filter(F.col("n") < SHINGLE).select("n").distinct().collect())  # at most 4 values
     seeds = items.select("item_id", "n", F.size("item").alias("m"), F.explode(F.array_distinct("item")).alias("h"))
-    d = docs.select("doc_id", text_key(F.col("text")).alias("key_"), words(ascii_lower(F.col("text"))).alias("w")).filter(F.size("w") > 0)
-    hashes = [F.struct(F.lit(SHINGLE).alias("size"), shingle_hashes(F.col("w")).alias("h"))]
-    hashes += [F.struct(F.lit(k).alias("size"), F.when(F.size("w") >= k, shingle_hashes(F.col("w"), k)).otherwise(F.array().cast("array<long>")).alias("h")) for k in short]
+    d = with_shingles(docs.select("doc_id", text_key(F.col("text")).alias("key_"), words(ascii_lower(F.col("text"))).alias("w")).filter(F.size("w") > 0))
+    hashes = [F.struct(F.lit(SHINGLE).alias("size"), F.col("shingles").alias("h"))]
+    hashes += [F.struct(F.lit(k).alias("size"), short_hashes(F.col("w"), k).alias("h")) for k in short]
     at = d.select("doc_id", "key_", F.size("w").alias("words"), F.explode(F.array(*hashes)).alias("x")) if short else d.select("doc_id", "key_", F.size("w").alias("words"), hashes[0].alias("x"))
     at = at.select("doc_id", "key_", "words", F.col("x.size").alias("size"), F.posexplode("x.h").alias("p", "h"))
     hits = at.join(seeds, "h").filter(F.col("size") == F.least(F.col("n"), F.lit(SHINGLE)))
@@ -73,23 +79,29 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFra
     last = F.greatest(F.col("words") - F.col("n"), F.lit(0))  # a text shorter than the item begins at 0 only
     runs = F.transform(F.slice("at", F.lit(1), F.size("at") - F.col("need") + 1), lambda x, i: F.struct(F.greatest(F.get("at", i + F.col("need") - 1) - inside + 1, F.lit(0)).alias("a"), F.least(x, last).alias("b")))
     starts = F.array_distinct(F.flatten(F.transform(F.filter(runs, lambda x: x["a"] <= x["b"]), lambda x: F.sequence(x["a"], x["b"]))))
-    begins = stages.put(begins.select("doc_id", "key_", "item_id", starts.alias("starts")).filter(F.size("starts") > 0))
+    places = begins.select("doc_id", "key_", "n", F.explode(starts).alias("start")).distinct()
+    places = stages.put(places.groupBy("doc_id", "key_").agg(F.collect_list(F.struct("n", "start")).alias("places")))
     stages.free()
 
-    # Words are read again for the texts with windows only.
-    w = F.col("w")
+    # Texts are read again for the documents with windows only.
     left = docs.select(F.col("doc_id").alias("id_"), text_key(F.col("text")).alias("k_"), "text").dropDuplicates(["id_", "k_"])
-    own = begins.join(items, "item_id").join(left, F.col("id_").eqNullSafe(F.col("doc_id")) & (F.col("k_") == F.col("key_")))
-    own = own.withColumn("w", words(ascii_lower(F.col("text"))))
-    own = own.select("doc_id", "key_", "item_id", "n", "item", "print", "w", F.explode("starts").alias("start"))
-    own = own.select("doc_id", "key_", "item_id", "item", "print", "start", shingle_hashes(F.slice(w, F.col("start") + 1, F.col("n"))).alias("window"))
+    texts = left.join(places, F.col("id_").eqNullSafe(F.col("doc_id")) & (F.col("k_") == F.col("key_"))).select("doc_id", "key_", "places", words(ascii_lower(F.col("text"))).alias("w"))
+    place = lambda p: F.struct(
+        p["n"].alias("n"), p["start"].alias("start"),
+        F.when(p["n"] >= SHINGLE, F.slice("shingles", p["start"] + 1, F.greatest(F.least(p["n"], F.size("w")) - SHINGLE + 1, F.lit(1)))).otherwise(F.array(F.xxhash64(F.slice("w", p["start"] + 1, p["n"])))).alias("window"),
+    )
+    windows = with_shingles(texts).select("doc_id", "key_", F.explode(F.transform("places", place)).alias("x")).select("doc_id", "key_", "x.n", "x.start", "x.window")
     # Written, or the plan would compute the fingerprint anew wherever it is named.
-    own = stages.put(own.withColumn("window_print", fingerprint(F.col("window"))))
+    windows = stages.put(windows.withColumn("window_print", fingerprint(F.col("window"))))
     stages.free()
-    same = F.lit(False)
-    for a, b in zip(bit_blocks(F.col("print")), bit_blocks(F.col("window_print")), strict=True):
-        same = same | (a == b)
-    own = own.filter(same).withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("window_print")))).filter(F.col("distance") <= RADIUS)
+
+    blocks = lambda c: F.posexplode(F.array(*bit_blocks(F.col(c)))).alias("block", "bits")
+    index = items.select("item_id", "n", "print", blocks("print"))
+    pairs = windows.select("doc_id", "key_", "n", "start", "window_print", blocks("window_print")).join(index, ["n", "block", "bits"])
+    pairs = pairs.withColumn("differ", F.col("print").bitwiseXOR(F.col("window_print"))).withColumn("distance", F.bit_count("differ")).filter(F.col("distance") <= RADIUS)
+    # A pair counts at the first of its equal blocks.
+    pairs = pairs.filter(F.array_position(F.array(*bit_blocks(F.col("differ"))), F.lit(0).cast("long")) == F.col("block") + 1).select(F.col("doc_id").alias("id_"), F.col("key_").alias("k_"), F.col("n").alias("n_"), F.col("start").alias("s_"), "item_id", "distance")
+    own = windows.join(pairs, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("key_") == F.col("k_")) & (F.col("n") == F.col("n_")) & (F.col("start") == F.col("s_"))).select("doc_id", "key_", "start", "window", "item_id", "distance").join(items.select("item_id", "item"), "item_id")
     own = own.withColumn("common", F.size(F.array_intersect(counted(F.col("item")), counted(F.col("window"))))).withColumn("all", F.size("item") + F.size("window") - F.col("common"))
     own = own.filter(100 * F.col("common") >= percent * F.col("all"))
     best = own.groupBy("doc_id", "key_", "item_id").agg(F.max(F.struct((F.col("common") / F.col("all")).alias("similarity"), (-F.col("start")).alias("s"), "distance")).alias("m"))

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stages, words
+from .common import Stages, run_hashes, words
 
 WINDOW = 8
 SYMBOLS = "[#*$%&|<>]"
@@ -24,16 +24,6 @@ SAMPLE_ROWS = 2000
 REPEATS = 4
 
 
-def run_hashes(d: DataFrame, h: str, out: str, size: int) -> DataFrame:
-    """Adds `out`: a hash of each `size` (a power of two) neighbours of the array of hashes `h`, by doubling; none if there are fewer."""
-    n, k = F.size(h), 1
-    while k < size:
-        a = F.col(h if k == 1 else out)
-        m = F.greatest(F.size(a) - k, F.lit(0))
-        d, k = d.withColumn(out, F.zip_with(F.slice(a, 1, m), F.slice(a, k + 1, m), lambda x, y: F.xxhash64(x, y))), 2 * k
-    return d.withColumn(out, F.when(n >= size, F.col(out)).otherwise(F.array().cast("array<long>")))
-
-
 def measure_words(d: DataFrame, open_: Column) -> DataFrame:
     """words_, n_words."""
     return d.withColumn("words_", F.when(open_, words(F.col("text_")))).withColumn("n_words", F.size("words_").cast("long"))
