@@ -8,8 +8,9 @@ Over a corpus the suffixes are sorted in groups that no repeated string crosses.
 of least hash, as its anchor; equal strings select equal anchors at equal places. So all copies of a string meet in the group of its
 anchor, where the suffixes start at the same distance before it. Contexts of an anchor, min_len bytes to the right and what can precede
 it to the left, are pre-aggregated: equal ones count once, with their number and first place. A group sorts its contexts once
-rightwards and once leftwards; with common-prefix lengths from both orders, the suffixes of each distance fall into runs of suffix order
-with at least min_len bytes in common. In a run every suffix but the smallest position has a smaller previous or next one, so a factor of min_len or more.
+rightwards and once leftwards, which gives the suffix order of each distance and its common-prefix lengths. A suffix's factor reaches min_len exactly if its
+previous or its next smaller position in that order lies in its run of min_len bytes in common (`reaches`). Anchors with more different contexts than one task sorts
+are split: the min_len-byte strings around them are grouped by digest instead, which gives the same runs and their smallest positions.
 """
 
 from __future__ import annotations
@@ -80,6 +81,19 @@ def longest_previous_factors(data: bytes) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def reaches(place: np.ndarray, new_run: np.ndarray) -> np.ndarray:
+    """In suffix order, whether each suffix's longest previous factor reaches a length: whether the previous or the next smaller position is in its run.
+
+    place: positions of the suffixes; new_run: where the common prefix with the suffix before is shorter than that length.
+    """
+    if not len(place):
+        return np.zeros(0, bool)
+    run, far = np.cumsum(new_run), int(place.max()) + 1
+    before = place - run * far  # runs lie one below the other, so one pass keeps their minima apart
+    after = (place - (run[-1] - run) * far)[::-1]
+    return (before > np.minimum.accumulate(before)) | (after > np.minimum.accumulate(after))[::-1]
+
+
 def gram_hashes(b: np.ndarray) -> np.ndarray:
     """A 64-bit hash of every 32-byte gram, by doubling."""
     h = b.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -160,25 +174,23 @@ def repeated_starts(group: np.ndarray, left: list[bytes], right: list[bytes], ma
     lorder, llcp = sorted_side(group, left)
     rorder, rlcp = sorted_side(group, right)
     llen, rlen = np.array([len(x) for x in left]), np.array([len(x) for x in right])
-    lclass, rclass = np.empty(n, np.int64), np.empty(n, np.int64)
+    lclass, rclass, rrank = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.int64)
+    rrank[rorder] = np.arange(n)
     found = np.zeros((n, span + 3), np.int8)
     for d in range(span + 1):
         ok = (llen >= d) & (rlen >= min_len - d)
         if not ok.any():
             continue
-        # Rows of one class agree on d bytes to the left and min_len - d to the right: one run in the order of these suffixes.
+        # Suffixes that agree on d bytes to the left stand together, in the order of what follows; a run agrees on min_len - d bytes of that.
         lclass[lorder] = np.cumsum(llcp < d)
         rclass[rorder] = np.cumsum(rlcp < min_len - d)
         i = np.nonzero(ok)[0]
-        key = lclass[i] * (n + 1) + rclass[i]
-        o = np.lexsort((place[i], key))
-        k = key[o]
-        new = np.concatenate([[True], k[1:] != k[:-1]])
-        if keep_first:
-            hit = ~new  # a smaller position in the run
-        else:
-            hit = ~new | np.concatenate([~new[1:], [False]]) | many[i[o]]
-        found[i[o], d + 1] = hit
+        o = i[np.lexsort((rrank[i], lclass[i]))]
+        new = np.concatenate([[True], (lclass[o][1:] != lclass[o][:-1]) | (rclass[o][1:] != rclass[o][:-1])])
+        hit = reaches(place[o], new)
+        if not keep_first:  # the first copy too: a larger position is in its run, or the same context comes again
+            hit |= reaches(n - 1 - place[o], new) | many[o]
+        found[o, d + 1] = hit
     step = np.diff(found, axis=1)
     out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
     for (i, a), (_, b) in zip(np.argwhere(step == 1).tolist(), np.argwhere(step == -1).tolist(), strict=True):
@@ -186,7 +198,7 @@ def repeated_starts(group: np.ndarray, left: list[bytes], right: list[bytes], ma
     return out
 
 
-def spans(docs: DataFrame, min_len: int = 200, keep_first: bool = False) -> DataFrame:
+def spans(docs: DataFrame, min_len: int = 200, keep_first: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(doc_id, key_, starts, ends): byte ranges of repeated strings, unmerged, for rows that have any.
 
     keep_first: only copies that are not the first in the order of (doc_id, place), where no id comes first; otherwise all copies.
@@ -208,19 +220,22 @@ def spans(docs: DataFrame, min_len: int = 200, keep_first: bool = False) -> Data
     occ = stages.put(texts.mapInArrow(occurrences, "doc_id long, key_ long, at long, anchor long, ctx long"))
     stages.free()
     place = F.struct("doc_id", "key_", "at")
-    contexts = occ.groupBy("anchor", "ctx").agg(F.count("*").alias("n"), F.min(place).alias("first"))
-    totals = contexts.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("k")).filter("total > 1")
+    contexts = stages.put(occ.groupBy("anchor", "ctx").agg(F.count("*").alias("n"), F.min(place).alias("first")))
+    # Written, so that the join has a plain shuffle on both sides and Spark can split a hot anchor's contexts.
+    totals = stages.put(contexts.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("k")).filter("total > 1"))
     known = stages.put(contexts.join(totals.select("anchor", "k"), "anchor"))
+    stages.drop(contexts)
     stages.free()
 
     # Contexts whose anchor has others too: their bytes are sorted.
     mixed = known.filter("k > 1")
-    n_blocks = blocks_for(mixed.count(), BLOCK_ROWS)
-    asked = mixed.select("anchor", "ctx", "n", F.col("first.doc_id").alias("doc_id"), F.col("first.key_").alias("key_"), F.col("first.at").alias("at"))
-    asked = asked.groupBy("doc_id", "key_").agg(F.collect_list(F.struct("anchor", "ctx", "n", "at")).alias("asked"))
+    sizes = mixed.agg(F.count("*").alias("n"), F.max("k").alias("most")).first()
+    n_blocks = blocks_for(sizes["n"], block_rows)
+    asked = mixed.select("anchor", "ctx", "n", "k", F.col("first.doc_id").alias("doc_id"), F.col("first.key_").alias("key_"), F.col("first.at").alias("at"))
+    asked = asked.groupBy("doc_id", "key_").agg(F.collect_list(F.struct("anchor", "ctx", "n", "k", "at")).alias("asked"))
     cut = texts.withColumnRenamed("doc_id", "id_").join(asked.withColumnRenamed("key_", "k_"), F.col("id_").eqNullSafe(F.col("doc_id")) & (F.col("key_") == F.col("k_"))).select("doc_id", "key_", "data", F.explode("asked").alias("x"))
     lo = F.greatest(F.col("x.at") - before, F.lit(0)).cast("int")
-    cut = cut.select("x.anchor", "x.ctx", "x.n", "doc_id", "key_", "x.at", F.substring("data", lo + 1, (F.col("x.at") - lo).cast("int")).alias("left"), F.substring("data", (F.col("x.at") + 1).cast("int"), F.lit(min_len)).alias("right"))
+    cut = cut.select("x.anchor", "x.ctx", "x.n", "x.k", "doc_id", "key_", "x.at", F.substring("data", lo + 1, (F.col("x.at") - lo).cast("int")).alias("left"), F.substring("data", (F.col("x.at") + 1).cast("int"), F.lit(min_len)).alias("right"))
     # Rows that are equal in id and text give a context twice.
     cut = cut.withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(n_blocks)))
     runs = "anchor long, ctx long, lo array<int>, hi array<int>"
@@ -241,8 +256,12 @@ def spans(docs: DataFrame, min_len: int = 200, keep_first: bool = False) -> Data
         found = repeated_starts(group, left, table.column("right").to_pylist(), np.array(pick["n"]) > 1, rank, min_len, keep_first)
         return pa.table([pa.array(pick["anchor"], pa.int64()), pa.array(pick["ctx"], pa.int64()), pa.array([[a for a, _ in x] for x in found], pa.list_(pa.int32())), pa.array([[b for _, b in x] for x in found], pa.list_(pa.int32()))], ["anchor", "ctx", "lo", "hi"])
 
-    sorted_ = stages.put(cut.groupBy("block").applyInArrow(decide, runs))
+    split = (sizes["most"] or 0) > block_rows
+    small = cut.filter(F.col("k") <= block_rows) if split else cut
+    sorted_ = stages.put(small.drop("k").groupBy("block").applyInArrow(decide, runs))
     stages.free()
+    if split:
+        sorted_ = sorted_.unionByName(stages.put(by_digest(cut.filter(F.col("k") > block_rows).drop("k", "block").dropDuplicates(["anchor", "ctx"]), stages, min_len, keep_first)))
     whole = F.array(F.lit(0)), F.array(F.lit(before))
     alone = known.filter("k = 1").select("anchor", "ctx", *(F.array().cast("array<int>").alias(c) if keep_first else w.alias(c) for c, w in zip(("lo", "hi"), whole, strict=True)))
     verdict = sorted_.unionByName(alone)
@@ -251,6 +270,7 @@ def spans(docs: DataFrame, min_len: int = 200, keep_first: bool = False) -> Data
         verdict = verdict.join(known.select("anchor", "ctx", "first"), ["anchor", "ctx"])
     else:
         verdict = verdict.filter(F.size("lo") > 0)
+    verdict = stages.put(verdict)
     # Distances that reach before the text's start or past its end are cut away: no string starts there.
     hits = occ.join(verdict, ["anchor", "ctx"])
     if keep_first:
@@ -258,14 +278,48 @@ def spans(docs: DataFrame, min_len: int = 200, keep_first: bool = False) -> Data
         hits = hits.withColumn("lo", F.when(is_first, F.col("lo")).otherwise(whole[0])).withColumn("hi", F.when(is_first, F.col("hi")).otherwise(whole[1]))
     hits = hits.select("doc_id", "key_", "at", F.explode(F.arrays_zip("lo", "hi")).alias("r"))
     hits = hits.select("doc_id", "key_", (F.col("at") - F.col("r.hi")).alias("a"), (F.col("at") - F.col("r.lo")).alias("b"))
-    # No more ranges than bytes in a text. Written, so that the shuffle files and tables before it can go before the texts move.
-    out = stages.put(hits.groupBy("doc_id", "key_").agg(F.collect_list("a").alias("starts"), F.collect_list("b").alias("ends")))
-    for df in (occ, known, sorted_):
+    # No more ranges than bytes in a text, as rows equal in id and text give each once. Written, so that the shuffle files and tables before it can go before the texts move.
+    out = hits.groupBy("doc_id", "key_").agg(F.collect_set(F.struct("a", "b")).alias("r"))
+    out = stages.put(out.select("doc_id", "key_", F.col("r.a").alias("starts"), F.col("r.b").alias("ends")))
+    for df in (occ, totals, known, sorted_, verdict):
         stages.drop(df)
     stages.free()
     return out
 
 
+def by_digest(cut: DataFrame, stages: Stages, min_len: int, keep_first: bool) -> DataFrame:
+    """(anchor, ctx, lo, hi) as `repeated_starts` gives them, for anchors with more contexts (anchor, ctx, n, doc_id, key_, at, left, right) than one task sorts.
+
+    Each min_len-byte string around an anchor gets a 128-bit digest; of equal ones the number and the smallest position are pre-aggregated and joined back.
+    """
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, (left, right) in enumerate(zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True)):
+                data, at = left + right, len(left)
+                rows += [(i, d, xxhash.xxh3_128_digest(data[at - d : at - d + min_len])) for d in range(max(0, min_len - len(right)), min(at, min_len - GRAM) + 1)]
+            take = pa.array([x[0] for x in rows], pa.int32())
+            same = [batch.column(c).take(take) for c in ("anchor", "ctx", "n", "doc_id", "key_", "at")]
+            yield pa.record_batch([*same, pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2] for x in rows], pa.binary())], ["anchor", "ctx", "n", "doc_id", "key_", "at", "d", "digest"])
+
+    strings = stages.put(cut.select("anchor", "ctx", "n", "doc_id", "key_", "at", "left", "right").mapInArrow(digests, "anchor long, ctx long, n long, doc_id long, key_ long, at long, d int, digest binary"))
+    place = F.struct("doc_id", "key_", "at")
+    # The anchor is part of the group: distances count from it.
+    runs = stages.put(strings.groupBy("anchor", "d", "digest").agg(F.sum("n").alias("total"), F.min(place).alias("first")).filter("total > 1"))
+    hits = strings.join(runs, ["anchor", "d", "digest"])
+    if keep_first:
+        hits = hits.filter(~place.eqNullSafe(F.col("first")))
+    found = hits.groupBy("anchor", "ctx").agg(F.sort_array(F.collect_set("d")).alias("d"))  # at most min_len distances
+    out = found.select("anchor", "ctx", F.filter("d", lambda x: ~F.array_contains("d", x - 1)).alias("lo"), F.filter("d", lambda x: ~F.array_contains("d", x + 1)).alias("hi"))
+    if not keep_first:
+        return out
+    # First places need a row each, with or without ranges.
+    every = cut.select("anchor", "ctx").join(out, ["anchor", "ctx"], "left")
+    nothing = F.array().cast("array<int>")
+    return every.select("anchor", "ctx", F.coalesce("lo", nothing).alias("lo"), F.coalesce("hi", nothing).alias("hi"))
+
+
 def merged(starts: list[int] | None, ends: list[int] | None, size: int, min_len: int) -> list[tuple[int, int]]:
     """Maximal byte ranges covered by min_len-byte strings that start from starts[i] to ends[i] and lie in the text."""
     out: list[tuple[int, int]] = []
@@ -281,7 +335,7 @@ def merged(starts: list[int] | None, ends: list[int] | None, size: int, min_len:
     return out
 
 
-def dedup(docs: DataFrame, min_len: int = 200, keep_first: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, min_len: int = 200, keep_first: bool = True, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text for each row of `docs` (doc_id, text); key_ tells rows of one id apart.
 
     Removes bytes covered by min_len-byte strings that start elsewhere too (keep_first: earlier) in the table; matches do not cross
@@ -290,7 +344,7 @@ def dedup(docs: DataFrame, min_len: int = 200, keep_first: bool = True) -> DataF
     """
     if min_len < 2 * GRAM:
         raise ValueError(f"min_len must be {2 * GRAM} or more")
-    found = spans(docs, min_len, keep_first).select(F.col("doc_id").alias("id_"), F.col("key_").alias("k_"), "starts", "ends")
+    found = spans(docs, min_len, keep_first, block_rows).select(F.col("doc_id").alias("id_"), F.col("key_").alias("k_"), "starts", "ends")
     texts = docs.select("doc_id", text_key(F.col("text")).alias("key_"), "text")
     rows = texts.join(found, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("key_") == F.col("k_")), "left").select("doc_id", "key_", "text", "starts", "ends")
 
