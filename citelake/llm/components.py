@@ -12,7 +12,7 @@ def components(links: DataFrame, stages: Stages) -> DataFrame:
     """(node, label) for every node of `links` (a, b): label is the smallest node reachable. Loops and repeated links are allowed.
 
     A round replaces each link by links to smaller nodes, which keeps the components; rounds end when the links are stars
-    around the labels. Neighbours are never gathered in a row: minima are pre-aggregated and joined back.
+    around the labels. Neighbours are never gathered in a row: minima are pre-aggregated, written and joined back, so Spark can split a hot node's links.
     """
 
     def both(e: DataFrame) -> DataFrame:
@@ -21,14 +21,14 @@ def components(links: DataFrame, stages: Stages) -> DataFrame:
     e = stages.put(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     while True:
         all_ = both(e)
-        low = all_.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = stages.put(all_.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = all_.join(low, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = stages.put(large.filter("a <> b").distinct())
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        least = stages.put(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         new = stages.put(small.filter("a <> b").distinct())
-        stages.drop(e)
-        stages.drop(large)
+        for df in (e, large, low, least):
+            stages.drop(df)
         stages.free()
         e = new
         counts = e.agg(F.count("*").alias("n"), F.countDistinct("a").alias("k")).first()
