@@ -101,8 +101,11 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0) -> None:
     """Write a record for each row of `pages` (page_id, url, html) into archives in `folder`, which must be shared.
 
     Null html: the empty payload; null url: no target. Of equal payloads of at least min_bytes the one with the smallest page_id is the
-    response. Rows that share that id are all responses, as are rows without an id, which nothing refers to. An empty table writes nothing.
+    response, and the others, rows without an id too, revisit it. Rows that share that id are all responses, as are rows without an id
+    if no row with their payload has one. An empty table makes the folder and writes nothing.
     """
+    path = pages.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(pages.sparkSession._jsc.hadoopConfiguration()).mkdirs(path)
     html = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", html.alias("payload"))
     total = rows.agg(F.sum(F.length("payload")).alias("n")).first()["n"]
@@ -110,7 +113,7 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0) -> None:
     firsts = rows.filter(F.length("payload") >= min_bytes).groupBy(F.sha1("payload").alias("sha")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     # The join keeps payloads out: it deals out ids and digests alone. Payloads are dealt out once, to their archives.
     keys = rows.select("page_id", F.sha1("payload").alias("sha"), F.length("payload").alias("size")).filter(F.col("size") >= min_bytes).distinct()
-    refers = keys.join(firsts, "sha").filter(F.col("page_id") > F.col("first")).select(F.col("page_id").alias("id_"), F.col("sha").alias("sha_"), "first")
+    refers = keys.join(firsts, "sha").filter(~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull()).select(F.col("page_id").alias("id_"), F.col("sha").alias("sha_"), "first")
     n = blocks_for(total, ARCHIVE_BYTES)
     at = lambda page, sha: F.pmod(F.xxhash64(page, sha), F.lit(n)).alias("archive")
     rows = rows.select("page_id", "url", "payload", F.sha1("payload").alias("sha")).select("*", at("page_id", "sha"))
@@ -138,7 +141,7 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0) -> None:
 
 
 def read_warc(spark, folder: str) -> DataFrame:
-    """Records of all archives in `folder`: page_id, url, record_type, payload (null for revisits), payload_bytes, payload_digest, refers_to."""
+    """Records of all archives in `folder`: page_id, url, record_type, payload (null for revisits), payload_bytes, payload_digest, refers_to. A folder without archives gives no rows."""
     schema = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,6 +175,6 @@ f AS (SELECT *, min(page_id) OVER (PARTITION BY s) AS first FROM p)
 SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
     array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
         CAST((CAST('0x' || substr(s, CAST((i // 8) * 10 + 1 AS INTEGER), 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest,
-    CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-    CASE WHEN page_id <> first THEN first END AS refers_to FROM f
+    CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM f
 """
