@@ -2,7 +2,7 @@
 
 Open bins are kept in the order of their residual. For a document the search begins at the smallest residual that holds it, its successor
 in that order, and goes on to the next larger one until the bin's source and duplicate-cluster bitmaps share no bit with the
-document's: the tightest compatible bin. Without one a new bin is opened. Documents are dealt by a hash into blocks of bounded size, each packed by one task.
+document's: the tightest compatible bin. Without one a new bin is opened. Documents are dealt by a hash of their row numbers into blocks of bounded size, each packed by one task.
 """
 
 from __future__ import annotations
@@ -60,13 +60,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Tokens are words between ASCII white space; start is the piece's first one in its document. A bin holds at most `capacity` tokens, no two
     documents of one source and no two of one duplicate cluster (equal but for case and white space); null sources do not conflict. A
     document over the capacity is cut into full pieces, which fill bins of their own, and a rest. Documents without tokens have
-    one piece of 0 tokens. Larger pieces go first, ties by id. Repeated rows are packed each. Bins are numbered within
+    one piece of 0 tokens. Larger pieces go first, ties by id. Repeated rows are packed each; row numbers, not contents, deal out blocks, so they spread. Bins are numbered within
     blocks: bin is `block-number`. An empty table gives no rows.
     """
-    rows = docs.select("doc_id", "source", text_key(F.col("text")).alias("key_"), F.size(words(F.col("text"))).cast("long").alias("n"), F.xxhash64(F.trim(F.regexp_replace(ascii_lower(F.coalesce("text", F.lit(""))), SPACE, " "))).alias("cluster"))
+    rows = docs.select("doc_id", "source", text_key(F.col("text")).alias("key_"), F.size(words(F.col("text"))).cast("long").alias("n"), F.xxhash64(F.trim(F.regexp_replace(ascii_lower(F.coalesce("text", F.lit(""))), SPACE, " "))).alias("cluster"), F.monotonically_increasing_id().alias("row_"))
     rows = Stages(docs.sparkSession, "packing").put(rows)
     blocks = blocks_for(rows.count(), BLOCK_DOCS)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "key_", F.lit(9)), F.lit(blocks)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("row_"), F.lit(blocks)))
 
     def fill(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
