@@ -46,6 +46,20 @@ def test_longest_previous_factors(seed):
     assert suffix_dedup.longest_previous_factors(b"").tolist() == []
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_reaches_agrees_with_the_factors(seed):
+    d = rng_text(random.Random(seed), 300, "ab").encode()
+    sa = suffix_dedup.suffix_array(d)
+    lcp = suffix_dedup.common_prefixes([d[i:] for i in sa.tolist()])
+    lpf = suffix_dedup.longest_previous_factors(d)
+    for m in (1, 3, 6, 9):
+        new = lcp < m
+        new[0] = True
+        got = np.zeros(len(d), bool)
+        got[sa] = suffix_dedup.reaches(sa, new)
+        assert (got == (lpf >= m)).all()
+
+
 def brute_dedup(rows, m, first):
     seen, order = Counter(), sorted(range(len(rows)), key=lambda i: (-1 if rows[i][0] is None else rows[i][0],))
     data = [(t or "").encode() for _, t in rows]
@@ -76,6 +90,16 @@ def test_suffix_dedup_against_brute_force(spark, first):
     assert sorted(((x.doc_id, x.n_bytes, x.n_removed, x.kept_sha256) for x in got), key=str) == brute_dedup(rows, 64, first)
     for x in got:
         x.kept_text is None or x.kept_text.encode()
+    # Anchors with more contexts than a task takes.
+    again = suffix_dedup.dedup(docs(spark, rows), 64, first, block_rows=2).collect()
+    assert sorted(((x.doc_id, x.n_bytes, x.n_removed, x.kept_sha256) for x in again), key=str) == brute_dedup(rows, 64, first)
+
+
+def test_repeated_rows_give_each_range_once(spark):
+    same = docs(spark, [(1, "abcdefghij" * 9 + "".join(map(chr, range(33, 120))))]).withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(300)))).drop("x")
+    found = suffix_dedup.spans(same, 64).collect()
+    assert len(found) == 1 and len(found[0].starts) == len(set(zip(found[0].starts, found[0].ends, strict=True))) < 40
+    assert {(x.n_bytes, x.n_removed) for x in suffix_dedup.dedup(same, 64, False).collect()} == {(177, 177)}
 
 
 def test_suffix_dedup_edges(spark, edge):
@@ -172,6 +196,16 @@ def test_token_counts(spark, edge, vocabulary, tmp_path):
     assert token_counts.count_tokens(edge.limit(0), vocabulary, cache).count() == 0
 
 
+def test_other_tokenizers_count_whole_texts(spark, tmp_path):
+    p = pytest.importorskip("public_tokenizers")
+    import pathlib
+
+    for path in [x for x in sorted(pathlib.Path(p.path("byte_bpe_50k.json")).parent.iterdir()) if x.suffix in (".json", ".model")]:
+        c = token_counts.PieceCounter(str(path))
+        for text in ["", "one  two three", " x é\n日本", "a b"]:
+            assert c.count(text) == c.library([text])[0], path
+
+
 def test_pieces_count_as_the_library(vocabulary):
     c, r = token_counts.PieceCounter(vocabulary), random.Random(1)
     parts = [" ", "  ", "\n", "\t", "\xa0", "　", "\x1c", "\x85", "'s", "the", "<|endoftext|>", "12", "é", "日本", "!!", "😀"]
@@ -219,10 +253,18 @@ def test_warc_round_trip(spark, tmp_path):
     by = {x.page_id: x for x in got}
     assert by[2].record_type == "revisit" and by[2].refers_to == 1 and by[2].payload is None and by[2].payload_bytes == len("<p>é</p>".encode())
     assert by[1].record_type == "response" and bytes(by[1].payload).decode() == "<p>é</p>"
-    assert by[4].refers_to == 3 and bytes(by[5].payload) == b"z" * 100_000 and by[None].record_type == "response" and by[6].record_type == "response"
+    assert by[4].refers_to == 3 and bytes(by[5].payload) == b"z" * 100_000 and by[None].record_type == "revisit" and by[None].refers_to == 1 and by[6].record_type == "response"
     assert all(x.payload_digest == warc.digest((h or "").encode()) for (i, _, h) in rows for x in got if x.page_id == i)
 
 
+def test_warc_query_edges(spark, tmp_path):
+    schema = "page_id long, url string, html string"
+    for n, rows in enumerate([[], [(1, "u", "same"), (None, "u", "same"), (2, "u", "same"), (None, "u", "own"), (None, "u", "own")]]):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{n}/pages.parquet")
+        got = sorted(((x.page_id, x.record_type, x.refers_to) for x in warc.op5_warc(spark, f"{tmp_path}/{n}").collect()), key=str)
+        assert got == [[], sorted([(1, "response", None), (None, "revisit", 1), (2, "revisit", 1), (None, "response", None), (None, "response", None)], key=str)][n]
+
+
 def test_warc_archive_has_a_dictionary_frame():
     records = [warc.record(i, "u", (f"<html><body>common words of every page {i}" * 20).encode(), None) for i in range(400)]
     data = warc.write_archive(records)
@@ -393,6 +435,13 @@ def test_packing_finds_the_tightest_compatible_bin(spark):
             open_.append((50 - x.n_tokens, {source} - {None}, {cluster}))
 
 
+def test_packing_deals_equal_rows_to_different_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_DOCS", 50)
+    same = spark.range(400).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one two").alias("text"), F.lit(None).cast("string").alias("source"))
+    got = packing.pack(same).collect()
+    assert len(got) == 400 and len({x.bin.split("-")[0] for x in got}) > 4 and max(Counter(x.bin.split("-")[0] for x in got).values()) < 120
+
+
 def test_packing_edges(spark, edge):
     assert packing.pack(edge.withColumn("source", F.lit(None).cast("string"))).filter("piece = 0").count() == len(EDGE)
     assert packing.pack(edge.withColumn("source", F.lit("s")).limit(0)).count() == 0
@@ -423,6 +472,8 @@ def test_near_duplicates_against_brute_force(spark):
             rows.append((len(rows) * 3 % 97 + 100 * len(rows), " ".join(w if r.random() > 0.02 * (g % 3) else r.choice(vocabulary) for w in base)))
     rows += [(9000, None), (9001, ""), (9002, " \n"), (9003, "One two"), (9004, "one  TWO"), (9005, "two one")]
     got = {x.doc_id: x for x in minhash.near_duplicates(docs(spark, rows), k=4).collect()}
+    # Bands over the block size, split by a second band.
+    assert {i: x.component_id for i, x in got.items()} == {x.doc_id: x.component_id for x in minhash.near_duplicates(docs(spark, rows), k=4, block=2).collect()}
 
     def shingles(t):
         w = (t or "").lower().split()
