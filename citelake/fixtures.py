@@ -17,16 +17,16 @@ BOTH: dict[str, str] = {
     "dims": "select n_name code, r_name name_en, n_nationkey % 4 <> 0 is_active from nation join region on n_regionkey = r_regionkey",
 }
 SPARK: dict[str, str] = BOTH | {
-    "blocks": r"with l as (select doc_id, pos, trim(line) text from documents lateral view posexplode(split(text,'\n')) as pos,line) select doc_id, cast(row_number() over (partition by doc_id order by pos) - 1 as bigint) ord, case when length(text) < 40 then 'heading' else 'paragraph' end type, case when length(text) < 40 then 1 else 0 end level, text, cast(size(split(text,' ')) as bigint) tok from l where text <> ''",
-    "terms": r"with w as (select doc_id, explode(split(lower(text),'[^\\p{L}]+')) tok from documents) select doc_id chunk_id, tok, count(*) n from w where length(tok) >= 5 group by doc_id, tok",
+    "blocks": r"with l as (select doc_id, pos, trim(line) text from documents lateral view posexplode(split(text,'\n')) as pos,line) select doc_id, cast(row_number() over (partition by doc_id order by pos) - 1 as bigint) ord, case when length(text) < 10 then 'table' when length(text) < 40 then 'heading' else 'paragraph' end type, case when length(text) between 10 and 39 then 1 else 0 end level, text, cast(size(split(text,' ')) as bigint) tok from l where text <> ''",
+    "terms": r"with w as (select doc_id, explode(split(lower(text),'[^\\p{L}]+')) tok from documents) select doc_id chunk_id, tok, count(*) n from w where tok <> '' group by doc_id, tok",
     "registry": "select doc_id, case when doc_id % 2 = 0 then sha2(text,256) else sha2(concat(text,' (old)'),256) end content_hash, case when doc_id % 10 = 0 then 'pending' when doc_id % 14 = 0 then 'superseded' else 'indexed' end status, concat(lang,'-',source) title, concat('https://docs.example.com/', cast(doc_id - doc_id % 3 as string)) source_url, 'amazon' publisher, lang country, case when doc_id % 6 = 0 then cast(null as date) else date '2021-07-01' end effective_date, concat('/raw/',cast(doc_id as string)) raw_path from documents",
     "incoming": "select doc_id line_number, sha2(text,256) content_hash, concat(lang,'-',source) title, case when doc_id % 11 = 0 then cast(null as string) else concat('https://docs.example.com/', cast(doc_id - doc_id % 3 + 3 * (doc_id % 2) as string)) end source_url, case when doc_id % 13 = 0 then cast(null as string) when doc_id % 8 = 2 then 'eu_commission' else 'amazon' end publisher, lang country, case when doc_id % 6 = 0 then cast(null as date) else date '2021-07-01' end effective_date, concat('/raw/',cast(doc_id + doc_id % 7 as string)) raw_path from documents",
-    "answers": "select conv_id, turn, concat(text, case turn % 4 when 0 then '' when 1 then concat(' [',cast(conv_id % 7 as string),']') when 2 then ' [2][1] [2]' else ' ［3］ [1,2] [9]' end) text, cast(5 as bigint) n_materials from conversations where role = 'assistant'",
+    "answers": "select conv_id, turn, concat(text, case turn % 4 when 0 then '' when 1 then concat(' [',cast(conv_id % 7 as string),']') when 2 then ' [2][1] [2]' else ' ［3］ [1,2] [9]' end) text, cast(case when conv_id % 11 = 0 then 0 else 5 end as bigint) n_materials from conversations where role = 'assistant'",
     "requests": "select event_id request_id, user_id, ts, concat('q', cast(event_id % 20 as string)) question, event_type country from events",
 }
 DUCK: dict[str, str] = BOTH | {
-    "blocks": r"with l as (select doc_id, u.pos - 1 pos, trim(u.line) as text from documents, lateral (select unnest(string_split(documents.text,chr(10))) line, generate_subscripts(string_split(documents.text,chr(10)),1) pos) u) select doc_id, cast(row_number() over (partition by doc_id order by pos) - 1 as bigint) ord, case when length(text) < 40 then 'heading' else 'paragraph' end type, case when length(text) < 40 then 1 else 0 end level, text, cast(len(string_split(text,' ')) as bigint) tok from l where text <> ''",
-    "terms": r"with w as (select doc_id, unnest(regexp_split_to_array(lower(text),'[^\p{L}]+')) tok from documents) select doc_id chunk_id, tok, count(*) n from w where length(tok) >= 5 group by doc_id, tok",
+    "blocks": r"with l as (select doc_id, u.pos - 1 pos, trim(u.line) as text from documents, lateral (select unnest(string_split(documents.text,chr(10))) line, generate_subscripts(string_split(documents.text,chr(10)),1) pos) u) select doc_id, cast(row_number() over (partition by doc_id order by pos) - 1 as bigint) ord, case when length(text) < 10 then 'table' when length(text) < 40 then 'heading' else 'paragraph' end type, case when length(text) between 10 and 39 then 1 else 0 end level, text, cast(len(string_split(text,' ')) as bigint) tok from l where text <> ''",
+    "terms": r"with w as (select doc_id, unnest(regexp_split_to_array(lower(text),'[^\p{L}]+')) tok from documents) select doc_id chunk_id, tok, count(*) n from w where tok <> '' group by doc_id, tok",
     **{k: SPARK[k].replace("as string)", "as varchar)").replace("sha2(text,256)", "sha256(text)").replace("sha2(concat(text,' (old)'),256)", "sha256(concat(text,' (old)'))") for k in ("registry", "incoming", "answers", "requests")},
 }
 NEEDS = {"pdf_lines": ["blocks"]}

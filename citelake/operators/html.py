@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import host
+from ..functions.text import collapse, host
 
 # Tags of blocks, and tags without content of their own.
 BLOCKS = {**{f"h{i}": ("heading", i) for i in range(1, 7)}, "p": ("paragraph", 0), "li": ("list_item", 0), "table": ("table", 0)}
@@ -19,10 +19,10 @@ VOID = set("area base br col embed hr img input link meta source track wbr".spli
 
 
 def sniff(content: Column) -> Column:
-    """pdf or html from the first 512 bytes of a binary column; null for anything else."""
+    """pdf or html from the first 512 bytes of a binary column; null for anything else. HTML begins with `<` after a byte-order mark and white space; invalid bytes are left out."""
     head = F.substring(content, 1, 512)
-    text = F.lower(F.regexp_replace(F.decode(F.when(F.is_valid_utf8(head.cast("string")), head).otherwise(F.make_valid_utf8(head.cast("string")).cast("binary")), "UTF-8"), "^[\\x{FEFF} \\t\\r\\n]+", ""))
-    return F.when(F.startswith(head, F.lit(b"%PDF-")), "pdf").when(text.rlike("^(<!doctype|<html|<\\?xml)") | F.contains(text, F.lit("<")), "html")
+    text = F.make_valid_utf8(head.cast("string"))
+    return F.when(F.startswith(head, F.lit(b"%PDF-")), "pdf").when(text.rlike("^[\\x{FFFD}\\x{FEFF} \\t\\r\\n]*<"), "html")
 
 
 class Blocks(HTMLParser):
@@ -108,18 +108,39 @@ def parse(html: str, container: str | None = None) -> tuple[str | None, list[tup
 
 
 def blocks(pages: DataFrame, container: str | None = "article") -> DataFrame:
-    """(page_id, title, ord, type, level, text) of `pages` (page_id, html); a page without blocks has none. Null html: none."""
+    """(page_id, title, ord, type, level, text) of `pages` (page_id, html and, where each page has its own, container); a page without blocks has none. Null html: none."""
+    own = "container" in pages.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for i, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                title, found = parse(html or "", container)
+            inside = batch.column("container").to_pylist() if own else [container] * batch.num_rows
+            for i, html, where in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), inside, strict=True):
+                title, found = parse(html or "", where)
                 rows += [(i, title, n, *b) for n, b in enumerate(found)]
             types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 6, types, strict=True)], ["page_id", "title", "ord", "type", "level", "text"])
 
-    return pages.select("page_id", "html").mapInArrow(run, "page_id long, title string, ord long, type string, level int, text string")
+    return pages.select("page_id", "html", *(["container"] if own else [])).mapInArrow(run, "page_id long, title string, ord long, type string, level int, text string")
+
+
+def text_blocks(texts: DataFrame) -> DataFrame:
+    """(page_id, ord, type, level, text) of plain texts (page_id, text), what a generic extractor gives: each line that is not blank is a paragraph; headings cannot be told."""
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), r"\r\n|\n|\r"), collapse), lambda x: x != "")
+    return texts.select("page_id", F.posexplode(lines).alias("ord", "text")).select("page_id", F.col("ord").cast("long").alias("ord"), F.lit("paragraph").alias("type"), F.lit(0).alias("level"), "text")
+
+
+def parse_files(files: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(blocks, outcomes) of HTML files (page_id, url, content); sites: (host, selector). Bytes that are not UTF-8 are replaced.
+
+    outcomes: page_id and error: no URL, a host without a selector, no title, nothing in the container; null where all is well. Only such pages have blocks.
+    """
+    pages = selectors(files.withColumn("html", F.make_valid_utf8(F.col("content").cast("string"))), sites).withColumn("container", F.col("selector"))
+    found = blocks(pages.filter("container is not null").select("page_id", "html", "container"))
+    counts = found.groupBy("page_id").agg(F.count("*").alias("n"), F.first("title").alias("title"))
+    fault = F.when(pages["url"].isNull(), "no source_url").when(pages["container"].isNull(), "no selector for its host").when(F.col("n").isNull(), "nothing in the container").when(F.col("title").isNull(), "no title")
+    outcomes = pages.select("page_id", "url", "container").join(counts, "page_id", "left").select("page_id", fault.alias("error"))
+    return found.join(outcomes.filter("error is null").select("page_id"), "page_id", "left_semi"), outcomes
 
 
 def titles(pages: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,30 @@ def set_status(registry: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def drift(have: DataFrame, want: DataFrame) -> list[tuple[str, str]]:
-    """(column, missing | extra | type) where two schemas differ."""
+    """(column, missing | extra | type | comment) where two schemas differ; extra columns are only reported, never dropped."""
     a, b = dict(have.dtypes), dict(want.dtypes)
-    return [(c, "missing") for c in b if c not in a] + [(c, "extra") for c in a if c not in b] + [(c, "type") for c in b if c in a and a[c] != b[c]]
+    notes = [{f.name: f.metadata.get("comment", "") for f in d.schema} for d in (have, want)]
+    out = [(c, "missing") for c in b if c not in a] + [(c, "extra") for c in a if c not in b] + [(c, "type") for c in b if c in a and a[c] != b[c]]
+    return out + [(c, "comment") for c in b if c in a and notes[0][c] != notes[1][c]]
+
+
+def create(spark: SparkSession, tables: dict[str, str], form: str = "parquet") -> list[str]:
+    """Create the tables (name: columns as DDL) that do not exist; the names of those that were made."""
+    new = [name for name in tables if not spark.catalog.tableExists(name)]
+    for name in new:
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({tables[name]}) USING {form}")
+    return new
+
+
+def seed(have: DataFrame, rows: DataFrame, key: str = "code") -> DataFrame:
+    """A dimension table's new content: rows of the seed replace those with their code, others stay."""
+    return replace(have, rows, key)
+
+
+#: Columns of the vector collection. Search over it is exact, so it has no index of its own.
+VECTORS = "chunk_id string, doc_id string, parent_id string, chunk_index bigint, country string, doc_type string, publisher string, dense array<float>, sparse map<bigint, float>"
+
+
+def create_vectors(spark: SparkSession, name: str) -> bool:
+    """Create the vector collection; False if it exists."""
+    return bool(create(spark, {name: VECTORS}))

@@ -9,6 +9,7 @@ from ..functions.text import collapse
 
 # Fixed values in points: a gap below the first is one line, up to the second one paragraph; words of one row; the footer's share of the height.
 SAME_LINE, PARAGRAPH, ROW, FOOTER = 1.0, 20.0, 1.0, 0.9
+# Fixed value: what a page number reads like.
 PAGE_NUMBER = r"^\d+\s*/\s*\d+$"
 
 
@@ -17,6 +18,13 @@ def drop_page_numbers(lines: DataFrame, height: Column | float) -> DataFrame:
     return lines.filter(~((F.col("top") >= F.lit(FOOTER) * height) & F.trim("text").rlike(PAGE_NUMBER)))
 
 
+def span_lines(spans: DataFrame) -> DataFrame:
+    """(doc_id, page, seq, size, top, text) of text spans (doc_id, page, seq, span, size, top, text): a line's spans are joined without a separator, its size is that of its largest span, blank lines go."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span", "text"))), lambda x: x["text"]), "")
+    lines = spans.groupBy("doc_id", "page", "seq").agg(F.max("size").alias("size"), F.min("top").alias("top"), text.alias("text"))
+    return lines.filter(F.trim("text") != "")
+
+
 def body_size(lines: DataFrame) -> DataFrame:
     """(doc_id, body): the most frequent size rounded to one decimal, half to even; the smallest of equally frequent ones."""
     return lines.groupBy("doc_id").agg(F.mode(F.bround("size", 1), True).alias("body"))

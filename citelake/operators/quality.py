@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import GARBAGE
 
 # Fixed value: block types whose short texts count as fragments.
-BODY = ("paragraph", "list_item")
+BODY = ("paragraph", "list_item", "table")
 
 
 @dataclass(frozen=True)

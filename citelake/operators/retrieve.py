@@ -150,8 +150,25 @@ def gate(score: Column, threshold: float | None) -> Column:
 
 
 def load_context(hits: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Hits with text of parent and children and the document's metadata, by rank. Late: texts are joined to the few hits only."""
-    return hits.join(chunks.select("chunk_id", F.col("text").alias("parent_text"), "token_count"), hits["parent_id"] == chunks["chunk_id"], "left").drop("chunk_id").join(documents, "doc_id", "left")
+    """Hits (qid, rk, parent_id, doc_id, score, children) with text and token_count of the parent, the document's columns and matched_children (chunk_id, score, text, start, end), by rank.
+
+    Texts are joined to the few hits only. What the index names and the tables lack is an error when the row is computed, never a row with a gap: a lost parent, child or document.
+    """
+    def found(key: str, there: Column, value: Column) -> Column:
+        return F.when(there, value).otherwise(F.raise_error(F.concat(F.lit(f"no {key} "), F.col(key).cast("string"), F.lit(": the index was cut short"))))
+
+    c = chunks.select(F.col("chunk_id").alias("c_"), "text", "token_count", "start", "end")
+    parents = hits.join(c.select("c_", F.struct("text", "token_count").alias("p_")), hits["parent_id"] == F.col("c_"), "left").drop("c_")
+    parents = parents.withColumn("p_", found("parent_id", F.col("p_").isNotNull(), F.col("p_"))).select(*hits.columns, "p_.*")
+    child = hits.select("qid", "parent_id", F.posexplode("children").alias("o_", "h_")).select("qid", "parent_id", "o_", F.col("h_.chunk_id").alias("chunk_id"), F.col("h_.score").alias("score"))
+    child = child.join(c.select("c_", F.struct("text", "start", "end").alias("t_")), child["chunk_id"] == F.col("c_"), "left")
+    child = child.withColumn("t_", found("chunk_id", F.col("t_").isNotNull(), F.col("t_")))
+    one = F.struct("o_", F.struct("chunk_id", "score", "t_.text", "t_.start", "t_.end").alias("m"))
+    child = child.groupBy("qid", "parent_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["m"]).alias("matched_children"))
+    d = documents.withColumnRenamed("doc_id", "d_")
+    out = parents.drop("children").join(child, ["qid", "parent_id"], "left").join(d, F.col("doc_id") == F.col("d_"), "left")
+    out = out.withColumn("doc_id", found("doc_id", F.col("d_").isNotNull(), F.col("doc_id"))).drop("d_")
+    return out.orderBy("qid", "rk")
 
 
 def missing_references(hits: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import duck, table, view
 from ..functions import text as T
-from ..operators import calibrate, cite, html, pdfgeom
+from ..operators import calibrate, cite, html, pdfgeom, requests
 from ..streaming import state
 
 QUERIES, ORACLES = {}, {}
@@ -37,17 +37,39 @@ def citation_validity(spark, sf_dir):
     return cite.check(view(spark, sf_dir, "answers")).select("conv_id", "turn", *(F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("valid", "invalid")))
 
 
-@query(duck(A, CITED + f", g AS (SELECT *, len(list_filter(nums, lambda v: v BETWEEN 1 AND n_materials)) = 0 AS degraded FROM c) SELECT conv_id, turn, degraded, CASE WHEN degraded THEN '{cite.NO_EVIDENCE}' ELSE text END AS final_text FROM g"))
+@query(
+    duck(
+        A,
+        CITED
+        + f""", g AS (SELECT *, n_materials = 0 AS none, n_materials = 0 OR len(list_filter(nums, lambda v: v BETWEEN 1 AND n_materials)) = 0 AS degraded, array_to_string(list_filter(nums, lambda v: NOT v BETWEEN 1 AND n_materials), '、') AS bad FROM c)
+SELECT conv_id, turn, degraded, CASE WHEN degraded THEN '{cite.NO_EVIDENCE}' ELSE text END AS final_text, CASE WHEN none THEN '' ELSE text END AS raw_text,
+    concat_ws('|', CASE WHEN NOT none AND turn % 3 = 0 THEN '{cite.UNDATED}' END, CASE WHEN NOT degraded AND bad <> '' THEN replace('{cite.REMOVED}', '%s', bad) END) AS notes FROM g""",
+    )
+)
 def degraded_answers(spark, sf_dir):
-    return cite.degrade(cite.check(view(spark, sf_dir, "answers"))).select("conv_id", "turn", "degraded", "final_text")
+    return cite.degrade(cite.check(view(spark, sf_dir, "answers")), F.col("turn") % 3 == 0).select("conv_id", "turn", "degraded", "final_text", "raw_text", F.array_join("notes", "|").alias("notes"))
+
+
+@query(duck(A, CITED + f", g AS (SELECT *, n_materials = 0 OR len(list_filter(nums, lambda v: v BETWEEN 1 AND n_materials)) = 0 AS degraded FROM c) SELECT conv_id, turn, CASE WHEN degraded THEN '{cite.NO_EVIDENCE}' ELSE text END AS text, degraded, array_to_string(list_transform(list_sort(list_filter(nums, lambda v: v BETWEEN 1 AND n_materials)), lambda v: 'p' || v), ',') AS cited, array_to_string(list_filter(nums, lambda v: NOT v BETWEEN 1 AND n_materials), ',') AS invalid, true AS cache_hit FROM g"))
+def response_round_trip(spark, sf_dir):
+    d = cite.degrade(cite.check(view(spark, sf_dir, "answers")))
+    null = F.lit(None)
+    parent = lambda n: F.struct(
+        F.concat(F.lit("p"), n.cast("string")).alias("parent_id"), F.lit("d").alias("doc_id"), F.lit(0.25).alias("score"), F.lit("text \"quoted\"").alias("text"), n.alias("token_count"), F.lit("title").alias("title"), null.cast("string").alias("source_url"),
+        null.cast("string").alias("country"), null.cast("string").alias("doc_type"), null.cast("string").alias("publisher"), null.cast("string").alias("effective_date"),
+        F.array(F.struct(F.lit("c").alias("chunk_id"), F.lit(0.25).alias("score"), F.lit("é").alias("text"), F.lit(0).cast("long").alias("start_offset"), F.lit(1).cast("long").alias("end_offset"))).alias("matched_children"),
+    )
+    r = d.select("conv_id", "turn", F.col("final_text").alias("text"), "raw_text", "degraded", "notes", F.transform("valid", parent).alias("cited"), F.col("invalid").alias("invalid_numbers"), null.cast("double").alias("top_score"), F.col("n_materials").alias("parent_count"), F.lit(False).alias("refused"))
+    back = cite.decode(cite.encode(r).select("conv_id", "turn", "payload"))
+    return back.select("conv_id", "turn", "text", "degraded", F.array_join(F.transform("cited", lambda x: x["parent_id"]), ",").alias("cited"), F.array_join("invalid_numbers", ",").alias("invalid"), "cache_hit")
 
 
-MATERIALS = ", m AS (SELECT doc_id - doc_id % 5 AS qid, doc_id % 5 + 1 AS position, doc_id - doc_id % 2 AS doc, title, effective_date, source_url FROM registry)"
+MATERIALS = ", m AS (SELECT doc_id - doc_id % 5 AS qid, doc_id % 5 + 1 AS position, doc_id - doc_id % 2 AS doc, title, effective_date, CASE WHEN doc_id % 4 > 0 THEN source_url END AS source_url, publisher, country FROM registry)"
 
 
 def materials(spark, sf_dir):
     r, d = view(spark, sf_dir, "registry"), F.col("doc_id")
-    return r.select((d - d % 5).alias("qid"), (d % 5 + 1).alias("position"), (d - d % 2).alias("doc_id"), "title", "effective_date", "source_url")
+    return r.select((d - d % 5).alias("qid"), (d % 5 + 1).alias("position"), (d - d % 2).alias("doc_id"), "title", "effective_date", F.when(d % 4 > 0, F.col("source_url")).alias("source_url"), "publisher", "country", F.lit(None).cast("string").alias("doc_type"))
 
 
 @query(duck(["registry"], MATERIALS + " SELECT qid, doc AS doc_id, arg_min(title, position) AS title, count(*) AS n FROM m GROUP BY 1, 2"))
@@ -60,9 +82,59 @@ def undated_notes(spark, sf_dir):
     return materials(spark, sf_dir).groupBy("qid").agg(F.bool_or(F.col("effective_date").isNull()).alias("undated"))
 
 
-@query(duck(["registry"], MATERIALS + " SELECT qid, string_agg('[' || position || '] ' || coalesce(title, '未登记') || ' | ' || coalesce(CAST(effective_date AS VARCHAR), '未标注') || ' | ' || coalesce(source_url, '未登记') || chr(10) || title, chr(10) || chr(10) ORDER BY position) AS context FROM m GROUP BY 1"))
+@query(
+    duck(
+        ["registry"],
+        MATERIALS
+        + """ SELECT qid, string_agg('[' || position || '] ' || title || chr(10) || '    发布机构：' || coalesce(publisher, '未标注') || '  适用国家：' || coalesce(country, '未标注') || '  文档类型：未标注  生效日期：' || coalesce(CAST(effective_date AS VARCHAR), '未标注')
+    || chr(10) || '    出处：' || coalesce(source_url, '未登记') || chr(10) || '    ---' || chr(10) || title, chr(10) || chr(10) ORDER BY position) AS context FROM m GROUP BY 1 UNION ALL SELECT DISTINCT qid + 1, '（没有检索到任何材料）' FROM m""",
+    )
+)
 def build_context(spark, sf_dir):
-    return cite.context(materials(spark, sf_dir).withColumn("text", F.col("title")))
+    m = materials(spark, sf_dir).withColumn("text", F.col("title"))
+    ids = m.select("qid").distinct()
+    return cite.context(m, ids.unionByName(ids.select((F.col("qid") + 1).alias("qid"))))
+
+
+@query(duck(["registry"], MATERIALS + " SELECT qid, CAST(sum(2000 + doc * 7 % 3000) AS BIGINT) AS tokens, CASE WHEN sum(2000 + doc * 7 % 3000) < 8000 THEN 'low' WHEN sum(2000 + doc * 7 % 3000) < 16000 THEN 'middle' ELSE 'high' END AS budget FROM m GROUP BY 1"))
+def recalled_tokens(spark, sf_dir):
+    return cite.recalled_tokens(materials(spark, sf_dir).select("qid", (2000 + F.col("doc_id") * 7 % 3000).alias("token_count")))
+
+
+@query(r"SELECT doc_id, CASE WHEN length(flat) > 240 THEN substr(flat, 1, 240) || '… (' || length(flat) || ')' ELSE flat END AS preview FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat FROM documents)".replace("\\\\", "\\"))
+def text_preview(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.preview(F.col("text")).alias("preview"))
+
+
+VALID = """, q AS (SELECT request_id, CASE WHEN request_id % 6 = 0 THEN repeat('x', 2001) WHEN request_id % 6 = 1 THEN '' ELSE question END AS question, CASE WHEN request_id % 6 = 2 THEN repeat('c', 17) ELSE country END AS country, request_id % 6 = 3 AS odd FROM requests)"""
+
+
+@query(duck(["requests"], VALID + " SELECT request_id, CASE WHEN odd THEN 'unknown key extra' WHEN question = '' THEN 'question is missing' WHEN length(question) > 2000 THEN 'question has more than 2000 characters' WHEN length(country) > 16 THEN 'country has more than 16 characters' END AS error FROM q"))
+def request_validation(spark, sf_dir):
+    n = F.col("request_id")
+    question = F.when(n % 6 == 0, F.repeat(F.lit("x"), F.lit(2001))).when(n % 6 == 1, "").otherwise(F.col("question"))
+    country = F.when(n % 6 == 2, F.repeat(F.lit("c"), F.lit(17))).otherwise(F.col("country"))
+    body = F.to_json(F.struct(question.alias("question"), country.alias("country"), F.when(n % 6 == 3, 1).alias("extra")))
+    return requests.validate(view(spark, sf_dir, "requests").select("request_id", body.alias("body"))).select("request_id", "error")
+
+
+@query(duck(["requests"], " SELECT request_id, request_id % 3 > 0 AS kept FROM requests"))
+def trace_ids(spark, sf_dir):
+    given = F.when(F.col("request_id") % 3 > 0, F.concat(F.lit("t_"), F.col("request_id").cast("string"))).otherwise("bad id!")
+    r = view(spark, sf_dir, "requests").select("request_id", given.alias("given"))
+    return r.withColumn("id", requests.trace_id(F.col("given"))).select("request_id", ((F.col("id") == F.col("given")) & F.col("id").rlike(requests.TRACE)).alias("kept"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN '[\"' || lang || '\",\"' || source || '\"]' END AS list, CASE WHEN doc_id % 3 > 0 THEN lang || '|' || source ELSE '' END AS again FROM documents")
+def list_round_trip(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    c = requests.encode_list(F.when(F.col("doc_id") % 3 > 0, F.array("lang", "source")).otherwise(F.array().cast("array<string>")))
+    return d.select("doc_id", c.alias("list")).withColumn("again", F.array_join(requests.decode_list(F.col("list")), "|"))
+
+
+@query(duck(["dims"], " SELECT code || '（' || name_en || '）' AS shown, code FROM dims"))
+def dimension_options(spark, sf_dir):
+    return requests.options(view(spark, sf_dir, "dims"), "code", "name_en").select(F.explode("options").alias("shown", "code"))
 
 
 C = ["cases"]
@@ -95,15 +167,36 @@ def eval_sources_exploded(spark, sf_dir):
     return d.select("doc_id", F.explode(T.split_sources(F.concat("lang", F.lit("; "), "source", F.lit(" ;;"), "lang"))).alias("source"))
 
 
-@query(r"SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:]+)', 1)), '^www\.', '') AS host, CASE WHEN regexp_extract(url, '^[a-z]+://([^/:]+)', 1) = 'tionsh.example.net' THEN 'article' END AS selector FROM pages")
+HOST = r"regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:]+)', 1)), '^www\.', '')"
+
+
+def sites(spark, sf_dir):
+    """Half of the hosts that the pages have, with a selector each."""
+    hosts = table(spark, sf_dir, "pages").select(T.host(F.col("url")).alias("host")).distinct().filter("length(host) % 2 = 0")
+    return hosts.withColumn("selector", F.when(F.length("host") % 4 == 0, "article").otherwise("no-such-id"))
+
+
+@query(f"SELECT page_id, host, CASE WHEN length(host) % 4 = 0 THEN 'article' WHEN length(host) % 2 = 0 THEN 'no-such-id' END AS selector FROM (SELECT page_id, {HOST} AS host FROM pages)")
 def site_selector_lookup(spark, sf_dir):
-    sites = spark.createDataFrame([("tionsh.example.net", "article")], "host string, selector string")
-    return html.selectors(table(spark, sf_dir, "pages"), sites).select("page_id", "host", "selector")
+    return html.selectors(table(spark, sf_dir, "pages"), sites(spark, sf_dir)).select("page_id", "host", "selector")
+
+
+@query(f"SELECT page_id, CASE WHEN url IS NULL THEN 'no source_url' WHEN length(host) % 2 = 1 THEN 'no selector for its host' WHEN length(host) % 4 > 0 THEN 'nothing in the container' END AS error FROM (SELECT page_id, CASE WHEN page_id % 13 > 0 THEN url END AS url, {HOST} AS host FROM pages)")
+def html_file_outcomes(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 13 > 0, F.col("url")).alias("url"), F.col("html").cast("binary").alias("content"))
+    return html.parse_files(p, sites(spark, sf_dir))[1]
+
 
+@query(r"SELECT doc_id AS page_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS ord, text FROM (SELECT doc_id, pos, trim(regexp_replace(line, '\s+', ' ', 'g')) AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)) WHERE text <> ''")
+def plain_text_blocks(spark, sf_dir):
+    return html.text_blocks(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text")).select("page_id", "ord", "text")
 
-@query("SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 'pdf' WHEN lower(trim(html)) LIKE '<!doctype%' OR html LIKE '%<%' THEN 'html' END AS format FROM pages")
+
+@query("SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 'pdf' WHEN page_id % 10 <> 1 THEN 'html' END AS format FROM pages")
 def format_sniff(spark, sf_dir):
-    content = F.when(F.col("page_id") % 10 == 0, F.concat(F.lit("%PDF-1.7\n"), "html")).otherwise(F.col("html")).cast("binary")
+    n = F.col("page_id") % 10
+    content = F.when(n == 0, F.concat(F.lit("%PDF-1.7\n"), "html")).when(n == 1, F.concat(F.lit("plain text, a < b "), "html")).when(n == 2, F.concat(F.lit("\ufeff \r\n\t"), "html")).otherwise(F.col("html")).cast("binary")
+    content = F.when(n == 3, F.concat(F.lit(b"\xff\xfe"), F.col("html").cast("binary"))).otherwise(content)
     return table(spark, sf_dir, "pages").select("page_id", html.sniff(content).alias("format"))
 
 
@@ -120,12 +213,21 @@ def html_blocks(spark, sf_dir):
     return html.blocks(table(spark, sf_dir, "pages"))
 
 
-@query("SELECT page_id AS doc_id, CAST(CASE WHEN page_id % 3 > 0 THEN 1 WHEN page_id % 2 = 0 THEN 2 END AS INTEGER) AS tier FROM pages")
+@query("SELECT page_id AS doc_id, CAST(CASE WHEN page_id % 3 > 0 THEN 1 WHEN page_id % 2 = 0 THEN 2 END AS INTEGER) AS tier, CASE WHEN page_id % 3 > 0 THEN '1:true' ELSE '1:false' END || CASE WHEN page_id % 2 = 0 THEN ' 2:true' ELSE '' END AS log FROM pages")
 def tier_routing(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"))
-    hard = F.when(F.col("doc_id") % 2 == 0, "hard").otherwise("simple").alias("difficulty")
-    a = p.select("doc_id", F.lit(1).alias("tier"), hard, (F.col("doc_id") % 3 > 0).alias("passed"))
-    return html.route(a.unionByName(p.select("doc_id", F.lit(2).alias("tier"), hard, F.lit(True).alias("passed")))).select("doc_id", "tier")
+    d = F.col("doc_id")
+    hard = html.difficulty(F.lit("html"), d % 2 == 1, F.lit(None).cast("double")).alias("difficulty")
+    a = p.select("doc_id", F.lit(1).alias("tier"), hard, (d % 3 > 0).alias("passed"))
+    routed = html.route(a.unionByName(p.select("doc_id", F.lit(2).alias("tier"), hard, F.lit(True).alias("passed"))))
+    return routed.select("doc_id", "tier", F.array_join(F.transform("log", lambda x: F.concat(x["tier"].cast("string"), F.lit(":"), x["passed"].cast("string"))), " ").alias("log"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN CASE WHEN page_id % 4 = 0 AND length(url) >= 50 THEN 'simple' ELSE 'hard' END WHEN page_id % 3 = 0 THEN 'simple' ELSE 'hard' END AS difficulty FROM pages")
+def difficulty_probe(spark, sf_dir):
+    n = F.col("page_id")
+    d = html.difficulty(F.when(n % 2 == 0, "pdf").otherwise("html"), n % 3 == 0, F.when(n % 4 == 0, F.length("url").cast("double")))
+    return table(spark, sf_dir, "pages").select("page_id", d.alias("difficulty"))
 
 
 P = ["pdf_lines"]
@@ -167,17 +269,30 @@ def pdf_words(spark, sf_dir):
     return lines.select("doc_id", "page", top.alias("top"), (top + 10).alias("bottom"), (F.col("i") * 30.0).alias("x0"), (F.col("i") * 30.0 + 20).alias("x1"), "text")
 
 
-@query(duck(P, ", w AS (SELECT doc_id, page, seq, unnest(list_filter(string_split(text, ' '), lambda x: true)) AS text, top FROM pdf_lines) SELECT doc_id, page, dense_rank() OVER (PARTITION BY doc_id, page ORDER BY seq) - 1 AS line, words FROM (SELECT doc_id, page, seq, count(*) AS words FROM w GROUP BY 1, 2, 3)"))
+@query(duck(P, " SELECT doc_id, page, dense_rank() OVER (PARTITION BY doc_id, page ORDER BY seq) - 1 AS line, text FROM pdf_lines"))
 def words_to_lines(spark, sf_dir):
-    out = pdfgeom.words_to_lines(pdf_words(spark, sf_dir))
-    return out.select("doc_id", "page", "line", F.size(F.split("text", " ")).cast("long").alias("words"))
+    return pdfgeom.words_to_lines(pdf_words(spark, sf_dir))
 
 
-@query(duck(P, ", w AS (SELECT doc_id, page, round(top + ((i - 1) % 3) * 0.4, 1) AS top, (i - 1) * 30.0 AS x0 FROM (SELECT doc_id, page, top, unnest(range(1, len(string_split(text, ' ')) + 1)) AS i FROM pdf_lines)) SELECT doc_id, page, count(*) AS n FROM w WHERE NOT (x0 + 10 BETWEEN 50 AND 200 AND top + 5 BETWEEN 100 AND 150 AND page % 2 = 1) GROUP BY 1, 2"))
+@query(duck(P, ", w AS (SELECT doc_id, page, round(top + ((i - 1) % 3) * 0.4, 1) AS top, (i - 1) * 30.0 AS x0, s[i] AS text FROM (SELECT doc_id, page, top, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT *, string_split(text, ' ') AS s FROM pdf_lines))) SELECT doc_id, page, x0, top, text FROM w WHERE NOT (x0 + 10 BETWEEN 50 AND 200 AND top + 5 BETWEEN 100 AND 150 AND page % 2 = 1)"))
 def words_outside_tables(spark, sf_dir):
     w = pdf_words(spark, sf_dir)
     boxes = w.select("doc_id", "page").distinct().filter("page % 2 = 1").select("doc_id", "page", F.lit(50.0).alias("left"), F.lit(200.0).alias("right"), F.lit(100.0).alias("upper"), F.lit(150.0).alias("lower"))
-    return pdfgeom.outside_tables(w, boxes).groupBy("doc_id", "page").agg(F.count("*").alias("n"))
+    return pdfgeom.outside_tables(w, boxes).select("doc_id", "page", "x0", "top", "text")
+
+
+@query(duck(P, " SELECT doc_id, page, seq, size, top, replace(text, ' ', '') AS text FROM pdf_lines WHERE replace(text, ' ', '') <> ''"))
+def span_lines(spark, sf_dir):
+    lines = view(spark, sf_dir, "pdf_lines").select("doc_id", "page", "seq", "top", "size", F.posexplode(F.split("text", " ")).alias("span", "text"))
+    return pdfgeom.span_lines(lines.withColumn("size", F.when(F.col("span") > 0, F.col("size") - 1).otherwise(F.col("size"))))
+
+
+@query("SELECT doc_id, nullif(concat_ws(chr(10), CASE WHEN doc_id % 3 > 0 THEN lang || ' |  | ' || source END, CASE WHEN doc_id % 2 = 0 THEN source || ' | x y' END), '') AS text FROM documents")
+def table_texts(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    first = F.when(F.col("doc_id") % 3 > 0, F.array(F.concat(F.lit(" "), "lang"), none, F.col("source"))).otherwise(F.array(none, F.lit("  ")))
+    second = F.when(F.col("doc_id") % 2 == 0, F.array(F.col("source"), F.lit("x\n y"))).otherwise(F.array(F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", pdfgeom.table_text(F.array(first, second)).alias("text"))
 
 
 PAGES = ", g AS (SELECT doc_id, page, sum(length(text)) AS chars FROM pdf_lines GROUP BY 1, 2), n AS (SELECT doc_id, max(page) AS n FROM g GROUP BY 1)"
@@ -228,6 +343,8 @@ def streamed(spark, sf_dir, columns, step, mode):
     if not root:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="citelake-stream-")
     root = f"{root}/stream-{uuid.uuid4().hex}"
     source = f"{sf_dir}/events.parquet"
@@ -235,15 +352,20 @@ def streamed(spark, sf_dir, columns, step, mode):
     spark.read.parquet(source).write.parquet(f"{root}/in")
     out = step(spark.readStream.schema(schema).parquet(f"{root}/in").selectExpr(*columns))
 
-    def keep(df, _):
-        df.write.mode("append").parquet(f"{root}/out")
+    def keep(df, batch):  # under its own name: a batch that is tried again replaces what it wrote
+        df.write.mode("overwrite").parquet(f"{root}/out/batch={batch}")
 
     q = out.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{root}/out")
+    return spark.read.parquet(f"{root}/out").drop("batch")
 
 
-@query()
+@query(
+    """WITH c AS (SELECT *, CASE WHEN date_diff('microsecond', lag(ts) OVER w, ts) >= 3600000000 THEN 1 ELSE 0 END AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM c),
+k AS (SELECT *, max(session) OVER (PARTITION BY user_id) AS newest, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM s)
+SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS n, '[' || string_agg('"' || event_type || '"', ', ' ORDER BY ts, event_id) || ']' AS messages FROM k WHERE session = newest AND back <= 20 GROUP BY user_id"""
+)
 def session_stream(spark, sf_dir):
     return streamed(spark, sf_dir, ["cast(user_id as string) key", "cast(ts as timestamp) ts", "event_type text"], state.session_stream, "update").select("key", "n", "messages")
 

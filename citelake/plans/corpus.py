@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import duck, table, view
 from ..functions import text as T
-from ..operators import chunk, decide, index, quality
+from ..operators import chunk, decide, importing, index, quality
 from ..sources import tables
 
 QUERIES, ORACLES = {}, {}
@@ -30,7 +30,7 @@ def normalised_blocks(spark, sf_dir):
 
 QUALITY = """, c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, text) AS copies FROM blocks),
 m AS (SELECT doc_id, CAST(sum(length(text)) + count(*) - 1 AS BIGINT) AS total_chars, count(*) AS blocks, count(*) FILTER (type = 'heading') AS headings,
-    coalesce(count(*) FILTER (type = 'paragraph' AND length(text) < 10) / nullif(count(*) FILTER (type = 'paragraph'), 0), 0.0) AS fragment_ratio,
+    coalesce(count(*) FILTER (type <> 'heading' AND length(text) < 10) / nullif(count(*) FILTER (type <> 'heading'), 0), 0.0) AS fragment_ratio,
     count(*) FILTER (copies > 1) / count(*) AS duplicate_ratio,
     sum(length(text) - length(regexp_replace(text, '[\\x{FFFD}\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x{E000}-\\x{F8FF}]', '', 'g'))) / nullif(sum(length(text)) + count(*) - 1, 0) AS garbage_ratio FROM c GROUP BY doc_id)""".replace("\\\\", "\\")
 
@@ -231,17 +231,16 @@ def dimension_lookup(spark, sf_dir):
     return view(spark, sf_dir, "dims").filter("is_active").select("code", "name_en").orderBy("code")
 
 
-LOADED = CHILDREN + ", hits AS (SELECT chunk_id AS parent_id, doc_id FROM pc)"
-
-
-@query(duck(["blocks", "registry"], LOADED + " SELECT h.parent_id, h.doc_id, CAST(length(pc.text) AS BIGINT) AS chars, r.title, r.source_url FROM hits h JOIN pc ON pc.chunk_id = h.parent_id LEFT JOIN registry r ON r.doc_id = h.doc_id"))
+@query(duck(["blocks", "registry"], CHILDREN + " SELECT pc.doc_id AS qid, CAST(pc.parent + 1 AS BIGINT) AS rk, pc.chunk_id AS parent_id, pc.doc_id, pc.text, CAST(len(regexp_split_to_array(pc.text, '[ \\n]')) AS BIGINT) AS token_count, cc.chunk_id, cc.text AS child_text, cc.a AS start_offset, cc.b AS end_offset, r.title, r.source_url FROM pc JOIN cc ON cc.parent_id = pc.chunk_id JOIN registry r ON r.doc_id = pc.doc_id"))
 def load_context(spark, sf_dir):
     from ..operators import retrieve
 
     c = all_chunks(spark, sf_dir)
-    hits = c.filter("level = 'parent'").select(F.col("chunk_id").alias("parent_id"), "doc_id")
-    out = retrieve.load_context(hits, c.filter("level = 'parent'").drop("doc_id", "parent_id"), view(spark, sf_dir, "registry").select("doc_id", "title", "source_url"))
-    return out.select("parent_id", "doc_id", F.length("parent_text").cast("long").alias("chars"), "title", "source_url")
+    children = c.filter("level = 'child'").groupBy("parent_id").agg(F.array_sort(F.collect_list(F.struct("chunk_id", F.lit(0.5).alias("score")))).alias("children"))
+    hits = c.filter("level = 'parent'").select(F.col("doc_id").alias("qid"), (F.col("chunk_index") + 1).alias("rk"), F.col("chunk_id").alias("parent_id"), "doc_id", F.lit(0.5).alias("score")).join(children, "parent_id")
+    out = retrieve.load_context(hits, c, view(spark, sf_dir, "registry").select("doc_id", "title", "source_url"))
+    out = out.select("qid", "rk", "parent_id", "doc_id", "text", "token_count", F.explode("matched_children").alias("m"), "title", "source_url")
+    return out.select("qid", "rk", "parent_id", "doc_id", "text", "token_count", "m.chunk_id", F.col("m.text").alias("child_text"), F.col("m.start").alias("start_offset"), F.col("m.end").alias("end_offset"), "title", "source_url")
 
 
 @query(duck(CV, " SELECT chunk_id FROM (SELECT chunk_id + 490 AS chunk_id FROM chunk_vectors) WHERE chunk_id NOT IN (SELECT chunk_id FROM chunk_vectors)"))
@@ -252,13 +251,73 @@ def missing_references(spark, sf_dir):
     return retrieve.missing_references(v.select((F.col("chunk_id") + 490).alias("chunk_id")), v)
 
 
-MANIFEST = """, r AS (SELECT line_number, replace(raw_path, '/raw/', '') AS file_name, title, publisher AS platform, upper(country) AS country, min(line_number) OVER (PARTITION BY replace(raw_path, '/raw/', '')) AS first FROM incoming),
+MANIFEST = """, r AS (SELECT line_number, replace(raw_path, '/raw/', '') AS file_name, title, CASE WHEN line_number % 9 = 0 THEN 'ebay' WHEN line_number % 25 > 0 THEN 'amazon' END AS platform, CASE WHEN line_number % 7 = 0 THEN 'someone' ELSE publisher END AS publisher,
+    upper(country) AS country, CASE WHEN line_number % 8 = 0 THEN 'faq' ELSE 'policy' END AS doc_type, CASE WHEN line_number % 5 = 0 THEN '2021/07/01' END AS day, min(line_number) OVER (PARTITION BY replace(raw_path, '/raw/', '')) AS first FROM incoming),
 e AS (SELECT line_number, CASE WHEN file_name IS NULL THEN 'file_name is missing' WHEN title IS NULL THEN 'title is missing' WHEN platform IS NULL THEN 'platform is missing'
     WHEN regexp_matches(file_name, '[/\\\\]') THEN 'file_name holds a path' WHEN first < line_number THEN 'file_name of line ' || first || ' is repeated in line ' || line_number
-    WHEN country NOT IN ('DE', 'ES', 'EU', 'FR', 'IT', 'UK') THEN 'country ' || country || ' is not one of DE, ES, EU, FR, IT, UK' END AS error FROM r)"""
+    WHEN platform <> 'amazon' THEN 'platform ' || platform || ' is not one of amazon' WHEN publisher NOT IN ('amazon', 'eu_commission') THEN 'publisher ' || publisher || ' is not one of amazon, eu_commission'
+    WHEN country NOT IN ('DE', 'ES', 'EU', 'FR', 'IT', 'NL', 'PL') THEN 'country ' || country || ' is not one of DE, ES, EU, FR, IT, NL, PL'
+    WHEN doc_type = 'faq' THEN 'doc_type faq is not one of guideline, policy, regulation' WHEN day IS NOT NULL THEN 'bad date ' || day END AS error FROM r)"""
 
 
 @query(duck(["incoming"], MANIFEST + " SELECT line_number, error FROM e WHERE error IS NOT NULL"))
 def manifest_violations(spark, sf_dir):
-    rows = view(spark, sf_dir, "incoming").select("line_number", F.replace(F.col("raw_path"), F.lit("/raw/"), F.lit("")).alias("file_name"), "title", F.col("publisher").alias("platform"), F.upper("country").alias("country"), F.col("effective_date").cast("string").alias("effective_date"))
+    n = F.col("line_number")
+    rows = view(spark, sf_dir, "incoming").select(
+        "line_number", F.replace(F.col("raw_path"), F.lit("/raw/"), F.lit("")).alias("file_name"), "title", F.when(n % 9 == 0, "ebay").when(n % 25 > 0, "amazon").alias("platform"), F.when(n % 7 == 0, "someone").otherwise(F.col("publisher")).alias("publisher"),
+        F.upper("country").alias("country"), F.when(n % 8 == 0, "faq").otherwise("policy").alias("doc_type"), F.when(n % 5 == 0, "2021/07/01").alias("effective_date"),
+    )
     return tables.manifest(rows).filter("error is not null").select("line_number", "error")
+
+
+FIELDS = ("title", "source_url", "publisher", "country", "effective_date", "raw_path")
+OUTCOMES = DECIDE + """, o AS (SELECT *, CASE WHEN min(line_number) OVER (PARTITION BY content_hash) <> line_number AND action <> 'UPDATE_META' THEN 'SKIP' ELSE action END AS act, source_url IS NULL OR publisher IS NULL OR country IS NULL AS short,
+    CASE WHEN substr(content_hash, 1, 1) = '0' THEN 'manual' WHEN substr(content_hash, 1, 1) = '1' THEN 'failed' ELSE 'fine' END AS fate FROM dec),
+x AS (SELECT line_number, content_hash, title, source_url, publisher, country, effective_date, raw_path, act AS action, coalesce(matched_id, CASE WHEN act <> 'SKIP' THEN line_number + 1000000000 END) AS doc_id,
+    CASE WHEN act = 'SKIP' THEN 'indexed' WHEN short THEN 'pending' WHEN act = 'UPDATE_META' OR fate = 'fine' THEN 'indexed' WHEN fate = 'manual' THEN 'needs_manual' ELSE 'failed' END AS status, act IN ('SKIP', 'UPDATE_META') OR short OR fate = 'fine' AS ok FROM o)"""
+
+
+def outcomes(spark, sf_dir):
+    decided_ = decided(spark, sf_dir)
+    c = F.substring("content_hash", 1, 1)
+    parsed = decided_.select("content_hash").distinct().select("content_hash", (c != "0").alias("parsed"), (c != "1").alias("indexed"), F.lit(1).alias("parents"), F.lit(2).alias("children"))
+    return decided_, importing.execute(decided_, parsed, F.col("line_number") + 1000000000, ("source_url", "publisher", "country"))
+
+
+@query(duck(IR, OUTCOMES + " SELECT line_number, action, doc_id, status, ok FROM x"))
+def import_outcomes(spark, sf_dir):
+    return outcomes(spark, sf_dir)[1].select("line_number", "action", "doc_id", "status", "ok")
+
+
+@query(
+    duck(
+        IR,
+        OUTCOMES
+        + """, made AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_number DESC) AS k FROM x WHERE action <> 'SKIP') WHERE k = 1),
+w AS (SELECT doc_id, status, content_hash, CAST(NULL AS BIGINT) AS line_number, title, source_url, publisher FROM registry WHERE doc_id NOT IN (SELECT doc_id FROM made) UNION ALL SELECT doc_id, status, content_hash, line_number, title, source_url, publisher FROM made),
+n AS (SELECT source_url, max(line_number) AS newest FROM w WHERE status = 'indexed' AND line_number IS NOT NULL AND source_url IS NOT NULL GROUP BY 1)
+SELECT w.doc_id, CASE WHEN w.status = 'indexed' AND n.newest IS NOT NULL AND coalesce(w.line_number, -1) < n.newest THEN 'superseded' ELSE w.status END AS status, w.content_hash, w.title, w.source_url, w.publisher FROM w LEFT JOIN n ON n.source_url = w.source_url""",
+    )
+)
+def registry_after_import(spark, sf_dir):
+    decided_, found = outcomes(spark, sf_dir)
+    return importing.registry_after(view(spark, sf_dir, "registry"), decided_, found, FIELDS).select("doc_id", "status", "content_hash", "title", "source_url", "publisher")
+
+
+FAQ = """SELECT doc_id AS path, concat('=== F-01 ===', chr(10), '--- 问题 ---', chr(10), 'q ', lang, chr(10), '```', chr(10), '--- 译文 ---', chr(10), CASE WHEN doc_id % 5 = 1 THEN ' ' ELSE concat('  a', chr(10), 'b  ') END, chr(10), '--- 原文 ---', chr(10), CASE WHEN doc_id % 5 = 2 THEN '译文' ELSE replace(text, '```', '') END, chr(10), '--- 出处 ---', chr(10), source, chr(10), '=== F-0', CASE WHEN doc_id % 5 = 3 THEN '1' ELSE '2' END, ' ==', chr(10), '-- 问题', chr(10), 'x', chr(10), '-- 译文', chr(10), 'y', chr(10), '-- 原文', chr(10), 'z', chr(10), '-- 出处', chr(10), 'w') AS value FROM documents"""
+
+
+@query(
+    """SELECT doc_id AS path, 'F-01' AS entry_id, 'q ' || lang AS question_zh, CASE WHEN doc_id % 5 <> 1 THEN '  a' || chr(10) || 'b' END AS answer_zh, source, CASE doc_id % 5 WHEN 1 THEN 'answer_zh is empty' WHEN 2 THEN 'answer_en has no Latin letter' END AS error FROM documents
+UNION ALL SELECT doc_id, CASE WHEN doc_id % 5 = 3 THEN 'F-01' ELSE 'F-02' END, 'x', 'y', 'w', CASE WHEN doc_id % 5 = 3 THEN 'the entry is there twice' END FROM documents""".replace("'  a'", "'a'")
+)
+def faq_entries(spark, sf_dir):
+    text = F.expr(FAQ.split(" AS path, ", 1)[1].removesuffix(" AS value FROM documents"))
+    return tables.faq(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), text.alias("value"))).select("path", "entry_id", "question_zh", "answer_zh", "source", "error")
+
+
+@query("SELECT code, name_en FROM (SELECT n_name AS code, CASE WHEN n_nationkey % 2 = 0 THEN 'seeded' ELSE r_name END AS name_en FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'XX', 'new')")
+def seed_dimensions(spark, sf_dir):
+    dims = view(spark, sf_dir, "dims").select("code", "name_en")
+    keys = table(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0").select(F.col("n_name").alias("code"), F.lit("seeded").alias("name_en"))
+    return index.seed(dims, keys.unionByName(spark.createDataFrame([("XX", "new")], "code string, name_en string")))

@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean, parse_day, split_sources
+from ..functions.text import clean, parse_day, split_sources, strip
 
 # Columns of the files and the values that their coded columns may have.
 MANIFEST = ("file_name", "title", "source_url", "publisher", "country", "doc_type", "effective_date", "platform", "notes")
-MANIFEST_REQUIRED = ("file_name", "title", "country", "platform")
-COUNTRIES = ("DE", "ES", "EU", "FR", "IT", "UK")
-DOC_TYPES = ("guideline", "policy", "regulation")
+MANIFEST_REQUIRED = ("file_name", "title", "source_url", "publisher", "country", "doc_type", "effective_date", "platform")
+COUNTRIES = ("EU", "DE", "FR", "IT", "ES", "NL", "PL")
+DOC_TYPES = ("guideline", "regulation", "policy")
+PUBLISHERS = ("amazon", "eu_commission")
+PLATFORMS = ("amazon",)
 CASES = ("question", "expected_behavior", "category", "expected_sources", "notes")
 BEHAVIOURS = ("answer", "refuse")
+# The lines that begin an entry or a field of the FAQ text, the fields' names in order with the names they have in JSON, and code fences.
+FAQ_ENTRY = r"^={3,}\s*(F-\d+)\s*=*$"
+FAQ_FIELD = r"^-{2,}\s*(问题|译文|原文|出处)\s*-*$"
+FAQ_FIELDS = {"问题": "question_zh", "译文": "answer_zh", "原文": "answer_en", "出处": "source"}
+FENCE = "```"
 
 
 def csv(spark: SparkSession, path: str, required: tuple[str, ...]) -> DataFrame:
@@ -52,7 +59,7 @@ def manifest(rows: DataFrame) -> DataFrame:
         *(F.when(F.col(c).isNull(), F.lit(f"{c} is missing")) for c in ("file_name", "title", "platform")),
         F.when(F.col("file_name").rlike(r"[/\\]"), F.lit("file_name holds a path")),
         F.when(F.col("file_name").isNotNull() & (first < F.col("line_number")), F.format_string("file_name of line %d is repeated in line %d", first, F.col("line_number"))),
-        in_list("country", COUNTRIES), in_list("doc_type", DOC_TYPES),
+        in_list("platform", PLATFORMS), in_list("publisher", PUBLISHERS), in_list("country", COUNTRIES), in_list("doc_type", DOC_TYPES),
         F.when(F.col("effective_date").isNotNull() & day.isNull(), F.concat(F.lit("bad date "), F.col("effective_date"))),
     ]
     return r.withColumn("error", F.coalesce(*faults)).withColumn("effective_date", day)
@@ -61,7 +68,7 @@ def manifest(rows: DataFrame) -> DataFrame:
 def eval_cases(rows: DataFrame) -> DataFrame:
     """Checked evaluation cases with expected_sources as an array; a record cut short, its notes null, is marked."""
     r = rows.select("line_number", *(clean(F.col(c)).alias(c) for c in CASES))
-    fault = F.coalesce(F.when(F.col("question").isNull(), F.lit("question is missing")), F.when(F.col("expected_behavior").isNull(), F.lit("expected_behavior is missing")), in_list("expected_behavior", BEHAVIOURS))
+    fault = F.coalesce(F.when(F.col("question").isNull(), F.lit("question is missing")), F.when(F.col("expected_behavior").isNull(), F.lit("expected_behavior is missing")), in_list("expected_behavior", BEHAVIOURS), F.when(F.col("category").isNull(), F.lit("category is missing")))
     return r.select("line_number", "question", "expected_behavior", "category", split_sources(F.col("expected_sources")).alias("expected_sources"), "notes", F.col("notes").isNull().alias("short_record"), fault.alias("error"))
 
 
@@ -73,14 +80,33 @@ def raw_files(spark: SparkSession, folder: str) -> DataFrame:
     return f.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("path").alias("raw_path"), F.sha2("content", 256).alias("content_hash"), sniff(F.col("content")).alias("format"))
 
 
-def faq(text: DataFrame, entry: str = r"^##\s*(F-\d+)", field: str = r"^\*\*(\w+)\*\*[:：]?\s*(.*)$") -> DataFrame:
-    """(path, id, field, value) of marker-delimited texts (path, value): each field's lines joined. Lines in code fences' markers and before the first entry are dropped."""
-    lines = text.select("path", F.posexplode(F.split("value", "\n")).alias("pos", "line")).filter(~F.col("line").startswith("```"))
+def faq(text: DataFrame) -> DataFrame:
+    """(path, entry_id, question_zh, answer_zh, answer_en, source, error) of marker-delimited texts (path, value), one row an entry, in no order.
+
+    Each field's lines are joined, and the value is stripped. Lines of code fences and lines before a file's first field are dropped. error names the first fault: an empty field, an id
+    for the second time in its file, an original without a Latin letter; null if all is well. A field outside any entry gives a row without an id.
+    """
+    lines = text.select("path", F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("pos", "line")).withColumn("bare", strip(F.col("line"))).filter(~F.col("bare").startswith(FENCE))
     w = Window.partitionBy("path").orderBy("pos")
-    e = F.nullif(F.regexp_extract("line", entry, 1), F.lit(""))
-    f = F.nullif(F.regexp_extract("line", field, 1), F.lit(""))
-    marked = lines.withColumn("entry", e).withColumn("field", F.when(e.isNotNull(), F.lit("")).otherwise(f))
-    marked = marked.withColumn("id", F.last("entry", True).over(w)).withColumn("name", F.last("field", True).over(w))
-    kept = marked.filter("id is not null and entry is null and name <> ''").withColumn("text", F.when(f.isNotNull(), F.regexp_extract("line", field, 2)).otherwise(F.col("line")))
-    value = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n")
-    return kept.groupBy("path", "id", F.col("name").alias("field")).agg(F.trim(value).alias("value"))
+    lines = lines.withColumn("id", F.nullif(F.regexp_extract("bare", FAQ_ENTRY, 1), F.lit(""))).withColumn("name", F.nullif(F.regexp_extract("bare", FAQ_FIELD, 1), F.lit("")))
+    lines = lines.withColumn("n", F.count("id").over(w)).withColumn("field", F.last(F.when(F.col("id").isNotNull(), F.lit("")).otherwise(F.col("name")), True).over(w))
+    own = lambda name: F.array_sort(F.collect_list(F.when(F.col("name").isNull() & F.col("id").isNull() & (F.col("field") == name), F.struct("pos", "line"))))
+    value = lambda name: clean(F.array_join(F.transform(own(name), lambda x: F.regexp_replace(x["line"], r"(?U)\s+$", "")), "\n"))
+    rows = lines.groupBy("path", "n").agg(F.max("id").alias("entry_id"), *(value(k).alias(v) for k, v in FAQ_FIELDS.items()), F.count("name").alias("fields"), F.min("pos").alias("pos"))
+    rows = rows.filter("n > 0 or fields > 0")
+    twice = F.row_number().over(Window.partitionBy("path", "entry_id").orderBy("pos")) > 1
+    fault = F.coalesce(
+        F.when(F.col("entry_id").isNull(), F.lit("a field stands outside any entry")),
+        *(F.when(F.col(v).isNull(), F.lit(f"{v} is empty")) for v in FAQ_FIELDS.values()),
+        F.when(twice, F.lit("the entry is there twice")),
+        F.when(~F.col("answer_en").rlike("[A-Za-z]"), F.lit("answer_en has no Latin letter")),
+    )
+    return rows.select("path", "entry_id", *FAQ_FIELDS.values(), fault.alias("error"))
+
+
+def write_faq(entries: DataFrame, folder: str) -> None:
+    """Write the entries of `faq` as JSON lines with the fields in fixed order. Any fault is an error, and nothing is written."""
+    bad = entries.filter("error is not null").select("path", "entry_id", "error").take(5)
+    if bad:
+        raise ValueError("; ".join(f"{x['path']} {x['entry_id']}: {x['error']}" for x in bad))
+    entries.select("entry_id", *FAQ_FIELDS.values()).write.mode("overwrite").json(folder)

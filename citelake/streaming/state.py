@@ -67,10 +67,15 @@ def session_stream(messages: DataFrame, key: str = "key", keep: int = KEEP, ttl:
 
 
 def cache_stream(requests: DataFrame, key: str = "key", ttl: int = CACHE_TTL) -> DataFrame:
-    """(key, id, hit) of each request, by event time: an entry lives `ttl` seconds from its write. requests: key string, id long, ts timestamp."""
+    """(key, id, hit) of each request, by event time: an entry lives `ttl` seconds from its write, and the watermark removes its state after that. requests: key string, id long, ts timestamp.
+    Only single turns are cached: leave out requests of a session.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(k, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         (written,) = state.get if state.exists else (None,)
         rows = pd.concat(list(parts)).sort_values(["ts", "id"], kind="stable")
         hits = []
@@ -79,6 +84,7 @@ def cache_stream(requests: DataFrame, key: str = "key", ttl: int = CACHE_TTL) ->
             written = written if hit else us
             hits.append(hit)
         state.update((written,))
+        state.setTimeoutTimestamp(max(written // 1000 + ttl * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": k[0], "id": rows["id"].to_numpy(), "hit": hits})
 
-    return requests.groupBy(key).applyInPandasWithState(step, "key string, id long, hit boolean", "written long", "append", GroupStateTimeout.NoTimeout)
+    return requests.withWatermark("ts", f"{ttl} seconds").groupBy(key).applyInPandasWithState(step, "key string, id long, hit boolean", "written long", "append", GroupStateTimeout.EventTimeTimeout)
