@@ -5,7 +5,8 @@ occurs in the language's text is one phrase, and so on. A text parses into few l
 one that needs the fewest phrases for each character wins.
 
 Texts are normalised to lower-case letters with single spaces between words. Characters outside a language's text end a phrase and are one of their own.
-Whole texts are parsed, in pieces of a fixed size that run in step through the automaton's transition table.
+Whole texts are parsed. Their pieces run in step through the automaton's transition table, each from the start; then a piece is run again from the state in which
+the one before it ended, until it meets the states of its first run, and so on until no state changes: the parse is that of the uncut text.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ MODEL_CHARS, DOC_CHARS = 40_000, 1_000
 #: Every language is learned. Beyond 64 of them they share this number of characters alike.
 TOTAL_CHARS = 64 * MODEL_CHARS
 #: Characters of a piece; pieces parsed in step.
-PIECE, STEP_ROWS = 512, 16_384
+PIECE, STEP_ROWS = 512, 8_192
 NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 
 
@@ -87,25 +88,71 @@ class Table:
             for c, t in go.items():
                 self.table[s, at[c]] = t
 
-    def phrases(self, pieces: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Phrases of each piece; pieces: characters, one row a piece, longest first."""
-        width = self.table.shape[1]
+    def phrases(self, pieces: np.ndarray, sizes: np.ndarray, before: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases that begin in each piece, states in which pieces end).
+
+        pieces: characters, one row a piece, longest first; before: the row that each goes on from, or -1; start: the state before pieces with none.
+        """
+        width, every = self.table.shape[1], np.arange(len(pieces))
         at = np.searchsorted(self.chars, pieces)
         at[at == len(self.chars)] = 0
         codes = np.where(self.chars[at] == pieces, at + 1, 0).astype(np.int32) if len(self.chars) else np.zeros(pieces.shape, np.int32)
         codes = np.ascontiguousarray(codes.T)
-        flat, state, n = self.table.ravel(), np.zeros(len(pieces), np.int32), np.zeros(len(pieces), np.int32)
+        flat, states, begins = self.table.ravel(), np.zeros(codes.shape, np.int32), np.zeros(codes.shape, bool)
+
+        def step(j: int, rows: slice | np.ndarray, state: np.ndarray) -> np.ndarray:
+            c = codes[j, rows]
+            to = flat[state * width + c]
+            # A phrase begins where the automaton stands at its start, or where it has no way on.
+            begins[j, rows] = (state == 0) | (to == 0)
+            return np.where(to == 0, flat[c], to)
+
+        state = np.where(before < 0, start, 0).astype(np.int32)
+        used = state.copy()
         live = np.searchsorted(-sizes, -np.arange(1, pieces.shape[1] + 1), side="right")  # pieces with a character at each step
         for j, m in enumerate(live.tolist()):
             if not m:
                 break
-            c, s = codes[j, :m], state[:m]
-            to = flat[s * width + c]
-            # A phrase begins where the automaton stands at its start, or where it has no way on.
-            new = (s == 0) | (to == 0)
-            n[:m] += new
-            state[:m] = np.where(to == 0, flat[c], to)
-        return n
+            state = states[j, :m] = step(j, slice(0, m), state[:m])
+        while True:
+            entry = np.where(before < 0, start, states[sizes - 1, every][before])
+            rows = np.nonzero(entry != used)[0]
+            if not len(rows):
+                return begins.sum(axis=0), states[sizes - 1, every]
+            used[rows] = state = entry[rows].astype(np.int32)
+            for j in range(len(codes)):
+                state = step(j, rows, state)
+                more = (state != states[j, rows]) & (sizes[rows] > j + 1)
+                states[j, rows] = state
+                rows, state = rows[more], state[more]
+                if not len(rows):
+                    break
+
+
+def parse(texts: list[str], models: list[Table]) -> np.ndarray:
+    """Phrases of each normalised text, a row, by each model, a column."""
+    cut = [(i, x[k : k + PIECE]) for i, x in enumerate(texts) for k in range(0, len(x), PIECE)]
+    out = np.zeros((len(texts), len(models)), np.int64)
+    carried = np.zeros(len(models), np.int32)  # states at the end of the pieces before, for a text that goes on
+    for k in range(0, len(cut), STEP_ROWS):
+        own = cut[k : k + STEP_ROWS]
+        who, sizes = np.array([i for i, _ in own]), np.array([len(x) for _, x in own])
+        order = np.argsort(-sizes, kind="stable")
+        place = np.empty(len(own), np.int64)
+        place[order] = np.arange(len(own))
+        follows = np.concatenate([[False], who[1:] == who[:-1]])
+        before = np.where(follows, np.concatenate([[0], place[:-1]]), -1)[order]
+        sizes = sizes[order]
+        pieces = np.zeros((len(own), sizes[0]), np.uint32)
+        pieces[np.arange(sizes[0]) < sizes[:, None]] = np.frombuffer("".join(own[i][1] for i in order).encode("utf-32-le", "surrogatepass"), np.uint32)
+        start = np.zeros((len(models), len(own)), np.int32)
+        if k and cut[k - 1][0] == who[0]:
+            start[:, place[0]] = carried
+        for j, model in enumerate(models):
+            n, ends = model.phrases(pieces, sizes, before, start[j])
+            np.add.at(out[:, j], who[order], n)
+            carried[j] = ends[place[-1]]
+    return out
 
 
 def sample(docs: DataFrame) -> dict[str, str]:
@@ -138,27 +185,12 @@ def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     langs = sorted(texts)
     models = spark.sparkContext.broadcast([Table(SuffixAutomaton(texts[x])) for x in langs])
 
-    def parse(texts: list[str]) -> np.ndarray:
-        whole = [normalise(x) for x in texts]
-        cut = [(i, x[k : k + PIECE]) for i, x in enumerate(whole) for k in range(0, len(x), PIECE)]
-        cut.sort(key=lambda x: -len(x[1]))
-        out = np.zeros((len(texts), len(langs)), np.int64)
-        for k in range(0, len(cut), STEP_ROWS):
-            own = cut[k : k + STEP_ROWS]
-            sizes = np.array([len(x) for _, x in own])
-            pieces = np.zeros((len(own), sizes[0]), np.uint32)
-            pieces[np.arange(sizes[0]) < sizes[:, None]] = np.frombuffer("".join(x for _, x in own).encode("utf-32-le", "surrogatepass"), np.uint32)
-            who = np.array([i for i, _ in own])
-            for j, model in enumerate(models.value):
-                np.add.at(out[:, j], who, model.phrases(pieces, sizes))
-        return out
-
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, some = batch.column("text").to_pylist(), batch.column("letters").to_pylist()
             pred, score = ["und"] * len(texts), [0.0] * len(texts)
             if langs and (i := [k for k, x in enumerate(some) if x]):
-                inverse = 1 / np.maximum(parse([texts[k] for k in i]), 1)
+                inverse = 1 / np.maximum(parse([normalise(texts[k]) for k in i], models.value), 1)
                 best = inverse.argmax(axis=1)
                 for k, b, s in zip(i, best, inverse.max(axis=1) / inverse.sum(axis=1), strict=True):
                     pred[k], score[k] = langs[b], float(s)

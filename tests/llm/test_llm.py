@@ -287,8 +287,19 @@ def test_automaton_phrases_against_brute_force():
                 k += 1
             i, n = i + (k if t[i] in model else 1), n + 1
         assert a.phrases(t) == n
-        table = language_id.Table(a)
-        assert table.phrases(np.array([[ord(c) for c in t]], np.uint32), np.array([len(t)])).tolist() == [n]
+        assert language_id.parse([t], [language_id.Table(a)]).tolist() == [[n]]
+
+
+def test_whole_texts_are_parsed_as_one(monkeypatch):
+    r = random.Random(15)
+    models = [language_id.SuffixAutomaton(rng_text(r, n, letters)) for n, letters in ((600, "abc "), (900, "ab "), (50, "xyz"), (5000, "a"))]
+    texts = [rng_text(r, n, "abcd ") for n in (5000, 1, 511, 512, 513, 1200, 40)] + ["a" * 3000, "q" * 2000, rng_text(r, 700, "xa"), ""]
+    want = [[m.phrases(t) for m in models] for t in texts]
+    tables = [language_id.Table(m) for m in models]
+    assert language_id.parse(texts, tables).tolist() == want
+    monkeypatch.setattr(language_id, "STEP_ROWS", 3)  # texts that go on in further steps
+    monkeypatch.setattr(language_id, "PIECE", 64)
+    assert language_id.parse(texts, tables).tolist() == want
 
 
 def test_languages(spark, edge):
