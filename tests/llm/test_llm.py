@@ -235,8 +235,42 @@ def test_sharding(spark):
     assert all(len(p) == 1 for t, p in places.items() if t != "the same text" and t != "")
 
 
+def test_placing_against_brute_force(monkeypatch):
+    r = np.random.default_rng(4)
+    items = np.column_stack([r.lognormal(0, 1, 200), r.lognormal(0, 1, 200), r.integers(1, 3, 200)])
+    items /= items.sum(axis=0)
+    capacity = np.full((7, 3), 1 / 7)
+    monkeypatch.setattr(sharding, "EXCHANGES", 0)
+    got, left = sharding.place(items, capacity), capacity.tolist()
+    for i in sorted(range(200), key=lambda i: (-max(items[i]), i)):
+        dots = [sum(w * x * c for w, x, c in zip(sharding.WEIGHTS, items[i], row, strict=True)) for row in left]
+        assert dots[got[i]] == pytest.approx(max(dots))
+        left[got[i]] = [c - x for c, x in zip(left[got[i]], items[i], strict=True)]
+    monkeypatch.setattr(sharding, "EXCHANGES", 8)
+    again = sharding.place(items, capacity)
+    sums = lambda out: np.array([items[out == k].sum(axis=0) for k in range(7)])
+    assert np.ptp(sums(again)[:, 0]) < 0.3 * np.ptp(sums(got)[:, 0]) and (abs(sums(again)[:, 2] - sums(got)[:, 2]) < 1e-9).all()
+    assert sharding.place(np.zeros((0, 3)), capacity).tolist() == []
+
+
+def test_measures_are_balanced_jointly(spark):
+    r = random.Random(5)
+    rows = [(i, " ".join("x" * r.choice([1, 2, 9, 30]) for _ in range(int(r.lognormvariate(4, 1))))) for i in range(4000)]
+    tokens, got = {i: len(t.split()) for i, t in rows}, sharding.shard(docs(spark, rows), 20).collect()
+    total = np.zeros((20, 3))
+    for x in got:
+        total[x.shard] += x["size"], tokens[x.doc_id], 1
+    spread = np.ptp(total, axis=0) / total.mean(axis=0)
+    assert spread[0] < 0.01 and spread[1] < 0.05 and spread[2] < 0.05
+
+
 def test_sharding_edges(spark, edge):
-    assert sharding.shard(edge).count() == len(EDGE)
+    got = sharding.shard(edge).collect()
+    assert Counter((x.doc_id, x["size"], x.text_crc32) for x in got) == Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in EDGE)
+    slots = defaultdict(list)
+    for x in got:
+        slots[x.shard].append(x.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len({x.shard for x in got if x.doc_id == 4}) == 1
     assert sharding.shard(edge.limit(0)).count() == 0
 
 
