@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,8 @@ DENSE_LIMIT, SPARSE_LIMIT, PARENTS = 20, 40, 5
 FILTERS = ("country", "doc_type", "publisher")
 #: Questions that are scored against a batch of vectors at once; more go in further passes.
 QUESTION_BLOCK = 4096
+#: Rows that are scored against a block at once.
+BATCH = 1024
 
 
 def checked_filter(values: dict[str, str | None]) -> Column:
@@ -47,58 +49,107 @@ def top(df: DataFrame, key: str, score: str, tie: str, limit: int) -> DataFrame:
     return df.withColumn("rk", F.row_number().over(w).cast("long")).filter(F.col("rk") <= max(0, limit))
 
 
-def dense_topk(questions: DataFrame, vectors: DataFrame, limit: int = DENSE_LIMIT) -> DataFrame:
-    """(qid, chunk_id, cosine, rk): for each question (qid, dense and any of country, doc_type, publisher) the nearest vectors that its filters allow.
+def best(s: np.ndarray, chunk: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(question, column) of the `limit` best finite scores of each row; scores equal to 9 digits are ordered by chunk id. Rows are not sorted in full."""
+    r = np.round(s, 9)
+    if limit < r.shape[1]:
+        r[r < np.partition(r, r.shape[1] - limit, axis=1)[:, r.shape[1] - limit, None]] = -np.inf
+    i, j = np.nonzero(np.isfinite(r))
+    o = np.lexsort((chunk[j], -r[i, j], i))
+    i, j = i[o], j[o]
+    rank = np.arange(len(i)) - np.searchsorted(i, i)  # of ties at the limit the smallest ids
+    return i[rank < limit], j[rank < limit]
+
 
-    Exact. Questions come to the workers in blocks of a fixed size; a batch of vectors is scored by one matrix product, and only each question's best of the
-    batch leave it, so what is shuffled does not grow with questions times vectors. Vectors of length 0 have cosine 0.
+def asked_in_blocks(questions: DataFrame, rows: DataFrame, score: Callable, limit: int, value: str) -> DataFrame:
+    """(qid, chunk_id, value, rk): the best rows for each question.
+
+    Questions come to the workers in blocks of QUESTION_BLOCK, whose size is bounded; `score` gives the scores of a block (rows of questions) for an Arrow batch of `rows`, -inf where a row is no hit.
+    Only each question's best of a batch leave it, so what is shuffled does not grow with questions times rows. Filters that both have are applied before the limit.
     """
-    names = [n for n in FILTERS if n in questions.columns and n in vectors.columns]
-    spark = vectors.sparkSession
-    n = questions.count()
-    numbered = questions.select("qid", "dense", *names)
-    parts = max(1, -(-n // QUESTION_BLOCK))
-    out = None
+    names = [n for n in FILTERS if n in questions.columns and n in rows.columns]
+    spark, out = rows.sparkSession, None
+    parts = max(1, -(-questions.count() // QUESTION_BLOCK)) if limit > 0 else 0
     for part in range(parts):
-        rows = numbered.filter(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part).collect()
-        if not rows:
+        block = questions.filter(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part).collect()
+        if not block:
             continue
-        q = np.array([r["dense"] for r in rows], np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        shared = spark.sparkContext.broadcast(([r["qid"] for r in rows], q, {c: [r[c] for r in rows] for c in names}))
-
-        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q, wanted = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                v = np.array(batch.column("dense").to_pylist(), np.float64)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                s = q @ v.T
-                for c, w in wanted.items():
-                    have = np.array(batch.column(c).to_pylist(), object)
-                    s[[x is not None for x in w]] = np.where(np.array([x for x in w if x is not None], object)[:, None] == have[None, :], s[[x is not None for x in w]], -np.inf)
-                r = np.round(s, 9)
-                chunk = batch.column("chunk_id").to_numpy(zero_copy_only=False)
-                by_id = np.argsort(chunk, kind="stable")
-                order = by_id[np.argsort(-r[:, by_id], axis=1, kind="stable")[:, :limit]]
-                i = np.repeat(np.arange(len(ids)), order.shape[1])
-                j = order.ravel()
-                ok = np.isfinite(s[i, j])
-                yield pa.record_batch([pa.array([ids[x] for x in i[ok]], pa.int64()), pa.array(chunk[j[ok]], pa.int64()), pa.array(s[i, j][ok])], ["qid", "chunk_id", "cosine"])
-
-        got = vectors.select("chunk_id", "dense", *names).mapInArrow(score, "qid long, chunk_id long, cosine double")
+        shared = spark.sparkContext.broadcast((np.array([x["qid"] for x in block]), score(block), {c: np.array([x[c] for x in block], object) for c in names}))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, scores, wanted = shared.value
+            for whole in batches:
+                for start in range(0, whole.num_rows, BATCH):
+                    batch = whole.slice(start, BATCH)
+                    s = scores(batch)
+                    for c, w in wanted.items():
+                        have = np.array(batch.column(c).to_pylist(), object)
+                        s[(w != None)[:, None] & (w[:, None] != have[None])] = -np.inf  # noqa: E711
+                    chunk = batch.column("chunk_id").to_numpy(zero_copy_only=False)
+                    i, j = best(s, chunk, limit)
+                    yield pa.record_batch([pa.array(ids[i], pa.int64()), pa.array(chunk[j], pa.int64()), pa.array(s[i, j])], ["qid", "chunk_id", value])
+
+        got = rows.mapInArrow(run, f"qid long, chunk_id long, {value} double")
         out = got if out is None else out.unionByName(got)
-    if out is None or limit <= 0:
-        out = spark.createDataFrame([], "qid long, chunk_id long, cosine double")
-    return top(out, "qid", "cosine", "chunk_id", limit)
+    if out is None:
+        out = spark.createDataFrame([], f"qid long, chunk_id long, {value} double")
+    return top(out, "qid", value, "chunk_id", limit)
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
+class Cosines:
+    """Of a block of questions with every vector of a batch."""
+
+    def __init__(self, block: list):
+        self.q = unit(np.array([x["dense"] for x in block], np.float64))
+
+    def __call__(self, batch: pa.RecordBatch) -> np.ndarray:
+        return self.q @ unit(batch.column("dense").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)).T
+
 
+class Products:
+    """Of a block of questions with the terms of every chunk of a batch; -inf without a token in common."""
 
-def sparse_topk(question_terms: DataFrame, terms: DataFrame, limit: int = SPARSE_LIMIT) -> DataFrame:
-    """(qid, chunk_id, product, rk): inner products of (qid, tok, n) with (chunk_id, tok, n), joined by token."""
-    q = question_terms.select("qid", "tok", F.col("n").alias("qn"))
-    s = terms.join(q, "tok").groupBy("qid", "chunk_id").agg(F.sum(F.col("n") * F.col("qn")).cast("double").alias("product"))
-    return top(s, "qid", "product", "chunk_id", limit)
+    def __init__(self, block: list):
+        found: dict[str, list[tuple[int, float]]] = {}
+        for i, x in enumerate(block):
+            for tok, n in zip(x["tok"], x["n"], strict=True):
+                found.setdefault(tok, []).append((i, n))
+        self.size, self.postings = len(block), {tok: (np.array([i for i, _ in v]), np.array([n for _, n in v], np.float64)) for tok, v in found.items()}
+
+    def __call__(self, batch: pa.RecordBatch) -> np.ndarray:
+        out = np.zeros((batch.num_rows, self.size))
+        for own, toks, counts in zip(out, batch.column("tok").to_pylist(), batch.column("n").to_pylist(), strict=True):
+            for tok, n in zip(toks, counts, strict=True):
+                if hit := self.postings.get(tok):
+                    own[hit[0]] += hit[1] * n  # a question has a token once
+        out[out == 0] = -np.inf
+        return np.ascontiguousarray(out.T)
+
+
+def dense_topk(questions: DataFrame, vectors: DataFrame, limit: int = DENSE_LIMIT) -> DataFrame:
+    """(qid, chunk_id, cosine, rk): for each question (qid, dense and any of country, doc_type, publisher) the nearest vectors that its filters allow.
+
+    Exact: a batch of vectors is scored by one matrix product. Vectors of length 0 have cosine 0; null vectors are no hits.
+    """
+    names = [n for n in FILTERS if n in questions.columns and n in vectors.columns]
+    return asked_in_blocks(questions.select("qid", "dense", *names), vectors.filter("dense is not null").select("chunk_id", "dense", *names), Cosines, limit, "cosine")
+
+
+def sparse_topk(question_terms: DataFrame, terms: DataFrame, limit: int = SPARSE_LIMIT, questions: DataFrame | None = None, filters: DataFrame | None = None) -> DataFrame:
+    """(qid, chunk_id, product, rk): inner products of (qid, tok, n) with (chunk_id, tok, n), for rows with a token in common.
+
+    Terms are gathered by chunk, at most a row's own tokens; a chunk's tokens then add up the postings of a block of questions, so no pair of a token's chunks and questions is ever a row.
+    questions (qid and filters) and filters (chunk_id and the columns that they name) restrict what each question may find.
+    """
+    q = question_terms.groupBy("qid").agg(F.collect_list("tok").alias("tok"), F.collect_list("n").alias("n"))
+    rows = terms.groupBy("chunk_id").agg(F.collect_list("tok").alias("tok"), F.collect_list("n").alias("n"))
+    if questions is not None and filters is not None:
+        q, rows = q.join(questions.select("qid", *(n for n in FILTERS if n in questions.columns)), "qid"), rows.join(filters, "chunk_id")
+    return asked_in_blocks(q, rows, Products, limit, "product")
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, dense_weight: float = scores.DENSE_WEIGHT, sparse_weight: float = scores.SPARSE_WEIGHT) -> DataFrame:
@@ -123,18 +174,10 @@ def top_parents(hits: DataFrame, limit: int = PARENTS) -> DataFrame:
 
 def hybrid(questions: DataFrame, question_terms: DataFrame, vectors: DataFrame, terms: DataFrame) -> DataFrame:
     """Fused hits of both legs with their parents: filters come before each leg's limit."""
-    dense = dense_topk(questions, vectors)
-    allowed = terms.join(vectors.select("chunk_id"), "chunk_id", "left_semi")
     names = [n for n in FILTERS if n in questions.columns]
-    if names:
-        # Whether a row is eligible depends on the question, so eligibility is part of the sparse leg's join.
-        v = terms.join(vectors.select("chunk_id", *names), "chunk_id").alias("v")
-        q = question_terms.join(questions.select("qid", *names), "qid").alias("q")
-        s = v.join(q, (F.col("v.tok") == F.col("q.tok")) & eligible(names=tuple(names))).groupBy("qid", "chunk_id").agg(F.sum(F.col("v.n") * F.col("q.n")).cast("double").alias("product"))
-        sparse = top(s, "qid", "product", "chunk_id", SPARSE_LIMIT)
-    else:
-        sparse = sparse_topk(question_terms, allowed)
-    return fuse(dense, sparse).join(vectors.select("chunk_id", "parent_id", "doc_id"), "chunk_id")
+    allowed = vectors.select("chunk_id", *names)
+    sparse = sparse_topk(question_terms, terms, SPARSE_LIMIT, questions, allowed)
+    return fuse(dense_topk(questions, vectors), sparse).join(vectors.select("chunk_id", "parent_id", "doc_id"), "chunk_id")
 
 
 def best_score(questions: DataFrame, dense: DataFrame) -> DataFrame:
