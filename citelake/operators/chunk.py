@@ -6,46 +6,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import child_id, parent_id
+from .fold import folded
 
 # Token bounds of a parent and the size from which a child closes.
 LOWER, UPPER, CHILD = 1000, 2000, 300
 
 
-def group_numbers(items: Column, close_before: Column | None, lower: int, upper: int) -> Column:
-    """Group number of each item of an ordered array<struct<tok, heading>>: an ordered fold.
+def place(blocks: DataFrame, lower: int = LOWER, upper: int = UPPER, target: int = CHILD) -> DataFrame:
+    """Adds parent, from 0 in each document, child, from 0 in each parent, and the block's [start, end) in the parent text, whose blocks are joined by newlines, to `blocks` (doc_id, ord, type, level, text, tok).
 
-    Before an item: an open group of `lower` tokens or more closes if the item is a heading (close_before). After it: a group of
-    `upper` tokens or more closes. A group's own history decides where it ends, so this is a fold, not a window.
+    Before a heading an open parent of `lower` tokens or more closes; after a block one of `upper` tokens or more does, so the upper bound is soft. A child closes from `target` tokens on.
+    A group's own history decides where it ends, so this is a fold in order, not a window.
     """
-    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("group"), F.lit(0).cast("long").alias("sum"), F.lit(True).alias("empty"))
+    if lower > upper:
+        raise ValueError("lower bound over upper bound")
 
-    def step(a: Column, x: Column) -> Column:
-        cut = ~a["empty"] & (a["sum"] >= lower) & x["heading"] if close_before is not None else F.lit(False)
-        group, total = F.when(cut, a["group"] + 1).otherwise(a["group"]), F.when(cut, F.lit(0).cast("long")).otherwise(a["sum"]) + x["tok"]
-        full = total >= upper
-        return F.struct(F.concat(a["out"], F.array(group)).alias("out"), F.when(full, group + 1).otherwise(group).alias("group"), F.when(full, F.lit(0).cast("long")).otherwise(total).alias("sum"), full.alias("empty"))
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        parent, total, child, tokens, at = state
+        kind, text, tok = row
+        if kind == "heading" and at and total >= lower:
+            parent, total, child, tokens, at = parent + 1, 0, 0, 0, 0
+        values = parent, child, at, at + len(text)
+        total, tokens, at = total + tok, tokens + tok, at + len(text) + 1
+        if tokens >= target:
+            child, tokens = child + 1, 0
+        return ((parent + 1, 0, 0, 0, 0) if total >= upper else (parent, total, child, tokens, at)), values
 
-    return F.aggregate(items, start, step)["out"]
+    return folded(blocks, ["doc_id"], ["ord"], ["type", "text", "tok"], (0, 0, 0, 0, 0), step, {"parent": "long", "child": "long", "start": "long", "end": "long"})
 
 
 def split_parents(blocks: DataFrame, lower: int = LOWER, upper: int = UPPER) -> DataFrame:
-    """Adds parent, from 0 in each document, to `blocks` (doc_id, ord, type, level, text, tok). The upper bound is soft. One document's blocks are folded in one row."""
-    if lower > upper:
-        raise ValueError("lower bound over upper bound")
-    whole = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("tok").cast("long").alias("tok"), (F.col("type") == "heading").alias("heading"), "type", "level", "text"))).alias("b"))
-    whole = whole.withColumn("g", group_numbers(F.col("b"), F.lit(True), lower, upper))
-    out = whole.select("doc_id", F.explode(F.arrays_zip("b", "g")).alias("z"))
-    return out.select("doc_id", "z.b.ord", "z.b.type", "z.b.level", "z.b.text", "z.b.tok", F.col("z.g").alias("parent"))
-
-
-def split_children(parents: DataFrame, target: int = CHILD) -> DataFrame:
-    """Adds child, from 0 in each parent, and the block's [start, end) in the parent text, whose blocks are joined by newlines."""
-    w = Window.partitionBy("doc_id", "parent").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    placed = parents.withColumn("start", F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0)).cast("long")).withColumn("end", F.col("start") + F.length("text"))
-    whole = placed.groupBy("doc_id", "parent").agg(F.array_sort(F.collect_list(F.struct("ord", "tok", "start", "end", "text"))).alias("b"))
-    whole = whole.withColumn("g", group_numbers(F.col("b"), None, 0, target))
-    out = whole.select("doc_id", "parent", F.explode(F.arrays_zip("b", "g")).alias("z"))
-    return out.select("doc_id", "parent", "z.b.ord", "z.b.tok", "z.b.start", "z.b.end", "z.b.text", F.col("z.g").alias("child"))
+    """Adds parent, as `place` does."""
+    return place(blocks, lower, upper).drop("child", "start", "end")
 
 
 def joined(text: str = "text", order: str = "ord") -> Column:
@@ -59,11 +51,10 @@ def words(c: Column) -> Column:
 
 def chunks(blocks: DataFrame, lower: int = LOWER, upper: int = UPPER, target: int = CHILD, tokens=words) -> DataFrame:
     """chunk_id, doc_id, parent_id, level, chunk_index, text, token_count, start, end. Tokens are counted again on the joined text; children are numbered on across a document's parents."""
-    p = split_parents(blocks, lower, upper)
-    c = split_children(p, target)
-    parents = p.groupBy("doc_id", "parent").agg(joined().alias("text"))
+    placed = place(blocks, lower, upper, target)
+    parents = placed.groupBy("doc_id", "parent").agg(joined().alias("text"))
     parents = parents.select(parent_id(F.col("doc_id"), F.col("parent")).alias("chunk_id"), "doc_id", F.lit(None).cast("string").alias("parent_id"), F.lit("parent").alias("level"), F.col("parent").cast("long").alias("chunk_index"), "text", tokens(F.col("text")).alias("token_count"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"))
-    children = c.groupBy("doc_id", "parent", "child").agg(joined().alias("text"), F.min("start").alias("start"), F.max("end").alias("end"))
+    children = placed.groupBy("doc_id", "parent", "child").agg(joined().alias("text"), F.min("start").alias("start"), F.max("end").alias("end"))
     children = children.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("parent", "child")) - 1)
     children = children.select(child_id(F.col("doc_id"), F.col("n")).alias("chunk_id"), "doc_id", parent_id(F.col("doc_id"), F.col("parent")).alias("parent_id"), F.lit("child").alias("level"), F.col("n").cast("long").alias("chunk_index"), "text", tokens(F.col("text")).alias("token_count"), "start", "end")
     return parents.unionByName(children)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse
+from .fold import folded
 
 # Fixed values in points: a gap below the first is one line, up to the second one paragraph; words of one row; the footer's share of the height.
 SAME_LINE, PARAGRAPH, ROW, FOOTER = 1.0, 20.0, 1.0, 0.9
@@ -51,18 +52,17 @@ def build_blocks(lines: DataFrame) -> DataFrame:
 
 
 def words_to_lines(words: DataFrame) -> DataFrame:
-    """(doc_id, page, line, text): words sorted by top and x; a word joins a row within 1 pt of the row's first word. One page's words are folded in one row."""
-    w = words.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("top", "x0", "text"))).alias("w"))
-    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(-1).alias("line"), F.lit(float("-inf")).alias("anchor"))
-
-    def step(a: Column, x: Column) -> Column:
-        new = ~(F.abs(x["top"] - a["anchor"]) <= ROW)
-        line = F.when(new, a["line"] + 1).otherwise(a["line"])
-        return F.struct(F.concat(a["out"], F.array(line)).alias("out"), line.alias("line"), F.when(new, x["top"]).otherwise(a["anchor"]).alias("anchor"))
-
-    z = w.withColumn("n", F.aggregate("w", start, step)["out"]).select("doc_id", "page", F.explode(F.arrays_zip("w", "n")).alias("z"))
-    lines = z.groupBy("doc_id", "page", F.col("z.n").cast("long").alias("line")).agg(F.array_sort(F.collect_list("z.w")).alias("w"))
-    return lines.select("doc_id", "page", "line", F.array_join(F.transform(F.array_sort(F.transform("w", lambda x: F.struct(x["x0"].alias("x0"), x["text"].alias("text")))), lambda x: x["text"]), " ").alias("text"))
+    """(doc_id, page, line, text): words sorted by top and x; a word joins a row within 1 pt of the row's first word."""
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        line, anchor = state
+        if anchor is None or abs(row[0] - anchor) > ROW:
+            line, anchor = line + 1, row[0]
+        return (line, anchor), (line,)
+
+    lines = folded(words.select("doc_id", "page", "top", "x0", "text"), ["doc_id", "page"], ["top", "x0", "text"], ["top"], (-1, None), step, {"line": "long"})
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda x: x["text"]), " ")
+    return lines.groupBy("doc_id", "page", "line").agg(text.alias("text"))
 
 
 def outside_tables(words: DataFrame, tables: DataFrame) -> DataFrame:

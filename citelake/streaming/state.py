@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.fold import folded
+
 # Messages kept, seconds a session lives after its last message, seconds a cached answer lives after it was written.
 KEEP, SESSION_TTL, CACHE_TTL = 20, 3600, 600
 
@@ -27,19 +29,18 @@ def sessions(events: DataFrame, key: str, ts: str, tie: str, ttl: int = SESSION_
 
 
 def cache_hits(requests: DataFrame, key: str, ts: str, tie: str, ttl: int = CACHE_TTL) -> DataFrame:
-    """Adds hit: a request within `ttl` seconds of the write it finds; hits do not renew it, so a key's requests are folded in order.
+    """Adds hit: a request within `ttl` seconds of the write it finds; hits do not renew it, so requests are folded in order.
 
-    Keys are split at gaps of `ttl` or more, where any entry has expired, so a row holds one such run of requests, not a key's whole history.
+    Keys are split at gaps of `ttl` or more, where any entry has expired, so one task has such a run of requests in order, not a key's whole history.
     """
     runs = sessions(requests.withColumn("us_", F.unix_micros(F.col(ts).cast("timestamp"))), key, ts, tie, ttl)
-    a = runs.groupBy(key, "session").agg(F.array_sort(F.collect_list(F.struct("us_", tie))).alias("r"))
-    start = F.struct(F.array().cast("array<boolean>").alias("out"), F.lit(None).cast("long").alias("written"))
 
-    def step(s, x):
-        hit = F.coalesce(x["us_"] - s["written"] < ttl * 1_000_000, F.lit(False))
-        return F.struct(F.concat(s["out"], F.array(hit)).alias("out"), F.when(hit, s["written"]).otherwise(x["us_"]).alias("written"))
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        (written,), (us,) = state, row
+        hit = written is not None and us - written < ttl * 1_000_000
+        return (written if hit else us,), (hit,)
 
-    return a.withColumn("h", F.aggregate("r", start, step)["out"]).select(key, F.explode(F.arrays_zip("r", "h")).alias("z")).select(key, F.col(f"z.r.{tie}").alias(tie), F.col("z.h").alias("hit"))
+    return folded(runs.select(key, "session", "us_", tie), [key, "session"], ["us_", tie], ["us_"], (None,), step, {"hit": "boolean"}).select(key, tie, "hit")
 
 
 def session_stream(messages: DataFrame, key: str = "key", keep: int = KEEP, ttl: int = SESSION_TTL) -> DataFrame:
