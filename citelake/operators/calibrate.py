@@ -22,6 +22,11 @@ def sweep(cases: DataFrame, max_missed: int = 0) -> DataFrame:
     return out.filter(F.col("missed") <= max_missed).orderBy(F.desc("blocked"), F.desc("threshold"))
 
 
+def scored(cases: DataFrame, scores: DataFrame) -> DataFrame:
+    """`cases` (qid, anything else) with the score that search gave each question of `scores` (qid, dense_top_score); null where it found nothing or was not asked."""
+    return cases.drop("score").join(scores.select("qid", F.col("dense_top_score").alias("score")), "qid", "left")
+
+
 def describe(cases: DataFrame) -> DataFrame:
     """Number, least, median and greatest score of each class; nulls do not count."""
     return cases.filter("score is not null").groupBy("expected_behavior").agg(F.count("*").alias("n"), F.min("score").alias("low"), F.median("score").alias("middle"), F.max("score").alias("high"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +52,16 @@ def words(c: Column) -> Column:
     return F.size(F.split(c, "[ \n]")).cast("long")
 
 
+def counter(count: Callable[[list[str]], list[int]]) -> Callable[[Column], Column]:
+    """A tokenizer for `chunks` from a function that counts the tokens of a list of texts, called with an Arrow batch at a time."""
+
+    @F.pandas_udf("long")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(count(texts.tolist()))
+
+    return run
+
+
 def chunks(blocks: DataFrame, lower: int = LOWER, upper: int = UPPER, target: int = CHILD, tokens=words) -> DataFrame:
     """chunk_id, doc_id, parent_id, level, chunk_index, text, token_count, start, end. Tokens are counted again on the joined text; children are numbered on across a document's parents."""
     placed = place(blocks, lower, upper, target)

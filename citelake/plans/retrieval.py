@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixtures import duck, view
+from ..operators import calibrate
 from ..operators import retrieve as R
 
 QUERIES, ORACLES = {}, {}
@@ -117,6 +118,13 @@ def top_scores_per_question(spark, sf_dir):
     return R.best_score(q, dense).join(sparse.groupBy("qid").agg(F.max("product").alias("sparse_top_score")), "qid", "left").select("qid", r6("dense_top_score"), "sparse_top_score")
 
 
+@query(duck([*VT, "cases"], DENSE + " SELECT c.qid, c.expected_behavior, round(m.top, 6) AS score FROM cases c LEFT JOIN (SELECT qid, max(cosine) AS top FROM dk GROUP BY 1) m ON m.qid = c.qid"))
+def case_scores(spark, sf_dir):
+    q, _, v, _ = inputs(spark, sf_dir)
+    cases = view(spark, sf_dir, "cases")
+    return calibrate.scored(cases, R.best_score(q, R.dense_topk(q, v))).select("qid", "expected_behavior", r6("score"))
+
+
 @query(duck(VT, DENSE + SPARSE + fusion() + fusion(0.5, 0.5, "g") + " SELECT f.qid, f.chunk_id, round(f.score, 6) AS score_73, round(g.score, 6) AS score_55, round(f.score - g.score, 6) AS difference FROM f JOIN g ON f.qid = g.qid AND f.chunk_id = g.chunk_id"))
 def weight_sensitivity(spark, sf_dir):
     a, b = fused(spark, sf_dir).select("qid", "chunk_id", F.col("score").alias("a")), fused(spark, sf_dir, 0.5, 0.5).select("qid", "chunk_id", F.col("score").alias("b"))

@@ -28,6 +28,11 @@ def sessions(events: DataFrame, key: str, ts: str, tie: str, ttl: int = SESSION_
     return events.withColumn("cut_", F.when(gap >= ttl * 1_000_000, 1).otherwise(0)).withColumn("session", F.sum("cut_").over(w).cast("long")).drop("cut_")
 
 
+def single_turns(requests: DataFrame) -> DataFrame:
+    """Requests without a session: only these may be answered from the cache, as other answers depend on what was said before."""
+    return requests.filter("session_id is null")
+
+
 def cache_hits(requests: DataFrame, key: str, ts: str, tie: str, ttl: int = CACHE_TTL) -> DataFrame:
     """Adds hit: a request within `ttl` seconds of the write it finds; hits do not renew it, so requests are folded in order.
 
@@ -69,7 +74,7 @@ def session_stream(messages: DataFrame, key: str = "key", keep: int = KEEP, ttl:
 
 def cache_stream(requests: DataFrame, key: str = "key", ttl: int = CACHE_TTL) -> DataFrame:
     """(key, id, hit) of each request, by event time: an entry lives `ttl` seconds from its write, and the watermark removes its state after that. requests: key string, id long, ts timestamp.
-    Only single turns are cached: leave out requests of a session.
+    Only single turns are cached, see `single_turns`.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 

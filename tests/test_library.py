@@ -58,6 +58,17 @@ def test_parents(spark, toks, headings, want):
     assert [r.parent for r in rows] == want
 
 
+def test_tokenizers_are_functions(spark):
+    found = chunk.chunks(blocks(spark, [10, 10]), 30, 60, 10, chunk.counter(lambda texts: [len(x) for x in texts])).collect()
+    assert sorted((r.level, r.text, r.token_count) for r in found) == [("child", "x", 1), ("child", "xx", 2), ("parent", "x\nxx", 4)]
+
+
+def test_scores_of_cases_and_single_turns(spark):
+    cases = spark.createDataFrame([(1, "answer", 0.1), (2, "refuse", 0.2)], "qid long, expected_behavior string, score double")
+    assert sorted(map(tuple, calibrate.scored(cases, spark.createDataFrame([(1, 0.7)], "qid long, dense_top_score double")).collect())) == [(1, "answer", 0.7), (2, "refuse", None)]
+    assert state.single_turns(spark.createDataFrame([(1, None), (2, "s")], "id long, session_id string")).count() == 1
+
+
 def test_parent_bounds(spark):
     with pytest.raises(ValueError):
         chunk.split_parents(blocks(spark, [1]), 3, 2)
