@@ -60,6 +60,14 @@ def test_reaches_agrees_with_the_factors(seed):
         assert (got == (lpf >= m)).all()
 
 
+def test_anchors_do_not_depend_on_parts(monkeypatch):
+    data = rng_text(random.Random(2), 6000, "abcde ").encode()
+    whole = suffix_dedup.anchors(data, 80)
+    monkeypatch.setattr(suffix_dedup, "PART", 700)
+    for a, b in zip(whole, suffix_dedup.anchors(data, 80), strict=True):
+        assert a.tolist() == b.tolist()
+
+
 def brute_dedup(rows, m, first):
     seen, order = Counter(), sorted(range(len(rows)), key=lambda i: (-1 if rows[i][0] is None else rows[i][0],))
     data = [(t or "").encode() for _, t in rows]
@@ -407,6 +415,8 @@ def test_decontamination_against_brute_force(spark):
     shingles = lambda w, k: Counter(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1)))
     # Items with repeated words too; copies with parts in another order, words changed, put in and left out, within other words; texts of items' words at random.
     items = {i: r.choices([f"w{i}x{k}" for k in range(9 if i % 4 == 0 else 500)], k=n) for i, n in enumerate([60, 60, 50, 40, 30, 20, 12, 6, 5, 4, 3])}
+    # Items that share half of their words with others.
+    items |= {20 + i: items[0][:20] + [f"v{i}x{k}" for k in range(18 + i)] for i in range(4)}
     noise = lambda n: r.choices("abcdefgh", k=n)
     texts = []
     for i, w in items.items():
@@ -573,3 +583,18 @@ def test_pipeline(spark, tmp_path):
     texts = {x.doc_id: x.text for x in stage[2].collect()}
     assert passage in texts[102] and passage not in texts[103] and all(texts[i] == t for i, t in clean)
     assert {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == ids[4]
+
+
+def test_pipeline_of_edge_rows_and_empty_tables(spark, edge, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    r = random.Random(13)
+    long = " ".join("".join(r.choices("abcdefgh", k=r.randint(2, 8))) for _ in range(300))
+    rows = [(i, t, None, None, None) for i, t in EDGE] + [(None, long, None, None, None), (None, long, None, None, None), (9, long, "en", "s", 1), (9, long, "en", "s", 1)]
+    for name, own in (("edge", rows), ("empty", [])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(own, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, None), (2, "")] if own else [], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        assert {x.doc_id for x in got} == ({9} if own else set())
