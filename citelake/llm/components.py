@@ -24,10 +24,10 @@ def components(links: DataFrame, stages: Stages) -> DataFrame:
         low = stages.put(all_.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = all_.join(low, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = stages.put(large.filter("a <> b").distinct())
-        least = stages.put(large.groupBy("a").agg(F.min("b").alias("m")))
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         new = stages.put(small.filter("a <> b").distinct())
-        for df in (e, large, low, least):
+        for df in (e, large, low):
             stages.drop(df)
         stages.free()
         e = new

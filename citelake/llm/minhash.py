@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import Stages, text_key
 from .components import components
 
-#: 32 bands of 4 rows: sets of similarity 0.8 share none with probability (1 - 0.8^4)^32 = 5e-8, and only one, where that is split by a second, with 1e-6.
+#: 32 bands of 4 rows: sets of similarity 0.8 share none with probability (1 - 0.8^4)^32 = 5e-8.
 BANDS, ROWS = 32, 4
 #: Members of a band that one task compares with one another.
 BLOCK = 500
@@ -150,16 +150,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block: int =
     # Bands that still hold several components; bands with the same members count once.
     now = multi.select("band", "set", "n").join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))
 
-    def mixed(members: DataFrame) -> DataFrame:
-        groups = members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("h")).filter("lo <> hi")
-        groups = stages.put(groups.groupBy("m", "h").agg(F.min("band").alias("band")).withColumn("blocks", F.ceil(F.col("m") / block).cast("int")))
-        return stages.put(members.join(groups.select("band", "blocks"), "band").select("band", "set", "label", "blocks"))
-
-    left = mixed(now)
-    large = left.filter("blocks > 1")
-    if not large.isEmpty():
-        second = large.join(member.select("set", F.col("band").alias("other")), "set").filter("other <> band").select(F.xxhash64("band", "other").alias("band"), "set", "label")
-        left = left.filter("blocks = 1").unionByName(mixed(second))
+    open_ = now.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("h")).filter("lo <> hi")
+    open_ = open_.groupBy("m", "h").agg(F.min("band").alias("band")).withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
+    left = stages.put(now.join(open_.select("band", "blocks"), "band"))
     own = left.withColumn("i", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
     # Each block meets each block of its band, itself included, in one task.
     met = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "set", "label", "i", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"))
@@ -197,7 +190,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block: int =
     per_set = stages.put(sets.select("set", F.col("first.doc_id").alias("low")).join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set")))
     # Written: joins of tables have a plain shuffle on both sides, and Spark can split a hot component's rows.
     ids = stages.put(per_set.groupBy("label").agg(F.min("low").alias("component_id")))
-    named_sets = stages.put(per_set.join(ids, "label").select("set", "component_id"))
+    named_sets = per_set.join(ids, "label").select("set", "component_id")
     out = rows.drop("bands").join(named_sets, "set", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "key_")
