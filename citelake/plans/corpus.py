@@ -270,38 +270,66 @@ def manifest_violations(spark, sf_dir):
     return tables.manifest(rows).filter("error is not null").select("line_number", "error")
 
 
-FIELDS = ("title", "source_url", "publisher", "country", "effective_date", "raw_path")
-OUTCOMES = DECIDE + """, o AS (SELECT *, CASE WHEN min(line_number) OVER (PARTITION BY content_hash) <> line_number AND action <> 'UPDATE_META' THEN 'SKIP' ELSE action END AS act, source_url IS NULL OR publisher IS NULL OR country IS NULL AS short,
-    CASE WHEN substr(content_hash, 1, 1) = '0' THEN 'manual' WHEN substr(content_hash, 1, 1) = '1' THEN 'failed' ELSE 'fine' END AS fate FROM dec),
-x AS (SELECT line_number, content_hash, title, source_url, publisher, country, effective_date, raw_path, act AS action, coalesce(matched_id, CASE WHEN act <> 'SKIP' THEN line_number + 1000000000 END) AS doc_id,
-    CASE WHEN act = 'SKIP' THEN 'indexed' WHEN short THEN 'pending' WHEN act = 'UPDATE_META' OR fate = 'fine' THEN 'indexed' WHEN fate = 'manual' THEN 'needs_manual' ELSE 'failed' END AS status, act IN ('SKIP', 'UPDATE_META') OR short OR fate = 'fine' AS ok FROM o)"""
-
-
-def outcomes(spark, sf_dir):
-    decided_ = decided(spark, sf_dir)
+CARRIED = ("raw_path",)
+#: The batch run line by line, as a recursion of its own: a group's records are a list that each line maps to a new one.
+SEQUENTIAL = """, e AS (SELECT 'h' || content_hash AS a, 'u' || source_url AS b FROM incoming WHERE source_url IS NOT NULL UNION SELECT 'h' || content_hash, 'u' || source_url FROM registry WHERE source_url IS NOT NULL),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(root, node) AS (SELECT DISTINCT a, a FROM both_ways UNION SELECT r.root, b.b FROM reach r JOIN both_ways b ON b.a = r.node),
+grp AS MATERIALIZED (SELECT root AS node, min(node) AS g FROM reach GROUP BY root),
+l AS MATERIALIZED (SELECT i.*, coalesce(grp.g, 'h' || content_hash) AS g, row_number() OVER (PARTITION BY coalesce(grp.g, 'h' || content_hash) ORDER BY line_number) AS k,
+    list_filter(['source_url', 'publisher', 'country'], lambda c: CASE c WHEN 'source_url' THEN source_url IS NULL WHEN 'publisher' THEN publisher IS NULL ELSE country IS NULL END) AS lost,
+    CASE substr(content_hash, 1, 1) WHEN '0' THEN 'needs_manual' WHEN '1' THEN 'failed' WHEN '2' THEN 'raised' ELSE 'indexed' END AS fate FROM incoming i LEFT JOIN grp ON grp.node = 'h' || i.content_hash),
+st AS (SELECT coalesce(grp.g, 'h' || content_hash) AS g, list({'doc_id': doc_id, 'status': status, 'content_hash': content_hash, 'title': title, 'source_url': source_url, 'publisher': publisher, 'country': country, 'effective_date': effective_date, 'raw_path': raw_path, 'by': CAST(NULL AS BIGINT)} ORDER BY doc_id) AS s
+    FROM registry r LEFT JOIN grp ON grp.node = 'h' || r.content_hash GROUP BY 1),
+seq(g, k, s, line_number, action, doc_id, previous_id, status, ok, lost) AS (
+    SELECT g, CAST(0 AS BIGINT), coalesce(st.s, []), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS BOOLEAN), CAST(NULL AS VARCHAR) FROM (SELECT DISTINCT g FROM l) LEFT JOIN st USING (g)
+    UNION ALL
+    SELECT g, k, list_transform(CASE WHEN act IN ('NEW', 'SUPERSEDE_AND_NEW') THEN list_append(s, {'doc_id': id, 'status': ns, 'content_hash': content_hash, 'title': title, 'source_url': source_url, 'publisher': publisher, 'country': country, 'effective_date': effective_date, 'raw_path': raw_path, 'by': CAST(NULL AS BIGINT)}) ELSE s END,
+            lambda x: CASE WHEN x.doc_id = id AND act <> 'SKIP' THEN {'doc_id': id, 'status': ns, 'content_hash': x.content_hash, 'title': title, 'source_url': source_url, 'publisher': publisher, 'country': country, 'effective_date': effective_date, 'raw_path': x.raw_path, 'by': CASE WHEN anew THEN line_number ELSE x."by" END}
+                WHEN anew AND x.status = 'indexed' AND x.source_url = source_url THEN {'doc_id': x.doc_id, 'status': 'superseded', 'content_hash': x.content_hash, 'title': x.title, 'source_url': x.source_url, 'publisher': x.publisher, 'country': x.country, 'effective_date': x.effective_date, 'raw_path': x.raw_path, 'by': x."by"} ELSE x END),
+        line_number, CASE WHEN try_ AND fate IN ('failed', 'raised') THEN NULL ELSE act END, id, CASE WHEN act = 'SUPERSEDE_AND_NEW' THEN prev END, ns, NOT try_ OR fate = 'indexed', array_to_string(lost, ', ')
+    FROM (SELECT *, CASE WHEN act = 'SKIP' THEN 'indexed' WHEN len(lost) > 0 THEN 'pending' WHEN act = 'UPDATE_META' THEN 'indexed' WHEN fate = 'raised' THEN 'pending' ELSE fate END AS ns,
+            act NOT IN ('SKIP', 'UPDATE_META') AND len(lost) = 0 AS try_, act NOT IN ('SKIP', 'UPDATE_META') AND len(lost) = 0 AND fate = 'indexed' AS anew, coalesce(m.doc_id, line_number + 1000000000) AS id
+        FROM (SELECT *, CASE WHEN m IS NOT NULL AND m.status <> 'indexed' THEN 'REINDEX'
+                WHEN m IS NOT NULL AND (title IS DISTINCT FROM m.title OR source_url IS DISTINCT FROM m.source_url OR publisher IS DISTINCT FROM m.publisher OR country IS DISTINCT FROM m.country OR effective_date IS DISTINCT FROM m.effective_date) THEN 'UPDATE_META'
+                WHEN m IS NOT NULL THEN 'SKIP' WHEN prev IS NOT NULL THEN 'SUPERSEDE_AND_NEW' ELSE 'NEW' END AS act
+            FROM (SELECT l.*, q.s, list_filter(q.s, lambda x: x.content_hash = l.content_hash)[1] AS m, list_min(list_transform(list_filter(q.s, lambda x: x.status = 'indexed' AND x.source_url = l.source_url), lambda x: x.doc_id)) AS prev
+                FROM seq q JOIN l ON l.g = q.g AND l.k = q.k + 1))))"""
+
+
+def imported(spark, sf_dir):
+    """The incoming view against the registry; what became of a content goes by its hash."""
+    rows = view(spark, sf_dir, "incoming")
     c = F.substring("content_hash", 1, 1)
-    parsed = decided_.select("content_hash").distinct().select("content_hash", (c != "0").alias("parsed"), (c != "1").alias("indexed"), F.lit(1).alias("parents"), F.lit(2).alias("children"))
-    return decided_, importing.execute(decided_, parsed, F.col("line_number") + 1000000000, ("source_url", "publisher", "country"))
+    parsed = rows.select("content_hash").distinct().select("content_hash", (~c.isin("0", "2")).alias("parsed"), (c != "1").alias("indexed"), F.lit(1).alias("parents"), F.lit(2).alias("children"), F.when(c == "2", "ValueError: broken").when(c == "1", "RuntimeError: no model").alias("error"))
+    return importing.import_batch(rows, view(spark, sf_dir, "registry"), parsed, F.col("line_number") + 1000000000, ("source_url", "publisher", "country"), CARRIED)
 
 
-@query(duck(IR, OUTCOMES + " SELECT line_number, action, doc_id, status, ok FROM x"))
+@query(
+    duck(
+        IR,
+        SEQUENTIAL
+        + """ SELECT seq.line_number, seq.action, seq.doc_id, seq.previous_id, seq.status, seq.ok,
+    CASE WHEN NOT seq.ok AND seq.status = 'needs_manual' THEN 'no parser could read it' WHEN NOT seq.ok AND seq.status = 'failed' THEN 'RuntimeError: no model' WHEN NOT seq.ok THEN 'ValueError: broken' WHEN seq.action = 'SKIP' THEN 'nothing changed'
+        WHEN seq.action = 'UPDATE_META' AND seq.lost <> '' THEN 'metadata now lacks ' || seq.lost || '; taken out of the index' WHEN seq.action = 'UPDATE_META' THEN 'metadata updated' WHEN seq.lost <> '' THEN 'registered only, lacks ' || seq.lost ELSE 'indexed 1 parents and 2 children' END AS detail,
+    CAST(CASE WHEN seq.ok AND seq.lost = '' AND seq.action NOT IN ('SKIP', 'UPDATE_META') THEN 1 ELSE 0 END AS BIGINT) AS parents, CAST(CASE WHEN seq.ok AND seq.lost = '' AND seq.action NOT IN ('SKIP', 'UPDATE_META') THEN 2 ELSE 0 END AS BIGINT) AS children FROM seq WHERE line_number IS NOT NULL""",
+    )
+)
 def import_outcomes(spark, sf_dir):
-    return outcomes(spark, sf_dir)[1].select("line_number", "action", "doc_id", "status", "ok")
+    return imported(spark, sf_dir)[0]
 
 
 @query(
     duck(
         IR,
-        OUTCOMES
-        + """, made AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_number DESC) AS k FROM x WHERE action <> 'SKIP') WHERE k = 1),
-w AS (SELECT doc_id, status, content_hash, CAST(NULL AS BIGINT) AS line_number, title, source_url, publisher FROM registry WHERE doc_id NOT IN (SELECT doc_id FROM made) UNION ALL SELECT doc_id, status, content_hash, line_number, title, source_url, publisher FROM made),
-n AS (SELECT source_url, max(line_number) AS newest FROM w WHERE status = 'indexed' AND line_number IS NOT NULL AND source_url IS NOT NULL GROUP BY 1)
-SELECT w.doc_id, CASE WHEN w.status = 'indexed' AND n.newest IS NOT NULL AND coalesce(w.line_number, -1) < n.newest THEN 'superseded' ELSE w.status END AS status, w.content_hash, w.title, w.source_url, w.publisher FROM w LEFT JOIN n ON n.source_url = w.source_url""",
+        SEQUENTIAL
+        + """, ends AS (SELECT g, arg_max(s, k) AS s FROM seq GROUP BY g), un AS (SELECT unnest(s) AS x FROM ends)
+SELECT x.doc_id AS doc_id, x.status AS status, x.content_hash AS content_hash, x.title AS title, x.source_url AS source_url, x.publisher AS publisher, x.country AS country, x.effective_date AS effective_date, x.raw_path AS raw_path, x."by" AS indexed_by FROM un
+UNION ALL SELECT doc_id, status, content_hash, title, source_url, publisher, country, effective_date, raw_path, NULL FROM registry r LEFT JOIN grp ON grp.node = 'h' || r.content_hash WHERE coalesce(grp.g, 'h' || content_hash) NOT IN (SELECT g FROM l)""",
     )
 )
 def registry_after_import(spark, sf_dir):
-    decided_, found = outcomes(spark, sf_dir)
-    return importing.registry_after(view(spark, sf_dir, "registry"), decided_, found, FIELDS).select("doc_id", "status", "content_hash", "title", "source_url", "publisher")
+    return imported(spark, sf_dir)[1]
 
 
 FAQ = """SELECT doc_id AS path, concat('=== F-01 ===', chr(10), '--- 问题 ---', chr(10), 'q ', lang, chr(10), '```', chr(10), '--- 译文 ---', chr(10), CASE WHEN doc_id % 5 = 1 THEN ' ' ELSE concat('  a', chr(10), 'b  ') END, chr(10), '--- 原文 ---', chr(10), CASE WHEN doc_id % 5 = 2 THEN '译文' ELSE replace(text, '```', '') END, chr(10), '--- 出处 ---', chr(10), source, chr(10), '=== F-0', CASE WHEN doc_id % 5 = 3 THEN '1' ELSE '2' END, ' ==', chr(10), '-- 问题', chr(10), 'x', chr(10), '-- 译文', chr(10), 'y', chr(10), '-- 原文', chr(10), 'z', chr(10), '-- 出处', chr(10), 'w') AS value FROM documents"""
