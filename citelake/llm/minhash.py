@@ -4,8 +4,9 @@ Coordinate k of a signature is the least pi(sigma(x) + k) over the shingles x of
 its place, a second one, pi, is shifted circularly by one place more for each coordinate. Coordinates are banded; sets that share a band
 are compared exactly, on their full sets.
 
-Comparisons: every set with the smallest set of each of its bands (a star), then components of the confirmed links, then, in bands
-that still hold several components, all pairs of sets from different components, in blocks of bounded size. So a band with any number
+Comparisons: every set with the smallest set of each of its bands (a star), then components of the confirmed links. Sets of bands
+that still hold several components are compared through inverted lists of their rarest shingles, where an overlap as large as is asked for must show, so only
+sets that can be similar are verified, and a set's shingles move a few times, not once for each other part of its band. A band with any number
 of copies costs one comparison a member, while no link between components is left out.
 """
 
@@ -21,14 +22,26 @@ from pyspark.sql import functions as F
 
 from .common import Stages, text_key
 from .components import components
+from .inverted import WEIGHT, links_between
 
 #: 32 bands of 4 rows: sets of similarity 0.8 share none with probability (1 - 0.8^4)^32 = 5e-8.
 BANDS, ROWS = 32, 4
-#: Members of a band that one task compares with one another.
-BLOCK = 500
 STEP = 4096
 
 
+class WordHashes(dict):
+    """Hashes of the words seen last, at most WORDS of them and those of a text."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            self[word] = h
+        return h
+
+
+WORDS, HASHES = 1 << 18, WordHashes()
+
+
 def shingles(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles; the whole sequence if there are fewer words; empty without words.
 
@@ -37,7 +50,9 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w))
+    if len(HASHES) > WORDS:
+        HASHES.clear()
+    h = np.fromiter(map(HASHES.__getitem__, w), np.uint64, len(w))
     if len(w) < k:
         k = len(w)
     with np.errstate(over="ignore"):
@@ -98,7 +113,7 @@ class Sets:
         return x
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, weight: int = WEIGHT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of `docs` (doc_id, text); key_ tells rows of one id apart.
 
     Links: 100 * |intersection| >= percent * |union| on the sets of k-word shingles. Null or empty texts and texts of white space have
@@ -147,45 +162,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block: int =
     stages.free()
     labels = components(linked, stages)
 
-    # Bands that still hold several components; bands with the same members count once.
+    # Sets of bands that still hold several components.
     now = multi.select("band", "set", "n").join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))
+    open_ = now.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
+    left = stages.put(now.join(open_, "band").select("set", "n", "label").distinct().withColumn("sid", F.monotonically_increasing_id()))
+    # Labels as numbers: the least number of a label's sets.
+    least = left.groupBy("label").agg(F.min("sid").alias("least"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([*(batch.column(c) for c in ("sid", "n", "label")), pa.array([shingles(t, k).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], ["sid", "n", "label", "hashes"])
 
-    open_ = now.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("h")).filter("lo <> hi")
-    open_ = open_.groupBy("m", "h").agg(F.min("band").alias("band")).withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
-    left = stages.put(now.join(open_.select("band", "blocks"), "band"))
-    own = left.withColumn("i", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
-    # Each block meets each block of its band, itself included, in one task.
-    met = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "set", "label", "i", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"))
-    met = met.join(full, "set")
-
-    def across(table: pa.Table) -> pa.Table:
-        x = table.column("x")[0].as_py()
-        y = table.column("y")[0].as_py()
-        label, part = table.column("label").to_pylist(), np.array(table.column("i").to_pylist())
-        got = [shingles(t, k) for t in table.column("text").to_pylist()]
-        size = np.array([len(s) for s in got])
-        flat, who = np.concatenate(got), np.repeat(np.arange(len(got)), size)
-        _, at, often = np.unique(flat, return_inverse=True, return_counts=True)
-        shared = often[at] > 1  # what only one set holds is in no intersection
-        at, who = np.unique(at[shared], return_inverse=True)[1], who[shared]
-        n = len(got)
-        both = np.zeros((n, n), np.float32)
-        width = 8192
-        for s in range(0, at.max() + 1 if len(at) else 0, width):
-            m = np.zeros((n, width), np.float32)
-            take = (at >= s) & (at < s + width)
-            m[who[take], at[take] - s] = 1
-            both += m @ m.T
-        both = both.astype(np.int64)
-        good = 100 * both >= percent * (size[:, None] + size[None, :] - both)
-        _, lab = np.unique([bytes(v).hex() for v in label], return_inverse=True)
-        good &= (lab[:, None] < lab[None, :]) & ((part[:, None] != part[None, :]) | (x == y))
-        p, q = np.nonzero(good)
-        # One link for each two components is enough.
-        pick = np.unique(lab[p].astype(np.int64) * n + lab[q], return_index=True)[1]
-        return pa.table({"a": pa.array([label[i] for i in p[pick]], pa.binary()), "b": pa.array([label[i] for i in q[pick]], pa.binary())})
-
-    more = met.groupBy("band", "x", "y").applyInArrow(across, "a binary, b binary").distinct()
+    hashes = stages.put(left.join(least, "label").select("set", "sid", "n", F.col("least").alias("label")).join(full, "set").select("sid", "n", "label", "text").mapInArrow(hashed, "sid long, n long, label long, hashes binary"))
+    stages.free()
+    named_set = left.select("sid", "set")
+    more = links_between(hashes, percent, stages, weight)
+    more = more.join(named_set.select(F.col("sid").alias("a"), F.col("set").alias("x")), "a").join(named_set.select(F.col("sid").alias("b"), F.col("set").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     labels = components(linked.unionByName(stages.put(more)), stages)
     per_set = stages.put(sets.select("set", F.col("first.doc_id").alias("low")).join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set")))
     # Written: joins of tables have a plain shuffle on both sides, and Spark can split a hot component's rows.

@@ -4,174 +4,31 @@ Sets of similarity p share at least T = p * |r| shingles of each of them, r. Inv
 the sets that occur in T of its shingles' lists: DivideSkip merges the short lists in a heap and probes the few long ones, which
 boilerplate makes, only for sets that the short ones leave possible.
 
-Over a corpus the lists are dealt out. In one order of all shingles, rare before frequent, a set's first |r| - T + 1 shingles are its prefix,
-and similar sets share a shingle of their prefixes. How frequent shingles are is counted for all texts, in a sketch of fixed size; the order decides
-only how long lists get, not what is found. Sets that share a prefix shingle meet in a task, which builds the inverted lists of all the
-shingles of the sets that it has and searches them. First each set meets the first set of each of its lists, which joins copies
+Over a corpus the lists are dealt out. In one order of all shingles a set's first |r| - T + 1 shingles are its prefix,
+and similar sets share a shingle of their prefixes. The order is that of hashes, with shingles last that very many prefixes would hold; it decides
+only how long lists get, not what is found. Sets that share a prefix shingle and are of like size meet in a task, at first with their prefixes only: two sets are
+dropped where their prefixes leave no room for the overlap that they need. Groups of sets that are left meet again, whole, in a task that builds the inverted lists of all
+their shingles and searches them. First each set meets the first set of each of its lists, which joins copies
 at a cost of one search each; then lists that still hold several components are searched as a whole.
 """
 
 from __future__ import annotations
 
-import heapq
-from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import groupby
-from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stages, blocks_for, text_key
+from .common import Stages, text_key
 from .components import components
+from .inverted import HOT, TOKENS, WEIGHT, Dealt, live_rows, open_rows, prefix, star_rows, without_hot
 from .minhash import shingles
 
-#: Counters of the sketch of frequencies and its slices, which are added up apart; each counter ends as one byte.
-COUNTERS, SLICES = 1 << 22, 16
-#: Shingles of the sets that one task searches, about.
-WEIGHT = 1 << 20
-#: Weighs probing long lists against merging them.
-MU = 0.01
 
-
-def least_overlap(n: int, percent: int) -> int:
-    """Shingles that a set of n shares with any set that is similar to it."""
-    return -(-n * percent // 100)
-
-
-def divide_skip(lists: list[list[int]], t: int) -> dict[int, int]:
-    """(id: number of lists) for ids that are in t of the sorted lists or more."""
-    if len(lists) < t:
-        return {}
-    lists = sorted(lists, key=len)
-    aside = max(0, min(t - 1, ceil(t / (MU * log2(len(lists[-1]) + 1) + 1))))
-    short, long_ = lists[: len(lists) - aside], lists[len(lists) - aside :]
-    out = {}
-    for i, run in groupby(heapq.merge(*short)):
-        n = sum(1 for _ in run)
-        if n < t - aside:
-            continue
-        for k, probed in enumerate(long_):
-            if n + aside - k < t:  # too few lists are left
-                break
-            at = bisect_left(probed, i)
-            n += at < len(probed) and probed[at] == i
-        if n >= t:
-            out[i] = n
-    return out
-
-
-class Lists:
-    """Inverted lists of some sets, of the shingles that two of them or more share."""
-
-    def __init__(self, sets: list[np.ndarray], labels: np.ndarray):
-        self.sets, self.labels = sets, labels
-        self.size = np.array([len(s) for s in sets], np.int64)
-        flat, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.size)
-        order = np.lexsort((who, flat))
-        flat, self.who = flat[order], who[order]
-        self.at = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        self.token, self.end = flat[self.at], np.append(self.at[1:], len(flat))
-        of = labels[self.who]
-        self.lo, self.hi = np.minimum.reduceat(of, self.at), np.maximum.reduceat(of, self.at)
-        self.kept: dict[int, list[int]] = {}
-
-    def __call__(self, k: int) -> list[int]:
-        if (x := self.kept.get(k)) is None:
-            x = self.kept[k] = self.who[self.at[k] : self.end[k]].tolist()
-        return x
-
-    def similar(self, q: int, percent: int) -> list[int]:
-        """Sets of other labels that are similar to set q."""
-        k = np.searchsorted(self.token, self.sets[q])
-        own = self.labels[q]
-        k = k[(self.lo[k] != own) | (self.hi[k] != own)]  # lists with a set of another label
-        n = int(self.size[q])
-        found = divide_skip([self(x) for x in k.tolist()], least_overlap(n, percent))
-        return [i for i, both in found.items() if self.labels[i] != own and 100 * both >= percent * (n + int(self.size[i]) - both)]
-
-
-def search(table: pa.Table, percent: int) -> pa.Table:
-    """Links (a, b) between sets of different labels in `table` (sid, label, query, hashes); one for each two labels. Rows that repeat a set count once."""
-    sid, label, asks = (table.column(c).to_pylist() for c in ("sid", "label", "query"))
-    rows: dict[int, int] = {}
-    for i, s in enumerate(sid):
-        if s not in rows or asks[i]:
-            rows[s] = i
-    take = sorted(rows.values())
-    data = table.column("hashes")
-    sets = [np.frombuffer(data[i].as_py(), np.uint64) for i in take]
-    names, labels = np.unique([label[i] for i in take], return_inverse=True)
-    a, b = [], []
-    if len(names) > 1:
-        lists, linked = Lists(sets, labels), set()
-        # Of two labels one is not the most frequent, so if all others ask, that one need not.
-        most = np.bincount(labels).argmax()
-        quiet = most if all(asks[i] for q, i in enumerate(take) if labels[q] != most) else -1
-        for q, i in enumerate(take):
-            if asks[i] and labels[q] != quiet:
-                for j in lists.similar(q, percent):
-                    pair = min(labels[q], labels[j]), max(labels[q], labels[j])
-                    if pair not in linked:
-                        linked.add(pair)
-                        a.append(sid[i])
-                        b.append(sid[take[j]])
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
-LINK = "a long, b long"
-
-
-def sketch_rows(counts: np.ndarray) -> list[tuple[int, bytes, bytes]]:
-    """(slice, counters, counts) of the counters of a task that stand out; the rest is noise, as every text has many shingles of its own."""
-    out, width = [], COUNTERS // SLICES
-    least = 2 * counts.mean() + 3
-    for s in range(SLICES):
-        part = counts[s * width : (s + 1) * width]
-        at = np.flatnonzero(part > least)
-        out.append((s, at.astype(np.uint32).tobytes(), part[at].astype(np.uint32).tobytes()))
-    return out
-
-
-def add_up(table: pa.Table) -> pa.Table:
-    """A slice of the sketch: a byte for each counter that grows with the logarithm of its sum."""
-    total = np.zeros(COUNTERS // SLICES, np.int64)
-    for at, n in zip(table.column("at").to_pylist(), table.column("count").to_pylist(), strict=True):
-        total[np.frombuffer(at, np.uint32)] += np.frombuffer(n, np.uint32)
-    level = np.minimum(255, np.round(6 * np.log2(total + 1.0))).astype(np.uint8)
-    return pa.table({"slice": table.column("slice").slice(0, 1), "level": pa.array([level.tobytes()], pa.binary())})
-
-
-def counter_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(42)).astype(np.int64)
-
-
-def prefix(hashes: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
-    """The first |r| - T + 1 shingles of a set in the order of all shingles."""
-    order = np.lexsort((hashes, level[counter_of(hashes)]))
-    return hashes[order[: len(hashes) - least_overlap(len(hashes), percent) + 1]]
-
-
-class Dealt:
-    """Deals sets out to tasks of about WEIGHT shingles; `full` (sid, hashes) has what travels."""
-
-    def __init__(self, full: DataFrame, stages: Stages, percent: int, weight: int):
-        self.full, self.stages, self.percent, self.weight = full, stages, percent, weight
-
-    def links(self, asked: DataFrame) -> DataFrame:
-        """asked: (where, n, sid, label, query); rows of one `where` must meet."""
-        total = asked.agg(F.sum("n").alias("n")).first()["n"]
-        task = F.pmod(F.xxhash64("where"), F.lit(blocks_for(total, self.weight)))
-        # Once a task, however many lists bring a set there.
-        rows = asked.groupBy(task.alias("task"), "sid", "label").agg(F.max("query").alias("query"))
-        percent = self.percent
-        return self.stages.put(rows.join(self.full, "sid").groupBy("task").applyInArrow(lambda t: search(t, percent), LINK).distinct())
-
-
-def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80, weight: int = WEIGHT) -> DataFrame:
+def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80, weight: int = WEIGHT, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of `docs` (doc_id, text); key_ tells rows of one id apart.
 
     Links: 100 * |intersection| >= percent * |union| on the sets of k-word shingles. Null or empty texts and texts of white space have
@@ -183,114 +40,68 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80, weight: int = W
     texts = docs.select("doc_id", text_key(F.col("text")).alias("key_"), "text")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each text's set, and at the end the task's sketch."""
-        counts, names = np.zeros(COUNTERS, np.int64), ["doc_id", "key_", "set", "n_shingles", "slice", "at", "count"]
         for batch in batches:
-            ids, sizes, seen = [], [], []
-            for text in batch.column("text").to_pylist():
-                x = shingles(text, k)
-                ids.append(xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None)
-                sizes.append(len(x))
-                seen.append(counter_of(x))
-            counts += np.bincount(np.concatenate(seen), minlength=COUNTERS) if seen else 0
-            none = [pa.nulls(len(ids), t) for t in (pa.int32(), pa.binary(), pa.binary())]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("key_"), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), *none], names)
-        made = list(zip(*sketch_rows(counts), strict=True))
-        yield pa.record_batch([*(pa.nulls(SLICES, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.int64())), *(pa.array(c, t) for c, t in zip(made, (pa.int32(), pa.binary(), pa.binary()), strict=True))], names)
+            sets = [shingles(x, k) for x in batch.column("text").to_pylist()]
+            ids = pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary())
+            tokens = pa.array([prefix(x, percent) for x in sets], pa.list_(pa.int64()))
+            yield pa.record_batch([batch.column("doc_id"), batch.column("key_"), ids, pa.array(map(len, sets), pa.int64()), tokens], ["doc_id", "key_", "set", "n_shingles", "tokens"])
 
-    signed = stages.put(texts.mapInArrow(sign, "doc_id long, key_ long, set binary, n_shingles long, slice int, at binary, count binary"))
-    rows = signed.filter("slice is null").select("doc_id", "key_", "set", "n_shingles")
-    level = spark.sparkContext.broadcast(order_of(signed))
+    rows = stages.put(texts.mapInArrow(sign, "doc_id long, key_ long, set binary, n_shingles long, tokens array<long>"))
     # One row for each distinct set, however many documents have it.
     named = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key_")
-    sets = stages.put(rows.filter("n_shingles > 0").groupBy("set").agg(F.min(named).alias("first"), F.first("n_shingles").alias("n")).withColumn("sid", F.monotonically_increasing_id()))
+    sets = rows.filter("n_shingles > 0").groupBy("set").agg(F.min(named).alias("first"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"))
+    sets = stages.put(sets.withColumn("sid", F.monotonically_increasing_id()))
     stages.free()
     first = sets.select("sid", "n", F.col("first.doc_id").alias("id_"), F.col("first.key_").alias("k_"))
-
-    def text_of(some: DataFrame) -> DataFrame:
-        found = texts.join(some, (F.col("key_") == F.col("k_")) & F.col("doc_id").eqNullSafe(F.col("id_")))
-        return found.select("sid", "n", "text").dropDuplicates(["sid"]) if has_copies else found.select("sid", "n", "text")
-
     # Only rows that are equal in id and text make a set's text come more than once.
     has_copies = not rows.groupBy("doc_id", "key_").count().filter("count > 1").isEmpty()
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = np.frombuffer(level.value, np.uint8)
-        for batch in batches:
-            found = [prefix(shingles(t, k), order, percent).view(np.int64) for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("sid"), batch.column("n"), pa.array(found, pa.list_(pa.int64()))], ["sid", "n", "tokens"])
+    def text_of(sids: DataFrame) -> DataFrame:
+        some = first.join(sids, "sid", "left_semi")
+        found = texts.join(some, (F.col("key_") == F.col("k_")) & F.col("doc_id").eqNullSafe(F.col("id_"))).select("sid", "n", "text")
+        return found.dropDuplicates(["sid"]) if has_copies else found
 
-    postings = stages.put(text_of(first).mapInArrow(prefixes, "sid long, n long, tokens array<long>").select("sid", "n", F.explode("tokens").alias("token")))
-    stages.free()
-    lists = stages.put(postings.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("n", "sid")).alias("c")).filter("m > 1"))
-    live = stages.put(postings.join(lists, "token"))
-    stages.drop(postings)
-    stages.free()
+    def again(sids: DataFrame, places: np.ndarray) -> DataFrame:
+        shared = spark.sparkContext.broadcast(places)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [prefix(shingles(t, k), percent, shared.value) for t in batch.column("text").to_pylist()]
+                yield pa.record_batch([batch.column("sid"), batch.column("n"), pa.array(found, pa.list_(pa.int64()))], ["sid", "n", "tokens"])
+
+        return text_of(sids).mapInArrow(run, TOKENS)
+
+    tokens = without_hot(sets, again, percent, stages, hot)
+    live = live_rows(tokens, percent, stages)
+    sids = stages.put(live.select("sid").distinct())
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.record_batch([batch.column("sid"), pa.array([shingles(t, k).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], ["sid", "hashes"])
 
-    full = stages.put(text_of(first.join(live.select("sid").distinct(), "sid", "left_semi")).select("sid", "text").mapInArrow(hashed, "sid long, hashes binary"))
+    full = stages.put(text_of(sids).select("sid", "text").mapInArrow(hashed, "sid long, hashes binary"))
     stages.free()
-    dealt = Dealt(full, stages, percent, weight)
+    dealt = Dealt(tokens, full, stages, percent, weight)
     fits = lambda a, b: F.least(a, b) * 100 >= percent * F.greatest(a, b)
     stars = stages.put(live.filter((F.col("sid") != F.col("c.sid")) & fits(F.col("n"), F.col("c.n"))).select(F.col("c.sid").alias("c"), F.col("c.n").alias("cn"), "sid", "n").distinct())
-    linked = dealt.links(star_rows(stars, stages, weight))
+    each = weight * 100 // (100 - percent)
+    linked = dealt.links(star_rows(stars, stages, each))
     stages.drop(stars)
     labels = components(linked, stages)
-    more = dealt.links(open_rows(live, labels, weight, stages))
+    more = dealt.links(open_rows(live, labels, each, stages))
     labels = components(linked.unionByName(more), stages)
 
     per_set = stages.put(sets.select("set", "sid", F.col("first.doc_id").alias("low")).join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid")))
     # Written: joins of tables have a plain shuffle on both sides, and Spark can split a hot component's rows.
     ids = stages.put(per_set.groupBy("label").agg(F.min("low").alias("component_id")))
     named_sets = per_set.join(ids, "label").select("set", "component_id")
-    for df in (lists, live, full):
+    for df in (live, sids, full):
         stages.drop(df)
     out = rows.join(named_sets, "set", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), "key_")
 
 
-def order_of(signed: DataFrame) -> bytes:
-    """The sketch as bytes, COUNTERS in all whatever the input is."""
-    slices = signed.filter("slice is not null").select("slice", "at", "count").groupBy("slice").applyInArrow(add_up, "slice int, level binary").collect()
-    whole = bytearray(COUNTERS)
-    for r in slices:
-        whole[r["slice"] * (COUNTERS // SLICES) : (r["slice"] + 1) * (COUNTERS // SLICES)] = r["level"]
-    return bytes(whole)
-
-
-def parts_of(where: list[str], rows: DataFrame, stages: Stages, weight: int) -> DataFrame:
-    """(where, parts): tasks that what meets in one place is cut into."""
-    return stages.put(rows.groupBy(*where).agg(F.greatest(F.ceil(F.sum("n") / weight), F.lit(1)).cast("int").alias("parts")))
-
-
-def star_rows(stars: DataFrame, stages: Stages, weight: int) -> DataFrame:
-    """The first set of a list with the others, in parts if these are many; the first one asks."""
-    parts = parts_of(["c"], stars, stages, weight)
-    cut = stars.join(parts, "c").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")))
-    where = F.struct("c", "part").alias("where")
-    members = cut.select(where, "n", "sid", F.col("sid").alias("label"), F.lit(False).alias("query"))
-    centres = cut.select(where, F.col("cn").alias("n"), F.col("c").alias("sid"), F.col("c").alias("label"), F.lit(True).alias("query")).distinct()
-    return members.unionByName(centres)
-
-
-def open_rows(live: DataFrame, labels: DataFrame, weight: int, stages: Stages) -> DataFrame:
-    """Sets of the lists that still hold several components; lists with the same sets count once. A list too long for a task is cut into parts, and each two of them meet."""
-    now = live.select("token", "sid", "n").join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    same = F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("h")
-    open_ = now.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), same, F.sum("n").alias("w")).filter("lo <> hi")
-    open_ = open_.groupBy("m", "h").agg(F.min("token").alias("token"), F.first("w").alias("w"))
-    parts = F.greatest(F.ceil(F.col("w") / weight), F.lit(1)).cast("int")
-    left = stages.put(now.join(open_.select("token", parts.alias("parts")), "token"))
-    own = left.withColumn("x", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
-    met = own.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    where = F.struct("token", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).alias("where")
-    return met.select(where, "n", "sid", "label", F.lit(True).alias("query"))
-
-
 def op11_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_sets(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4, percent=85).drop("key_")
 
