@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..fixtures import duck, table, view
 from ..functions import text as T
-from ..operators import calibrate, cite, html, pdfgeom, requests
-from ..streaming import state
+from ..operators import calibrate, cite, html, pdfgeom, requests, trace
+from ..sources.shared import fresh
+from ..streaming import answering, state
 
 QUERIES, ORACLES = {}, {}
 
@@ -335,29 +336,27 @@ def cache_digest(spark, sf_dir):
     return view(spark, sf_dir, "requests").select("request_id", T.cache_digest(F.col("question"), F.col("country"), F.lit(None).cast("string")).alias("digest"))
 
 
-def streamed(spark, sf_dir, columns, step, mode):
-    """A table as a stream, drained into the shared folder; the result is read back as a batch."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="citelake-stream-")
-    root = f"{root}/stream-{uuid.uuid4().hex}"
-    source = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(source).schema
-    spark.read.parquet(source).write.parquet(f"{root}/in")
-    out = step(spark.readStream.schema(schema).parquet(f"{root}/in").selectExpr(*columns))
+def streamed(spark, sf_dir, columns, step, mode, order="ts", batches=5):
+    """A table as a stream of micro-batches in the order of a column, drained into the shared folder; the result is read back as a batch."""
+    root = fresh(spark, "stream")
+    events = table(spark, sf_dir, "events")
+    place = F.col(order).cast("timestamp").cast("double") if order == "ts" else F.col(order).cast("double")
+    cuts = events.select(place.alias("x")).approxQuantile("x", [i / batches for i in range(1, batches)], 0.01)
+    for i in range(batches):  # one after the other, as the source takes files by their time
+        low, high = cuts[i - 1 : i] if i else [], cuts[i : i + 1]
+        part = events
+        for bound, keep in ((low, lambda c: place >= c), (high, lambda c: place < c)):
+            if bound:
+                part = part.filter(keep(bound[0]))
+        part.coalesce(1).write.parquet(f"{root}/in/{i}")
+    out = step(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/*").selectExpr(*columns))
 
     def keep(df, batch):  # under its own name: a batch that is tried again replaces what it wrote
         df.write.mode("overwrite").parquet(f"{root}/out/batch={batch}")
 
     q = out.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{root}/out").drop("batch")
+    return spark.read.schema(out.schema.add("batch", "long")).parquet(f"{root}/out")
 
 
 @query(
@@ -367,7 +366,8 @@ k AS (SELECT *, max(session) OVER (PARTITION BY user_id) AS newest, row_number()
 SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS n, '[' || string_agg('"' || event_type || '"', ', ' ORDER BY ts, event_id) || ']' AS messages FROM k WHERE session = newest AND back <= 20 GROUP BY user_id"""
 )
 def session_stream(spark, sf_dir):
-    return streamed(spark, sf_dir, ["cast(user_id as string) key", "cast(ts as timestamp) ts", "event_type text"], state.session_stream, "update").select("key", "n", "messages")
+    out = streamed(spark, sf_dir, ["cast(user_id as string) key", "cast(ts as timestamp) ts", "event_type text"], state.session_stream, "update")
+    return out.groupBy("key").agg(F.max_by(F.struct("n", "messages"), "batch").alias("last")).select("key", "last.n", "last.messages")
 
 
 @query()
@@ -376,3 +376,97 @@ def cache_stream(spark, sf_dir):
 
 
 ORACLES["cache_stream"] = ORACLES["cache_hits"].replace("SELECT request_id, hit FROM h", "SELECT request_id AS id, hit FROM h")
+
+
+ASKED = ["event_id id", "cast(ts as timestamp) ts", "case when event_id % 3 = 0 then cast(user_id as string) end session_id", "concat('q', cast(event_id % 20 as string)) question", "event_type country",
+    "concat(cast(event_id % 5 as string), case event_id % 4 when 0 then '' when 1 then ' [1]' when 2 then ' [2][9][2]' else ' [7]' end) prompt", "case when event_id % 13 > 0 then cast(event_id % 100 as double) / 100 end top_score", "cast(case when event_id % 11 = 0 then 0 else 5 end as bigint) n_materials", "event_id % 6 = 0 undated"]
+
+
+def echo(prompts):
+    """A test model: it answers with its prompt and cannot bear a 4."""
+    if any(p.startswith("4") for p in prompts):
+        raise RuntimeError("overloaded")
+    return prompts
+
+
+#: In order of arrival; the clock of a key is the greatest time so far. Hits are a recursion over the requests of a key, each row naming the request whose answer it has.
+ANSWERED = f"""WITH RECURSIVE r AS (SELECT event_id AS id, ts, event_id % 3 > 0 AS single, CASE WHEN event_id % 3 = 0 THEN 's:' || user_id ELSE 'c:' || sha256(concat_ws(chr(31), '=q' || event_id % 20, coalesce('=' || event_type, '-'))) END AS key,
+    event_id % 5 || CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN ' [1]' WHEN 2 THEN ' [2][9][2]' ELSE ' [7]' END AS prompt, event_id % 13 = 0 OR event_id % 100 < 30 AS refused, event_id % 11 = 0 AS none, event_id % 5 = 4 AS broken, event_id % 4 AS kind, event_id % 6 = 0 AS undated FROM events),
+o AS (SELECT *, NOT refused AND NOT none AND broken AS failed, max(ts) OVER (PARTITION BY key ORDER BY id) AS clock, row_number() OVER (PARTITION BY key ORDER BY id) AS k FROM r),
+h(key, k, id, hit, writer, written) AS (SELECT key, k, id, false, id, CASE WHEN NOT failed THEN clock END FROM o WHERE single AND k = 1
+    UNION ALL SELECT o.key, o.k, o.id, h.written IS NOT NULL AND date_diff('microsecond', h.written, o.clock) < 600000000, CASE WHEN h.written IS NOT NULL AND date_diff('microsecond', h.written, o.clock) < 600000000 THEN h.writer WHEN o.failed THEN o.id ELSE o.id END,
+        CASE WHEN h.written IS NOT NULL AND date_diff('microsecond', h.written, o.clock) < 600000000 THEN h.written WHEN o.failed THEN h.written ELSE o.clock END FROM h JOIN o ON o.key = h.key AND o.k = h.k + 1),
+s AS (SELECT *, max(CASE WHEN NOT failed THEN clock END) OVER (PARTITION BY key ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM o WHERE NOT single),
+cut AS (SELECT *, sum(CASE WHEN date_diff('microsecond', last, clock) >= 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY id) AS session FROM s),
+n AS (SELECT id, least(20, 2 * count(*) FILTER (NOT failed) OVER (PARTITION BY key, session ORDER BY id)) AS messages FROM cut),
+a AS (SELECT id AS writer, CASE WHEN refused THEN 'refused' WHEN none THEN 'degraded' WHEN broken THEN 'failed' WHEN kind IN (0, 3) THEN 'degraded' ELSE 'normal' END AS outcome, CASE WHEN refused OR none THEN '' WHEN broken THEN 'RuntimeError: overloaded' ELSE prompt END AS raw_text,
+    CASE WHEN NOT refused AND NOT none AND broken THEN NULL WHEN refused OR none OR kind IN (0, 3) THEN '{cite.NO_EVIDENCE}' ELSE prompt END AS text,
+    CASE WHEN refused OR none OR broken THEN '' ELSE concat_ws('|', CASE WHEN undated THEN '{cite.UNDATED}' END, CASE WHEN kind = 2 THEN replace('{cite.REMOVED}', '%s', '9') END) END AS notes,
+    CASE WHEN refused OR none OR broken THEN '' WHEN kind = 1 THEN '1' WHEN kind = 2 THEN '2' ELSE '' END AS cited, CASE WHEN refused OR none OR broken THEN '' WHEN kind = 2 THEN '9' WHEN kind = 3 THEN '7' ELSE '' END AS invalid FROM o)
+SELECT o.id, o.key, coalesce(h.hit, false) AS hit, CAST(coalesce(n.messages, 0) AS BIGINT) AS messages, a.outcome, a.text, a.raw_text, a.notes, a.cited, a.invalid FROM o LEFT JOIN h ON h.id = o.id LEFT JOIN n ON n.id = o.id JOIN a ON a.writer = coalesce(h.writer, o.id)"""
+
+
+def flat(df):
+    return df.select("id", "key", "hit", "messages", "outcome", "text", "raw_text", F.array_join("notes", "|").alias("notes"), *(F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("cited", "invalid")))
+
+
+@query(ANSWERED)
+def answered_requests(spark, sf_dir):
+    """Every event as a request, answered in order of arrival."""
+    return flat(answering.answered(table(spark, sf_dir, "events").selectExpr(*ASKED), echo, 0.3))
+
+
+@query(ANSWERED)
+def answer_stream(spark, sf_dir):
+    """The same from a stream of several micro-batches."""
+    return flat(streamed(spark, sf_dir, ASKED, lambda df: answering.answer_stream(df, echo, 0.3), "append", "event_id"))
+
+
+#: Answers with numbers in several forms, and what they cite: the turn before, in which each third answer's number is another one.
+SAID = "SELECT conv_id, turn, text || CASE conv_id % 6 WHEN 0 THEN ' 1,' || lpad(CAST(turn * 7 % 1000 AS VARCHAR), 3, '0') || '.50 [1]' WHEN 1 THEN ' EUR ' || turn || ',5 % and -3 [1]' WHEN 2 THEN ' 0' || turn || '0.0 2021-07-01' WHEN 3 THEN ' +12 ‰ (art. 2.1.' || turn || ')' WHEN 4 THEN ' no number [2]' ELSE ' 1.' || '234.' || '567 ' || turn END AS text FROM conversations WHERE role = 'assistant'"
+CITES = "SELECT conv_id, turn + 1 AS turn, text || CASE conv_id % 6 WHEN 0 THEN ' 1' || lpad(CAST(turn * 7 % 1000 + 7 AS VARCHAR), 3, '0') || ',5' WHEN 1 THEN ' −3 x ' || (turn + 1) || '.50 percent' WHEN 2 THEN ' 7 ' || (turn + 1) || '0 [01]' WHEN 3 THEN ' 12‰ 2.1.' || (turn + turn % 3) ELSE ' 1234567 ' || turn END AS passage FROM conversations WHERE role = 'user'"
+
+
+def _numbers_sql(text: str) -> str:
+    plain = rf"regexp_replace(regexp_replace({text}, '[\[［](\d+)[\]］]', ' ', 'g'), '([0-9A-Za-z])[-−]([0-9])', '\1 \2', 'g')"
+    unit = "CASE WHEN regexp_matches(x, '(%|percent)$') THEN '%' WHEN regexp_matches(x, '‰$') THEN '‰' ELSE '' END"
+    core = r"regexp_replace(replace(regexp_replace(x, ' ?(%|‰|percent)$', ''), '−', '-'), '^\+', '')"
+    step = lambda expr, over: f"list_transform({over}, lambda x: {expr})"
+    # Each step maps a list of {c: core, u: unit}.
+    first = step(f"{{'c': {core}, 'u': {unit}}}", f"regexp_extract_all({plain}, '[-−+]?[0-9]+(?:[.,''][0-9]+)*(?: ?(?:%|‰|percent))?')")
+    two = step(r"{'c': CASE WHEN regexp_matches(x.c, '^-?[0-9]{1,3}([,''][0-9]{3})+(\.[0-9]+)?$') THEN replace(replace(x.c, ',', ''), '''', '') WHEN regexp_matches(x.c, '^-?[0-9]{1,3}(\.[0-9]{3})+(,[0-9]+|\.[0-9]{3})$') THEN replace(replace(x.c, '.', ''), ',', '.') WHEN regexp_matches(x.c, '^-?[0-9]+,[0-9]+$') THEN replace(x.c, ',', '.') ELSE x.c END, 'u': x.u}", first)
+    three = step(r"{'c': regexp_replace(x.c, '^(-?)0+([0-9])', '\1\2'), 'u': x.u}", two)
+    four = step(r"CASE WHEN regexp_matches(x.c, '^-?[0-9]+\.[0-9]+$') THEN regexp_replace(x.c, '\.?0+$', '') ELSE x.c END || x.u", three)
+    return four
+
+
+TRACED = f"""WITH said AS ({SAID}), cites AS ({CITES}), a AS (SELECT conv_id, turn, {_numbers_sql("text")} AS raw FROM said), own AS (SELECT conv_id, turn, list_filter(raw, lambda v, i: list_position(raw, v) = i) AS ns FROM a),
+p AS (SELECT conv_id, turn, list_distinct(flatten(list({_numbers_sql("passage")}))) AS there FROM cites GROUP BY 1, 2)
+SELECT own.conv_id, own.turn, CAST(len(ns) AS BIGINT) AS numbers, CAST(len(list_filter(ns, lambda v: list_contains(coalesce(there, []), v))) AS BIGINT) AS found, array_to_string(list_filter(ns, lambda v: NOT list_contains(coalesce(there, []), v)), ' ') AS missing FROM own LEFT JOIN p ON p.conv_id = own.conv_id AND p.turn = own.turn"""
+
+
+def said(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    c.createOrReplaceTempView("said_conversations")
+    as_spark = lambda sql: sql.replace("FROM conversations", "FROM said_conversations").replace("VARCHAR", "STRING")
+    return spark.sql(as_spark(SAID)), spark.sql(as_spark(CITES))
+
+
+@query(TRACED)
+def numeric_traceability(spark, sf_dir):
+    return trace.traced(*said(spark, sf_dir), ["conv_id", "turn"]).withColumn("missing", F.array_join("missing", " "))
+
+
+@query(
+    f"""WITH t AS ({TRACED}), r AS (SELECT t.*, conv_id % 3 AS category, conv_id % 5 > 0 AS wanted, CASE WHEN conv_id % 4 = 0 THEN 'refused' WHEN conv_id % 6 IN (2, 3, 5) THEN 'degraded' ELSE 'normal' END AS outcome, CASE WHEN conv_id % 6 < 2 THEN 1 ELSE 0 END AS n_valid, CASE WHEN conv_id % 6 = 4 THEN 1 ELSE 0 END AS n_invalid FROM t)
+SELECT category, count(*) AS n, sum(found) FILTER (outcome = 'normal') / nullif(sum(numbers) FILTER (outcome = 'normal'), 0) AS traceability, sum(n_valid) FILTER (outcome = 'normal') / nullif(sum(n_valid + n_invalid) FILTER (outcome = 'normal'), 0) AS validity,
+    count(*) FILTER (NOT wanted AND outcome <> 'normal') / nullif(count(*) FILTER (NOT wanted), 0) AS refusal, count(*) FILTER (wanted AND outcome = 'refused') / nullif(count(*) FILTER (wanted), 0) AS false_block FROM r GROUP BY ROLLUP (category)"""
+)
+def acceptance_rates(spark, sf_dir):
+    c = F.col("conv_id")
+    t = trace.traced(*said(spark, sf_dir), ["conv_id", "turn"])
+    rows = t.select(
+        (c % 3).alias("category"), (c % 5 > 0).alias("should_answer"), F.when(c % 4 == 0, "refused").when((c % 6).isin(2, 3, 5), "degraded").otherwise("normal").alias("outcome"),
+        F.when(c % 6 < 2, 1).otherwise(0).alias("n_valid"), F.when(c % 6 == 4, 1).otherwise(0).alias("n_invalid"), "numbers", "found",
+    )
+    return trace.acceptance(rows, "category")

@@ -49,8 +49,8 @@ def cache_hits(requests: DataFrame, key: str, ts: str, tie: str, ttl: int = CACH
 
 
 def session_stream(messages: DataFrame, key: str = "key", keep: int = KEEP, ttl: int = SESSION_TTL) -> DataFrame:
-    """(key, n, messages) after each batch with messages of a key: the last `keep` as JSON, by event time. A message `ttl` seconds or more after the one before it begins anew;
-    the watermark removes the state of idle keys. messages: key string, ts timestamp, text string.
+    """(key, n, messages) after each batch with messages of a key: the last `keep` as JSON, by event time. A message `ttl` seconds or more after all before it begins anew; one that comes
+    late joins the session that is open and doesn't shorten it. The watermark removes the state of idle keys. messages: key string, ts timestamp, text string.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -64,7 +64,7 @@ def session_stream(messages: DataFrame, key: str = "key", keep: int = KEEP, ttl:
         for us, text in zip(rows["ts"].astype("datetime64[us]").astype("int64").tolist(), rows["text"], strict=True):
             if us - last >= ttl * 1_000_000:
                 held = []
-            held, last = [*held, text][-keep:], us
+            held, last = [*held, text][-keep:], max(last, us)
         state.update((json.dumps(held), last))
         state.setTimeoutTimestamp(max(last // 1000 + ttl * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": [k[0]], "n": [len(held)], "messages": [json.dumps(held)]})
@@ -73,7 +73,8 @@ def session_stream(messages: DataFrame, key: str = "key", keep: int = KEEP, ttl:
 
 
 def cache_stream(requests: DataFrame, key: str = "key", ttl: int = CACHE_TTL) -> DataFrame:
-    """(key, id, hit) of each request, by event time: an entry lives `ttl` seconds from its write, and the watermark removes its state after that. requests: key string, id long, ts timestamp.
+    """(key, id, hit) of each request, by event time: an entry lives `ttl` seconds from its write, and the watermark removes its state after that. A request that comes late
+    finds the entry that is there and doesn't write. requests: key string, id long, ts timestamp.
     Only single turns are cached, see `single_turns`.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -86,7 +87,7 @@ def cache_stream(requests: DataFrame, key: str = "key", ttl: int = CACHE_TTL) ->
         rows = pd.concat(list(parts)).sort_values(["ts", "id"], kind="stable")
         hits = []
         for us in (rows["ts"].astype("datetime64[us]").astype("int64")).tolist():
-            hit = written is not None and 0 <= us - written < ttl * 1_000_000
+            hit = written is not None and us - written < ttl * 1_000_000
             written = written if hit else us
             hits.append(hit)
         state.update((written,))

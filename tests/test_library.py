@@ -177,17 +177,15 @@ def test_import_keeps_failures_to_their_rows(spark):
     reg = spark.createDataFrame([(1, "a", "indexed", "u1", "p"), (2, "b", "pending", "u2", "p"), (3, "c", "indexed", "u3", "p")], "doc_id long, content_hash string, status string, source_url string, publisher string")
     new = spark.createDataFrame([(1, "a", "u1", None), (2, "b", "u2", "p"), (3, "x", "u1", "p"), (4, "y", "u4", "p"), (5, "z", "u5", "p"), (6, "w", None, "p"), (7, "x", "u1", "p"), (8, "c", "u3", "p")], "line_number long, content_hash string, source_url string, publisher string")
     parsed = spark.createDataFrame([("b", True, True, 1, 2), ("x", True, True, 3, 4), ("y", False, False, 0, 0), ("z", True, False, 1, 1), ("w", True, True, 1, 1)], "content_hash string, parsed boolean, indexed boolean, parents int, children int")
-    decided = decide.decide(new, reg)
-    out = importing.execute(decided, parsed, F.col("line_number") + 100, ("source_url", "publisher"))
+    out, after = importing.import_batch(new, reg, parsed, F.col("line_number") + 100, ("source_url", "publisher"))
     got = {r.line_number: (r.action, r.doc_id, r.status, r.ok, r.parents) for r in out.collect()}
     assert got == {
-        1: ("UPDATE_META", 1, "pending", True, 0), 2: ("REINDEX", 2, "indexed", True, 1), 3: ("SUPERSEDE_AND_NEW", 103, "indexed", True, 3), 4: ("NEW", 104, "needs_manual", False, 0),
-        5: ("NEW", 105, "failed", False, 0), 6: ("NEW", 106, "pending", True, 0), 7: ("SKIP", None, "indexed", True, 0), 8: ("SKIP", 3, "indexed", True, 0),
+        1: ("UPDATE_META", 1, "pending", True, 0), 2: ("REINDEX", 2, "indexed", True, 1), 3: ("NEW", 103, "indexed", True, 3), 4: ("NEW", 104, "needs_manual", False, 0),
+        5: (None, 105, "failed", False, 0), 6: ("NEW", 106, "pending", True, 0), 7: ("SKIP", 103, "indexed", True, 0), 8: ("SKIP", 3, "indexed", True, 0),
     }
-    after = {r.doc_id: r.status for r in importing.registry_after(reg, decided, out, ("source_url", "publisher")).collect()}
-    assert after == {1: "pending", 2: "indexed", 3: "indexed", 103: "indexed", 104: "needs_manual", 105: "failed", 106: "pending"}
+    assert {r.doc_id: r.status for r in after.collect()} == {1: "pending", 2: "indexed", 3: "indexed", 103: "indexed", 104: "needs_manual", 105: "failed", 106: "pending"}
     vectors = spark.createDataFrame([(1, "v"), (103, "v")], "doc_id long, chunk_id string")
-    assert [r.doc_id for r in importing.stale_vectors(vectors, importing.registry_after(reg, decided, out, ("source_url", "publisher"))).collect()] == [103]
+    assert [r.doc_id for r in importing.stale_vectors(vectors, after).collect()] == [103]
 
 
 def test_html_files(spark):
