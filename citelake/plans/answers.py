@@ -354,7 +354,13 @@ def streamed(spark, sf_dir, columns, step, mode, order="ts", batches=5):
     def keep(df, batch):  # under its own name: a batch that is tried again replaces what it wrote
         df.write.mode("overwrite").parquet(f"{root}/out/batch={batch}")
 
-    q = out.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start()
+    # A drain ends with its data: batches without data, which lifetimes by the machine's clock would ask for again and again, are off.
+    flag, before = "spark.sql.streaming.noDataMicroBatches.enabled", spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+    spark.conf.set(flag, "false")
+    try:
+        q = out.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(flag, before)
     q.awaitTermination()
     return spark.read.schema(out.schema.add("batch", "long")).parquet(f"{root}/out")
 

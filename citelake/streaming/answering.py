@@ -119,7 +119,8 @@ def answer_stream(requests: DataFrame, model: Callable[[list[str]], list[str]],
     """`answered` for a stream of requests, in append mode; batches must come in the order of arrival.
 
     A key's state goes after two lifetimes without a request, by the machine's clock: by then it has expired unless the stream runs at less than half of the
-    requests' own pace. Lifetimes themselves go by the requests' times. Late requests are never dropped.
+    requests' own pace. Lifetimes themselves go by the requests' times. Late requests are never dropped. Where a stream is drained with availableNow, set
+    spark.sql.streaming.noDataMicroBatches.enabled to false, as such state asks for empty batches without end.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
