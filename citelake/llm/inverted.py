@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import Stages, blocks_for
 
 #: Prefixes that a shingle may be in before it counts as hot, and how many shingles can be hot at most.
-HOT, HOT_SHINGLES = 64, 1 << 20
+HOT, HOT_SHINGLES = 256, 1 << 20
 #: Shingles of prefixes that one task searches, about; whole sets are six to seven times as large, and fewer.
 WEIGHT = 1 << 19
 #: Weighs probing long lists against merging them.
@@ -234,9 +234,9 @@ def live_rows(sets: DataFrame, percent: int, stages: Stages) -> DataFrame:
 
 
 class Dealt:
-    """Deals sets out to tasks of about `weight` shingles. sets: (sid, tokens), their prefixes; full: (sid, hashes)."""
+    """Deals sets out to tasks of about `weight` shingles. sets: (sid, tokens), their prefixes; full: gives (sid, hashes) of some sids, for the sets that prefixes leave."""
 
-    def __init__(self, sets: DataFrame, full: DataFrame, stages: Stages, percent: int, weight: int):
+    def __init__(self, sets: DataFrame, full: Callable[[DataFrame], DataFrame], stages: Stages, percent: int, weight: int):
         self.sets, self.full, self.stages, self.percent, self.weight = sets, full, stages, percent, weight
 
     def links(self, asked: DataFrame) -> DataFrame:
@@ -247,10 +247,14 @@ class Dealt:
         # Once a task, however many lists bring a set there.
         rows = asked.groupBy(task.alias("task"), "sid", "label").agg(F.max("query").alias("query"), F.first("n").alias("n"))
         left = stages.put(rows.join(self.sets.select("sid", F.col("tokens").alias("prefix")), "sid").groupBy("task").applyInArrow(lambda t: sieve(t, percent), "task long, sid long, n long, label long, query boolean, met long"))
+        stages.free()
+        full = stages.put(self.full(left.select("sid").distinct()))
+        stages.free()
         task = F.pmod(F.xxhash64("task", "met"), blocks(left, 2 * self.weight))
         rows = left.groupBy(task.alias("deal"), "sid", "label").agg(F.max("query").alias("query"))
-        found = stages.put(rows.join(self.full, "sid").groupBy("deal").applyInArrow(lambda t: search(t, percent), LINK).distinct())
-        stages.drop(left)
+        found = stages.put(rows.join(full, "sid").groupBy("deal").applyInArrow(lambda t: search(t, percent), LINK).distinct())
+        for df in (left, full):
+            stages.drop(df)
         stages.free()
         return found
 
@@ -299,6 +303,6 @@ def links_between(sets: DataFrame, percent: int, stages: Stages, weight: int = W
     tokens = without_hot(first, lambda sids, places: prefixes(sets.join(sids, "sid", "left_semi"), places), percent, stages, hot)
     live = live_rows(tokens, percent, stages)
     labels = sets.select(F.col("sid").alias("node"), "label")
-    found = Dealt(tokens, sets.select("sid", "hashes"), stages, percent, weight).links(open_rows(live, labels, weight * 100 // (100 - percent), stages))
+    found = Dealt(tokens, lambda sids: sets.select("sid", "hashes").join(sids, "sid", "left_semi"), stages, percent, weight).links(open_rows(live, labels, weight * 100 // (100 - percent), stages))
     stages.drop(live)
     return found

@@ -51,6 +51,8 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80, weight: int = W
     named = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key_")
     sets = rows.filter("n_shingles > 0").groupBy("set").agg(F.min(named).alias("first"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"))
     sets = stages.put(sets.withColumn("sid", F.monotonically_increasing_id()))
+    signed, rows = rows, stages.put(rows.drop("tokens"))
+    stages.drop(signed)
     stages.free()
     first = sets.select("sid", "n", F.col("first.doc_id").alias("id_"), F.col("first.key_").alias("k_"))
     # Only rows that are equal in id and text make a set's text come more than once.
@@ -72,16 +74,17 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80, weight: int = W
         return text_of(sids).mapInArrow(run, TOKENS)
 
     tokens = without_hot(sets, again, percent, stages, hot)
+    if tokens is not sets:
+        whole, sets = sets, stages.put(sets.drop("tokens"))
+        stages.drop(whole)
+        first = sets.select("sid", "n", F.col("first.doc_id").alias("id_"), F.col("first.key_").alias("k_"))
     live = live_rows(tokens, percent, stages)
-    sids = stages.put(live.select("sid").distinct())
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.record_batch([batch.column("sid"), pa.array([shingles(t, k).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], ["sid", "hashes"])
 
-    full = stages.put(text_of(sids).select("sid", "text").mapInArrow(hashed, "sid long, hashes binary"))
-    stages.free()
-    dealt = Dealt(tokens, full, stages, percent, weight)
+    dealt = Dealt(tokens, lambda some: text_of(some).select("sid", "text").mapInArrow(hashed, "sid long, hashes binary"), stages, percent, weight)
     fits = lambda a, b: F.least(a, b) * 100 >= percent * F.greatest(a, b)
     stars = stages.put(live.filter((F.col("sid") != F.col("c.sid")) & fits(F.col("n"), F.col("c.n"))).select(F.col("c.sid").alias("c"), F.col("c.n").alias("cn"), "sid", "n").distinct())
     each = weight * 100 // (100 - percent)
@@ -95,8 +98,7 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80, weight: int = W
     # Written: joins of tables have a plain shuffle on both sides, and Spark can split a hot component's rows.
     ids = stages.put(per_set.groupBy("label").agg(F.min("low").alias("component_id")))
     named_sets = per_set.join(ids, "label").select("set", "component_id")
-    for df in (live, sids, full):
-        stages.drop(df)
+    stages.drop(live)
     out = rows.join(named_sets, "set", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), "key_")
