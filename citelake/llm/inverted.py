@@ -20,6 +20,8 @@ HOT, HOT_SHINGLES = 256, 1 << 20
 WEIGHT = 1 << 19
 #: Weighs probing long lists against merging them.
 MU = 0.01
+#: Entries of lists that are merged in a heap.
+HEAP = 256
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -58,31 +60,43 @@ class Lists:
 
     def counts(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(set, in how many of the lists k it is)."""
-        step = np.cumsum(self.length[k]) - self.length[k]
-        n = np.bincount(self.who[np.repeat(self.at[k] - step, self.length[k]) + np.arange(self.length[k].sum())], minlength=self.n)
+        n = np.bincount(self.members(k), minlength=self.n)
         found = np.flatnonzero(n)
         return found, n[found]
 
-    def divide_skip(self, k: np.ndarray, t: int, skip: Callable[[int], bool] = lambda i: False) -> dict[int, int]:
-        """(set: number of lists) for sets that are in t of the lists k or more; skip: sets that need not be found.
+    def members(self, k: np.ndarray) -> np.ndarray:
+        """What the lists k hold, one after the other."""
+        step = np.cumsum(self.length[k]) - self.length[k]
+        return self.who[np.repeat(self.at[k] - step, self.length[k]) + np.arange(self.length[k].sum())]
+
+    def divide_skip(self, k: np.ndarray, t: int, need: np.ndarray | None = None, skip: Callable[[int], bool] = lambda i: False) -> dict[int, int]:
+        """(set: number of lists) for sets that are in t of the lists k or more; need: how many each set must be in, if that is more; skip: sets that need not be found.
 
-        The longest lists are set aside, fewer than t. The others are merged in a heap; what occurs often enough there is searched for in the long ones.
+        The longest lists are set aside, fewer than t. The others are merged in a heap, or, where they hold more than HEAP sets, by a merge sort, as they are runs in order; what occurs often enough
+        there is searched for in the long ones.
         """
         if len(k) < t:
             return {}
         k = k[np.argsort(self.length[k], kind="stable")]
         aside = max(0, min(t - 1, ceil(t / (MU * log2(self.length[k[-1]] + 1) + 1))))
         short, long_ = k[: len(k) - aside], k[len(k) - aside :] * self.n
+        if self.length[short].sum() <= HEAP:
+            merged = [(i, sum(1 for _ in run)) for i, run in groupby(heapq.merge(*(self.who[a:b].tolist() for a, b in zip(self.at[short].tolist(), (self.at[short] + self.length[short]).tolist(), strict=True))))]
+            ids, n = np.array([i for i, _ in merged], np.int64), np.array([c for _, c in merged], np.int64)
+        else:
+            run = np.sort(self.members(short), kind="stable")
+            at = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+            ids, n = run[at], np.diff(np.append(at, len(run)))
+        least = np.full(len(ids), t) if need is None else np.maximum(need[ids], t)
         found = {}
-        for i, run in groupby(heapq.merge(*(self.who[a:b].tolist() for a, b in zip(self.at[short].tolist(), (self.at[short] + self.length[short]).tolist(), strict=True)))):
-            n = sum(1 for _ in run)
-            if n < t - aside or skip(i):
+        for i, c, want in zip(*(x[n + aside >= least].tolist() for x in (ids, n, least)), strict=True):
+            if skip(i):
                 continue
             at = np.searchsorted(self.entry, long_ + i)
             at[at == len(self.entry)] = 0
-            n += int((self.entry[at] == long_ + i).sum())
-            if n >= t:
-                found[i] = n
+            c += int((self.entry[at] == long_ + i).sum())
+            if c >= want:
+                found[i] = c
         return found
 
 
@@ -162,7 +176,8 @@ def search(table: pa.Table, percent: int) -> pa.Table:
         lists = Lists(sets, labels)
         for q in askers(labels, np.array(table.column("query").to_pylist(), bool)).tolist():
             n = len(sets[q])
-            found = lists.divide_skip(lists.of(q), least_overlap(n, percent), lambda i, q=q: find(labels[i]) == find(labels[q]))
+            need = -(-percent * (n + lists.size) // (100 + percent))
+            found = lists.divide_skip(lists.of(q), least_overlap(n, percent), need, lambda i, q=q: find(labels[i]) == find(labels[q]))
             for i, both in found.items():
                 if 100 * both >= percent * (n + len(sets[i]) - both) and find(labels[i]) != find(labels[q]):
                     root[find(labels[i])] = find(labels[q])
@@ -286,23 +301,3 @@ def open_rows(live: DataFrame, labels: DataFrame, weight: int, stages: Stages) -
     met = own.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     where = F.struct("list", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).alias("where")
     return met.select(where, "n", "sid", "label", F.lit(True).alias("query"))
-
-
-def links_between(sets: DataFrame, percent: int, stages: Stages, weight: int = WEIGHT, hot: int = HOT) -> DataFrame:
-    """(a, b): links between similar sets of different labels, as many as join what can be joined, of `sets` (sid, n, label, hashes), a written table of distinct sets."""
-
-    def prefixes(some: DataFrame, places: np.ndarray | None = None) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = [prefix(np.frombuffer(x, np.uint64), percent, places) for x in batch.column("hashes").to_pylist()]
-                yield pa.record_batch([batch.column("sid"), batch.column("n"), pa.array(found, pa.list_(pa.int64()))], ["sid", "n", "tokens"])
-
-        return some.select("sid", "n", "hashes").mapInArrow(run, TOKENS)
-
-    first = stages.put(prefixes(sets))
-    tokens = without_hot(first, lambda sids, places: prefixes(sets.join(sids, "sid", "left_semi"), places), percent, stages, hot)
-    live = live_rows(tokens, percent, stages)
-    labels = sets.select(F.col("sid").alias("node"), "label")
-    found = Dealt(tokens, lambda sids: sets.select("sid", "hashes").join(sids, "sid", "left_semi"), stages, percent, weight).links(open_rows(live, labels, weight * 100 // (100 - percent), stages))
-    stages.drop(live)
-    return found

@@ -44,6 +44,28 @@ def drift(have: DataFrame, want: DataFrame) -> list[tuple[str, str]]:
     return out + [(c, "comment") for c in b if c in a and notes[0][c] != notes[1][c]]
 
 
+def align(spark: SparkSession, tables: dict[str, str]) -> list[tuple[str, str, str]]:
+    """Brings tables (name: columns as DDL, with comments) to what is declared: (table, column, added | comment | type | extra) for each difference there was.
+
+    Columns that lack are added, with nulls in the rows that are there, and comments are changed. Another type and extra columns are only reported: rows would have to be written anew, and nothing is ever dropped.
+    A second run changes nothing. Tables that don't exist are left to `create`.
+    """
+    done = []
+    for name, ddl in tables.items():
+        if not spark.catalog.tableExists(name):
+            continue
+        want = spark.createDataFrame([], ddl)
+        fields = {f.name: f for f in want.schema}
+        for column, what in drift(spark.table(name), want):
+            note = fields[column].metadata.get("comment", "").replace("\\", "\\\\").replace("'", "\\'") if column in fields else ""
+            if what == "missing":
+                spark.sql(f"ALTER TABLE {name} ADD COLUMNS (`{column}` {fields[column].dataType.simpleString()} COMMENT '{note}')")
+            elif what == "comment":
+                spark.sql(f"ALTER TABLE {name} ALTER COLUMN `{column}` COMMENT '{note}'")
+            done.append((name, column, "added" if what == "missing" else what))
+    return done
+
+
 def create(spark: SparkSession, tables: dict[str, str], form: str = "parquet") -> list[str]:
     """Create the tables (name: columns as DDL) that do not exist; the names of those that were made."""
     new = [name for name in tables if not spark.catalog.tableExists(name)]

@@ -336,12 +336,13 @@ FAQ = """SELECT doc_id AS path, concat('=== F-01 ===', chr(10), '--- 问题 ---'
 
 
 @query(
-    """SELECT doc_id AS path, 'F-01' AS entry_id, 'q ' || lang AS question_zh, CASE WHEN doc_id % 5 <> 1 THEN '  a' || chr(10) || 'b' END AS answer_zh, source, CASE doc_id % 5 WHEN 1 THEN 'answer_zh is empty' WHEN 2 THEN 'answer_en has no Latin letter' END AS error FROM documents
-UNION ALL SELECT doc_id, CASE WHEN doc_id % 5 = 3 THEN 'F-01' ELSE 'F-02' END, 'x', 'y', 'w', CASE WHEN doc_id % 5 = 3 THEN 'the entry is there twice' END FROM documents""".replace("'  a'", "'a'")
+    """SELECT doc_id AS path, 'F-01' AS entry_id, 'q ' || lang AS question_zh, CASE WHEN doc_id % 5 <> 1 THEN '  a' || chr(10) || 'b' END AS answer_zh,
+    CASE WHEN doc_id % 5 = 2 THEN '译文' ELSE regexp_replace(array_to_string(list_transform(string_split(replace(text, '```', ''), chr(10)), lambda x: regexp_replace(x, '\\s+$', '')), chr(10)), '^\\s+|\\s+$', '', 'g') END AS answer_en, source, CASE doc_id % 5 WHEN 1 THEN 'answer_zh is empty' WHEN 2 THEN 'answer_en has no Latin letter' END AS error FROM documents
+UNION ALL SELECT doc_id, CASE WHEN doc_id % 5 = 3 THEN 'F-01' ELSE 'F-02' END, 'x', 'y', 'z', 'w', CASE WHEN doc_id % 5 = 3 THEN 'the entry is there twice' END FROM documents""".replace("'  a'", "'a'")
 )
 def faq_entries(spark, sf_dir):
     text = F.expr(FAQ.split(" AS path, ", 1)[1].removesuffix(" AS value FROM documents"))
-    return tables.faq(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), text.alias("value"))).select("path", "entry_id", "question_zh", "answer_zh", "source", "error")
+    return tables.faq(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), text.alias("value"))).select("path", "entry_id", "question_zh", "answer_zh", "answer_en", "source", "error")
 
 
 @query("SELECT code, name_en FROM (SELECT n_name AS code, CASE WHEN n_nationkey % 2 = 0 THEN 'seeded' ELSE r_name END AS name_en FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'XX', 'new')")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixtures import duck, view
-from ..operators import calibrate
+from ..operators import calibrate, ivf
 from ..operators import retrieve as R
 
 QUERIES, ORACLES = {}, {}
@@ -134,3 +134,28 @@ def weight_sensitivity(spark, sf_dir):
 @query(duck(["cases"], " SELECT qid, coalesce(score >= 0.5, false) AS answered FROM cases"))
 def gate_outcomes(spark, sf_dir):
     return view(spark, sf_dir, "cases").select("qid", R.gate(F.col("score"), 0.5).alias("answered"))
+
+
+#: Share of the lists that a question probes. The embeddings table has hardly any clusters, so it is large; where vectors lie in clusters a few lists are enough (tests).
+PROBES = 0.75
+
+
+def inverted_file(spark, sf_dir, share):
+    """Hits of the inverted file for a share of its lists, and those of the exact leg."""
+    questions, _, vectors, _ = inputs(spark, sf_dir)
+    names = ["country", "doc_type", "publisher"]
+    centroids = ivf.fit(vectors)
+    return questions, vectors, ivf.search(questions, ivf.index(vectors.select("chunk_id", "dense", *names), centroids), centroids, max(1, round(share * len(centroids))))
+
+
+@query(duck(["chunk_vectors"], DENSE + " SELECT qid, chunk_id, round(cosine, 6) AS cosine, rk FROM dk"))
+def ivf_all_lists(spark, sf_dir):
+    """Where every list is probed, the inverted file is exact."""
+    return inverted_file(spark, sf_dir, 1.0)[2].select("qid", "chunk_id", r6("cosine"), "rk")
+
+
+@query()
+def ivf_recall(spark, sf_dir):
+    """Recall at 20 of the inverted file against the exact leg."""
+    questions, vectors, found = inverted_file(spark, sf_dir, PROBES)
+    return ivf.recall(R.dense_topk(questions, vectors), found)

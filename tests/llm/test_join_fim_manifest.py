@@ -47,8 +47,10 @@ def brute_components(rows, k, percent):
     return Counter((d, len(sets[i]), ids.get(label[i])) for i, (d, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("seed", range(40))
-def test_divide_skip_counts_lists(seed):
+@pytest.mark.parametrize("heap", (0, 256))
+@pytest.mark.parametrize("seed", range(20))
+def test_divide_skip_counts_lists(monkeypatch, seed, heap):
+    monkeypatch.setattr(inverted, "HEAP", heap)
     r = random.Random(seed)
     sets = [np.array(sorted(r.sample(range(60), r.randint(1, 50 if r.random() < 0.3 else 8))), np.uint64) for _ in range(r.randint(2, 30))]
     lists = inverted.Lists(sets, np.arange(len(sets)))

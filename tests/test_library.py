@@ -173,6 +173,18 @@ def test_tables_are_made_once_and_drift_is_seen(spark):
     spark.sql("drop table made_vectors")
 
 
+def test_drifted_tables_are_aligned(spark):
+    spark.sql("drop table if exists aligned_table")
+    index.create(spark, {"aligned_table": "a int, b string comment 'old', x int"})
+    spark.sql("insert into aligned_table values (1, 'b', 2)")
+    want = {"aligned_table": "a long, b string comment 'it\\'s new', c date comment 'day', d array<double>", "no_such_table": "a int"}
+    assert sorted(index.align(spark, want)) == [("aligned_table", "a", "type"), ("aligned_table", "b", "comment"), ("aligned_table", "c", "added"), ("aligned_table", "d", "added"), ("aligned_table", "x", "extra")]
+    t = spark.table("aligned_table")
+    assert {f.name: f.metadata.get("comment", "") for f in t.schema} == {"a": "", "b": "it's new", "x": "", "c": "day", "d": ""} and [tuple(r) for r in t.collect()] == [(1, "b", 2, None, None)]
+    assert sorted(index.align(spark, want)) == [("aligned_table", "a", "type"), ("aligned_table", "x", "extra")]
+    spark.sql("drop table aligned_table")
+
+
 def test_import_keeps_failures_to_their_rows(spark):
     reg = spark.createDataFrame([(1, "a", "indexed", "u1", "p"), (2, "b", "pending", "u2", "p"), (3, "c", "indexed", "u3", "p")], "doc_id long, content_hash string, status string, source_url string, publisher string")
     new = spark.createDataFrame([(1, "a", "u1", None), (2, "b", "u2", "p"), (3, "x", "u1", "p"), (4, "y", "u4", "p"), (5, "z", "u5", "p"), (6, "w", None, "p"), (7, "x", "u1", "p"), (8, "c", "u3", "p")], "line_number long, content_hash string, source_url string, publisher string")
