@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import Stages, ascii_lower, run_hashes, text_key, words
 
 SHINGLE = 5
-#: 64-bit fingerprints at similarity 0.8 differ in about 10 bits; more than 24 for hardly one in a million.
+#: 64-bit fingerprints at similarity 0.8 differ in about 10 bits, of items of five shingles in 12; in more than 24 with a probability of 5e-5 there, and less for longer items.
 RADIUS = 24
 
 
