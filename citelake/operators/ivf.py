@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
-from .retrieve import DENSE_LIMIT, FILTERS, best, top, unit
+from .retrieve import DENSE_LIMIT, FILTERS, allowed, best, matrix, top, unit
 
 #: Vectors that centroids are fitted on at most, centroids at most, and vectors of a list that one task scores, about.
 SAMPLE, LISTS, PART_ROWS = 65_536, 4096, 50_000
@@ -22,11 +22,6 @@ SAMPLE, LISTS, PART_ROWS = 65_536, 4096, 50_000
 QUESTIONS = 2048
 
 
-def matrix(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
-    x = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return unit(x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1))
-
-
 def fit(vectors: DataFrame, lists: int | None = None, sample: int = SAMPLE, rounds: int = 12) -> np.ndarray:
     """Unit centroids (rows) of `vectors` (chunk_id, dense): spherical k-means on the `sample` vectors of least hash, by default about the root of the number of vectors, LISTS at most. Null vectors don't count; no vectors: none."""
     known = vectors.filter("dense is not null").select("chunk_id", "dense")
@@ -86,9 +81,7 @@ def search(questions: DataFrame, indexed: DataFrame, centroids: np.ndarray, prob
             s, ids, chunk = np.zeros((1, 1)), np.zeros(0, np.int64), np.zeros(0, np.int64)
         else:
             s = matrix(mine.column("dense"), mine.num_rows) @ matrix(there.column("dense"), there.num_rows).T
-            for c in names:
-                want, have = np.array(mine.column(c).to_pylist(), object), np.array(there.column(c).to_pylist(), object)
-                s[(want != None)[:, None] & (want[:, None] != have[None])] = -np.inf  # noqa: E711
+            s = allowed(s, {c: np.array(mine.column(c).to_pylist(), object) for c in names}, there)
             ids, chunk = mine.column("qid").to_numpy(), there.column("chunk_id").to_numpy()
             i, j = best(s, chunk, limit)
         return pa.table({"qid": pa.array(ids[i], pa.int64()), "chunk_id": pa.array(chunk[j], pa.int64()), "cosine": pa.array(s[i, j], pa.float64())})

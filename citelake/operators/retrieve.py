@@ -6,16 +6,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..functions.text import IDENTIFIER
+from ..sources.shared import written
 
 DENSE_LIMIT, SPARSE_LIMIT, PARENTS = 20, 40, 5
 FILTERS = ("country", "doc_type", "publisher")
-#: Questions that are scored against a batch of vectors at once; more go in further passes.
-QUESTION_BLOCK = 4096
+#: Questions that are scored against a batch of rows at once, and that are broadcast at most; rows of either side of a task of the grid, about.
+QUESTION_BLOCK, GRID_ROWS = 4096, 16_384
+#: Products of weights that are held at once.
+PRODUCTS = 1 << 22
 #: Rows that are scored against a block at once.
 BATCH = 1024
 
@@ -61,90 +65,154 @@ def best(s: np.ndarray, chunk: np.ndarray, limit: int) -> tuple[np.ndarray, np.n
     return i[rank < limit], j[rank < limit]
 
 
+def kept(i: np.ndarray, chunk: np.ndarray, s: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The `limit` best hits of each question among hits of several batches."""
+    o = np.lexsort((chunk, -np.round(s, 9), i))
+    i, chunk, s = i[o], chunk[o], s[o]
+    first = np.arange(len(i)) - np.searchsorted(i, i) < limit
+    return i[first], chunk[first], s[first]
+
+
+def allowed(s: np.ndarray, wanted: dict[str, np.ndarray], batch: pa.RecordBatch) -> np.ndarray:
+    """Scores (questions x rows) with -inf where a filter of the question, if it is set, is not the row's value."""
+    for c, w in wanted.items():
+        have = np.array(batch.column(c).to_pylist(), object)
+        s[(w != None)[:, None] & (w[:, None] != have[None])] = -np.inf  # noqa: E711
+    return s
+
+
+class Block:
+    """Questions of one block (qid, filters and what `score` reads), scored against batches of rows."""
+
+    def __init__(self, asked: pa.Table, score: Callable, names: list[str]):
+        self.ids, self.scores = asked.column("qid").to_numpy(), score(asked)
+        self.wanted = {c: np.array(asked.column(c).to_pylist(), object) for c in names}
+
+    def hits(self, batch: pa.RecordBatch, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(question, chunk id, score) of each question's best rows of the batch."""
+        s = allowed(self.scores(batch), self.wanted, batch)
+        chunk = batch.column("chunk_id").to_numpy(zero_copy_only=False)
+        i, j = best(s, chunk, limit)
+        return i, chunk[j], s[i, j]
+
+
 def asked_in_blocks(questions: DataFrame, rows: DataFrame, score: Callable, limit: int, value: str) -> DataFrame:
-    """(qid, chunk_id, value, rk): the best rows for each question.
+    """(qid, chunk_id, value, rk): the best rows for each question; ids are unique on both sides.
 
-    Questions come to the workers in blocks of QUESTION_BLOCK, whose size is bounded; `score` gives the scores of a block (rows of questions) for an Arrow batch of `rows`, -inf where a row is no hit.
-    Only each question's best of a batch leave it, so what is shuffled does not grow with questions times rows. Filters that both have are applied before the limit.
+    `score` gives, for an Arrow table of questions, what scores an Arrow batch of `rows`: a matrix with a row for each question, -inf where a row is no hit. Filters that both have are applied before the limit.
+    Up to QUESTION_BLOCK questions are broadcast and the rows stay where they are; more meet the rows in a grid. Only each question's best leave a task either way.
     """
     names = [n for n in FILTERS if n in questions.columns and n in rows.columns]
-    spark, out = rows.sparkSession, None
-    parts = max(1, -(-questions.count() // QUESTION_BLOCK)) if limit > 0 else 0
-    for part in range(parts):
-        block = questions.filter(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part).collect()
-        if not block:
-            continue
-        shared = spark.sparkContext.broadcast((np.array([x["qid"] for x in block]), score(block), {c: np.array([x[c] for x in block], object) for c in names}))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, scores, wanted = shared.value
-            for whole in batches:
-                for start in range(0, whole.num_rows, BATCH):
-                    batch = whole.slice(start, BATCH)
-                    s = scores(batch)
-                    for c, w in wanted.items():
-                        have = np.array(batch.column(c).to_pylist(), object)
-                        s[(w != None)[:, None] & (w[:, None] != have[None])] = -np.inf  # noqa: E711
-                    chunk = batch.column("chunk_id").to_numpy(zero_copy_only=False)
-                    i, j = best(s, chunk, limit)
-                    yield pa.record_batch([pa.array(ids[i], pa.int64()), pa.array(chunk[j], pa.int64()), pa.array(s[i, j])], ["qid", "chunk_id", value])
-
-        got = rows.mapInArrow(run, f"qid long, chunk_id long, {value} double")
-        out = got if out is None else out.unionByName(got)
-    if out is None:
-        out = spark.createDataFrame([], f"qid long, chunk_id long, {value} double")
-    return top(out, "qid", value, "chunk_id", limit)
+    schema = f"qid long, chunk_id long, {value} double"
+    few = questions.limit(QUESTION_BLOCK + 1 if limit > 0 else 0).toArrow()  # bounded: tells whether a broadcast is
+    if not few.num_rows:
+        return top(rows.sparkSession.createDataFrame([], schema), "qid", value, "chunk_id", limit)
+    if few.num_rows > QUESTION_BLOCK:
+        return top(grid(questions, rows, score, limit, names, schema), "qid", value, "chunk_id", limit)
+    shared = rows.sparkSession.sparkContext.broadcast(Block(few, score, names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = shared.value
+        for whole in batches:
+            for start in range(0, whole.num_rows, BATCH):
+                i, chunk, s = block.hits(whole.slice(start, BATCH), limit)
+                yield pa.record_batch([pa.array(block.ids[i], pa.int64()), pa.array(chunk, pa.int64()), pa.array(s)], ["qid", "chunk_id", value])
+
+    return top(rows.mapInArrow(run, schema), "qid", value, "chunk_id", limit)
+
+
+def grid(questions: DataFrame, rows: DataFrame, score: Callable, limit: int, names: list[str], schema: str) -> DataFrame:
+    """Each block of questions meets each part of the rows in one task, and each question's best rows of the part leave it.
+
+    Blocks and parts hold about GRID_ROWS rows, so a task is bounded and both sides are copied alike often: rows once for each block, questions once for each part. Nothing passes through the driver.
+    """
+    asked = written(questions, "questions")
+    blocks, parts = max(1, -(-asked.count() // GRID_ROWS)), max(1, -(-rows.count() // GRID_ROWS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select("*", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block_"), every(parts).alias("part_"))
+    right = rows.select("*", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int").alias("part_"), every(blocks).alias("block_"))
+    value = schema.split()[-2]
+
+    def meet(mine: pa.Table, there: pa.Table) -> pa.Table:
+        ids, chunks, scores = [], [], []
+        for start in range(0, mine.num_rows if there.num_rows else 0, QUESTION_BLOCK):
+            block = Block(mine.slice(start, QUESTION_BLOCK).combine_chunks(), score, names)
+            found = [block.hits(batch, limit) for batch in there.to_batches(BATCH)]
+            i, chunk, s = kept(*(np.concatenate(x) for x in zip(*found, strict=True)), limit)
+            ids.append(block.ids[i]), chunks.append(chunk), scores.append(s)
+        whole = lambda x, t: pa.array(np.concatenate(x) if x else [], t)
+        return pa.table({"qid": whole(ids, pa.int64()), "chunk_id": whole(chunks, pa.int64()), value: whole(scores, pa.float64())})
+
+    return left.groupBy("block_", "part_").cogroup(right.groupBy("block_", "part_")).applyInArrow(meet, schema)
 
 
 def unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
 
 
+def flat(column: pa.ChunkedArray | pa.Array) -> pa.Array:
+    return (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
+
+
+def matrix(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
+    """Unit vectors, one a row, of a column of n lists of like length."""
+    return unit(flat(column).to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1))
+
+
 class Cosines:
     """Of a block of questions with every vector of a batch."""
 
-    def __init__(self, block: list):
-        self.q = unit(np.array([x["dense"] for x in block], np.float64))
+    def __init__(self, asked: pa.Table):
+        self.q = matrix(asked.column("dense"), asked.num_rows)
 
     def __call__(self, batch: pa.RecordBatch) -> np.ndarray:
-        return self.q @ unit(batch.column("dense").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)).T
+        return self.q @ matrix(batch.column("dense"), batch.num_rows).T
 
 
 class Products:
-    """Of a block of questions with the terms of every chunk of a batch; -inf without a token in common."""
+    """Of a block of questions with the terms of every chunk of a batch; -inf without a token in common. The postings of the questions' tokens are added up, PRODUCTS of them at a time."""
 
-    def __init__(self, block: list):
-        found: dict[str, list[tuple[int, float]]] = {}
-        for i, x in enumerate(block):
-            for tok, n in zip(x["tok"], x["n"], strict=True):
-                found.setdefault(tok, []).append((i, n))
-        self.size, self.postings = len(block), {tok: (np.array([i for i, _ in v]), np.array([n for _, n in v], np.float64)) for tok, v in found.items()}
+    def __init__(self, asked: pa.Table):
+        lists = asked.column("tok").combine_chunks()
+        self.size, self.vocabulary = asked.num_rows, pc.unique(lists.flatten())
+        code = pc.index_in(lists.flatten(), self.vocabulary).to_numpy()
+        o = np.argsort(code, kind="stable")
+        self.who = pc.list_parent_indices(lists).to_numpy()[o].astype(np.int64)
+        self.weight = flat(asked.column("n")).to_numpy()[o].astype(np.float64)
+        self.first = np.searchsorted(code[o], np.arange(len(self.vocabulary) + 1))
 
     def __call__(self, batch: pa.RecordBatch) -> np.ndarray:
-        out = np.zeros((batch.num_rows, self.size))
-        for own, toks, counts in zip(out, batch.column("tok").to_pylist(), batch.column("n").to_pylist(), strict=True):
-            for tok, n in zip(toks, counts, strict=True):
-                if hit := self.postings.get(tok):
-                    own[hit[0]] += hit[1] * n  # a question has a token once
+        lists, rows = batch.column("tok"), batch.num_rows
+        code = pc.index_in(lists.flatten(), self.vocabulary).fill_null(-1).to_numpy()
+        hit = code >= 0
+        code, row, n = code[hit], pc.list_parent_indices(lists).to_numpy()[hit].astype(np.int64), flat(batch.column("n")).to_numpy()[hit]
+        counts = self.first[code + 1] - self.first[code]
+        upto, out = np.cumsum(counts), np.zeros(self.size * rows)
+        cuts = np.append(np.searchsorted(upto, np.arange(0, upto[-1] if len(upto) else 0, PRODUCTS)), len(upto))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            c = counts[a:b]
+            at = np.repeat(self.first[code[a:b]] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+            out += np.bincount(self.who[at] * rows + np.repeat(row[a:b], c), weights=self.weight[at] * np.repeat(n[a:b], c), minlength=len(out))
         out[out == 0] = -np.inf
-        return np.ascontiguousarray(out.T)
+        return out.reshape(self.size, rows)
 
 
 def dense_topk(questions: DataFrame, vectors: DataFrame, limit: int = DENSE_LIMIT) -> DataFrame:
     """(qid, chunk_id, cosine, rk): for each question (qid, dense and any of country, doc_type, publisher) the nearest vectors that its filters allow.
 
-    Exact: a batch of vectors is scored by one matrix product. Vectors of length 0 have cosine 0; null vectors are no hits.
+    Exact: a batch of vectors is scored by one matrix product. Vectors of length 0 have cosine 0; null vectors are no hits, and questions without one have none.
     """
     names = [n for n in FILTERS if n in questions.columns and n in vectors.columns]
-    return asked_in_blocks(questions.select("qid", "dense", *names), vectors.filter("dense is not null").select("chunk_id", "dense", *names), Cosines, limit, "cosine")
+    return asked_in_blocks(questions.filter("dense is not null").select("qid", "dense", *names), vectors.filter("dense is not null").select("chunk_id", "dense", *names), Cosines, limit, "cosine")
 
 
 def sparse_topk(question_terms: DataFrame, terms: DataFrame, limit: int = SPARSE_LIMIT, questions: DataFrame | None = None, filters: DataFrame | None = None) -> DataFrame:
     """(qid, chunk_id, product, rk): inner products of (qid, tok, n) with (chunk_id, tok, n), for rows with a token in common.
 
-    Terms are gathered by chunk, at most a row's own tokens; a chunk's tokens then add up the postings of a block of questions, so no pair of a token's chunks and questions is ever a row.
+    Terms are gathered by chunk, at most a row's own tokens; a chunk's tokens then add up the postings of a block of questions, so no pair of a token's chunks and questions is ever a row. A null token or weight counts for nothing.
     questions (qid and filters) and filters (chunk_id and the columns that they name) restrict what each question may find.
     """
+    question_terms, terms = question_terms.filter("tok is not null and n is not null"), terms.filter("tok is not null and n is not null")
     q = question_terms.groupBy("qid").agg(F.collect_list("tok").alias("tok"), F.collect_list("n").alias("n"))
     rows = terms.groupBy("chunk_id").agg(F.collect_list("tok").alias("tok"), F.collect_list("n").alias("n"))
     if questions is not None and filters is not None:
