@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixtures import duck, view
-from ..operators import calibrate, ivf
+from ..operators import calibrate, ivf, postings
 from ..operators import retrieve as R
 
 QUERIES, ORACLES = {}, {}
@@ -159,3 +159,39 @@ def ivf_recall(spark, sf_dir):
     """Recall at 20 of the inverted file against the exact leg."""
     questions, vectors, found = inverted_file(spark, sf_dir, PROBES)
     return ivf.recall(R.dense_topk(questions, vectors), found)
+
+
+def postings_of(spark, sf_dir):
+    """Questions, their terms, and the index of all chunks with a vector."""
+    questions, asked, vectors, terms = inputs(spark, sf_dir)
+    return questions, asked, vectors, postings.build(terms, vectors.select("chunk_id", "country", "doc_type", "publisher"))
+
+
+@query(duck(VT, SPARSE + " SELECT qid, chunk_id, rk, product FROM sk"))
+def postings_topk(spark, sf_dir):
+    """The sparse leg by the inverted index."""
+    questions, asked, _, index = postings_of(spark, sf_dir)
+    return postings.search(asked, index, questions=questions.select("qid")).select("qid", "chunk_id", "rk", "product")
+
+
+@query(
+    duck(
+        VT,
+        """, q AS (SELECT chunk_id AS qid, country, CASE WHEN chunk_id % 200 = 0 THEN doc_type END AS doc_type FROM chunk_vectors WHERE chunk_id % 100 = 0),
+s AS MATERIALIZED (SELECT q.qid, b.chunk_id, CAST(sum(a.n * b.n) AS DOUBLE) AS product FROM q JOIN terms a ON a.chunk_id = q.qid JOIN terms b ON a.tok = b.tok JOIN chunk_vectors c ON c.chunk_id = b.chunk_id
+    WHERE q.country = c.country AND (q.doc_type IS NULL OR q.doc_type = c.doc_type) GROUP BY 1, 2)
+SELECT qid, chunk_id, rk, product FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(product, 9) DESC, chunk_id) AS rk FROM s) WHERE rk <= 40""",
+    )
+)
+def postings_topk_filtered(spark, sf_dir):
+    """The same with filters, which come before the limit."""
+    _, asked, vectors, index = postings_of(spark, sf_dir)
+    questions = vectors.filter("chunk_id % 100 = 0").select(F.col("chunk_id").alias("qid"), "country", F.when(F.col("chunk_id") % 200 == 0, F.col("doc_type")).alias("doc_type"))
+    return postings.search(asked, index, questions=questions).select("qid", "chunk_id", "rk", "product")
+
+
+@query()
+def postings_read(spark, sf_dir):
+    """What the bounds leave to score."""
+    questions, asked, _, index = postings_of(spark, sf_dir)
+    return postings.read(asked, index, questions=questions.select("qid"))

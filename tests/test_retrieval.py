@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from citelake.operators import retrieve
+from citelake.operators import postings, retrieve
 
 
 @pytest.fixture(scope="module")
@@ -75,3 +75,38 @@ def test_the_grid_of_nothing(spark, monkeypatch, collection):
     monkeypatch.setattr(retrieve, "QUESTION_BLOCK", 5)
     assert retrieve.dense_topk(q, v.limit(0)).count() == 0 and retrieve.sparse_topk(asked, t.limit(0)).count() == 0
     assert retrieve.sparse_topk(asked.limit(0), t).count() == 0
+
+
+@pytest.mark.parametrize("rows, questions", [(None, 1024), (10, 5), (1, 1024), (1000, 3)])
+def test_the_inverted_index_gives_the_rows_of_brute_force(spark, monkeypatch, collection, rows, questions):
+    q, v, asked, t = collection
+    monkeypatch.setattr(postings, "QUESTIONS", questions)
+    monkeypatch.setattr(postings, "ZONES", 4)
+    index = postings.build(t, v.select("chunk_id", "country"), rows)
+    assert hits(postings.search(asked, index, 9, q), "product") == brute_sparse(asked, t, q, v, 9)
+    nothing = q.withColumn("country", F.lit(None).cast("string"))
+    assert hits(postings.search(asked, index, 3), "product") == brute_sparse(asked, t, nothing, v, 3)
+
+
+def test_weights_of_any_sign_and_repeated_tokens(spark):
+    r = np.random.default_rng(2)
+    terms = spark.createDataFrame([(int(c), f"w{int(w)}", float(x)) for c, w, x in zip(r.integers(0, 200, 1500), r.integers(0, 40, 1500), r.normal(size=1500), strict=True)], "chunk_id long, tok string, n double").cache()
+    whole = postings.weights(terms, "chunk_id")
+    asked = whole.filter("chunk_id % 10 = 0").withColumnRenamed("chunk_id", "qid")
+    v = whole.select("chunk_id", F.lit("DE").alias("country")).distinct()
+    q = asked.select("qid", F.lit(None).cast("string").alias("country")).distinct()
+    assert hits(postings.search(asked, postings.build(terms, block_rows=8), 5), "product") == brute_sparse(asked, whole, q, v, 5)
+
+
+def test_bounds_leave_blocks_unread(spark):
+    rows = [(i, f"w{k}", 100 if i < 30 else 1) for i in range(600) for k in range(i % 4, 12, 3)]
+    t = spark.createDataFrame(rows, "chunk_id long, tok string, n long")
+    got = postings.read(t.filter("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "qid"), postings.build(t, block_rows=20), 5).first()
+    assert got.blocks_scored < got.blocks / 4 and got.entries_scored < got.entries / 4
+
+
+def test_an_index_of_nothing(spark, collection):
+    q, v, asked, t = collection
+    assert postings.search(asked, postings.build(t.limit(0))).count() == 0
+    index = postings.build(t)
+    assert postings.search(asked.limit(0), index).count() == postings.search(asked, index, 0).count() == 0
