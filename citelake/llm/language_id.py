@@ -27,6 +27,9 @@ MODEL_CHARS, DOC_CHARS = 40_000, 1_000
 TOTAL_CHARS = 64 * MODEL_CHARS
 #: Characters of a piece; pieces parsed in step.
 PIECE, STEP_ROWS = 512, 8_192
+#: Places that are tried at once for a state's transitions.
+WINDOW = 64
+SPREAD = np.arange(WINDOW)[:, None]
 NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 
 
@@ -78,34 +81,66 @@ class SuffixAutomaton:
 
 
 class Table:
-    """An automaton as a dense table of transitions over its own characters; 0 means none."""
+    """An automaton's transitions as rows laid over each other: that of `state` by the character of code c is at base[state] + c, if owner says so.
+
+    States with several transitions go where theirs are free, those with most first; the rest have one each, which fits any free place. So the size follows the number of transitions
+    (at most three for each character of the text), 8 bytes a place, and not that of states times different characters.
+    """
 
     def __init__(self, automaton: SuffixAutomaton):
         self.chars = np.array(sorted(map(ord, automaton.next[0])), np.uint32)
-        at = {chr(c): i + 1 for i, c in enumerate(self.chars)}
-        self.table = np.zeros((len(automaton.next), len(self.chars) + 1), np.int32)
-        for s, go in enumerate(automaton.next):
-            for c, t in go.items():
-                self.table[s, at[c]] = t
+        code = {chr(c): i + 1 for i, c in enumerate(self.chars)}
+        width, n = len(self.chars) + 1, len(automaton.next)
+        codes = [np.fromiter(map(code.__getitem__, go), np.int64, len(go)) for go in automaton.next]
+        degree = np.array([len(x) for x in codes])
+        self.base = np.zeros(n, np.int32)
+        taken, start = np.zeros(2 * width + 2 * int(degree.sum()) + WINDOW, bool), 0
+        several = np.nonzero(degree > 1)[0]
+        for s in several[np.argsort(-degree[several], kind="stable")].tolist():
+            while True:
+                if start + WINDOW + width > len(taken):
+                    taken = np.concatenate([taken, np.zeros(len(taken), bool)])
+                free = np.nonzero(~taken[start + SPREAD + codes[s]].any(axis=1))[0]
+                if len(free):
+                    break
+                start += WINDOW
+            self.base[s] = start + free[0]
+            taken[self.base[s] + codes[s]] = True
+        single = np.nonzero(degree == 1)[0]
+        while (~taken[width:]).sum() < len(single):
+            taken = np.concatenate([taken, np.zeros(len(taken), bool)])
+        self.base[single] = width + np.nonzero(~taken[width:])[0][: len(single)] - np.array([codes[s][0] for s in single], np.int64)
+        size = int(self.base.max()) + width
+        self.owner, self.target, self.root = np.full(size, -1, np.int32), np.zeros(size, np.int32), np.zeros(width, np.int32)
+        states = np.repeat(np.arange(n), degree)
+        at = self.base[states] + np.concatenate([*codes, np.zeros(0, np.int64)])
+        to = np.fromiter((t for go in automaton.next for t in go.values()), np.int32, len(at))
+        self.owner[at], self.target[at] = states, to
+        self.root[codes[0]] = to[: degree[0]]
+
+    @property
+    def bytes(self) -> int:
+        return sum(x.nbytes for x in (self.chars, self.base, self.owner, self.target, self.root))
 
     def phrases(self, pieces: np.ndarray, sizes: np.ndarray, before: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(phrases that begin in each piece, states in which pieces end).
 
         pieces: characters, one row a piece, longest first; before: the row that each goes on from, or -1; start: the state before pieces with none.
         """
-        width, every = self.table.shape[1], np.arange(len(pieces))
+        every = np.arange(len(pieces))
         at = np.searchsorted(self.chars, pieces)
         at[at == len(self.chars)] = 0
         codes = np.where(self.chars[at] == pieces, at + 1, 0).astype(np.int32) if len(self.chars) else np.zeros(pieces.shape, np.int32)
         codes = np.ascontiguousarray(codes.T)
-        flat, states, begins = self.table.ravel(), np.zeros(codes.shape, np.int32), np.zeros(codes.shape, bool)
+        states, begins = np.zeros(codes.shape, np.int32), np.zeros(codes.shape, bool)
 
         def step(j: int, rows: slice | np.ndarray, state: np.ndarray) -> np.ndarray:
             c = codes[j, rows]
-            to = flat[state * width + c]
+            place = self.base[state] + c
+            to = np.where(self.owner[place] == state, self.target[place], 0)
             # A phrase begins where the automaton stands at its start, or where it has no way on.
             begins[j, rows] = (state == 0) | (to == 0)
-            return np.where(to == 0, flat[c], to)
+            return np.where(to == 0, self.root[c], to)
 
         state = np.where(before < 0, start, 0).astype(np.int32)
         used = state.copy()
@@ -159,13 +194,13 @@ def sample(docs: DataFrame) -> dict[str, str]:
     """Labelled text for every language, of at most MODEL_CHARS, less if there are very many: a spread of documents, in the order of a hash of their ids."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
     order = F.xxhash64("doc_id", text_key(F.col("text")))
-    counts = known.groupBy("lang").agg(F.count("*").alias("count"), F.min(order).alias("least")).collect()
+    counts = known.groupBy("lang").agg(F.count_distinct(order).alias("count"), F.min(order).alias("least")).collect()
     chars = max(1, min(MODEL_CHARS, TOTAL_CHARS // max(1, len(counts))))
     each = min(DOC_CHARS, 2 * chars)
     want = max(1, 2 * chars // each)
     out: dict[str, str] = {}
     parts = docs.sparkSession.createDataFrame([(x["lang"], max(1, x["count"] // want), x["least"]) for x in counts], "lang string, every long, least long")
-    # About `want` documents a language, the one of the least hash always; rows equal in id and text once, so what comes to the driver is bounded.
+    # About `want` documents a language, the one of the least hash always; rows equal in id and text count once, so what comes to the driver is bounded and copies crowd out nothing.
     picked = known.join(F.broadcast(parts), "lang").filter((F.pmod(order, F.col("every")) == 0) | (order == F.col("least"))).select("lang", order.alias("o"), F.substring("text", 1, each).alias("text")).dropDuplicates(["lang", "o"])
     for x in sorted(picked.collect(), key=lambda x: (x["lang"], x["o"], x["text"])):
         have = out.get(x["lang"], "")

@@ -366,6 +366,53 @@ def test_every_language_is_learned(spark):
     assert got == {i: lang for i, _, lang in rows}
 
 
+def test_the_size_of_a_table_follows_the_text_and_not_its_alphabet():
+    r = random.Random(16)
+    for letters in range(0x4E00, 0x4E00 + 3000), range(0xAC00, 0xAC00 + 2000), range(0x3041, 0x3097), range(97, 123):
+        text = "".join(chr(letters[min(int(r.paretovariate(0.5)) - 1, len(letters) - 1)]) for _ in range(language_id.MODEL_CHARS))
+        a = language_id.SuffixAutomaton(text)
+        table = language_id.Table(a)
+        assert table.bytes < 4_000_000  # 64 languages: under 256 MB
+        for s in r.sample(range(len(a.next)), 200):
+            for c, code in ((c, i + 1) for i, c in enumerate(map(chr, table.chars[:: max(1, len(table.chars) // 40)]))):
+                code = int(np.searchsorted(table.chars, ord(c))) + 1
+                place = table.base[s] + code
+                assert (table.target[place] if table.owner[place] == s else 0) == a.next[s].get(c, 0)
+
+
+def test_predictions_against_brute_force(spark):
+    r = random.Random(17)
+    letters = {"aa": "abcde ", "bb": "abcfg ", "cc": "abcde ", "dd": "xyz "}
+    rows = [(i, rng_text(r, r.randrange(1, 60), letters[lang]), lang) for i in range(60) for lang in [r.choice(list(letters))]] + [(100, "q", None), (101, "", "aa"), (102, None, None), (103, "7 !", "bb"), (104, "ÀÉ x", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts = language_id.sample(d.filter("doc_id < 40"))
+    assert set(texts) == set(letters)
+
+    def phrases(t, model):
+        n, i = 0, 0
+        while i < len(t):
+            k = 1
+            while i + k < len(t) and t[i : i + k + 1] in model:
+                k += 1
+            i, n = i + k, n + 1
+        return n
+
+    want = {}
+    for i, text, _ in rows:
+        t = language_id.normalise(text or "")
+        inverse = {lang: 1 / phrases(t, texts[lang]) for lang in sorted(texts)} if t else {"und": 0.0}
+        best = max(inverse, key=lambda x: (inverse[x], [-ord(c) for c in x]))  # ties: the first in alphabetical order
+        want[i] = (best, round(inverse[best] / (sum(inverse.values()) or 1), 12))
+    got = {x.doc_id: (x.lang_pred, round(x.score, 12)) for x in language_id.identify(d, d.filter("doc_id < 40")).collect()}
+    assert got == want
+
+
+def test_copies_crowd_out_no_document(spark):
+    rows = [(1, "ab " * 9, "x")] * 3000 + [(i, f"{chr(97 + i % 20)}{chr(98 + i % 7)} " * 50, "x") for i in range(2, 60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_id.sample(d) == language_id.sample(d.distinct())
+
+
 # ---- 7 quality rules
 
 
