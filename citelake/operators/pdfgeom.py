@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse
+from ..sources.shared import written
 from .fold import folded
 
 # Fixed values in points: a gap below the first is one line, up to the second one paragraph; words of one row; the footer's share of the height.
@@ -37,22 +38,29 @@ def heading_levels(lines: DataFrame) -> DataFrame:
     return sizes.select("doc_id", "size", F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.desc("size"))).cast("long").alias("level"))
 
 
-def build_blocks(lines: DataFrame) -> DataFrame:
-    """(doc_id, ord, type, level, text): heading lines stand alone, other lines join while on one page and close enough. lines: doc_id, seq, page, size, top, text."""
-    rows = lines.withColumn("size", F.bround("size", 1)).join(heading_levels(lines), ["doc_id", "size"], "left")
-    w = Window.partitionBy("doc_id").orderBy("seq")
+def merged(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ord, type, level, text): lines with a level stand alone, other lines join while on one page and close enough. rows: keys, seq, page, level, top, text."""
+    w = Window.partitionBy(*keys).orderBy("seq")
     heading, before = F.col("level").isNotNull(), F.lag("seq").over(w)
     gap = F.col("top") - F.lag("top").over(w)
     goes_on = (F.lag("page").over(w) == F.col("page")) & (gap <= PARAGRAPH)
     cut = before.isNull() | heading | F.coalesce(F.lag("level").over(w).isNotNull(), F.lit(False)) | ~goes_on
     rows = rows.withColumn("ord", F.sum(cut.cast("long")).over(w) - 1)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ")
-    out = rows.groupBy("doc_id", "ord").agg(collapse(text).alias("text"), F.coalesce(F.max("level"), F.lit(0)).cast("long").alias("level"))
-    return out.select("doc_id", "ord", F.when(F.col("level") > 0, "heading").otherwise("paragraph").alias("type"), "level", "text")
+    out = rows.groupBy(*keys, "ord").agg(collapse(text).alias("text"), F.coalesce(F.max("level"), F.lit(0)).cast("long").alias("level"))
+    return out.select(*keys, "ord", F.when(F.col("level") > 0, "heading").otherwise("paragraph").alias("type"), "level", "text")
+
+
+def build_blocks(lines: DataFrame) -> DataFrame:
+    """(doc_id, ord, type, level, text): heading lines stand alone, other lines join while on one page and close enough. lines: doc_id, seq, page, size, top, text."""
+    return merged(lines.withColumn("size", F.bround("size", 1)).join(heading_levels(lines), ["doc_id", "size"], "left"), ["doc_id"])
 
 
 def words_to_lines(words: DataFrame) -> DataFrame:
-    """(doc_id, page, line, text): words sorted by top and x; a word joins a row within 1 pt of the row's first word."""
+    """(doc_id, page, line, text): words sorted by top and x; a word joins a row within 1 pt of the row's first word, and a row reads in that order. Blank rows go.
+
+    Where words have a size, also size (the largest of the row's) and top (the smallest).
+    """
 
     def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
         line, anchor = state
@@ -60,17 +68,57 @@ def words_to_lines(words: DataFrame) -> DataFrame:
             line, anchor = line + 1, row[0]
         return (line, anchor), (line,)
 
-    lines = folded(words.select("doc_id", "page", "top", "x0", "text"), ["doc_id", "page"], ["top", "x0", "text"], ["top"], (-1, None), step, {"line": "long"})
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda x: x["text"]), " ")
-    return lines.groupBy("doc_id", "page", "line").agg(text.alias("text"))
+    more = ["size"] if "size" in words.columns else []
+    lines = folded(words.select("doc_id", "page", "top", "x0", "text", *more), ["doc_id", "page"], ["top", "x0", "text"], ["top"], (-1, None), step, {"line": "long"})
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top", "x0", "text"))), lambda x: x["text"]), " ")
+    return lines.groupBy("doc_id", "page", "line").agg(collapse(text).alias("text"), *(F.max(c).alias(c) for c in more), *(F.min("top").alias("top") for _ in more)).filter("text <> ''")
 
 
 def outside_tables(words: DataFrame, tables: DataFrame) -> DataFrame:
-    """Words (x0, x1, top, bottom) whose centre lies in no table box (left, upper, right, lower) of their page."""
-    w, t = words.alias("w"), tables.alias("t")
-    x, y = (F.col("w.x0") + F.col("w.x1")) / 2, (F.col("w.top") + F.col("w.bottom")) / 2
-    inside = (F.col("w.doc_id") == F.col("t.doc_id")) & (F.col("w.page") == F.col("t.page")) & x.between(F.col("t.left"), F.col("t.right")) & y.between(F.col("t.upper"), F.col("t.lower"))
-    return w.join(t, inside, "left_anti")
+    """Words (x0, x1, top, bottom) whose centre lies in no table box (left, upper, right, lower) of their page; words without a place are in none.
+
+    A page's words and boxes pass in one stream from top to bottom, and a word meets only the boxes that are open at its height: time grows with words and boxes, not with their product.
+    """
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        box, x, y, left, right, lower = row
+        if not box:
+            return state, (x is not None and y is not None and any(b[0] <= x <= b[1] and y <= b[2] for b in state),)
+        return (*(b for b in state if b[2] >= y), (left, right, lower)), (False,)
+
+    word = words.select(F.struct(*words.columns).alias("w"))
+    none = F.lit(None).cast("double")
+    double = lambda c: F.col(c).cast("double")
+    rows = word.select(
+        F.col("w.doc_id"), F.col("w.page"), F.lit(0).alias("box"), ((double("w.x0") + double("w.x1")) / 2).alias("x"), ((double("w.top") + double("w.bottom")) / 2).alias("y"), none.alias("left"), none.alias("right"), none.alias("lower"), "w"
+    )
+    some = tables.dropna(subset=["doc_id", "page", "left", "upper", "right", "lower"])
+    boxes = some.select("doc_id", "page", F.lit(1).alias("box"), none.alias("x"), double("upper").alias("y"), *(double(c).alias(c) for c in ("left", "right", "lower")), F.lit(None).cast(word.schema["w"].dataType).alias("w"))
+    rows = rows.unionByName(boxes).withColumn("o", -F.col("box"))  # a box opens before the words at its upper edge
+    found = folded(rows, ["doc_id", "page"], ["y", "o"], ["box", "x", "y", "left", "right", "lower"], (), step, {"inside": "boolean"})
+    return found.filter("box = 0 and not inside").select("w.*")
+
+
+def page_blocks(words: DataFrame, tables: DataFrame) -> DataFrame:
+    """(doc_id, ord, page, type, level, text): of words (doc_id, page, x0, x1, top, bottom, size, text) and tables (doc_id, page, n, left, upper, right, lower, cells: array<array<string>>).
+
+    Each page's headings and paragraphs come first, of the words outside its tables, then its tables in the order of n; blocks are numbered through the document. The body's size is that of the whole document, heading
+    levels are those of the page. Tables without text give no block. A document without a line outside tables gives none: see `without_lines`.
+    """
+    lines = words_to_lines(outside_tables(words, tables)).select("doc_id", "page", F.col("line").alias("seq"), F.bround("size", 1).alias("size"), "top", "text")
+    lines = written(lines, "page-lines")  # read four times
+    sizes = lines.select("doc_id", "page", "size").distinct().join(body_size(lines), "doc_id").filter("size > body")
+    levels = sizes.select("doc_id", "page", "size", F.dense_rank().over(Window.partitionBy("doc_id", "page").orderBy(F.desc("size"))).cast("long").alias("level"))
+    blocks = merged(lines.join(levels, ["doc_id", "page", "size"], "left"), ["doc_id", "page"]).withColumn("kind", F.lit(0))
+    own = tables.select("doc_id", "page", F.col("n").cast("long").alias("ord"), F.lit("table").alias("type"), F.lit(0).cast("long").alias("level"), table_text(F.col("cells")).alias("text"), F.lit(1).alias("kind"))
+    own = own.filter("text is not null").join(lines.select("doc_id").distinct(), "doc_id", "left_semi")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "kind", "ord")).cast("long") - 1
+    return blocks.unionByName(own).select("doc_id", place.alias("ord"), "page", "type", "level", "text")
+
+
+def without_lines(words: DataFrame, tables: DataFrame, documents: DataFrame) -> DataFrame:
+    """Of `documents` (doc_id) those without a line outside tables: an error of the document."""
+    return documents.select("doc_id").join(outside_tables(words, tables).filter(collapse(F.col("text")) != "").select("doc_id"), "doc_id", "left_anti")
 
 
 def table_text(rows: Column) -> Column:

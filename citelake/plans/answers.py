@@ -264,13 +264,18 @@ def page_number_filter(spark, sf_dir):
     return pdfgeom.drop_page_numbers(n, 200.0).select("doc_id", "seq")
 
 
-def pdf_words(spark, sf_dir):
-    lines = view(spark, sf_dir, "pdf_lines").select("doc_id", "page", "seq", "top", F.posexplode(F.split("text", " ")).alias("i", "text"))
+def pdf_words(spark, sf_dir, *more):
+    lines = view(spark, sf_dir, "pdf_lines").select("doc_id", "page", "seq", "top", *more, F.posexplode(F.split("text", " ")).alias("i", "text"))
     top = F.round(F.col("top") + (F.col("i") % 3) * 0.4, 1)
-    return lines.select("doc_id", "page", top.alias("top"), (top + 10).alias("bottom"), (F.col("i") * 30.0).alias("x0"), (F.col("i") * 30.0 + 20).alias("x1"), "text")
+    return lines.select("doc_id", "page", top.alias("top"), (top + 10).alias("bottom"), (F.col("i") * 30.0).alias("x0"), (F.col("i") * 30.0 + 20).alias("x1"), "text", *more)
 
 
-@query(duck(P, " SELECT doc_id, page, dense_rank() OVER (PARTITION BY doc_id, page ORDER BY seq) - 1 AS line, text FROM pdf_lines"))
+# Words of a row read by top, then x.
+WORDS = ", w AS (SELECT doc_id, page, seq, size, i, round(top + ((i - 1) % 3) * 0.4, 1) AS top, (i - 1) * 30.0 AS x0, s[i] AS text FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM (SELECT *, string_split(text, ' ') AS s FROM pdf_lines)))"
+ROW = r"trim(regexp_replace(string_agg(text, ' ' ORDER BY top, x0), '\s+', ' ', 'g')) AS text"
+
+
+@query(duck(P, WORDS + f" SELECT doc_id, page, dense_rank() OVER (PARTITION BY doc_id, page ORDER BY seq) - 1 AS line, {ROW} FROM w GROUP BY doc_id, page, seq"))
 def words_to_lines(spark, sf_dir):
     return pdfgeom.words_to_lines(pdf_words(spark, sf_dir))
 
@@ -282,6 +287,33 @@ def words_outside_tables(spark, sf_dir):
     return pdfgeom.outside_tables(w, boxes).select("doc_id", "page", "x0", "top", "text")
 
 
+@query(
+    duck(
+        P,
+        WORDS
+        + f""", k AS (SELECT * FROM w WHERE NOT (page % 2 = 1 AND top + 5 BETWEEN 100 AND 150 AND (x0 + 10 BETWEEN 50 AND 200 OR x0 + 10 BETWEEN 300 AND 400))),
+l AS MATERIALIZED (SELECT * FROM (SELECT doc_id, page, seq, max(size) AS size, min(top) AS top, {ROW} FROM k GROUP BY doc_id, page, seq) WHERE text <> ''),
+b AS (SELECT doc_id, size AS body FROM (SELECT doc_id, size, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, size) AS r FROM l GROUP BY 1, 2) WHERE r = 1),
+v AS (SELECT doc_id, page, size, dense_rank() OVER (PARTITION BY doc_id, page ORDER BY size DESC) AS level FROM (SELECT DISTINCT l.doc_id, page, size FROM l JOIN b ON b.doc_id = l.doc_id WHERE size > body)),
+g AS (SELECT l.*, v.level, lag(l.top) OVER p AS pt, lag(v.level) OVER p AS pl FROM l LEFT JOIN v ON v.doc_id = l.doc_id AND v.page = l.page AND v.size = l.size WINDOW p AS (PARTITION BY l.doc_id, l.page ORDER BY l.seq)),
+o AS (SELECT *, sum(CASE WHEN pt IS NULL OR level IS NOT NULL OR pl IS NOT NULL OR top - pt > 20 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY seq) AS place FROM g),
+x AS (SELECT doc_id, page, 0 AS kind, place, CASE WHEN max(level) IS NULL THEN 'paragraph' ELSE 'heading' END AS type, coalesce(max(level), 0) AS level, string_agg(text, ' ' ORDER BY seq) AS text FROM o GROUP BY doc_id, page, place
+UNION ALL SELECT doc_id, page, 1, n, 'table', 0, 'p' || page || ' | ' || chr(10) || doc_id || ' x | y' || n FROM (SELECT DISTINCT doc_id, page FROM pdf_lines WHERE page % 4 = 1), (SELECT unnest([1, 2]) AS n) WHERE doc_id IN (SELECT doc_id FROM l))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, kind, place) - 1 AS ord, page, type, level, text FROM x""",
+    )
+)
+def page_blocks(spark, sf_dir):
+    """From words and tables to blocks: two tables on odd pages, those of each second one are blank."""
+    w = pdf_words(spark, sf_dir, "size")
+    pages = w.select("doc_id", "page").distinct().filter("page % 2 = 1").withColumn("n", F.explode(F.array(F.lit(1), F.lit(2))))
+    text = lambda c: F.when(F.col("page") % 4 == 1, c)
+    cells = F.array(F.array(text(F.concat(F.lit("p"), "page")), F.lit(None).cast("string")), F.array(F.lit(""), F.lit(" ")), F.array(text(F.concat("doc_id", F.lit("  x"))), text(F.concat(F.lit(" y"), "n"))))
+    second = F.col("n") == 2
+    side = lambda a, b: F.when(second, F.lit(b)).otherwise(F.lit(a))
+    boxes = pages.select("doc_id", "page", "n", side(50.0, 300.0).alias("left"), side(200.0, 400.0).alias("right"), F.lit(100.0).alias("upper"), F.lit(150.0).alias("lower"), cells.alias("cells"))
+    return pdfgeom.page_blocks(w, boxes)
+
+
 @query(duck(P, " SELECT doc_id, page, seq, size, top, replace(text, ' ', '') AS text FROM pdf_lines WHERE replace(text, ' ', '') <> ''"))
 def span_lines(spark, sf_dir):
     lines = view(spark, sf_dir, "pdf_lines").select("doc_id", "page", "seq", "top", "size", F.posexplode(F.split("text", " ")).alias("span", "text"))

