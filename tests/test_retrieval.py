@@ -70,6 +70,27 @@ def test_blocks_and_grids_give_the_rows_of_brute_force(spark, monkeypatch, colle
     assert hits(retrieve.sparse_topk(asked, t, 9, q, v.select("chunk_id", "country")), "product") == brute_sparse(asked, t, q, v, 9)
 
 
+def test_only_the_best_of_all_batches_leave_a_task(spark, monkeypatch, collection):
+    q, v, asked, t = collection
+    want = brute_dense(q, v, 3), brute_sparse(asked, t, q, v, 3)
+    monkeypatch.setattr(retrieve, "BATCH", 16)
+    monkeypatch.setattr(retrieve, "CELLS", 1000)
+    one = v.coalesce(1)
+    assert (hits(retrieve.dense_topk(q, one, 3), "cosine"), hits(retrieve.sparse_topk(asked, t, 3, q, one.select("chunk_id", "country")), "product")) == want
+    monkeypatch.setattr(retrieve, "top", lambda df, *_: df)
+    assert retrieve.dense_topk(q, one, 3).count() == len(want[0])
+
+
+def test_only_chunks_with_a_vector_become_terms(spark, tmp_path):
+    from citelake.plans import retrieval
+
+    spark.createDataFrame([(i, f"a b{i} A") for i in range(0, 400, 50)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, [1.0, float(i)], 1) for i in (0, 50, 100, 7)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    _, asked, _, terms = retrieval.inputs(spark, str(tmp_path))
+    assert sorted(map(tuple, terms.collect())) == [(0, "a", 2), (0, "b", 1), (50, "a", 2), (50, "b", 1), (100, "a", 2), (100, "b", 1)]
+    assert sorted(map(tuple, asked.collect())) == [(0, "a", 2), (0, "b", 1), (100, "a", 2), (100, "b", 1)]
+
+
 def test_the_grid_of_nothing(spark, monkeypatch, collection):
     q, v, asked, t = collection
     monkeypatch.setattr(retrieve, "QUESTION_BLOCK", 5)
