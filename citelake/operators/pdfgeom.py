@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse
 from ..sources.shared import written
-from .fold import folded
 
 # Fixed values in points: a gap below the first is one line, up to the second one paragraph; words of one row; the footer's share of the height.
 SAME_LINE, PARAGRAPH, ROW, FOOTER = 1.0, 20.0, 1.0, 0.9
+PAGE, BOX = ["doc_id", "page"], ["left", "upper", "right", "lower"]
 # Fixed value: what a page number reads like.
 PAGE_NUMBER = r"^\d+\s*/\s*\d+$"
 
@@ -56,47 +62,150 @@ def build_blocks(lines: DataFrame) -> DataFrame:
     return merged(lines.withColumn("size", F.bround("size", 1)).join(heading_levels(lines), ["doc_id", "size"], "left"), ["doc_id"])
 
 
-def words_to_lines(words: DataFrame) -> DataFrame:
+def changes(columns: list[pa.Array]) -> np.ndarray:
+    """Places of a batch, 0 among them, where one of the columns is not what it was in the row before; null is a value."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for c in columns:
+        null = c.is_null().to_numpy(zero_copy_only=False)
+        new[1:] |= pc.not_equal(c[1:], c[:-1]).fill_null(False).to_numpy(zero_copy_only=False) | (null[1:] != null[:-1])
+    return np.flatnonzero(new)
+
+
+def paged(batch: pa.RecordBatch) -> tuple[list[tuple[int, int]], tuple, tuple]:
+    """[start, end) of each page in a batch, and the first and the last page's key."""
+    ids = [batch.column(c) for c in PAGE]
+    cuts = [*changes(ids).tolist(), batch.num_rows]
+    key = lambda i: tuple(c[i].as_py() for c in ids)
+    return list(zip(cuts[:-1], cuts[1:], strict=True)), key(0), key(batch.num_rows - 1)
+
+
+def numbers(column: pa.Array) -> np.ndarray:
+    """As doubles; null is NaN."""
+    return pc.cast(column, pa.float64()).to_numpy(zero_copy_only=False)
+
+
+def passing(words: DataFrame, tables: DataFrame, order: list[str]) -> DataFrame:
+    """Words with a null box_, and before each page's words its boxes; pages pass as streams in order."""
+    some = tables.dropna(subset=[*PAGE, *BOX]).select(*(F.col(c).try_cast(words.schema[c].dataType).alias(c) for c in PAGE), F.struct(*(F.col(c).cast("double").alias(c) for c in BOX)).alias("box_"))
+    rows = words.withColumn("box_", F.lit(None).cast(some.schema["box_"].dataType)).unionByName(some.dropna(subset=PAGE), allowMissingColumns=True)
+    return rows.repartition(*PAGE).sortWithinPartitions(*PAGE, F.col("box_").isNotNull().desc(), *order)
+
+
+def outside(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Of `passing` rows the words outside their page's boxes, with the columns `names`. The boxes of one page are held; each looks up the words at its height."""
+    last, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        box = batch.column("box_")
+        keep = box.is_null().to_numpy(zero_copy_only=False).copy()
+        mine = np.flatnonzero(~keep).tolist()
+        if mine or held:
+            (pages, first, end), found, at = paged(batch), box.to_pylist(), 0
+            x, y = (numbers(batch.column("x0")) + numbers(batch.column("x1"))) / 2, (numbers(batch.column("top")) + numbers(batch.column("bottom"))) / 2
+            for a, b in pages:
+                if a or first != last:
+                    held = []
+                while at < len(mine) and mine[at] < b:
+                    held.append(found[mine[at]])
+                    at += 1
+                if held:
+                    o = a + np.argsort(y[a:b], kind="stable")
+                    high = y[o]
+                    for h in held:
+                        these = o[np.searchsorted(high, h["upper"]) : np.searchsorted(high, h["lower"], "right")]
+                        keep[these[(x[these] >= h["left"]) & (x[these] <= h["right"])]] = False
+            last = end
+        batch = batch.select(names)
+        yield batch if keep.all() else batch.filter(pa.array(keep))
+
+
+def row_starts(top: np.ndarray, blank: int, anchor: float | None) -> tuple[list[int], float | None]:
+    """Where rows begin among a page's sorted heights, of which the first `blank` are null and stand alone, and the first height of the last row; `anchor` is that of a row that is open before."""
+    starts, at, high = list(range(blank)), blank, top.tolist()
+    end = len(high) - int(np.isnan(top[blank:]).sum())  # NaN sorts last and begins no row where there is one
+    while at < len(high):
+        if anchor is None or abs(high[at] - anchor) > ROW:
+            starts.append(at)
+            anchor = high[at]
+        at = bisect.bisect_left(high, True, at + 1, end, key=lambda v: v - anchor > ROW) if at + 1 < end else max(at + 1, end)
+        at = len(high) if at >= end else at
+    return starts, anchor
+
+
+def joined_rows(words: pa.RecordBatch, begins: list[int], lines: list[int], more: list[str]) -> pa.RecordBatch:
+    """One row for each row of words, from the places where they begin."""
+    text, at = words.column("text"), np.array(begins)
+    upto = np.append(0, np.cumsum(text.is_valid().to_numpy(zero_copy_only=False)))
+    texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(upto[[*begins, len(text)]], pa.int32()), text.drop_null()), " ")
+    out = {"doc_id": words.column("doc_id").take(pa.array(at)), "page": words.column("page").take(pa.array(at)), "line": pa.array(lines, pa.int64()), "text": texts}
+    for c in more:
+        size = words.column(c)
+        there = size.is_valid().to_numpy(zero_copy_only=False)
+        most = np.maximum.reduceat(np.where(there, numbers(size), -np.inf), at)
+        out |= {c: pa.array(most, mask=~np.logical_or.reduceat(there, at)).cast(size.type), "top": words.column("top").take(pa.array(at))}
+    return pa.record_batch(out)
+
+
+def rows_of_words(batches: Iterator[pa.RecordBatch], more: list[str]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, page, line, text and, if `more` has size, size and top) of words that pass by page, top and x. The open row is held."""
+    last, line, anchor, held = None, -1, None, []
+
+    def closed() -> Iterator[pa.RecordBatch]:
+        if held:
+            yield joined_rows(pa.Table.from_batches(held).combine_chunks().to_batches()[0], [0], [line], more)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        pages, first, end = paged(batch)
+        top, known = numbers(batch.column("top")), batch.column("top").is_valid().to_numpy(zero_copy_only=False)
+        begins, lines, now = [], [], line
+        for a, b in pages:
+            if a or first != last:
+                now, anchor = -1, None
+            found, anchor = row_starts(top[a:b], int((~known[a:b]).sum()), anchor)
+            begins += [a + i for i in found]
+            lines += range(now + 1, now + 1 + len(found))
+            now += len(found)
+        last = end
+        if not begins:
+            held.append(batch)
+            continue
+        if begins[0]:
+            held.append(batch.slice(0, begins[0]))
+        yield from closed()
+        if len(begins) > 1:
+            yield joined_rows(batch.slice(begins[0], begins[-1] - begins[0]), [i - begins[0] for i in begins[:-1]], lines[:-1], more)
+        held, line = [batch.slice(begins[-1])], lines[-1]
+    yield from closed()
+
+
+def words_to_lines(words: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     """(doc_id, page, line, text): words sorted by top and x; a word joins a row within 1 pt of the row's first word, and a row reads in that order. Blank rows go.
 
-    Where words have a size, also size (the largest of the row's) and top (the smallest).
+    Where words have a size, also size (the largest of the row's) and top (the smallest). tables: of the words only those outside the boxes, as in `outside_tables`; both in one pass. Rows are put together where their words pass.
     """
+    kinds, plain = dict(words.dtypes), tables is None
+    more, order = [c for c in ("size",) if c in kinds], ["top", "x0", "text"]
+    own = [*PAGE, "text", *more, "top"]
+    rows = words.select(*PAGE, "top", "x0", "text", *more).repartition(*PAGE).sortWithinPartitions(*PAGE, *order) if plain else passing(words, tables, order)
 
-    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
-        line, anchor = state
-        if anchor is None or abs(row[0] - anchor) > ROW:
-            line, anchor = line + 1, row[0]
-        return (line, anchor), (line,)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return rows_of_words((b.select(own) for b in batches) if plain else outside(batches, own), more)
 
-    more = ["size"] if "size" in words.columns else []
-    lines = folded(words.select("doc_id", "page", "top", "x0", "text", *more), ["doc_id", "page"], ["top", "x0", "text"], ["top"], (-1, None), step, {"line": "long"})
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top", "x0", "text"))), lambda x: x["text"]), " ")
-    return lines.groupBy("doc_id", "page", "line").agg(collapse(text).alias("text"), *(F.max(c).alias(c) for c in more), *(F.min("top").alias("top") for _ in more)).filter("text <> ''")
+    schema = f"doc_id {kinds['doc_id']}, page {kinds['page']}, line long, text string" + "".join(f", {c} {kinds[c]}, top {kinds['top']}" for c in more)
+    return rows.mapInArrow(run, schema).withColumn("text", collapse(F.col("text"))).filter("text <> ''")
 
 
 def outside_tables(words: DataFrame, tables: DataFrame) -> DataFrame:
     """Words (x0, x1, top, bottom) whose centre lies in no table box (left, upper, right, lower) of their page; words without a place are in none.
 
-    A page's words and boxes pass in one stream from top to bottom, and a word meets only the boxes that are open at its height: time grows with words and boxes, not with their product.
+    A page's boxes pass before its words, in one stream, and a box meets only the words at its height: time grows with words, boxes and the words beside boxes, not with the product of words and boxes.
     """
-
-    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
-        box, x, y, left, right, lower = row
-        if not box:
-            return state, (x is not None and y is not None and any(b[0] <= x <= b[1] and y <= b[2] for b in state),)
-        return (*(b for b in state if b[2] >= y), (left, right, lower)), (False,)
-
-    word = words.select(F.struct(*words.columns).alias("w"))
-    none = F.lit(None).cast("double")
-    double = lambda c: F.col(c).cast("double")
-    rows = word.select(
-        F.col("w.doc_id"), F.col("w.page"), F.lit(0).alias("box"), ((double("w.x0") + double("w.x1")) / 2).alias("x"), ((double("w.top") + double("w.bottom")) / 2).alias("y"), none.alias("left"), none.alias("right"), none.alias("lower"), "w"
-    )
-    some = tables.dropna(subset=["doc_id", "page", "left", "upper", "right", "lower"])
-    boxes = some.select("doc_id", "page", F.lit(1).alias("box"), none.alias("x"), double("upper").alias("y"), *(double(c).alias(c) for c in ("left", "right", "lower")), F.lit(None).cast(word.schema["w"].dataType).alias("w"))
-    rows = rows.unionByName(boxes).withColumn("o", -F.col("box"))  # a box opens before the words at its upper edge
-    found = folded(rows, ["doc_id", "page"], ["y", "o"], ["box", "x", "y", "left", "right", "lower"], (), step, {"inside": "boolean"})
-    return found.filter("box = 0 and not inside").select("w.*")
+    names = words.columns
+    return passing(words, tables, []).mapInArrow(lambda batches: outside(batches, names), ", ".join(f"`{c}` {t}" for c, t in words.dtypes))
 
 
 def page_blocks(words: DataFrame, tables: DataFrame) -> DataFrame:
@@ -105,7 +214,7 @@ def page_blocks(words: DataFrame, tables: DataFrame) -> DataFrame:
     Each page's headings and paragraphs come first, of the words outside its tables, then its tables in the order of n; blocks are numbered through the document. The body's size is that of the whole document, heading
     levels are those of the page. Tables without text give no block. A document without a line outside tables gives none: see `without_lines`.
     """
-    lines = words_to_lines(outside_tables(words, tables)).select("doc_id", "page", F.col("line").alias("seq"), F.bround("size", 1).alias("size"), "top", "text")
+    lines = words_to_lines(words, tables).select("doc_id", "page", F.col("line").alias("seq"), F.bround("size", 1).alias("size"), "top", "text")
     lines = written(lines, "page-lines")  # read four times
     sizes = lines.select("doc_id", "page", "size").distinct().join(body_size(lines), "doc_id").filter("size > body")
     levels = sizes.select("doc_id", "page", "size", F.dense_rank().over(Window.partitionBy("doc_id", "page").orderBy(F.desc("size"))).cast("long").alias("level"))

@@ -33,3 +33,38 @@ def test_tables_follow_the_text_of_their_page(spark):
         (1, 5, 2, "heading", 1, "Part"), (1, 6, 2, "paragraph", 0, "end"),
     ]
     assert [x.doc_id for x in pdfgeom.without_lines(words, tables, words.select("doc_id").distinct()).collect()] == [2]
+
+
+def test_rows_over_several_batches_and_odd_heights(spark):
+    r = random.Random(5)
+    heights = [None, float("nan"), 1.0, 1.5, 2.0, 2.1, 3.05, 80.1, 81.1, 81.2, float("inf"), 5e8]
+    words = [(None if d == 3 else d, r.randrange(2), float(x), x + 2.0, h if h is None else h + r.choice([0, 0, 0.4]), 1e9, r.choice([None, 9.0, 12.0]), r.choice([None, " ", f"w{i}", "a  b"])) for i in range(900) for d, x, h in [(r.randrange(4), r.randrange(60), r.choice(heights))]]
+    rank = lambda v: (0, 0) if v is None else (2, 0) if v != v else (1, v)
+    want, pages = [], {}
+    for w in words:
+        pages.setdefault(w[:2], []).append(w)
+    for key, of in pages.items():
+        rows, anchor = [], None
+        for w in sorted(of, key=lambda w: (rank(w[4]), rank(w[2]), w[7] is not None, w[7] or "")):
+            if anchor is None or abs(w[4] - anchor) > 1:
+                rows.append([])
+                anchor = w[4]
+            rows[-1].append(w)
+        texts = [" ".join(" ".join(w[7] for w in x if w[7] is not None).split()) for x in rows]
+        want += [(*key, n, text, max((w[6] for w in x if w[6] is not None), default=None), x[0][4]) for n, (x, text) in enumerate(zip(rows, texts, strict=True)) if text]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in (7, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            frame = spark.createDataFrame(words, WORD)
+            none = spark.createDataFrame([(0, 0, 1, -9.0, -9.0, -8.0, -8.0, [])], TABLE)
+            for got in (pdfgeom.words_to_lines(frame), pdfgeom.words_to_lines(frame, none)):
+                assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_words_pass_one_shuffle(spark):
+    words, tables = spark.createDataFrame([], WORD), spark.createDataFrame([], TABLE)
+    plan = pdfgeom.words_to_lines(words, tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1 and "Aggregate" not in plan
