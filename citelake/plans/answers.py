@@ -265,8 +265,9 @@ def page_number_filter(spark, sf_dir):
 
 
 def pdf_words(spark, sf_dir, *more):
-    lines = view(spark, sf_dir, "pdf_lines").select("doc_id", "page", "seq", "top", *more, F.posexplode(F.split("text", " ")).alias("i", "text"))
-    top = F.round(F.col("top") + (F.col("i") % 3) * 0.4, 1)
+    tops = F.array(*(F.round(F.col("top") + F.lit(k) * 0.4, 1) for k in range(3)))  # three heights a line
+    lines = view(spark, sf_dir, "pdf_lines").select("doc_id", "page", *more, tops.alias("tops"), "text").select("doc_id", "page", "tops", *more, F.posexplode(F.split("text", " ")).alias("i", "text"))
+    top = F.col("tops")[F.col("i") % 3]
     return lines.select("doc_id", "page", top.alias("top"), (top + 10).alias("bottom"), (F.col("i") * 30.0).alias("x0"), (F.col("i") * 30.0 + 20).alias("x1"), "text", *more)
 
 
