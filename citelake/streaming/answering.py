@@ -115,6 +115,18 @@ def answered(requests: DataFrame, model: Callable[[list[str]], list[str]], thres
     return prepared(requests).select(READS).repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, OUT)
 
 
+def replies(desk: Desk, key: str, parts: list[pd.DataFrame], state: dict) -> tuple[pd.DataFrame, dict]:
+    """(answers, state) after a key's requests, by id. Columns become lists of plain values: most keys have a few rows, where frames taken by row cost more than the answers."""
+    rows = pd.concat(parts) if len(parts) > 1 else parts[0]
+    columns = [[None if v != v else v for v in rows[c].tolist()] for c in READS]
+    found = []
+    for i in rows["id"].to_numpy().argsort(kind="stable").tolist():
+        row = {c: values[i] for c, values in zip(READS, columns, strict=True)}
+        state, answer = desk.take(state, row | {"us": int(row["us"]), "single": bool(row["single"]), "undated": bool(row["undated"])})
+        found.append((key, row["id"], answer["hit"], answer["messages"], *(answer[c] for c in ANSWER)))
+    return pd.DataFrame(dict(zip(["key", "id", "hit", "messages", *ANSWER], map(list, zip(*found, strict=True)), strict=True))), state
+
+
 def answer_stream(requests: DataFrame, model: Callable[[list[str]], list[str]], threshold: float, keep: int = KEEP, session_ttl: int = SESSION_TTL, cache_ttl: int = CACHE_TTL) -> DataFrame:
     """`answered` for a stream of requests, in append mode; batches must come in the order of arrival.
 
@@ -132,13 +144,9 @@ def answer_stream(requests: DataFrame, model: Callable[[list[str]], list[str]],
             held.remove()
             return
         state = json.loads(held.get[0]) if held.exists else {}
-        rows = pd.concat(list(parts)).sort_values("id", kind="stable")
-        out = []
-        for row in rows.astype(object).where(rows.notna(), None).to_dict("records"):
-            state, found = desk.take(state, row | {"us": int(row["us"]), "single": bool(row["single"]), "undated": bool(row["undated"])})
-            out.append({"key": k[0], "id": row["id"], **found})
+        found, state = replies(desk, k[0], list(parts), state)
         held.update((json.dumps(state),))
         held.setTimeoutDuration(idle)
-        yield pd.DataFrame(out).astype({"id": "int64", "messages": "int64"})
+        yield found
 
     return prepared(requests).select(READS).groupBy("key").applyInPandasWithState(step, OUT, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -59,3 +59,21 @@ def test_a_late_request_does_not_turn_the_clock_back():
     assert kept == [2, 4, 6, 8, 2]
     with pytest.raises(ValueError, match="threshold"):
         answering.Desk(lambda p: p, None)
+
+
+def test_a_keys_requests_are_not_taken_as_frames(monkeypatch):
+    import pandas as pd
+
+    def part(ids):
+        n = len(ids)
+        return pd.DataFrame({"key": "s:a", "single": False, "id": ids, "us": [i * 1_000_000 for i in ids], "question": [f"q{i}" for i in ids], "prompt": [f"{i} [1]" for i in ids], "top_score": [None if i == 3 else 0.9 for i in ids], "n_materials": [None if i == 2 else 3 for i in ids], "undated": [True] * n})
+
+    for name in ("where", "to_dict", "iterrows", "itertuples"):
+        monkeypatch.setattr(pd.DataFrame, name, None)
+    desk = answering.Desk(echo, 0.3)
+    got, held = answering.replies(desk, "s:a", [part([5, 2]), part([3, 1])], {})
+    assert got[["key", "id", "messages", "outcome"]].values.tolist() == [["s:a", 1, 2, "normal"], ["s:a", 2, 4, "degraded"], ["s:a", 3, 6, "refused"], ["s:a", 5, 8, "normal"]]
+    assert got["text"].tolist()[::3] == ["1 [1]", "5 [1]"]
+    monkeypatch.setattr(pd, "concat", None)  # one part needs none
+    again, _ = answering.replies(desk, "s:a", [part([7])], held)
+    assert again["messages"].tolist() == [10]
