@@ -26,3 +26,18 @@ def groups(links: DataFrame) -> DataFrame:
         if still:
             drop(e)
             return at
+
+
+def grouped_by(links: DataFrame) -> DataFrame:
+    """(node, group, new) for every a of `links` (a, b, new); b may be null. Those that share a b, also by way of others, are of one group; new: whether any link of the node is.
+
+    Only an a with several b joins them, so the rounds of `groups` run over such b alone: most nodes have their group after one pass.
+    """
+    own = written(links.groupBy("a", "b").agg(F.max("new").alias("new")), "links")
+    ends = written(own.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"), F.max("new").alias("new")), "nodes")
+    edges = written(own.join(ends.filter("low < high").select("a", "low"), "a").filter("b > low").select(F.col("low").alias("a"), "b"), "edges")
+    drop(own)
+    if edges.isEmpty():
+        return ends.select(F.col("a").alias("node"), F.coalesce("low", "a").alias("group"), "new")
+    out = ends.join(groups(edges).withColumnRenamed("node", "low"), "low", "left")
+    return out.select(F.col("a").alias("node"), F.coalesce("group", "low", "a").alias("group"), "new")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import written
 from .decide import COMPARED, REQUIRED, missing_fields
-from .groups import groups
+from .groups import grouped_by
 
 PENDING, INDEXED, SUPERSEDED, MANUAL, FAILED = "pending", "indexed", "superseded", "needs_manual", "failed"
 
@@ -120,12 +120,9 @@ def import_batch(incoming: DataFrame, registry: DataFrame, parsed: DataFrame, ne
 
     # Records without a hash can still be retired by their URL.
     own = F.when(F.col("content_hash").isNotNull(), node("hash", F.col("content_hash"))).otherwise(node("record", F.col("doc_id")))
-    both = lambda d: d.select(own.alias("a"), F.when(url.isNotNull(), node("url", url)).alias("b"))
-    hashed = lines.filter("content_hash is not null")
-    links = both(hashed).unionByName(both(registry))
-    at = groups(links.select("a", F.coalesce("b", "a").alias("b")))
-    near = at.join(both(hashed).select(F.col("a").alias("node")).distinct(), "node", "left_semi").select("group").distinct()
-    at = written(at.join(near, "group", "left_semi"), "import-groups")
+    both = lambda d, new: d.select(own.alias("a"), F.when(url.isNotNull(), node("url", url)).alias("b"), F.lit(new).alias("new"))
+    at = grouped_by(both(lines.filter("content_hash is not null"), True).unionByName(both(registry, False)))
+    at = written(at.join(at.filter("new").select("group").distinct(), "group", "left_semi").drop("new"), "import-groups")
 
     common = ["content_hash", *fields, *carried]
     extra = {"parsed": "boolean", "indexed": "boolean", "parents": "long", "children": "long", "error": "string"}

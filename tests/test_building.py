@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from citelake.operators import boundary, build, encode, importing
-from citelake.operators.groups import groups
+from citelake.operators import groups as grouping
+from citelake.operators.groups import grouped_by, groups
 from citelake.plans import building
 from citelake.sources.versions import Conflict, Store
 
@@ -33,6 +34,23 @@ def test_groups(spark):
     assert got == want
 
 
+def test_only_what_joins_goes_through_rounds(spark, monkeypatch):
+    r, asked = random.Random(6), []
+    # Up to 300 nodes with one b or none, some with several; a and b don't meet.
+    links = [(a, 1000 + r.randrange(80) if r.random() > 0.1 else None, r.random() > 0.8) for a in range(300)] + [(r.randrange(300), 1000 + r.randrange(80), False) for _ in range(40)] + [(301, None, True), (301, None, False)]
+    monkeypatch.setattr(grouping, "groups", lambda e: asked.append(e.count()) or groups(e))
+    got = {x.node: (x.group, x.new) for x in grouped_by(spark.createDataFrame(links, "a long, b long, new boolean")).collect()}
+    want = {x: x for a, b, _ in links for x in (a, b) if x is not None}
+    for _ in want:
+        for a, b, _ in links:
+            if b is not None:
+                want[a] = want[b] = min(want[a], want[b])
+    key = lambda of: {frozenset(a for a in got if of(a) == g) for g in map(of, got)}
+    assert key(lambda a: got[a][0]) == key(want.get) and {a: n for a, (_, n) in got.items()} == {a: any(n for x, _, n in links if x == a) for a in got}
+    assert len(asked) == 1 and asked[0] <= 80
+    assert grouped_by(spark.createDataFrame([(1, 1001, True), (2, 1001, False), (3, None, True)], "a long, b long, new boolean")).count() == 3 and len(asked) == 1
+
+
 def test_import_rules(spark):
     fine = lambda h: (h, True, True, 1, 2, None)
     # A title that changes retires nobody, and the path stays.
