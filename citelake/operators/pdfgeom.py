@@ -26,11 +26,45 @@ def drop_page_numbers(lines: DataFrame, height: Column | float) -> DataFrame:
     return lines.filter(~((F.col("top") >= F.lit(FOOTER) * height) & F.trim("text").rlike(PAGE_NUMBER)))
 
 
+def span_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, page, seq, size, top, first, ends, text) of spans as they come: those of one line that follow each other by number become one row, with the place where each one's text ends."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, span = [batch.column(c) for c in ("doc_id", "page", "seq")], batch.column("span")
+        there, number = span.is_valid().to_numpy(zero_copy_only=False), pc.cast(span, pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+        cut = np.zeros(batch.num_rows, bool)
+        cut[changes(keys)] = True
+        cut[1:] |= (np.diff(number) != 1) | ~there[1:] | ~there[:-1]
+        at = np.flatnonzero(cut)
+        offsets, text = pa.array(np.append(at, batch.num_rows), pa.int32()), batch.column("text").fill_null("")
+        upto = np.cumsum(pc.utf8_length(text).to_numpy(zero_copy_only=False).astype(np.int64))
+        before = np.append(0, upto)[at]
+        ends = pa.ListArray.from_arrays(offsets, pa.array(upto - np.repeat(before, np.diff(np.append(at, batch.num_rows))), pa.int32()))
+        out = {c: k.take(pa.array(at)) for c, k in zip(("doc_id", "page", "seq"), keys, strict=True)}
+        for c, least in (("size", False), ("top", True)):  # NaN is larger than all
+            known = batch.column(c).is_valid().to_numpy(zero_copy_only=False)
+            v = numbers(batch.column(c))
+            most = np.fmin.reduceat(np.where(known, v, np.nan), at) if least else np.maximum.reduceat(np.where(known, v, -np.inf), at)
+            out[c] = pa.array(most, mask=~np.logical_or.reduceat(known, at), from_pandas=False).cast(batch.column(c).type)
+        yield pa.record_batch(out | {"first": span.take(pa.array(at)), "ends": ends, "text": pc.binary_join(pa.ListArray.from_arrays(offsets, text), "")})
+
+
 def span_lines(spans: DataFrame) -> DataFrame:
-    """(doc_id, page, seq, size, top, text) of text spans (doc_id, page, seq, span, size, top, text): a line's spans are joined without a separator, its size is that of its largest span, blank lines go."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span", "text"))), lambda x: x["text"]), "")
-    lines = spans.groupBy("doc_id", "page", "seq").agg(F.max("size").alias("size"), F.min("top").alias("top"), text.alias("text"))
-    return lines.filter(F.trim("text") != "")
+    """(doc_id, page, seq, size, top, text) of text spans (doc_id, page, seq, span, size, top, text): a line's spans are joined without a separator, its size is that of its largest span, blank lines go. span: whole numbers.
+
+    Spans that come in order are put together before they are grouped, so a line is a row or a few and not one for each span. Pieces of a line whose numbers overlap are taken apart again.
+    """
+    kinds, names = dict(spans.dtypes), ["doc_id", "page", "seq", "size", "top"]
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in names), f"first {kinds['span']}, ends array<int>, text string"])
+    pieces = spans.select(*names, "span", "text").mapInArrow(span_pieces, schema)
+    p = F.array_sort(F.collect_list(F.struct("first", "text", "ends")))
+    lines = pieces.groupBy("doc_id", "page", "seq").agg(F.max("size").alias("size"), F.min("top").alias("top"), p.alias("p"))
+    part = lambda x, e, i: F.struct((x["first"] + i).alias("span"), F.substring(x["text"], F.when(i > 0, F.get(x["ends"], i - 1)).otherwise(0) + 1, e - F.when(i > 0, F.get(x["ends"], i - 1)).otherwise(0)).alias("text"))
+    apart = F.array_sort(F.flatten(F.transform("p", lambda x: F.transform(x["ends"], lambda e, i: part(x, e, i)))))
+    overlap = F.exists(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.coalesce(F.get("p", i)["first"] < F.get("p", i - 1)["first"] + F.size(F.get("p", i - 1)["ends"]), F.lit(True)))
+    text = F.when((F.size("p") > 1) & overlap, F.array_join(F.transform(apart, lambda x: x["text"]), "")).otherwise(F.array_join(F.transform("p", lambda x: x["text"]), ""))
+    return lines.select("doc_id", "page", "seq", "size", "top", text.alias("text")).filter(F.trim("text") != "")
 
 
 def body_size(lines: DataFrame) -> DataFrame:

@@ -68,3 +68,27 @@ def test_words_pass_one_shuffle(spark):
     words, tables = spark.createDataFrame([], WORD), spark.createDataFrame([], TABLE)
     plan = pdfgeom.words_to_lines(words, tables)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Repartition") == 1 and "Aggregate" not in plan
+
+
+def test_spans_in_any_order_are_joined_before_they_are_grouped(spark):
+    r = random.Random(8)
+    odd = [None, float("nan"), 1.0, 2.5, -3.0]
+    rows = [(d, p, q, n, r.choice(odd), r.choice(odd), r.choice([None, "", " ", "a", "ß\U0001f600", "b c"])) for d in (1, None) for p in (1, 2) for q in range(12) for n in range(r.randrange(1, 9))]
+    rows += [(1, 1, 3, 2, 9.0, 9.0, "again"), (1, 1, 4, None, 9.0, 9.0, "none"), (1, 1, 5, 40, 9.0, 9.0, "gap")]
+    schema = "doc_id long, page long, seq long, span int, size double, top double, text string"
+    top = lambda v: (v != v, v)
+    want = {}
+    for x in rows:
+        want.setdefault(x[:3], []).append(x)
+    pick = lambda of, f: f([v for v in of if v is not None], key=top, default=None)
+    full = {k: (pick([x[4] for x in of], max), pick([x[5] for x in of], min), "".join(x[6] or "" for x in sorted(of, key=lambda x: (x[3] is not None, x[3] or 0, x[6] is not None, x[6] or "")))) for k, of in want.items()}
+    full = {k: v for k, v in full.items() if v[2].strip(" ")}
+    for order in ("sorted", "mixed"):
+        if order == "mixed":
+            r.shuffle(rows)
+        df = spark.createDataFrame(rows, schema).coalesce(2)
+        got = {(x.doc_id, x.page, x.seq): (x["size"], x.top, x.text) for x in pdfgeom.span_lines(df).collect()}
+        assert {k: str(v) for k, v in got.items()} == {k: str(v) for k, v in full.items()}
+    long_ = spark.range(0, 2000, 1, 1).selectExpr("1L doc_id", "1L page", "id div 500 seq", "cast(id % 500 as int) span", "1D size", "1D top", "'x' text")
+    pieces = long_.mapInArrow(pdfgeom.span_pieces, "doc_id long, page long, seq long, size double, top double, first int, ends array<int>, text string")
+    assert pieces.count() == 4 and {len(x.text) for x in pdfgeom.span_lines(long_).collect()} == {500}
