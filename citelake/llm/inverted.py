@@ -9,10 +9,12 @@ from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stages, blocks_for
+from .components import components
 
 #: Prefixes that a shingle may be in before it counts as hot, and how many shingles can be hot at most.
 HOT, HOT_SHINGLES = 256, 1 << 20
@@ -137,26 +139,51 @@ def may_reach(r: np.ndarray, n: int, s: np.ndarray, m: int, both: int, percent:
     return both >= need + max(int(np.searchsorted(r, end, "right")) - n, int(np.searchsorted(s, end, "right")) - m)
 
 
+class Reach:
+    """`may_reach` of one set with many: prefixes as one array of ascending keys, of the set and of the shingle's rank."""
+
+    def __init__(self, prefixes: list[np.ndarray], size: np.ndarray, percent: int):
+        self.size, self.percent = size, percent
+        length = np.array([len(x) for x in prefixes], np.int64)
+        self.at = np.cumsum(length) - length
+        self.end = self.at + length
+        self.rank = np.unique(np.concatenate(prefixes), return_inverse=True)[1].astype(np.int64)
+        self.key = (np.repeat(np.arange(len(prefixes)), length) << 32) + self.rank
+        self.last = self.rank[self.end - 1]
+
+    def of(self, q: int, found: np.ndarray, both: np.ndarray) -> np.ndarray:
+        """Which of the sets `found`, with `both` shingles of their prefixes in that of set q, can be similar to it."""
+        n, m = self.size[q], self.size[found]
+        need, end = -(-self.percent * (n + m) // (100 + self.percent)), np.minimum(self.last[q], self.last[found])
+        own = np.searchsorted(self.rank[self.at[q] : self.end[q]], end, "right")
+        other = np.searchsorted(self.key, (found << 32) + end, "right") - self.at[found]
+        return (np.minimum(n, m) * 100 >= self.percent * np.maximum(n, m)) & (both >= need + np.maximum(own - n, other - m))
+
+
+def arrays(lists: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
+    """The rows of a column of lists without nulls."""
+    return np.split(pc.list_flatten(lists).to_numpy(), np.cumsum(pc.list_value_length(lists).to_numpy())[:-1])
+
+
 def sieve(table: pa.Table, percent: int) -> pa.Table:
     """Rows of `table` (task, sid, n, label, query, prefix) that may have a similar set of another label here, by prefixes, with the group that they are to meet in."""
     take = unique(table)
     table = table.take(pa.array(take, pa.int64()))
-    prefixes = [np.array(x, np.int64) for x in table.column("prefix").to_pylist()]
-    size = table.column("n").to_pylist()
-    names, labels = np.unique(np.array(table.column("label").to_pylist(), np.int64), return_inverse=True)
-    root = list(range(len(take)))
+    names, labels = np.unique(table.column("label").to_numpy(), return_inverse=True)
+    root = np.arange(len(take))
     find = finder(root)
     kept = np.zeros(len(take), bool)
     if len(names) > 1:
-        lists, sizes = Lists(prefixes, labels), np.array(size)
+        prefixes = arrays(table.column("prefix"))
+        lists, reach = Lists(prefixes, labels), Reach(prefixes, table.column("n").to_numpy(), percent)
         for q in askers(labels, np.array(table.column("query").to_pylist(), bool)).tolist():
             found, both = lists.counts(lists.of(q))
-            n, m = size[q], sizes[found]
-            like = (labels[found] != labels[q]) & (np.minimum(n, m) * 100 >= percent * np.maximum(n, m))
-            for i, c in zip(found[like].tolist(), both[like].tolist(), strict=True):
-                if (not kept[q] or not kept[i] or find(i) != find(q)) and may_reach(prefixes[q], n, prefixes[i], size[i], c, percent):
-                    kept[q] = kept[i] = True
-                    root[find(i)] = find(q)
+            # What is known to meet q needs no other reason.
+            new = (labels[found] != labels[q]) & ~(kept[found] & kept[q] & (root[found] == find(q)))
+            found, both = found[new], both[new]
+            for i in found[reach.of(q, found, both)].tolist():
+                kept[q] = kept[i] = True
+                root[find(i)] = find(q)
     sids = table.column("sid").to_pylist()
     rows = np.flatnonzero(kept).tolist()
     out = table.select(["task", "sid", "n", "label", "query"]).take(pa.array(rows, pa.int64()))
@@ -194,14 +221,33 @@ def core_size(n: Column, percent: int) -> Column:
     return n - F.ceil(2 * percent * n / (100 + percent)) + 1
 
 
-def prefix(hashes: np.ndarray, percent: int, hot: np.ndarray | None = None) -> np.ndarray:
-    """The first |r| - T + 1 shingles of a set in the order of all shingles, ascending, each as its place there: `hot` ones (sorted places) last, then by hash."""
-    place = (hashes >> np.uint64(8)).astype(np.int64)
+def prefix(hashes: np.ndarray, percent: int, hot: np.ndarray | None = None, spare: int = 0) -> np.ndarray:
+    """The first |r| - T + 1 shingles of a set, and `spare` more, in the order of all shingles, ascending, each as its place there: `hot` ones (sorted places) last, then by hash."""
+    place = marked((hashes >> np.uint64(8)).astype(np.int64), hot)
+    return np.sort(place)[: prefix_size(len(hashes), percent) + spare]
+
+
+def prefix_size(n: int, percent: int) -> int:
+    return n - least_overlap(n, percent) + 1
+
+
+def spare_size(n: int, percent: int) -> int:
+    """Shingles behind its prefix that are kept of a set, to take the place of hot ones."""
+    return 4 + prefix_size(n, percent) // 8
+
+
+def marked(place: np.ndarray, hot: np.ndarray | None) -> np.ndarray:
     if hot is not None and len(hot):
         at = np.searchsorted(hot, place)
         at[at == len(hot)] = 0
-        place |= (hot[at] == place).astype(np.int64) << 60
-    return np.sort(place)[: len(hashes) - least_overlap(len(hashes), percent) + 1]
+        place = place | (hot[at] == place).astype(np.int64) << 60
+    return place
+
+
+def reordered(begin: np.ndarray, n: int, percent: int, hot: np.ndarray) -> np.ndarray | None:
+    """The prefix of a set of n with `hot` shingles last, from its `begin` in the order of hashes; None if that is too short to tell."""
+    size, place = prefix_size(n, percent), np.sort(marked(begin, hot))
+    return place[:size] if len(begin) == n or (len(place) >= size and place[size - 1] < 1 << 60) else None
 
 
 def band(n: Column, percent: int) -> Column:
@@ -215,7 +261,7 @@ def postings(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def without_hot(sets: DataFrame, again: Callable[[DataFrame, np.ndarray], DataFrame], percent: int, stages: Stages, hot: int = HOT) -> DataFrame:
-    """`sets` (sid, n, tokens) with other prefixes where these hold a hot shingle: `again` gives those of some sids, with all hot shingles last.
+    """`sets` (sid, n, tokens, spare) with other prefixes where these hold a hot shingle, all hot shingles last: from the spare shingles that follow, or, where these are too few, as `again` gives them for some sids.
 
     Hot is what more than `hot` prefixes hold, and more than one in HOT_SHINGLES of all postings, so hot shingles are HOT_SHINGLES at most. Any order would do; this one keeps
     passages that many texts share out of the lists, unless a text has little else.
@@ -227,8 +273,17 @@ def without_hot(sets: DataFrame, again: Callable[[DataFrame, np.ndarray], DataFr
     places = np.sort(np.array([r["token"] for r in found.collect()], np.int64))
     if not len(places):
         return sets
-    sids = stages.put(each.join(F.broadcast(found), "token", "left_semi").select("sid").distinct())
-    return stages.put(sets.select("sid", "n", "tokens").join(sids, "sid", "left_anti").unionByName(again(sids, places).select("sid", "n", "tokens")))
+    shared = sets.sparkSession.sparkContext.broadcast(places)
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in filter(lambda b: b.num_rows, batches):
+            begins = (np.concatenate(x) for x in zip(arrays(batch.column("tokens")), arrays(batch.column("spare")), strict=True))
+            out = [reordered(x, n, percent, shared.value) for x, n in zip(begins, batch.column("n").to_pylist(), strict=True)]
+            yield pa.record_batch([batch.column("sid"), batch.column("n"), pa.array(out, pa.list_(pa.int64()))], ["sid", "n", "tokens"])
+
+    new = stages.put(sets.select("sid", "n", "tokens", "spare").mapInArrow(order, TOKENS))
+    short = stages.put(new.filter("tokens is null").select("sid"))
+    return new.filter("tokens is not null").unionByName(stages.put(again(short, places).select("sid", "n", "tokens")))
 
 
 def live_rows(sets: DataFrame, percent: int, stages: Stages) -> DataFrame:
@@ -258,22 +313,36 @@ class Dealt:
         """asked: (where, n, sid, label, query); rows of one `where` must meet."""
         percent, stages = self.percent, self.stages
         blocks = lambda d, each: F.lit(blocks_for(d.agg(F.sum("n").alias("n")).first()["n"], each))
-        task = F.pmod(F.xxhash64("where"), blocks(asked, self.weight * 100 // (100 - percent)))
+        task = F.pmod(F.xxhash64("where"), blocks(asked.select("where", "sid", "n").distinct(), self.weight * 100 // (100 - percent)))
         # Once a task, however many lists bring a set there.
         rows = asked.groupBy(task.alias("task"), "sid", "label").agg(F.max("query").alias("query"), F.first("n").alias("n"))
         left = stages.put(rows.join(self.sets.select("sid", F.col("tokens").alias("prefix")), "sid").groupBy("task").applyInArrow(lambda t: sieve(t, percent), "task long, sid long, n long, label long, query boolean, met long"))
         stages.free()
+        meeting = stages.put(families(left, 2 * self.weight, stages))
         full = stages.put(self.full(left.select("sid").distinct()))
         stages.free()
-        task = F.pmod(F.xxhash64("task", "met"), blocks(left, 2 * self.weight))
-        rows = left.groupBy(task.alias("deal"), "sid", "label").agg(F.max("query").alias("query"))
+        task = F.pmod(F.xxhash64("where"), blocks(meeting, 2 * self.weight))
+        rows = meeting.groupBy(task.alias("deal"), "sid", "label").agg(F.max("query").alias("query"))
         found = stages.put(rows.join(full, "sid").groupBy("deal").applyInArrow(lambda t: search(t, percent), LINK).distinct())
-        for df in (left, full):
+        for df in (left, meeting, full):
             stages.drop(df)
         stages.free()
         return found
 
 
+def families(left: DataFrame, weight: int, stages: Stages) -> DataFrame:
+    """(where, sid, label, query, n) of sets (task, sid, n, label, query, met): where a set meets others, whole.
+
+    A set may have been left by many tasks. Sets that the sieve has joined, by way of others too, are a family: it meets in one place, each set once, unless it is larger than
+    `weight`. Of such a family those meet that one task's sieve has joined.
+    """
+    family = components(left.select(F.col("met").alias("a"), F.col("sid").alias("b")), stages).select(F.col("node").alias("sid"), F.col("label").alias("family"))
+    size = left.select("sid", "n").distinct().join(family, "sid").groupBy("family").agg(F.sum("n").alias("w"))
+    small = F.col("w") <= weight
+    where = F.when(small, F.struct(F.col("family").alias("a"), F.lit(-1).cast("long").alias("b"))).otherwise(F.struct(F.col("met").alias("a"), F.col("task").alias("b")))
+    return left.join(family, "sid").join(size, "family").groupBy(where.alias("where"), "sid", "label").agg(F.max("query").alias("query"), F.first("n").alias("n"))
+
+
 def parts_of(where: list[str], rows: DataFrame, stages: Stages, weight: int) -> DataFrame:
     """(where, parts): tasks that what meets in one place is cut into."""
     return stages.put(rows.groupBy(*where).agg(F.greatest(F.ceil(F.sum("n") / weight), F.lit(1)).cast("int").alias("parts")))
@@ -290,14 +359,17 @@ def star_rows(stars: DataFrame, stages: Stages, weight: int) -> DataFrame:
 
 
 def open_rows(live: DataFrame, labels: DataFrame, weight: int, stages: Stages) -> DataFrame:
-    """Sets of the lists that still hold several components; lists with the same sets count once. A list too long for a task is cut into parts, and each two of them meet."""
-    now = live.select(F.struct("token", "band").alias("list"), "sid", "n").join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    """Sets of the lists that still hold several components; lists with the same sets count once. Lists with one first set hold much the same sets and meet together, if that is not too much for
+    a task. A list too long for a task is cut into parts, and each two of them meet."""
+    now = live.select(F.struct("token", "band").alias("list"), "sid", "n", F.col("c.sid").alias("c")).join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     same = F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("h")
     open_ = now.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), same, F.sum("n").alias("w")).filter("lo <> hi")
     open_ = open_.groupBy("m", "h").agg(F.min("list").alias("list"), F.first("w").alias("w"))
     parts = F.greatest(F.ceil(F.col("w") / weight), F.lit(1)).cast("int")
     left = stages.put(now.join(open_.select("list", parts.alias("parts")), "list"))
-    own = left.withColumn("x", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
+    light = stages.put(left.select("c", "sid", "n").distinct().groupBy("c").agg(F.sum("n").alias("w")).filter(F.col("w") <= weight).select("c", F.lit(True).alias("light")))
+    own = left.join(light, "c", "left").withColumn("x", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
     met = own.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    where = F.struct("list", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).alias("where")
+    apart = F.col("light").isNull()
+    where = F.struct(F.when(apart, F.col("list")).alias("list"), F.when(~apart, F.col("c")).alias("c"), F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).alias("where")
     return met.select(where, "n", "sid", "label", F.lit(True).alias("query"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import Stages, text_key
 from .components import components
-from .inverted import HOT, TOKENS, WEIGHT, Dealt, live_rows, open_rows, prefix, star_rows, without_hot
+from .inverted import HOT, TOKENS, WEIGHT, Dealt, live_rows, open_rows, prefix, prefix_size, spare_size, star_rows, without_hot
 from .minhash import shingles
 
 
@@ -43,15 +43,16 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80, weight: int = W
         for batch in batches:
             sets = [shingles(x, k) for x in batch.column("text").to_pylist()]
             ids = pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary())
-            tokens = pa.array([prefix(x, percent) for x in sets], pa.list_(pa.int64()))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("key_"), ids, pa.array(map(len, sets), pa.int64()), tokens], ["doc_id", "key_", "set", "n_shingles", "tokens"])
+            begins = [prefix(x, percent, spare=spare_size(len(x), percent)) for x in sets]
+            tokens, spare = (pa.array(x, pa.list_(pa.int64())) for x in ([b[: prefix_size(len(x), percent)] for b, x in zip(begins, sets, strict=True)], [b[prefix_size(len(x), percent) :] for b, x in zip(begins, sets, strict=True)]))
+            yield pa.record_batch([batch.column("doc_id"), batch.column("key_"), ids, pa.array(map(len, sets), pa.int64()), tokens, spare], ["doc_id", "key_", "set", "n_shingles", "tokens", "spare"])
 
-    rows = stages.put(texts.mapInArrow(sign, "doc_id long, key_ long, set binary, n_shingles long, tokens array<long>"))
+    rows = stages.put(texts.mapInArrow(sign, "doc_id long, key_ long, set binary, n_shingles long, tokens array<long>, spare array<long>"))
     # One row for each distinct set, however many documents have it.
     named = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key_")
-    sets = rows.filter("n_shingles > 0").groupBy("set").agg(F.min(named).alias("first"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"))
+    sets = rows.filter("n_shingles > 0").groupBy("set").agg(F.min(named).alias("first"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"), F.first("spare").alias("spare"))
     sets = stages.put(sets.withColumn("sid", F.monotonically_increasing_id()))
-    signed, rows = rows, stages.put(rows.drop("tokens"))
+    signed, rows = rows, stages.put(rows.drop("tokens", "spare"))
     stages.drop(signed)
     stages.free()
     first = sets.select("sid", "n", F.col("first.doc_id").alias("id_"), F.col("first.key_").alias("k_"))
@@ -75,7 +76,7 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80, weight: int = W
 
     tokens = without_hot(sets, again, percent, stages, hot)
     if tokens is not sets:
-        whole, sets = sets, stages.put(sets.drop("tokens"))
+        whole, sets = sets, stages.put(sets.drop("tokens", "spare"))
         stages.drop(whole)
         first = sets.select("sid", "n", F.col("first.doc_id").alias("id_"), F.col("first.key_").alias("k_"))
     live = live_rows(tokens, percent, stages)

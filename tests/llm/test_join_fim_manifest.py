@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citelake.llm import fill_in_middle, inverted, merkle, overlap_join
+from citelake.llm.common import Stages
 from citelake.llm import queries as llm
 
 SCHEMA = "doc_id long, text string"
@@ -94,6 +95,40 @@ def test_prefixes_never_rule_out_a_similar_pair(spark, percent):
     assert seen > 100
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_many_prefixes_are_judged_as_one_is(seed):
+    r = np.random.default_rng(seed)
+    base = r.integers(0, 2**63, 90).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[r.random(90) > 0.5 * r.random()], r.integers(0, 2**63, int(r.integers(1, 40))).astype(np.uint64)])) for _ in range(30)]
+    prefixes, size = [inverted.prefix(s, 85) for s in sets], np.array([len(s) for s in sets])
+    reach = inverted.Reach(prefixes, size, 85)
+    others = np.arange(1, 30)
+    both = np.array([len(np.intersect1d(prefixes[0], prefixes[i])) for i in others])
+    want = [inverted.may_reach(prefixes[0], len(sets[0]), prefixes[i], len(sets[i]), b, 85) for i, b in zip(others, both, strict=True)]
+    assert reach.of(0, others, both).tolist() == want
+
+
+def test_spare_shingles_take_the_place_of_hot_ones():
+    r = np.random.default_rng(5)
+    told = 0
+    for _ in range(300):
+        a = np.unique(r.integers(0, 2**63, int(r.integers(1, 120))).astype(np.uint64))
+        hot = np.sort((a >> np.uint64(8)).astype(np.int64)[r.random(len(a)) < 0.4 * r.random()])
+        got = inverted.reordered(inverted.prefix(a, 85, spare=inverted.spare_size(len(a), 85)), len(a), 85, hot)
+        told += got is not None
+        assert got is None or got.tolist() == inverted.prefix(a, 85, hot).tolist()
+    assert told > 200
+
+
+def test_sets_that_many_tasks_left_meet_once(spark):
+    # Five tasks left the same three sets (1 with 2, 2 with 3); one task left 8 and 9, which are too large to meet but as they did there.
+    rows = [(t, s, 10, s, True, 1 if s < 3 else 2) for t in range(5) for s in (1, 2, 3)] + [(t, 2, 10, 2, True, 2) for t in range(5)] + [(t, s, 100, s, True, 8) for t in (1, 2) for s in (8, 9)]
+    left = spark.createDataFrame(rows, "task long, sid long, n long, label long, query boolean, met long")
+    got = inverted.families(left, 50, Stages(spark, "families")).collect()
+    assert sorted(x.sid for x in got) == [1, 2, 3, 8, 8, 9, 9]
+    assert len({x["where"] for x in got if x.sid < 4}) == 1 and len({x["where"] for x in got if x.sid > 3}) == 2
+
+
 def join_rows(seed=8):
     r = random.Random(seed)
     vocabulary, passage = [f"w{i}" for i in range(150)], [f"p{i}" for i in range(60)]
