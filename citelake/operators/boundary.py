@@ -15,17 +15,18 @@ def message(e: Exception) -> str:
     return f"{type(e).__name__}: {str(e)[:MESSAGE]}"
 
 
-def guarded(rows: DataFrame, call: Callable[[pa.RecordBatch], list[list]], out: dict[str, str], batch: int = 64, reads: list[str] | None = None) -> DataFrame:
-    """`rows` with the columns `out` (name: type as DDL) and error, null where all is well.
+def guarded(rows: DataFrame, call: Callable[[pa.RecordBatch], list[list]], out: dict[str, str], batch: int = 64, reads: list[str] | None = None, keeps: list[str] | None = None) -> DataFrame:
+    """`rows` (of their columns `keeps`, all unless given) with the columns `out` (name: type as DDL) and error, null where all is well.
 
     call: gets `batch` rows at most (of the columns `reads`, all unless given) and gives a list of values for each of `out`, one for each row. If it raises, or gives another number of
     values, its rows are halved and called again, so that only the rows that break alone get the error, and nulls; others get what they get without them. So a
     call must not depend on what else is in its batch. Memory errors and the like end the task, as they are not the row's.
     """
-    names = rows.columns
-    if set(names) & {*out, "error"}:
+    if set(rows.columns) & {*out, "error"}:
         raise ValueError("rows have a column that is to be added")
-    types = [f"`{c}` {t}" for c, t in rows.dtypes]
+    names = rows.columns if keeps is None else keeps
+    kinds_of = dict(rows.dtypes)
+    types = [f"`{c}` {kinds_of[c]}" for c in names]
     schema = ", ".join([*types, *(f"{c} {t}" for c, t in out.items()), "error string"])
 
     def tried(part: pa.RecordBatch) -> tuple[list[list], list[str | None]]:
@@ -53,6 +54,6 @@ def guarded(rows: DataFrame, call: Callable[[pa.RecordBatch], list[list]], out:
             for start in range(0, whole.num_rows, batch):
                 part = whole.slice(start, batch)
                 values, errors = tried(part.select(reads) if reads else part)
-                yield pa.record_batch([*part.columns, *(pa.array(v, k) for v, k in zip(values, kinds, strict=True)), pa.array(errors, pa.string())], [*names, *out, "error"])
+                yield pa.record_batch([*(part.column(c) for c in names), *(pa.array(v, k) for v, k in zip(values, kinds, strict=True)), pa.array(errors, pa.string())], [*names, *out, "error"])
 
     return rows.mapInArrow(run, schema)

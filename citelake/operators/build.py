@@ -20,7 +20,7 @@ from ..sources.versions import Store
 from . import chunk
 from .boundary import guarded
 from .decide import REQUIRED
-from .importing import import_batch
+from .importing import import_changes
 
 #: What a parser gives: the blocks of a file in order, as (type, level, text); none if it can't read it.
 Parser = Callable[[bytes], list[tuple[str, int, str]]]
@@ -48,7 +48,7 @@ def parsed(contents: DataFrame, parser: Parser) -> DataFrame:
     def call(part: pa.RecordBatch) -> list[list]:
         return [[[{"type": k, "level": lv, "text": t} for k, lv, t in parser(x)] if x is not None else [] for x in part.column("content").to_pylist()]]
 
-    return guarded(contents.select("content_hash", "content"), call, {"found": "array<struct<type:string,level:int,text:string>>"}).drop("content")
+    return guarded(contents.select("content_hash", "content"), call, {"found": "array<struct<type:string,level:int,text:string>>"}, keeps=["content_hash"])
 
 
 def counted(rows: DataFrame, tokenizer: Tokenizer, text: str, name: str) -> DataFrame:
@@ -56,7 +56,7 @@ def counted(rows: DataFrame, tokenizer: Tokenizer, text: str, name: str) -> Data
 
 
 def encoded(children: DataFrame, encoder: Encoder, dim: int) -> DataFrame:
-    """`children` with dense, sparse and error. A batch with too few vectors or of another dimension is an error of its rows."""
+    """`children` without their text, with dense, sparse and error. A batch with too few vectors or of another dimension is an error of its rows."""
 
     def call(part: pa.RecordBatch) -> list[list]:
         texts = part.column("text").to_pylist()
@@ -67,35 +67,45 @@ def encoded(children: DataFrame, encoder: Encoder, dim: int) -> DataFrame:
             raise ValueError(f"the encoder has {np.asarray(dense).shape[1]} dimensions, not {dim}")
         return [list(np.asarray(dense, np.float32)), [list(x.items()) for x in sparse]]
 
-    return guarded(children, call, {"dense": "array<float>", "sparse": "map<long,float>"}, reads=["text"])
+    return guarded(children, call, {"dense": "array<float>", "sparse": "map<long,float>"}, reads=["text"], keeps=[c for c in children.columns if c != "text"])
 
 
 def built(contents: DataFrame, parser: Parser, tokenizer: Tokenizer, encoder: Encoder, dim: int, lower: int = chunk.LOWER, upper: int = chunk.UPPER, target: int = chunk.CHILD) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(fates, chunks, vectors) of `contents` (content_hash, content), each a written table by content_hash.
 
     fates: content_hash, parsed, indexed, parents, children, error, as `import_batch` takes them: an error of the parser, the chunker's tokenizer or its second
-    count leaves parsed false; one of the encoder leaves indexed false. A content of which any chunk fails has no chunks and no vectors. No blocks: not parsed, no error. Null and equal contents are contents like others; hashes are distinct.
+    count leaves parsed false; one of the encoder leaves indexed false. No blocks: not parsed, no error. Null and equal contents are contents like others; hashes are distinct.
+    Of a content that is not parsed and indexed, chunks and vectors are not to be taken: those that didn't fail are still there.
     """
     files = written(parsed(contents, parser), "parsed")
-    blocks = files.filter("error is null").select(F.col("content_hash").alias("doc_id"), F.posexplode("found").alias("ord", "b")).select("doc_id", F.col("ord").cast("long").alias("ord"), "b.type", "b.level", "b.text")
-    sized = written(counted(blocks, tokenizer, "text", "tok"), "blocks")
-    broken = sized.filter("error is not null").groupBy("doc_id").agg(F.min_by("error", "ord").alias("error"))
-    good = sized.join(broken.select("doc_id"), "doc_id", "left_anti").drop("error")
+    blocks = files.filter("error is null").select(F.col("content_hash").alias("doc_id"), F.posexplode("found").alias("ord", "b")).select("doc_id", F.col("ord").cast("long").alias("ord"), "b.type", "b.text")
+    # A content's blocks come from one row, so they lie together and in order: all that is made of them needs no shuffle.
+    pieces = chunk.cut(counted(blocks, tokenizer, "text", "tok"), lower, upper, target).withColumnRenamed("error", "uncounted")
     # Tokens are counted again on the joined texts; what that raises belongs to the content too.
-    pieces = chunk.chunks(good, lower, upper, target, tokens=lambda text: F.lit(0).cast("long"))
-    pieces = written(counted(pieces.drop("token_count"), tokenizer, "text", "token_count"), "chunks")
-    broken = broken.unionByName(pieces.filter("error is not null").groupBy("doc_id").agg(F.min_by("error", "chunk_id").alias("error")))
-    whole = pieces.join(broken.select("doc_id"), "doc_id", "left_anti").drop("error")
-    vectors = written(encoded(whole.filter("level = 'child'").select("chunk_id", "doc_id", "parent_id", "chunk_index", "text"), encoder, dim).drop("text"), "vectors")
-    unencoded = vectors.filter("error is not null").groupBy("doc_id").agg(F.min_by("error", "chunk_index").alias("why"))
+    pieces = written(counted(pieces, tokenizer, "text", "token_count"), "chunks")
+    wrong = F.coalesce("uncounted", "error")
+    whole = pieces.filter(wrong.isNull()).drop("uncounted", "error")
+    vectors = written(encoded(whole.filter("level = 'child'").select("doc_id", "parent", "chunk_index", "text"), encoder, dim), "vectors")
+
+    # A row for each content, its numbers of chunks, and its errors, the parser's first.
+    facts = {"at": "string", "error": "string", "parents": "long", "children": "long", "why": "string", "n": "long"}
+    fact = lambda d, **c: d.select("doc_id", *(c.get(k, F.lit(None)).cast(t).alias(k) for k, t in facts.items()))
     counts = whole.groupBy("doc_id").agg(F.count_if(F.col("level") == "parent").alias("parents"), F.count_if(F.col("level") == "child").alias("children"))
-    fates = files.select(F.col("content_hash").alias("doc_id"), F.col("error").alias("unread")).join(broken, "doc_id", "left").join(counts, "doc_id", "left").join(unencoded, "doc_id", "left")
-    error = F.coalesce("unread", "error")
-    fates = fates.select(F.col("doc_id").alias("content_hash"), (error.isNull() & F.col("parents").isNotNull()).alias("parsed"), F.col("why").isNull().alias("indexed"), F.coalesce("parents", F.lit(0)).alias("parents"), F.coalesce("children", F.lit(0)).alias("children"), F.coalesce(error, "why").alias("error"))
-    fates = written(fates, "fates")
-    fine = fates.filter("parsed and indexed").select(F.col("content_hash").alias("doc_id"))
-    by = lambda d: d.join(fine, "doc_id", "left_semi").withColumnRenamed("doc_id", "content_hash")
-    return fates, by(whole), by(vectors.drop("error"))
+    name = F.coalesce(chunk_name("doc_id"), F.lit(""))
+    all_facts = fact(files.withColumnRenamed("content_hash", "doc_id"), at=F.lit(""), error=F.col("error")).unionByName(fact(counts, parents=F.col("parents"), children=F.col("children")))
+    all_facts = all_facts.unionByName(fact(pieces.filter(wrong.isNotNull()), at=name, error=wrong)).unionByName(fact(vectors.filter("error is not null"), why=F.col("error"), n=F.col("chunk_index")))
+    first = lambda c, order: F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c)
+    fates = all_facts.groupBy("doc_id").agg(first("error", "at"), F.max("parents").alias("parents"), F.max("children").alias("children"), first("why", "n"))
+    fine = F.col("error").isNull()
+    count = lambda c: F.when(fine, F.coalesce(c, F.lit(0))).otherwise(0).alias(c)
+    fates = fates.select(F.col("doc_id").alias("content_hash"), (fine & F.col("parents").isNotNull()).alias("parsed"), (~fine | F.col("why").isNull()).alias("indexed"), count("parents"), count("children"), F.coalesce("error", "why").alias("error"))
+    by = lambda d: d.withColumnRenamed("doc_id", "content_hash")
+    return written(fates, "fates"), by(whole), by(vectors.drop("error"))
+
+
+def chunk_name(doc: str) -> Column:
+    """The id of a chunk of the document in column `doc`, from level and chunk_index."""
+    return F.when(F.col("level") == "parent", parent_id(F.col(doc), F.col("chunk_index"))).when(F.col("level") == "child", child_id(F.col(doc), F.col("chunk_index")))
 
 
 def index_files(target: Store, incoming: DataFrame, contents: DataFrame, parser: Parser, tokenizer: Tokenizer, encoder: Encoder, dim: int, new_id: Column, required: tuple[str, ...] = REQUIRED, carried: tuple[str, ...] = ("raw_path",), bounds: tuple[int, int, int] = (chunk.LOWER, chunk.UPPER, chunk.CHILD)) -> DataFrame:
@@ -105,6 +115,7 @@ def index_files(target: Store, incoming: DataFrame, contents: DataFrame, parser:
     Only contents that no indexed record has, and that an earlier line of their URL could retire, are worked on. If anything fails before the end, the store is as it was; the rows
     that fail alone are in the outcomes.
     """
+    incoming = written(incoming, "lines")
     before = target.current()
     registry = target.read("registry", before)
     columns = registry.columns
@@ -113,28 +124,24 @@ def index_files(target: Store, incoming: DataFrame, contents: DataFrame, parser:
     shared = registry.select("content_hash", "source_url").unionByName(incoming.select("content_hash", "source_url")).filter("source_url is not null").distinct()
     crowded = shared.groupBy("source_url").agg(F.count("*").alias("n")).filter("n > 1")
     risky = shared.join(crowded, "source_url", "left_semi").select("content_hash").distinct()
-    asked = contents.join(incoming.select("content_hash").distinct(), "content_hash", "left_semi")
-    safe = held.join(risky, "content_hash", "left_anti").distinct()
-    fates, chunks, vectors = built(asked.join(safe, "content_hash", "left_anti"), parser, tokenizer, encoder, dim, *bounds)
+    safe = held.join(risky, "content_hash", "left_anti")
+    asked = incoming.select("content_hash").distinct().join(safe, "content_hash", "left_anti")
+    fates, chunks, vectors = built(contents.join(asked, "content_hash", "left_semi"), parser, tokenizer, encoder, dim, *bounds)
 
-    outcomes, records = import_batch(incoming, registry, fates, new_id, required, carried)
-    records = written(records, "records")
-    outcomes = written(outcomes, "outcomes")
+    outcomes, records = import_changes(incoming, registry, fates, new_id, required, carried)
     fresh = records.filter("indexed_by is not null").select("doc_id", "content_hash", "status", *FILTERS)
     named = lambda d: d.join(fresh.select("content_hash", F.col("doc_id").alias("id_")), "content_hash")
-    own = F.when(F.col("level") == "parent", parent_id(F.col("id_"), F.col("chunk_index"))).otherwise(child_id(F.col("id_"), F.col("chunk_index")))
-    # A child's parent has the content's hash in its name; the number behind it stays.
-    parent = F.concat(F.col("id_").cast("string"), F.regexp_extract("parent_id", r"(_p\d+)\z", 1))
-    new_chunks = named(chunks).select(own.alias("chunk_id"), F.col("id_").alias("doc_id"), F.when(F.col("parent_id").isNotNull(), parent).alias("parent_id"), "level", "chunk_index", "text", "token_count", "start", "end")
+    parent = F.when(F.col("parent").isNotNull(), parent_id(F.col("id_"), F.col("parent")))
+    new_chunks = named(chunks).select(chunk_name("id_").alias("chunk_id"), F.col("id_").alias("doc_id"), parent.alias("parent_id"), "level", "chunk_index", "text", "token_count", "start", "end")
     # Vectors follow the records: new ones where a record was indexed and still is, new filter values where these changed, none where a record isn't indexed any more.
     active = fresh.filter("status = 'indexed'").select("content_hash", F.col("doc_id").alias("id_"), *(F.coalesce(c, F.lit("")).alias(c) for c in FILTERS))
     new_vectors = vectors.join(active, "content_hash").select(child_id(F.col("id_"), F.col("chunk_index")).alias("chunk_id"), F.col("id_").alias("doc_id"), parent.alias("parent_id"), "chunk_index", *FILTERS, "dense", "sparse")
-    whole = records.join(registry.select("doc_id", *(F.col(c).alias(f"was_{c}") for c in columns if c != "doc_id")), "doc_id", "left")
+    whole = records.join(registry.select("doc_id", *(F.col(c).alias(f"was_{c}") for c in columns if c != "doc_id")), "doc_id", "left")  # records that no line touches stay
     differs = F.col("was_status").isNull()
     for c in columns:
         if c != "doc_id":
             differs = differs | ~F.col(c).eqNullSafe(F.col(f"was_{c}"))
-    changed = whole.filter(differs)
+    changed = written(whole.filter(differs), "changed")
     gone = changed.filter("was_status = 'indexed' and status <> 'indexed'").select("doc_id")
     moved = F.lit(False)
     for c in FILTERS:
@@ -142,7 +149,9 @@ def index_files(target: Store, incoming: DataFrame, contents: DataFrame, parser:
     stay = changed.filter(moved & F.col("indexed_by").isNull() & (F.col("status") == "indexed") & (F.col("was_status") == "indexed")).select("doc_id", *(F.coalesce(c, F.lit("")).alias(c) for c in FILTERS))
     synced = target.lookup("vectors", stay, before).drop(*FILTERS).join(stay, "doc_id")
     new_vectors = new_vectors.unionByName(synced.select(new_vectors.columns))
-    staged = target.stage({"registry": (changed.select(columns), None), "chunks": (new_chunks, None), "vectors": (new_vectors, gone)})
+    # A content that is indexed has chunks and children, so the keys of the new rows are known without them.
+    ids = active.select(F.col("id_").alias("doc_id")).unionByName(stay.select("doc_id")).unionByName(gone)
+    staged = target.stage({"registry": (changed.select(columns), None), "chunks": (new_chunks, None, fresh.select("doc_id")), "vectors": (new_vectors, gone, ids)})
     if staged.number != before:
         raise RuntimeError("the store has changed while the batch was built")
     target.commit(staged)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,12 +16,8 @@ from .fold import folded
 LOWER, UPPER, CHILD = 1000, 2000, 300
 
 
-def place(blocks: DataFrame, lower: int = LOWER, upper: int = UPPER, target: int = CHILD) -> DataFrame:
-    """Adds parent, from 0 in each document, child, from 0 in each parent, and the block's [start, end) in the parent text, whose blocks are joined by newlines, to `blocks` (doc_id, ord, type, level, text, tok).
-
-    Before a heading an open parent of `lower` tokens or more closes; after a block one of `upper` tokens or more does, so the upper bound is soft. A child closes from `target` tokens on.
-    A group's own history decides where it ends, so this is a fold in order, not a window.
-    """
+def stepper(lower: int, upper: int, target: int) -> Callable[[tuple, tuple], tuple[tuple, tuple]]:
+    """The step of `place`: from (parent, its tokens, child, its tokens, offset) and a block's (type, text, tok) to the next state and the block's (parent, child, start, end). It begins with five zeros."""
     if lower > upper:
         raise ValueError("lower bound over upper bound")
 
@@ -35,7 +32,16 @@ def place(blocks: DataFrame, lower: int = LOWER, upper: int = UPPER, target: int
             child, tokens = child + 1, 0
         return ((parent + 1, 0, 0, 0, 0) if total >= upper else (parent, total, child, tokens, at)), values
 
-    return folded(blocks, ["doc_id"], ["ord"], ["type", "text", "tok"], (0, 0, 0, 0, 0), step, {"parent": "long", "child": "long", "start": "long", "end": "long"})
+    return step
+
+
+def place(blocks: DataFrame, lower: int = LOWER, upper: int = UPPER, target: int = CHILD) -> DataFrame:
+    """Adds parent, from 0 in each document, child, from 0 in each parent, and the block's [start, end) in the parent text, whose blocks are joined by newlines, to `blocks` (doc_id, ord, type, level, text, tok).
+
+    Before a heading an open parent of `lower` tokens or more closes; after a block one of `upper` tokens or more does, so the upper bound is soft. A child closes from `target` tokens on.
+    A group's own history decides where it ends, so this is a fold in order, not a window.
+    """
+    return folded(blocks, ["doc_id"], ["ord"], ["type", "text", "tok"], (0, 0, 0, 0, 0), stepper(lower, upper, target), {"parent": "long", "child": "long", "start": "long", "end": "long"})
 
 
 def split_parents(blocks: DataFrame, lower: int = LOWER, upper: int = UPPER) -> DataFrame:
@@ -73,6 +79,47 @@ def chunks(blocks: DataFrame, lower: int = LOWER, upper: int = UPPER, target: in
     return parents.unionByName(children)
 
 
+def cut(blocks: DataFrame, lower: int = LOWER, upper: int = UPPER, target: int = CHILD) -> DataFrame:
+    """doc_id, level, chunk_index, parent, text, start, end, error: the chunks that `chunks` makes, without their ids and counts, of `blocks` (doc_id, ord from 0, type, text, tok, error) whose documents already lie together and in order, as exploded lists do. Nothing is shuffled; a task holds one document.
+
+    A document with an error has no chunks, but a row with the first error and no level. parent: the number of a child's parent.
+    """
+    step, start = stepper(lower, upper, target), (0, 0, 0, 0, 0)
+    names, types = ["level", "chunk_index", "parent", "text", "start", "end", "error"], [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+
+    def made(rows: list[tuple]) -> list[tuple]:
+        wrong = next((e for *_, e in rows if e is not None), None)
+        if wrong is not None:
+            return [(None, None, None, None, None, None, wrong)]
+        state, parents, children = start, {}, {}
+        for kind, text, tok, _ in rows:
+            state, (parent, child, a, b) = step(state, (kind, text, tok))
+            parents.setdefault(parent, []).append(text)
+            children.setdefault((parent, child), []).append((text, a, b))
+        return [("parent", p, None, "\n".join(texts), None, None, None) for p, texts in parents.items()] + [("child", n, p, "\n".join(x[0] for x in own), own[0][1], own[-1][2], None) for n, ((p, _), own) in enumerate(children.items())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, rows, kind = None, [], None
+
+        def table(docs: list[tuple]) -> pa.RecordBatch:
+            found = [(key, *row) for key, own in docs for row in made(own)]
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [()] * 8, [kind, *types], strict=True)], ["doc_id", *names])
+
+        for batch in batches:
+            kind, ended = batch.schema.field("doc_id").type, []
+            for key, n, *row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ord", "type", "text", "tok", "error")), strict=True):
+                if n == 0 and rows:
+                    ended.append((last, rows))
+                    rows = []
+                last = key
+                rows.append(tuple(row))
+            yield table(ended)
+        if rows:
+            yield table([(last, rows)])
+
+    return blocks.mapInArrow(run, f"doc_id {dict(blocks.dtypes)['doc_id']}, level string, chunk_index long, parent long, text string, start long, end long, error string")
+
+
 def violations(all_chunks: DataFrame) -> DataFrame:
     """Chunks that break an invariant, with its name: a parent has no parent and no offsets; a child has both, end after start, and is that slice of its parent's text; tokens are positive."""
     p = all_chunks.filter("level = 'parent'").select(F.col("chunk_id").alias("parent_id"), F.col("text").alias("parent_text"))

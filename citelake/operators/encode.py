@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,11 @@ from pyspark.sql import DataFrame
 Output = tuple[np.ndarray, list[dict[int, float]]]
 
 
+@lru_cache(1 << 16)
+def digest(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode())
+
+
 def hashed(dim: int = 64) -> Callable[[list[str]], Output]:
     """A deterministic encoder without a model, for tests: words hashed to signed coordinates of a unit vector, and to counts."""
 
@@ -22,10 +28,12 @@ def hashed(dim: int = 64) -> Callable[[list[str]], Output]:
         for i, text in enumerate(texts):
             words = Counter(re.findall(r"\w+", text.lower()))
             weights: dict[int, float] = {}
+            row = [0] * dim
             for word, n in words.items():
-                h = xxhash.xxh3_64_intdigest(word.encode())
-                dense[i, h % dim] += n if h >> 32 & 1 else -n
+                h = digest(word)
+                row[h % dim] += n if h >> 32 & 1 else -n
                 weights[h >> 33] = weights.get(h >> 33, 0.0) + n
+            dense[i] = row
             sparse.append(weights)
         norm = np.linalg.norm(dense, axis=1, keepdims=True)
         return dense / np.where(norm > 0, norm, 1), sparse

@@ -96,13 +96,21 @@ class Book:
 
 
 def import_batch(incoming: DataFrame, registry: DataFrame, parsed: DataFrame, new_id: Column, required: tuple[str, ...] = REQUIRED, carried: tuple[str, ...] = ("raw_path",)) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, records) of `import_changes`, with the records that no line touched; their indexed_by is null."""
+    outcomes, changed = import_changes(incoming, registry, parsed, new_id, required, carried)
+    names = [c for c in changed.columns if c != "indexed_by"]
+    kept = registry.select(names).join(changed.select("doc_id"), "doc_id", "left_anti").withColumn("indexed_by", F.lit(None).cast("long"))
+    return outcomes, kept.unionByName(changed)
+
+
+def import_changes(incoming: DataFrame, registry: DataFrame, parsed: DataFrame, new_id: Column, required: tuple[str, ...] = REQUIRED, carried: tuple[str, ...] = ("raw_path",)) -> tuple[DataFrame, DataFrame]:
     """(outcomes, records) of importing the lines of `incoming` (line_number, content_hash, fields) in order.
 
     registry: (doc_id long, content_hash, status, fields). parsed: (content_hash, parsed, indexed, parents, children and, if wanted, error), what parsing and indexing
     made of each content. new_id: the id of a record that a line makes, larger than those there. Fields are those of `COMPARED` that both tables have; they follow the manifest. The columns of `carried` are set once, when a record is made.
 
     outcomes: line_number, action, doc_id, previous_id, status, ok, detail, parents, children, a row for each line. action is null where indexing or a parser raised an error, or there is no content; nothing else happens to a line without a hash.
-    records: doc_id, status, content_hash, fields, carried and indexed_by, the line that indexed the record last, null if none did; a row for each record.
+    records: doc_id, status, content_hash, fields, carried and indexed_by, the line that indexed the record last, null if none did; a row for each record that a line made or touched. Both are read from one written table.
 
     Same hash as a record: REINDEX unless that is indexed, UPDATE_META if a field differs (null-safe), else SKIP. Other rows are NEW, or SUPERSEDE_AND_NEW if an indexed record has their URL. A null URL matches nothing;
     of several records of a hash or URL the smallest id counts. A row that lacks a required field is registered and no more; one whose metadata changes so that a field is missing leaves the index. Only a record
@@ -169,9 +177,7 @@ def import_batch(incoming: DataFrame, registry: DataFrame, parsed: DataFrame, ne
 
     done = written(rows.repartition("group_").sortWithinPartitions(F.col("group_"), F.col("line_number").asc_nulls_first(), "content_hash", "doc_id").mapInArrow(run, schema), "import")
     outcomes = done.filter("kind = 'line'").select("line_number", "action", "doc_id", "previous_id", "status", "ok", "detail", "parents", "children")
-    changed = done.filter("kind = 'record'").select("doc_id", "status", *common, "indexed_by")
-    kept = registry.select("doc_id", "status", *common).join(changed.select("doc_id"), "doc_id", "left_anti").withColumn("indexed_by", F.lit(None).cast("long"))
-    return outcomes, kept.unionByName(changed)
+    return outcomes, done.filter("kind = 'record'").select("doc_id", "status", *common, "indexed_by")
 
 
 def stale_vectors(vectors: DataFrame, registry: DataFrame) -> DataFrame:

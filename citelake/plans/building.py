@@ -26,7 +26,7 @@ def query(sql: str | None = None):
 
 def page_parser(content: bytes) -> list[tuple[str, int, str]]:
     """Blocks of a page in strict UTF-8."""
-    return html.parse(content.decode("utf-8"))[1]
+    return html.parse_blocks(content.decode("utf-8"))
 
 
 def strict_words(texts: list[str]) -> list[int]:

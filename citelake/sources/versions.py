@@ -12,11 +12,13 @@ import json
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 BUCKET = "bucket_"
+#: Parts of a bucket, each written by one task.
+PARTS = 8
 
 
 class Conflict(RuntimeError):
@@ -77,29 +79,50 @@ class Store:
     def bucket(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key.cast("string")), F.lit(self.buckets)).cast("int")
 
-    def stage(self, changes: dict[str, tuple[DataFrame | None, DataFrame | None]]) -> Staged:
-        """Writes a change: {table: (new rows, keys that go)}. All rows of a key in either are replaced by the new ones; untouched buckets are taken over as they are."""
+    def merged(self, old: DataFrame, new: DataFrame | None, keys: DataFrame, columns: list[str], key: str) -> DataFrame:
+        """`old` without the rows of `keys`, and `new`, each with its bucket and dealt out by it. Old rows, new rows and keys meet in one shuffle, in parts of a bucket."""
+        mark = lambda d, n: d.withColumn("mark_", F.lit(n))
+        rows = mark(old.select(columns), 0).unionByName(mark(keys.select(key), 2), allowMissingColumns=True)
+        rows = rows.unionByName(mark(new.select(columns), 1)) if new is not None else rows
+        rows = self.dealt(rows, key).withColumn("most_", F.max("mark_").over(Window.partitionBy(BUCKET, "part_", key)))
+        return rows.filter((F.col("mark_") == 1) | ((F.col("mark_") == 0) & ((F.col("most_") == 0) | F.col(key).isNull()))).select(*columns, BUCKET)
+
+    def dealt(self, rows: DataFrame, key: str) -> DataFrame:
+        """Rows by bucket, each bucket in `PARTS` parts of whole keys."""
+        part = F.pmod(F.shiftright(F.xxhash64(F.col(key).cast("string")), 32), F.lit(PARTS)).cast("int")
+        return rows.withColumn(BUCKET, self.bucket(F.col(key))).withColumn("part_", part).repartition(BUCKET, "part_")
+
+    def stage(self, changes: dict[str, tuple[DataFrame | None, ...]]) -> Staged:
+        """Writes a change: {table: (new rows, keys that go)}. All rows of a key in either are replaced by the new ones; untouched buckets are taken over as they are.
+
+        Whoever knows all these keys without working out the new rows gives them third.
+        """
         number, name_of_change = self.current(), f"data/{uuid.uuid4().hex}"
         manifest = self.manifest(number)
         if manifest["buckets"] != self.buckets:
             raise ValueError(f"the store has {manifest['buckets']} buckets, not {self.buckets}")
-        for name, (new, gone) in changes.items():
+        for name, (new, gone, *known) in changes.items():
             schema, key = self.tables[name]
-            columns = StructType.fromDDL(schema).fieldNames()
-            keys = [d.select(key) for d in (new, gone) if d is not None]
+            fields = StructType.fromDDL(schema)
+            columns = fields.fieldNames()
+            typed = lambda d: d.select(*(F.col(f.name).cast(f.dataType) for f in fields))  # noqa: B023, E731
+            keys = known or [d for d in (new, gone) if d is not None]
             if not keys:
                 continue
-            keys = (keys[0].unionByName(keys[1]) if len(keys) > 1 else keys[0]).distinct().withColumn(BUCKET, self.bucket(F.col(key)))
-            touched = [r[0] for r in keys.select(BUCKET).distinct().collect()]  # no more than there are buckets
+            keys = [d.select(F.col(key).cast(fields[key].dataType)) for d in keys]
+            keys = keys[0].unionByName(keys[1]) if len(keys) > 1 else keys[0]
+            touched = [r[0] for r in keys.select(self.bucket(F.col(key))).distinct().collect()]  # no more than there are buckets
             if not touched:
                 continue
-            old = self.read(name, number, touched).join(keys.select(key), key, "left_anti").select(columns)
-            rows = old.unionByName(new.select(columns)) if new is not None else old
+            new = typed(new) if new is not None else None
+            own = manifest["tables"].setdefault(name, {})
+            if any(str(b) in own for b in touched):
+                rows = self.merged(self.read(name, number, touched), new, keys, columns, key)
+            else:
+                rows = self.dealt(new if new is not None else self.spark.createDataFrame([], schema), key).drop("part_")
             folder = f"{name_of_change}/{name}"
-            rows = rows.select(*(F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(schema))).withColumn(BUCKET, self.bucket(F.col(key)))
-            rows.repartition(F.col(BUCKET), F.pmod(F.xxhash64(*columns[:1]), F.lit(8))).write.partitionBy(BUCKET).parquet(f"{self.root}/{folder}")
+            rows.write.partitionBy(BUCKET).parquet(f"{self.root}/{folder}")
             filled = self.filled(folder)
-            own = manifest["tables"].setdefault(name, {})
             for b in touched:
                 own.pop(str(b), None)
                 if b in filled:
