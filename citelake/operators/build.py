@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import child_id, parent_id
-from ..sources.shared import written
+from ..sources.shared import spread, written
 from ..sources.versions import Store
 from . import chunk
 from .boundary import guarded
@@ -48,7 +48,7 @@ def parsed(contents: DataFrame, parser: Parser) -> DataFrame:
     def call(part: pa.RecordBatch) -> list[list]:
         return [[[{"type": k, "level": lv, "text": t} for k, lv, t in parser(x)] if x is not None else [] for x in part.column("content").to_pylist()]]
 
-    return guarded(contents.select("content_hash", "content"), call, {"found": "array<struct<type:string,level:int,text:string>>"}, keeps=["content_hash"])
+    return guarded(contents.select("content_hash", "content"), call, {"found": "array<struct<type:string,level:int,text:string>>"}, reads=["content"], keeps=["content_hash"], alone=True)
 
 
 def counted(rows: DataFrame, tokenizer: Tokenizer, text: str, name: str) -> DataFrame:
@@ -123,20 +123,20 @@ def index_files(target: Store, incoming: DataFrame, contents: DataFrame, parser:
     # An indexed content is worked on again only if another line has the URL of its record or its lines: it may have been retired by then.
     shared = registry.select("content_hash", "source_url").unionByName(incoming.select("content_hash", "source_url")).filter("source_url is not null").distinct()
     crowded = shared.groupBy("source_url").agg(F.count("*").alias("n")).filter("n > 1")
-    risky = shared.join(crowded, "source_url", "left_semi").select("content_hash").distinct()
-    safe = held.join(risky, "content_hash", "left_anti")
-    asked = incoming.select("content_hash").distinct().join(safe, "content_hash", "left_anti")
-    fates, chunks, vectors = built(contents.join(asked, "content_hash", "left_semi"), parser, tokenizer, encoder, dim, *bounds)
+    risky = shared.join(spread(crowded), "source_url", "left_semi").select("content_hash").distinct()
+    safe = held.join(spread(risky), "content_hash", "left_anti")
+    asked = incoming.select("content_hash").distinct().join(spread(safe), "content_hash", "left_anti")
+    fates, chunks, vectors = built(contents.join(spread(asked), "content_hash", "left_semi"), parser, tokenizer, encoder, dim, *bounds)
 
     outcomes, records = import_changes(incoming, registry, fates, new_id, required, carried)
     fresh = records.filter("indexed_by is not null").select("doc_id", "content_hash", "status", *FILTERS)
-    named = lambda d: d.join(fresh.select("content_hash", F.col("doc_id").alias("id_")), "content_hash")
+    named = lambda d: d.join(spread(fresh.select("content_hash", F.col("doc_id").alias("id_"))), "content_hash")
     parent = F.when(F.col("parent").isNotNull(), parent_id(F.col("id_"), F.col("parent")))
     new_chunks = named(chunks).select(chunk_name("id_").alias("chunk_id"), F.col("id_").alias("doc_id"), parent.alias("parent_id"), "level", "chunk_index", "text", "token_count", "start", "end")
     # Vectors follow the records: new ones where a record was indexed and still is, new filter values where these changed, none where a record isn't indexed any more.
     active = fresh.filter("status = 'indexed'").select("content_hash", F.col("doc_id").alias("id_"), *(F.coalesce(c, F.lit("")).alias(c) for c in FILTERS))
-    new_vectors = vectors.join(active, "content_hash").select(child_id(F.col("id_"), F.col("chunk_index")).alias("chunk_id"), F.col("id_").alias("doc_id"), parent.alias("parent_id"), "chunk_index", *FILTERS, "dense", "sparse")
-    whole = records.join(registry.select("doc_id", *(F.col(c).alias(f"was_{c}") for c in columns if c != "doc_id")), "doc_id", "left")  # records that no line touches stay
+    new_vectors = vectors.join(spread(active), "content_hash").select(child_id(F.col("id_"), F.col("chunk_index")).alias("chunk_id"), F.col("id_").alias("doc_id"), parent.alias("parent_id"), "chunk_index", *FILTERS, "dense", "sparse")
+    whole = records.join(spread(registry.select("doc_id", *(F.col(c).alias(f"was_{c}") for c in columns if c != "doc_id"))), "doc_id", "left")  # records that no line touches stay
     differs = F.col("was_status").isNull()
     for c in columns:
         if c != "doc_id":
@@ -147,7 +147,7 @@ def index_files(target: Store, incoming: DataFrame, contents: DataFrame, parser:
     for c in FILTERS:
         moved = moved | ~F.coalesce(c, F.lit("")).eqNullSafe(F.coalesce(f"was_{c}", F.lit("")))
     stay = changed.filter(moved & F.col("indexed_by").isNull() & (F.col("status") == "indexed") & (F.col("was_status") == "indexed")).select("doc_id", *(F.coalesce(c, F.lit("")).alias(c) for c in FILTERS))
-    synced = target.lookup("vectors", stay, before).drop(*FILTERS).join(stay, "doc_id")
+    synced = target.lookup("vectors", stay, before).drop(*FILTERS).join(spread(stay), "doc_id")
     new_vectors = new_vectors.unionByName(synced.select(new_vectors.columns))
     # A content that is indexed has chunks and children, so the keys of the new rows are known without them.
     ids = active.select(F.col("id_").alias("doc_id")).unionByName(stay.select("doc_id")).unionByName(gone)

@@ -24,16 +24,20 @@ def hashed(dim: int = 64) -> Callable[[list[str]], Output]:
     """A deterministic encoder without a model, for tests: words hashed to signed coordinates of a unit vector, and to counts."""
 
     def encode(texts: list[str]) -> Output:
-        dense, sparse = np.zeros((len(texts), dim), np.float32), []
-        for i, text in enumerate(texts):
-            words = Counter(re.findall(r"\w+", text.lower()))
-            weights: dict[int, float] = {}
-            row = [0] * dim
-            for word, n in words.items():
-                h = digest(word)
-                row[h % dim] += n if h >> 32 & 1 else -n
-                weights[h >> 33] = weights.get(h >> 33, 0.0) + n
-            dense[i] = row
+        found = [Counter(re.findall(r"\w+", text.lower())) for text in texts]
+        sizes = [len(words) for words in found]
+        h = np.array([digest(word) for words in found for word in words], np.uint64)
+        n = np.array([x for words in found for x in words.values()], np.float64)
+        at = np.repeat(np.arange(len(texts)), sizes) * dim + (h % np.uint64(dim)).astype(np.int64)
+        dense = np.bincount(at, np.where(h >> np.uint64(32) & np.uint64(1), n, -n), len(texts) * dim).reshape(len(texts), dim).astype(np.float32)
+        keys, counts, sparse, end = (h >> np.uint64(33)).tolist(), n.tolist(), [], 0
+        for size in sizes:
+            start, end = end, end + size
+            weights = dict(zip(keys[start:end], counts[start:end], strict=True))
+            if len(weights) < size:  # words that share a key
+                weights = {}
+                for key, x in zip(keys[start:end], counts[start:end], strict=True):
+                    weights[key] = weights.get(key, 0.0) + x
             sparse.append(weights)
         norm = np.linalg.norm(dense, axis=1, keepdims=True)
         return dense / np.where(norm > 0, norm, 1), sparse

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import drop, written
+from ..sources.shared import drop, spread, written
 
 
 def groups(links: DataFrame) -> DataFrame:
@@ -17,10 +17,10 @@ def groups(links: DataFrame) -> DataFrame:
     e = written(links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select("b", "a")).union(links.select("a", "a")).union(links.select("b", "b")).distinct(), "links")
     at = written(e.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("group")), "groups")
     while True:
-        near = e.join(at.select(F.col("node").alias("y"), "group"), "y").groupBy(F.col("x").alias("node")).agg(F.min("group").alias("near"))
+        near = e.join(spread(at.select(F.col("node").alias("y"), "group")), "y").groupBy(F.col("x").alias("node")).agg(F.min("group").alias("near"))
         far = at.select(F.col("node").alias("near"), F.col("group").alias("far"))
-        new = written(near.join(far, "near", "left").select("node", F.least("near", "far").alias("group")), "groups")
-        still = new.join(at.withColumnRenamed("group", "old"), "node").filter("group <> old").isEmpty()
+        new = written(near.join(spread(far), "near", "left").select("node", F.least("near", "far").alias("group")), "groups")
+        still = new.join(spread(at.withColumnRenamed("group", "old")), "node").filter("group <> old").isEmpty()
         drop(at)
         at = new
         if still:
@@ -35,9 +35,9 @@ def grouped_by(links: DataFrame) -> DataFrame:
     """
     own = written(links.groupBy("a", "b").agg(F.max("new").alias("new")), "links")
     ends = written(own.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"), F.max("new").alias("new")), "nodes")
-    edges = written(own.join(ends.filter("low < high").select("a", "low"), "a").filter("b > low").select(F.col("low").alias("a"), "b"), "edges")
+    edges = written(own.join(spread(ends.filter("low < high").select("a", "low")), "a").filter("b > low").select(F.col("low").alias("a"), "b"), "edges")
     drop(own)
     if edges.isEmpty():
         return ends.select(F.col("a").alias("node"), F.coalesce("low", "a").alias("group"), "new")
-    out = ends.join(groups(edges).withColumnRenamed("node", "low"), "low", "left")
+    out = ends.join(spread(groups(edges).withColumnRenamed("node", "low")), "low", "left")
     return out.select(F.col("a").alias("node"), F.coalesce("group", "low", "a").alias("group"), "new")

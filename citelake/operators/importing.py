@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..sources.shared import spread, written
 from .decide import COMPARED, REQUIRED, missing_fields
 from .groups import grouped_by
 
@@ -99,7 +99,7 @@ def import_batch(incoming: DataFrame, registry: DataFrame, parsed: DataFrame, ne
     """(outcomes, records) of `import_changes`, with the records that no line touched; their indexed_by is null."""
     outcomes, changed = import_changes(incoming, registry, parsed, new_id, required, carried)
     names = [c for c in changed.columns if c != "indexed_by"]
-    kept = registry.select(names).join(changed.select("doc_id"), "doc_id", "left_anti").withColumn("indexed_by", F.lit(None).cast("long"))
+    kept = registry.select(names).join(spread(changed.select("doc_id")), "doc_id", "left_anti").withColumn("indexed_by", F.lit(None).cast("long"))
     return outcomes, kept.unionByName(changed)
 
 
@@ -122,7 +122,7 @@ def import_changes(incoming: DataFrame, registry: DataFrame, parsed: DataFrame,
     node = lambda kind, c: F.xxhash64(F.lit(kind), c)  # noqa: E731 (two keys of one value join two groups, which does no harm)
     known = ["content_hash", "parsed", "indexed", "parents", "children", *(["error"] if "error" in parsed.columns else [])]
     lines = incoming.withColumn("lost", missing_fields(incoming, required)).withColumn("doc_id", new_id.cast("long"))
-    lines = lines.select("line_number", "doc_id", "content_hash", "lost", *fields, *carried).join(parsed.select(known), "content_hash", "left")
+    lines = lines.select("line_number", "doc_id", "content_hash", "lost", *fields, *carried).join(spread(parsed.select(known)), "content_hash", "left")
     if "error" not in known:
         lines = lines.withColumn("error", F.lit(None).cast("string"))
 
@@ -130,7 +130,7 @@ def import_changes(incoming: DataFrame, registry: DataFrame, parsed: DataFrame,
     own = F.when(F.col("content_hash").isNotNull(), node("hash", F.col("content_hash"))).otherwise(node("record", F.col("doc_id")))
     both = lambda d, new: d.select(own.alias("a"), F.when(url.isNotNull(), node("url", url)).alias("b"), F.lit(new).alias("new"))
     at = grouped_by(both(lines.filter("content_hash is not null"), True).unionByName(both(registry, False)))
-    at = written(at.join(at.filter("new").select("group").distinct(), "group", "left_semi").drop("new"), "import-groups")
+    at = written(at.join(spread(at.filter("new").select("group").distinct()), "group", "left_semi").drop("new"), "import-groups")
 
     common = ["content_hash", *fields, *carried]
     extra = {"parsed": "boolean", "indexed": "boolean", "parents": "long", "children": "long", "error": "string"}
@@ -138,7 +138,7 @@ def import_changes(incoming: DataFrame, registry: DataFrame, parsed: DataFrame,
     old = registry.select(F.col("doc_id").cast("long").alias("doc_id"), "status", *common).withColumns({"line_number": F.lit(None).cast("long"), "lost": F.array().cast("array<string>"), **{c: F.lit(None).cast(t) for c, t in extra.items()}})
     new = lines.withColumns({"status": F.lit(None).cast("string"), "line_number": F.col("line_number").cast("long"), **{c: F.col(c).cast(t) for c, t in extra.items()}, **{c: F.col(c).cast(types[c]) for c in (*fields, *carried)}})
     names = ["line_number", "doc_id", "status", *common, "lost", *extra]
-    grouped = lambda d: d.select(names).join(at.select(F.col("node").alias("node_"), F.col("group").alias("group_")), own == F.col("node_")).drop("node_")
+    grouped = lambda d: d.select(names).join(spread(at.select(F.col("node").alias("node_"), F.col("group").alias("group_"))), own == F.col("node_")).drop("node_")
     # Lines without a hash are a group each.
     rows = grouped(old).unionByName(grouped(new.filter("content_hash is not null"))).unionByName(new.filter("content_hash is null").select(names).withColumn("group_", F.xxhash64(F.lit("line"), "line_number", "doc_id")))
     out_names = ["kind", "line_number", "action", "doc_id", "previous_id", "status", "ok", "detail", "parents", "children", *common, "indexed_by"]

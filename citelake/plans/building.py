@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import table
 from ..operators import build, encode, html
-from ..sources.shared import fresh
+from ..sources.shared import fresh, spread
 from ..sources.versions import Store
 
 QUERIES, ORACLES = {}, {}
@@ -72,7 +72,7 @@ def index_build(spark, sf_dir):
     """Chunks of the index, with their vectors' length and filter where they have one."""
     target, _, _ = build_index(spark, sf_dir)
     v = target.read("vectors").select("chunk_id", F.size("dense").cast("long").alias("dim"), F.size("sparse").cast("long").alias("words"), "publisher")
-    return target.read("chunks").select("chunk_id", "doc_id", "parent_id", "level", "chunk_index", "token_count", F.sha2("text", 256).alias("text_sha256")).join(v, "chunk_id", "left")
+    return target.read("chunks").select("chunk_id", "doc_id", "parent_id", "level", "chunk_index", "token_count", F.sha2("text", 256).alias("text_sha256")).join(spread(v), "chunk_id", "left")
 
 
 @query()

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .shared import spread
+
 BUCKET = "bucket_"
 #: Parts of a bucket, each written by one task.
 PARTS = 8
@@ -74,7 +76,7 @@ class Store:
         """Rows of the keys in `keys`; only their buckets are read."""
         key = self.tables[name][1]
         found = [r[0] for r in keys.select(self.bucket(F.col(key))).distinct().collect()]  # no more than there are buckets
-        return self.read(name, number, found).join(keys.select(key).distinct(), key, "left_semi")
+        return self.read(name, number, found).join(spread(keys.select(key).distinct()), key, "left_semi")
 
     def bucket(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key.cast("string")), F.lit(self.buckets)).cast("int")

@@ -292,3 +292,72 @@ def test_encoders_that_give_too_few_vectors_are_errors(spark):
     short = build.encoded(d, lambda texts: (encode.hashed(4)(texts)[0][:-1], []), 4).collect()
     assert all(x.error.startswith("ValueError: 1 texts, but 0 dense") and x.dense is None for x in short)
     assert all(x.error.startswith("ValueError: the encoder has 4") for x in build.encoded(d, encode.hashed(4), 5).collect())
+
+
+# ---- the build at size
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_that_lie_together_are_cut_without_a_shuffle(spark):
+    from citelake.operators import chunk
+
+    r = random.Random(9)
+    docs = [(d, [(r.choice(["heading", "paragraph"]), " ".join("w" * r.randint(1, 5) for _ in range(r.randint(1, 30)))) for _ in range(r.randint(0, 40))]) for d in range(30)]
+    lists = spark.createDataFrame(docs, "doc_id long, found array<struct<type:string,text:string>>").repartition(3)
+    blocks = lists.select("doc_id", F.posexplode("found").alias("ord", "b")).select("doc_id", F.col("ord").cast("long").alias("ord"), "b.*", F.size(F.split("b.text", " ")).cast("long").alias("tok"))
+    broken = blocks.withColumn("error", F.when((F.col("doc_id") % 7 == 3) & F.col("ord").isin(2, 5), F.concat(F.lit("e"), "ord")))
+    got = chunk.cut(broken, 100, 200, 30)
+    assert plan(got.filter("level is not null")).count("Exchange") == plan(lists).count("Exchange") == 1
+    want = chunk.chunks(blocks.withColumn("level", F.lit(0)), 100, 200, 30)
+    bad = {d for d, found in docs if d % 7 == 3 and len(found) > 2}
+    assert Counter((x.doc_id, x.level, x.chunk_index, x.parent_id, x.text, x.start, x.end) for x in want.collect() if x.doc_id not in bad) == Counter((x.doc_id, x.level, x.chunk_index, None if x.parent is None else f"{x.doc_id}_p{x.parent:04d}", x.text, x.start, x.end) for x in got.collect() if x.error is None)
+    assert sorted((x.doc_id, x.level, x.error) for x in got.filter("error is not null").collect()) == sorted((d, None, "e2") for d in bad)
+    assert chunk.cut(broken.limit(0)).count() == 0
+
+
+def test_old_and_new_rows_of_a_store_meet_in_one_shuffle(spark, tmp_path):
+    schema = TABLES["a"][0]
+    store = Store(spark, f"file://{tmp_path}", TABLES, 4)
+    old = [(i % 40, f"v{i}") for i in range(200)] + [(None, "n")]
+    spark.createDataFrame(old, schema).write.parquet(f"{tmp_path}/old")
+    new, keys = [(3, "x"), (3, "y"), (90, "z")], [(3,), (4,), (90,), (91,)]
+    got = store.merged(spark.read.parquet(f"{tmp_path}/old"), spark.createDataFrame(new, schema), spark.createDataFrame(keys, "id long"), ["id", "v"], "id")
+    assert plan(got).count("Exchange") == 1
+    assert rows(got.select("id", "v")) == sorted([x for x in old if x[0] not in (3, 4)] + new, key=str)
+    store.commit(store.stage({"a": (spark.createDataFrame(old, schema), None)}))
+    store.commit(store.stage({"a": (spark.createDataFrame(new, schema), None, spark.createDataFrame(keys, "id long"))}))  # more keys than rows
+    assert rows(store.read("a")) == rows(got.select("id", "v"))
+
+
+def test_a_parser_sees_each_content_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def parser(content):
+        calls.add(1)
+        if content == b"5":
+            raise ValueError("five")
+        return [("paragraph", 0, content.decode())]
+
+    contents = spark.createDataFrame([(f"h{i}", str(i).encode()) for i in range(40)], "content_hash string, content binary").coalesce(1)
+    got = {x.content_hash: x for x in build.parsed(contents, parser).collect()}
+    assert calls.value == 40  # not once more for each halving of a batch with an error
+    assert got["h5"].error == "ValueError: five" and got["h5"].found is None and all(x.error is None and x.found[0].text == h[1:] for h, x in got.items() if h != "h5")
+
+
+def test_the_build_collects_no_table_that_grows(spark, tmp_path, monkeypatch):
+    from citelake.operators import groups as grouping
+
+    plans = []
+    for module in (build, importing, grouping):
+        def kept(df, name, f=module.written):
+            plans.append(plan(df))
+            return f(df, name)
+
+        monkeypatch.setattr(module, "written", kept)
+    spark.createDataFrame(pages()[:12], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    target, _, two = building.build_index(spark, str(tmp_path))
+    assert two.count() == 12 and target.read("registry").count() > 0
+    assert len(plans) > 20 and not [p for p in plans if "BroadcastExchange" in p]
