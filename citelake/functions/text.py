@@ -50,6 +50,11 @@ def child_id(doc_id: Column, n: Column) -> Column:
     return F.format_string("%s_c%04d", doc_id.cast("string"), n)
 
 
+def family(chunk_id: Column) -> Column:
+    """What the ids of a document's chunks have in common; any other id stands for itself."""
+    return F.regexp_replace(chunk_id.cast("string"), r"_[pc]\d{4,}$", "")
+
+
 def host(url: Column) -> Column:
     """Host in lower case without a leading www."""
     return F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")

@@ -69,14 +69,55 @@ def counter(count: Callable[[list[str]], list[int]]) -> Callable[[Column], Colum
 
 
 def chunks(blocks: DataFrame, lower: int = LOWER, upper: int = UPPER, target: int = CHILD, tokens=words) -> DataFrame:
-    """chunk_id, doc_id, parent_id, level, chunk_index, text, token_count, start, end. Tokens are counted again on the joined text; children are numbered on across a document's parents."""
-    placed = place(blocks, lower, upper, target)
-    parents = placed.groupBy("doc_id", "parent").agg(joined().alias("text"))
-    parents = parents.select(parent_id(F.col("doc_id"), F.col("parent")).alias("chunk_id"), "doc_id", F.lit(None).cast("string").alias("parent_id"), F.lit("parent").alias("level"), F.col("parent").cast("long").alias("chunk_index"), "text", tokens(F.col("text")).alias("token_count"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"))
-    children = placed.groupBy("doc_id", "parent", "child").agg(joined().alias("text"), F.min("start").alias("start"), F.max("end").alias("end"))
-    children = children.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("parent", "child")) - 1)
-    children = children.select(child_id(F.col("doc_id"), F.col("n")).alias("chunk_id"), "doc_id", parent_id(F.col("doc_id"), F.col("parent")).alias("parent_id"), F.lit("child").alias("level"), F.col("n").cast("long").alias("chunk_index"), "text", tokens(F.col("text")).alias("token_count"), "start", "end")
-    return parents.unionByName(children)
+    """chunk_id, doc_id, parent_id, level, chunk_index, text, token_count, start, end. Tokens are counted again on the joined text; children are numbered on across a document's parents.
+
+    Blocks (doc_id, ord, type, text, tok) pass once and in order, in one shuffle, and a chunk leaves where it closes: a task holds one open parent.
+    """
+    step, begin = stepper(lower, upper, target), (0, 0, 0, 0, 0)
+    kind, reads = dict(blocks.dtypes)["doc_id"], ["doc_id", "type", "text", "tok"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, at, n, texts, own, found = begin, None, 0, [], [], []  # at: document, parent and child that are open
+
+        def close(parent: bool) -> None:
+            nonlocal n
+            if own:
+                found.append((at[0], "child", at[1], n, "\n".join(x[0] for x in own), own[0][1], own[-1][2]))
+                n += 1
+                own.clear()
+            if parent and texts:
+                found.append((at[0], "parent", at[1], at[1], "\n".join(texts), None, None))
+                texts.clear()
+
+        def closed(keys: pa.DataType) -> pa.RecordBatch:
+            columns = zip(*found, strict=True) if found else [()] * 7
+            types = [keys, pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+            out = pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "level", "parent", "n", "text", "start", "end"])
+            found.clear()
+            return out
+
+        keys = None
+        for batch in batches:
+            keys = batch.schema.field("doc_id").type
+            for key, *row in zip(*(batch.column(c).to_pylist() for c in reads), strict=True):
+                if at is None or key != at[0]:
+                    close(True)
+                    state, n = begin, 0
+                state, (parent, child, a, b) = step(state, tuple(row))
+                if (key, parent, child) != at:
+                    close(at is not None and parent != at[1])
+                at = key, parent, child
+                texts.append(row[1])
+                own.append((row[1], a, b))
+            yield closed(keys)
+        if at:
+            close(True)
+            yield closed(keys)
+
+    c = blocks.select(*reads, "ord").repartition("doc_id").sortWithinPartitions("doc_id", "ord").mapInArrow(run, f"doc_id {kind}, level string, parent long, n long, text string, start long, end long")
+    parent, child = F.col("level") == "parent", F.col("level") == "child"
+    its = parent_id(F.col("doc_id"), F.col("parent"))
+    return c.select(F.when(parent, its).otherwise(child_id(F.col("doc_id"), F.col("n"))).alias("chunk_id"), "doc_id", F.when(child, its).alias("parent_id"), "level", F.col("n").alias("chunk_index"), "text", tokens(F.col("text")).alias("token_count"), "start", "end")
 
 
 def cut(blocks: DataFrame, lower: int = LOWER, upper: int = UPPER, target: int = CHILD) -> DataFrame:

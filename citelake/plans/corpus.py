@@ -236,8 +236,9 @@ def load_context(spark, sf_dir):
     from ..operators import retrieve
 
     c = all_chunks(spark, sf_dir)
-    children = c.filter("level = 'child'").groupBy("parent_id").agg(F.array_sort(F.collect_list(F.struct("chunk_id", F.lit(0.5).alias("score")))).alias("children"))
-    hits = c.filter("level = 'parent'").select(F.col("doc_id").alias("qid"), (F.col("chunk_index") + 1).alias("rk"), F.col("chunk_id").alias("parent_id"), "doc_id", F.lit(0.5).alias("score")).join(children, "parent_id")
+    child = F.when(F.col("level") == "child", F.struct("chunk_id", F.lit(0.5).alias("score")))
+    own = c.groupBy(F.coalesce("parent_id", "chunk_id").alias("parent_id")).agg(F.max("doc_id").alias("doc_id"), F.max(F.when(F.col("level") == "parent", F.col("chunk_index") + 1)).alias("rk"), F.array_sort(F.collect_list(child)).alias("children"))
+    hits = own.select(F.col("doc_id").alias("qid"), "rk", "parent_id", "doc_id", F.lit(0.5).alias("score"), "children")
     out = retrieve.load_context(hits, c, view(spark, sf_dir, "registry").select("doc_id", "title", "source_url"))
     out = out.select("qid", "rk", "parent_id", "doc_id", "text", "token_count", F.explode("matched_children").alias("m"), "title", "source_url")
     return out.select("qid", "rk", "parent_id", "doc_id", "text", "token_count", "m.chunk_id", F.col("m.text").alias("child_text"), F.col("m.start").alias("start_offset"), F.col("m.end").alias("end_offset"), "title", "source_url")

@@ -1,4 +1,5 @@
 import datetime
+import random
 import hashlib
 
 import numpy as np
@@ -144,6 +145,57 @@ def test_context_needs_every_chunk_and_document(spark):
             retrieve.load_context(hit(*lost), chunks, docs).collect()
 
 
+def test_a_text_moves_twice_to_its_hit(spark):
+    chunks = chunk.chunks(blocks(spark, [10, 25, 7, 40, 3, 12, 50], (3,)), 30, 60, 10)
+    rows = {x.chunk_id: x for x in chunks.collect()}
+    mine = {p: sorted(k for k, x in rows.items() if x.parent_id == p) for p, x in rows.items() if x.level == "parent"}
+    parents = sorted(mine)
+    asked = [(q, r + 1, p, 7, float(q), [(k, q / 10) for k in (mine[p][::-1] if q % 2 else mine[p])]) for q in range(5) for r, p in enumerate(parents[q % 2 :])] + [(9, 1, parents[0], 7, 0.5, []), (9, 2, parents[1], 7, 0.5, None)]
+    hits = spark.createDataFrame(asked[::-1], "qid long, rk int, parent_id string, doc_id long, score double, children array<struct<chunk_id:string,score:double>>")
+    out = retrieve.load_context(hits, chunks, spark.createDataFrame([(7, "T", "u")], "doc_id long, title string, url string"))
+    want = [(q, p, r, d, s, rows[p].text, rows[p].token_count, [(k, x, rows[k].text, rows[k].start, rows[k].end) for k, x in kids] if kids else None, "T", "u") for q, r, p, d, s, kids in asked]
+    got = [(*x[:7], [tuple(m) for m in x.matched_children] if x.matched_children is not None else None, *x[8:]) for x in out.collect()]
+    assert got == want and out.columns == ["qid", "parent_id", "rk", "doc_id", "score", "text", "token_count", "matched_children", "title", "url"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Aggregate") == 1
+    plan = chunks._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1 and "Aggregate" not in plan and "Window" not in plan
+
+
+def test_chunks_of_many_documents_over_small_batches(spark):
+    r = random.Random(2)
+    rows = [(d, n, r.choice(["heading", "paragraph"]), "".join(r.choice("ab ") for _ in range(r.randrange(1, 9))), r.randrange(1, 40)) for d in (None, *range(9)) for n in range(r.randrange(1, 30))]
+    want = []
+    for d in (None, *range(9)):
+        parents = []
+        for _, _, kind, text, tok in (x for x in rows if x[0] == d):
+            total = sum(t for _, t in parents[-1]) if parents else 200
+            if total >= 200 or (total >= 100 and kind == "heading"):
+                parents.append([])
+            parents[-1].append((text, tok))
+        n = 0
+        for p, own in enumerate(parents):
+            want.append((d, "parent", p, "\n".join(t for t, _ in own), None))
+            kids = []
+            for i, (_, tok) in enumerate(own):
+                if not kids or sum(own[j][1] for j in kids[-1]) >= 30:
+                    kids.append([])
+                kids[-1].append(i)
+            for k in kids:
+                want.append((d, "child", n, "\n".join(own[i][0] for i in k), sum(len(own[i][0]) + 1 for i in range(k[0]))))
+                n += 1
+    r.shuffle(rows)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in (3, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = chunk.chunks(spark.createDataFrame(rows, "doc_id long, ord long, type string, text string, tok long"), 100, 200, 30).collect()
+            assert sorted(map(str, ((x.doc_id, x.level, x.chunk_index, x.text, x.start) for x in got))) == sorted(map(str, want))
+            assert all(x.end == x.start + len(x.text) for x in got if x.level == "child")
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_encoder_counts_and_dimensions(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(["a b", None, "", "a b"])], "id long, text string")
     got = encode.encode(rows, encode.hashed(8), 8, batch=2).orderBy("id").collect()
