@@ -284,7 +284,7 @@ def words_to_lines(spark, sf_dir):
 @query(duck(P, ", w AS (SELECT doc_id, page, round(top + ((i - 1) % 3) * 0.4, 1) AS top, (i - 1) * 30.0 AS x0, s[i] AS text FROM (SELECT doc_id, page, top, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT *, string_split(text, ' ') AS s FROM pdf_lines))) SELECT doc_id, page, x0, top, text FROM w WHERE NOT (x0 + 10 BETWEEN 50 AND 200 AND top + 5 BETWEEN 100 AND 150 AND page % 2 = 1)"))
 def words_outside_tables(spark, sf_dir):
     w = pdf_words(spark, sf_dir)
-    boxes = w.select("doc_id", "page").distinct().filter("page % 2 = 1").select("doc_id", "page", F.lit(50.0).alias("left"), F.lit(200.0).alias("right"), F.lit(100.0).alias("upper"), F.lit(150.0).alias("lower"))
+    boxes = view(spark, sf_dir, "pdf_lines").select("doc_id", "page").distinct().filter("page % 2 = 1").select("doc_id", "page", F.lit(50.0).alias("left"), F.lit(200.0).alias("right"), F.lit(100.0).alias("upper"), F.lit(150.0).alias("lower"))
     return pdfgeom.outside_tables(w, boxes).select("doc_id", "page", "x0", "top", "text")
 
 
@@ -306,7 +306,7 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, kind, place
 def page_blocks(spark, sf_dir):
     """From words and tables to blocks: two tables on odd pages, those of each second one are blank."""
     w = pdf_words(spark, sf_dir, "size")
-    pages = w.select("doc_id", "page").distinct().filter("page % 2 = 1").withColumn("n", F.explode(F.array(F.lit(1), F.lit(2))))
+    pages = view(spark, sf_dir, "pdf_lines").select("doc_id", "page").distinct().filter("page % 2 = 1").withColumn("n", F.explode(F.array(F.lit(1), F.lit(2))))
     text = lambda c: F.when(F.col("page") % 4 == 1, c)
     cells = F.array(F.array(text(F.concat(F.lit("p"), "page")), F.lit(None).cast("string")), F.array(F.lit(""), F.lit(" ")), F.array(text(F.concat("doc_id", F.lit("  x"))), text(F.concat(F.lit(" y"), "n"))))
     second = F.col("n") == 2

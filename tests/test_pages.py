@@ -70,6 +70,39 @@ def test_words_pass_one_shuffle(spark):
     assert plan.count("Repartition") == 1 and "Aggregate" not in plan
 
 
+def test_words_of_a_band_travel_as_one_row(spark):
+    line = lambda top, texts, x=0.0: [(1, 1, x + 30.0 * i, x + 30.0 * i + 20, top, top + 8, 9.0, t) for i, t in enumerate(texts)]
+    words = [*line(10.0, ["a", "b\x1fc", "", "d"]), *line(70.0, [f"w{i}" for i in range(500)]), *line(70.0, ["between", None], 15.0), *line(70.0, ["same", "same"], 15.0)]
+    frame = spark.createDataFrame(words, WORD).coalesce(1)
+    rows = pdfgeom.passing(frame, spark.createDataFrame([(1, 1, 1, -9.0, -9.0, -8.0, -8.0, [])], TABLE))
+    assert rows.count() == 3  # two bands and a box
+    want = [(0, "a b\x1fc d"), (1, " ".join(["w0", "between", "same", "w1", "same", *(f"w{i}" for i in range(2, 500))]))]
+    for size in (1, 100, 10_000):
+        before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            assert [(x.line, x.text) for x in pdfgeom.words_to_lines(frame).orderBy("line").collect()] == want
+            assert sorted(map(str, map(tuple, pdfgeom.outside_tables(frame, spark.createDataFrame([], TABLE)).collect()))) == sorted(map(str, words))
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_lines_of_a_document_meet_once(spark):
+    words, tables = spark.createDataFrame([], WORD), spark.createDataFrame([], TABLE)
+    plan = pdfgeom.page_blocks(words, tables)._jdf.queryExecution()
+    assert plan.optimizedPlan().toString().count("Repartition") == 1
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        words = spark.range(4).selectExpr("id doc_id", "1L page", "0D x0", "9D x1", "id * 1D top", "9D bottom", "9D size", "'x' text")
+        boxes = spark.range(4).selectExpr("id doc_id", "1L page", "1 n", "50D left", "0D upper", "60D right", "9D lower", "array(array('c')) cells")
+        found = pdfgeom.page_blocks(words, boxes)
+        lines = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert lines.count("Exchange hashpartitioning") == 2 and "Join" not in lines  # words by page, lines by document
+    assert [tuple(x) for x in found.filter("doc_id = 2").orderBy("ord").collect()] == [(2, 0, 1, "paragraph", 0, "x"), (2, 1, 1, "table", 0, "c")]
+
+
 def test_spans_in_any_order_are_joined_before_they_are_grouped(spark):
     r = random.Random(8)
     odd = [None, float("nan"), 1.0, 2.5, -3.0]
